@@ -65,8 +65,8 @@ def partitions(spark: SparkSession) -> int:
 
 
 def crc_fold(doc_id: str, n: int) -> Column:
-    """crc32 of the id's decimal text, modulo n."""
-    return F.pmod(F.crc32(F.col(doc_id).cast("string").cast("binary")), F.lit(n))
+    """crc32 of the id's decimal text (null: the empty text), modulo n."""
+    return F.pmod(F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")), F.lit(n))
 
 
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:

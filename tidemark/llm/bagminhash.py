@@ -6,10 +6,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, pick, stored
+from .common import bucket_links, pick, stored, text_id
 from .words import mix, text_blocks, word_hashes
 
 SHINGLE = 5
@@ -160,11 +160,6 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([f[i] for f in found], pa.int64()) for i in (0, 1)], names=["a", "b"])
 
 
-def text_id(text: str):
-    """64 bits of the text's MD5, as a long."""
-    return F.conv(F.substring(F.md5(F.col(text).cast("binary")), 1, 15), 16, 10).cast("long")
-
-
 def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", pivots: int = 3) -> DataFrame:
     """Classes of near-duplicate documents: rows (doc_id, class_id, kept, _row), one per input row.
 
@@ -198,31 +193,11 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     texts = stored(texts, "bag-texts")
 
     def linked(pairs: DataFrame) -> DataFrame:
-        pairs = pairs.distinct()
-        open_ = pairs.join(sigs.toDF("a", "_sa"), "a").join(sigs.toDF("b", "_sb"), "b").select("a", "b", "_sa", "_sb").mapInArrow(_alike, "a long, b long")
-        full = stored(open_, "bag-open").join(texts.toDF("a", "_xa"), "a").join(texts.toDF("b", "_xb"), "b").select("a", "b", "_xa", "_xb")
+        near = pairs.join(sigs.toDF("a", "_sa"), "a").join(sigs.toDF("b", "_sb"), "b").select("a", "b", "_sa", "_sb").mapInArrow(_alike, "a long, b long")
+        full = stored(near, "bag-open").join(texts.toDF("a", "_xa"), "a").join(texts.toDF("b", "_xb"), "b").select("a", "b", "_xa", "_xb")
         return stored(full.mapInArrow(_verify, "a long, b long"), "bag-links")
 
-    links = None
-    now = members.withColumn("root", F.col("_tid"))
-    for turn in range(pivots + 1):
-        if turn:
-            roots = components(links)
-            now = stored(members.join(roots.toDF("_tid", "_root"), "_tid", "left").select("key", "_tid", F.coalesce("_root", "_tid").alias("root")), "bag-now")
-            apart = now.groupBy("key").agg(F.min("root").alias("_lo"), F.max("root").alias("_hi")).where("_lo <> _hi").select("key")
-            now = now.join(apart, "key")
-        if turn < pivots:
-            # The pivot: of the first class in the bucket (after the first turn), the member that this turn's hash puts first.
-            chance = F.xxhash64(F.lit(turn), F.col("_tid"))
-            pivot = now.groupBy("key").agg(F.min(F.struct(*([F.col("root")] if turn else []), chance.alias("h"), F.col("_tid").alias("p"), F.col("root").alias("r"))).alias("q")).select("key", "q.p", "q.r")
-            pairs = now.join(pivot, "key").where("_tid <> p" if not turn else "root <> r")
-            pairs = pairs.select(F.least("_tid", "p").alias("a"), F.greatest("_tid", "p").alias("b"))
-        else:
-            x, y = now.toDF("key", "a", "ra"), now.toDF("key", "b", "rb")
-            pairs = x.join(y, "key").where("ra < rb").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-        new = linked(pairs)
-        links = new if links is None else links.unionByName(new)
-    roots = components(links).toDF("_tid", "_root")
+    roots = bucket_links(members.select("key", F.col("_tid").alias("id")), linked, pivots).toDF("_tid", "_root")
     named = signed.select("doc_id", "_row", "_tid", F.col("_sig").isNotNull().alias("_worded")).join(roots, "_tid", "left")
     named = named.select("doc_id", "_row", F.when(F.col("_worded"), F.coalesce("_root", "_tid")).alias("_class"))
     named = stored(named, "bag-classes")

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bagminhash, bpe, langid, mixing, sharding, suffixtree
+from . import bagminhash, bpe, langid, linedup, mixing, sharding, suffixtree
 from .common import crc_fold
 
 
@@ -19,6 +19,11 @@ def op1_suffix_tree_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixtree.score(_table(spark, sf_dir, "documents"), crc_fold("doc_id", 5) == 1)
 
 
+def op2_fuzzy_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = linedup.dedup_lines(_table(spark, sf_dir, "documents"), keep=["doc_id", "text"])
+    return out.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("text_sha256"))
+
+
 def op4_bag_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bagminhash.near_duplicates(_table(spark, sf_dir, "documents")).select("doc_id", "class_id", "kept")
 
@@ -52,6 +57,7 @@ def op10_extendible_hash_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_suffix_tree_score": op1_suffix_tree_score,
+        "op2_fuzzy_lines": op2_fuzzy_lines,
         "op4_bag_minhash": op4_bag_minhash,
         "op5_pfair_mixing": op5_pfair_mixing,
         "op7_bpe_round_trip": op7_bpe_round_trip,

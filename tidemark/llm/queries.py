@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bagminhash, bpe, langid, linedup, mixing, sharding, suffixtree
+from . import bagminhash, bpe, langid, linedup, mixing, quality, sharding, suffixtree
 from .common import crc_fold
 
 
@@ -50,6 +50,10 @@ def op8_compression_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(docs, known, keep=["doc_id"]).select("doc_id", (crc_fold("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score", "margin", "rejected")
 
 
+def op9_adaptive_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judge(_table(spark, sf_dir, "documents"))
+
+
 def op10_extendible_hash_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shards(_table(spark, sf_dir, "documents"))
 
@@ -62,9 +66,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_pfair_mixing": op5_pfair_mixing,
         "op7_bpe_round_trip": op7_bpe_round_trip,
         "op8_compression_language": op8_compression_language,
+        "op9_adaptive_quality": op9_adaptive_quality,
         "op10_extendible_hash_shards": op10_extendible_hash_shards,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op10_extendible_hash_shards": sharding.SQL}
+    return {"op9_adaptive_quality": quality.SQL, "op10_extendible_hash_shards": sharding.SQL}

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bagminhash, bpe, langid, linedup, mixing, quality, sharding, suffixtree
+from . import bagminhash, bpe, langid, linedup, mixing, pii, quality, sharding, suffixtree
 from .common import crc_fold
 
 
@@ -24,6 +24,10 @@ def op2_fuzzy_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("text_sha256"))
 
 
+def op3_weak_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digest(pii.find_spans(_table(spark, sf_dir, "documents")))
+
+
 def op4_bag_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bagminhash.near_duplicates(_table(spark, sf_dir, "documents")).select("doc_id", "class_id", "kept")
 
@@ -62,6 +66,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_suffix_tree_score": op1_suffix_tree_score,
         "op2_fuzzy_lines": op2_fuzzy_lines,
+        "op3_weak_pii": op3_weak_pii,
         "op4_bag_minhash": op4_bag_minhash,
         "op5_pfair_mixing": op5_pfair_mixing,
         "op7_bpe_round_trip": op7_bpe_round_trip,

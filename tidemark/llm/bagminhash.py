@@ -160,8 +160,8 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([f[i] for f in found], pa.int64()) for i in (0, 1)], names=["a", "b"])
 
 
-def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", pivots: int = 3) -> DataFrame:
-    """Classes of near-duplicate documents: rows (doc_id, class_id, kept, _row), one per input row.
+def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", pivots: int = 2) -> DataFrame:
+    """Classes of near-duplicate documents: rows (doc_id, class_id, kept, worded, _tid), one per input row.
 
     Two texts are linked if the multisets of their five-word shingles (A-Z lower-cased) have
     a weighted Jaccard similarity of 0.8 or more; a class is all that links reach, its id the least
@@ -176,7 +176,7 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
 
     Null texts and texts without a word are classes of their own, row by row; a text of one to
     four words is one shingle. Null ids take part, a class of nulls has a null id. Other columns are left aside;
-    no rows give no rows. ``_row`` numbers the rows as they were read in this run.
+    no rows give no rows. ``worded`` tells whether the text has a word, ``_tid`` is a hash of it.
     """
     base = pick(docs, doc_id=doc_id, _x=text).select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("_x", F.lit("")).alias("_x")).withColumn("_tid", text_id("_x"))
     signed = base.withColumn("_row", F.monotonically_increasing_id()).select("_row", "_tid", "doc_id", "_x")
@@ -198,10 +198,22 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
         return stored(full.mapInArrow(_verify, "a long, b long"), "bag-links")
 
     roots = bucket_links(members.select("key", F.col("_tid").alias("id")), linked, pivots).toDF("_tid", "_root")
-    named = signed.select("doc_id", "_row", "_tid", F.col("_sig").isNotNull().alias("_worded")).join(roots, "_tid", "left")
-    named = named.select("doc_id", "_row", F.when(F.col("_worded"), F.coalesce("_root", "_tid")).alias("_class"))
-    named = stored(named, "bag-classes")
-    heads = named.where("_class is not null").groupBy("_class").agg(F.min(F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", "_row")).alias("h")).select("_class", F.col("h.doc_id").alias("class_id"), F.col("h._row").alias("_head"))
-    alone = named.where("_class is null").select("doc_id", F.col("doc_id").alias("class_id"), F.lit(True).alias("kept"), "_row")
-    grouped = named.where("_class is not null").join(heads, "_class").select("doc_id", "class_id", (F.col("_row") == F.col("_head")).alias("kept"), "_row")
-    return grouped.unionByName(alone)
+    named = signed.select("doc_id", "_row", "_tid", F.col("_sig").isNotNull().alias("worded")).join(roots, "_tid", "left")
+    named = stored(named.select("doc_id", "_row", "_tid", "worded", F.when(F.col("worded"), F.coalesce("_root", "_tid")).alias("_class")), "bag-classes")
+    heads = named.where("worded").groupBy("_class").agg(F.min(F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", "_row")).alias("h")).select("_class", F.col("h.doc_id").alias("class_id"), F.col("h._row").alias("_head"))
+    alone = named.where("not worded").select("doc_id", F.col("doc_id").alias("class_id"), F.lit(True).alias("kept"), "worded", "_tid")
+    return named.where("worded").join(heads, "_class").select("doc_id", "class_id", (F.col("_row") == F.col("_head")).alias("kept"), "worded", "_tid").unionByName(alone)
+
+
+def keep_one(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
+    """The rows of ``docs``, all columns, that ``near_duplicates`` keeps: one of each class, and all without a word."""
+    marks = near_duplicates(docs, doc_id=doc_id, text=text, **options)
+    marks = marks.groupBy("doc_id", "_tid").agg(F.max("kept").alias("_kept"), F.count("*").alias("_n"), F.max("worded").alias("_w")).where("_kept").withColumnRenamed("doc_id", "_kid").withColumnRenamed("_tid", "_ktid")
+    names = docs.columns
+    rows = docs.toDF(*[f"_c{i}" for i in range(len(names))])
+    rows = rows.withColumn("_id", F.col(f"_c{names.index(doc_id)}").cast("long")).withColumn("_x", F.coalesce(F.col(f"_c{names.index(text)}"), F.lit(""))).withColumn("_tid", text_id("_x")).drop("_x")
+    kept = rows.join(marks, rows["_id"].eqNullSafe(marks["_kid"]) & (rows["_tid"] == marks["_ktid"]))
+    # rows that agree in id and text can't be told apart by them: one of each lot stays
+    one = kept.where("_n > 1 and _w").dropDuplicates(["_id", "_tid"])
+    out = kept.where("_n = 1 or not _w").unionByName(one)
+    return out.select(*[f"_c{i}" for i in range(len(names))]).toDF(*names)

@@ -217,8 +217,8 @@ def _coder(shipped, pattern: str) -> Coder:
     return _CODERS[key]
 
 
-def encode_decode(docs: DataFrame, *, ranks_path: str, pattern: str, doc_id: str = "doc_id", text: str = "text", block_bytes: int = 2 << 20) -> DataFrame:
-    """Encode every text and decode the ids again: rows (doc_id, ids array<int>, decoded binary), one per input row.
+def encode_decode(docs: DataFrame, *, ranks_path: str, pattern: str, keep: list[str] | None = None, text: str = "text", block_bytes: int = 2 << 20) -> DataFrame:
+    """Encode every text and decode the ids again: the columns ``keep`` (default: doc_id), ids array<int>, decoded binary; one row per input row.
 
     Each match of ``pattern`` is encoded alone: a whole match in the vocabulary gets its rank
     by the perfect hash, others by merges in rank order. No special tokens: their strings are
@@ -230,27 +230,28 @@ def encode_decode(docs: DataFrame, *, ranks_path: str, pattern: str, doc_id: str
     whole, in runs of pieces.
     """
     shipped = docs.sparkSession.sparkContext.broadcast(perfect_hash(ranks_path))
-    rows = pick(docs, doc_id=doc_id, _x=text).select("doc_id", F.coalesce("_x", F.lit("")).alias("_x"))
-    kind = rows.schema["doc_id"].dataType.simpleString()
+    keep = ["doc_id"] if keep is None else keep
+    names = [f"_k{i}" for i in range(len(keep))]
+    rows = pick(docs, **dict(zip(names, keep, strict=True)), _x=text).withColumn("_x", F.coalesce("_x", F.lit("")))
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = _coder(shipped, pattern)
+        types: list[pa.DataType] = []
 
         def source() -> Iterator[pa.RecordBatch]:
-            nonlocal id_type
             for b in batches:
-                id_type = b.schema.field("doc_id").type
+                types[:] = [b.schema.field(n).type for n in names]
                 yield b
 
-        id_type = None
-        for keys, raw in text_blocks(source(), ["doc_id", "_x"], "_x", block_bytes):
+        for *held, raw in text_blocks(source(), [*names, "_x"], "_x", block_bytes):
             ids, counts = coder.encode([x.decode("utf-8", "replace") for x in raw])
             ends = np.concatenate([[0], np.cumsum(counts)])
             listed = ids.tolist()
             decoded = [coder.decode(listed[a:b]) for a, b in itertools.pairwise(ends.tolist())]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(keys, type=id_type), pa.ListArray.from_arrays(pa.array(ends, type=pa.int32()), pa.array(ids, type=pa.int32())), pa.array(decoded, type=pa.binary())],
-                names=["doc_id", "ids", "decoded"],
+                [*[pa.array(h, type=t) for h, t in zip(held, types, strict=True)], pa.ListArray.from_arrays(pa.array(ends, type=pa.int32()), pa.array(ids, type=pa.int32())), pa.array(decoded, type=pa.binary())],
+                names=[*names, "ids", "decoded"],
             )
 
-    return rows.mapInArrow(run, f"doc_id {kind}, ids array<int>, decoded binary")
+    return rows.mapInArrow(run, f"{kinds}, ids array<int>, decoded binary").toDF(*keep, "ids", "decoded")

@@ -106,7 +106,7 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     return now.select(F.col("a").alias("id"), F.col("b").alias("root"))
 
 
-def bucket_links(members: DataFrame, linked: Callable[[DataFrame], DataFrame], pivots: int = 3) -> DataFrame:
+def bucket_links(members: DataFrame, linked: Callable[[DataFrame], DataFrame], pivots: int = 2) -> DataFrame:
     """Components over the links found among members(key, id) of the same bucket: rows (id, root).
 
     ``linked`` takes distinct pairs (a, b) and gives back those that hold, as a stored table.

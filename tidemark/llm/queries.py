@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bagminhash, bpe, langid, linedup, mixing, pii, quality, sharding, suffixtree
+from . import bagminhash, bpe, langid, linedup, mixing, nndescent, pii, quality, sharding, suffixtree
 from .common import crc_fold
 
 
@@ -36,6 +36,10 @@ def op5_pfair_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_table(spark, sf_dir, "documents"))
 
 
+def op6_nn_descent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nndescent.near_vectors(_table(spark, sf_dir, "embeddings"))
+
+
 def op7_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -69,6 +73,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_weak_pii": op3_weak_pii,
         "op4_bag_minhash": op4_bag_minhash,
         "op5_pfair_mixing": op5_pfair_mixing,
+        "op6_nn_descent": op6_nn_descent,
         "op7_bpe_round_trip": op7_bpe_round_trip,
         "op8_compression_language": op8_compression_language,
         "op9_adaptive_quality": op9_adaptive_quality,

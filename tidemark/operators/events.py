@@ -6,9 +6,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import first_max, median, quantile, r6
-from .scale import noise_floor
+from .scale import in_order, noise_floor
 
-W = Window.partitionBy("aoi_id").orderBy("month")
 DEGENERATE = 0.01
 
 
@@ -38,13 +37,13 @@ def states(prepared: DataFrame, limits: DataFrame) -> DataFrame:
     """Each month with ``wet`` (hysteresis: opens above enter_t, holds above exit_t, closed by unseen months) and ``low``."""
     rows = prepared.join(limits, "aoi_id").withColumn("v", F.when(F.col("candidate_usable"), F.col("extent_pct")))
     decided = F.when(F.col("v").isNull(), False).when(F.col("v") > F.col("enter_t"), True).when(F.col("v") <= F.col("exit_t"), False)
-    held = F.last(decided, ignorenulls=True).over(W.rowsBetween(Window.unboundedPreceding, 0))
-    return rows.withColumn("wet", F.coalesce(held, F.lit(False))).withColumn("low", F.coalesce(F.col("v") <= F.col("low_t"), F.lit(False))).withColumn("pos", F.row_number().over(W))
+    held = F.last(decided, ignorenulls=True).over(in_order().rowsBetween(Window.unboundedPreceding, 0))
+    return rows.withColumn("wet", F.coalesce(held, F.lit(False))).withColumn("low", F.coalesce(F.col("v") <= F.col("low_t"), F.lit(False))).withColumn("pos", F.row_number().over(in_order()))
 
 
 def events(marked: DataFrame, *, min_months: int = 1, min_separation: int = 1) -> DataFrame:
     """Wet runs, those nearer than ``min_separation`` unwet months merged, then those too short dropped, numbered from 1."""
-    block = marked.where("wet").withColumn("_b", F.col("pos") - F.row_number().over(W)).groupBy("aoi_id", "_b").agg(F.min("pos").alias("p0"), F.max("pos").alias("p1"))
+    block = marked.where("wet").withColumn("_b", F.col("pos") - F.row_number().over(in_order())).groupBy("aoi_id", "_b").agg(F.min("pos").alias("p0"), F.max("pos").alias("p1"))
     order = Window.partitionBy("aoi_id").orderBy("p0")
     apart = F.coalesce((F.col("p0") - F.lag("p1").over(order) - 1 >= min_separation).cast("int"), F.lit(1))
     merged = block.withColumn("_g", F.sum(apart).over(order)).groupBy("aoi_id", "_g").agg(F.min("p0").alias("p0"), F.max("p1").alias("p1"))
@@ -58,7 +57,7 @@ def events(marked: DataFrame, *, min_months: int = 1, min_separation: int = 1) -
 
 
 def low_spells(marked: DataFrame, *, min_months: int = 2) -> DataFrame:
-    run = marked.where("low").withColumn("_b", F.col("pos") - F.row_number().over(W))
+    run = marked.where("low").withColumn("_b", F.col("pos") - F.row_number().over(in_order()))
     out = run.groupBy("aoi_id", "_b").agg(F.min("month").alias("start_month"), F.max("month").alias("end_month"), F.count("*").cast("int").alias("duration_months"), r6(F.first("baseline")).alias("baseline_extent_pct"), r6(F.min("v")).alias("min_extent_pct")).where(F.col("duration_months") >= min_months)
     return out.select("aoi_id", F.row_number().over(Window.partitionBy("aoi_id").orderBy("start_month")).alias("low_spell_id"), "start_month", "end_month", "duration_months", "baseline_extent_pct", "min_extent_pct")
 

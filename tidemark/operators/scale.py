@@ -7,14 +7,19 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import NOISE_FACTOR, median, quantile
 
-BY = Window.partitionBy("aoi_id")
-IN_ORDER = BY.orderBy("month")
+
+def by_area():
+    return Window.partitionBy("aoi_id")
+
+
+def in_order():
+    return by_area().orderBy("month")
 
 
 def _mad_noise(rows: DataFrame, x: str) -> DataFrame:
     """1.4826 MAD of differences between neighbouring rows, over the root of 2."""
-    d = rows.withColumn("_d", F.col(x) - F.lag(x).over(IN_ORDER))
-    d = d.withColumn("_c", median("_d").over(BY))
+    d = rows.withColumn("_d", F.col(x) - F.lag(x).over(in_order()))
+    d = d.withColumn("_c", median("_d").over(by_area()))
     return d.groupBy("aoi_id").agg((F.lit(NOISE_FACTOR) * median(F.abs(F.col("_d") - F.col("_c"))) / F.sqrt(F.lit(2.0))).alias("noise_pp"))
 
 
@@ -28,7 +33,7 @@ def robust_scale(prepared: DataFrame) -> DataFrame:
 
 def _persistence(rows: DataFrame, x: str) -> DataFrame:
     """Lag-1 autocorrelation kept within 0 and 0.9."""
-    lagged = rows.withColumn("_p", F.lag(x).over(IN_ORDER)).where("_p is not null")
+    lagged = rows.withColumn("_p", F.lag(x).over(in_order())).where("_p is not null")
     same = F.coalesce(F.nanvl(F.corr(x, "_p"), F.lit(0.0)), F.lit(0.0))
     return lagged.groupBy("aoi_id").agg(F.least(F.lit(0.9), F.greatest(F.lit(0.0), same)).alias("phi"))
 

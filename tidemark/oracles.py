@@ -103,3 +103,117 @@ ym AS (SELECT DISTINCT aoi_id, year(m) AS yr FROM (SELECT aoi_id, unnest(generat
 y AS (SELECT aoi_id, count(*) AS n_years_without_event FROM (SELECT DISTINCT aoi_id, year(month) AS yr FROM es) e WHERE NOT EXISTS (SELECT 1 FROM ym WHERE ym.aoi_id = e.aoi_id AND ym.yr = e.yr) GROUP BY ALL),
 b AS (SELECT aoi_id, count(*) AS n_months, count(v) AS n_observed, round(100.0::DOUBLE * count(*) FILTER (low) / nullif(count(v), 0), 6) AS pct_months_low, round(any_value(baseline), 6) AS baseline_extent_pct, any_value(threshold_mode) AS threshold_mode FROM es GROUP BY ALL)
 SELECT b.*, longest_event_months, median_gap_months, total_magnitude, coalesce(n_events, 0) AS n_events, coalesce(n_low_spells, 0) AS n_low_spells, coalesce(longest_low_spell_months, 0)::INT AS longest_low_spell_months, coalesce(n_years_without_event, 0) AS n_years_without_event FROM b LEFT JOIN a USING (aoi_id) LEFT JOIN s USING (aoi_id) LEFT JOIN y USING (aoi_id)""")
+
+
+def years_cte(name: str, k: int) -> str:
+    return f"""{name} AS (SELECT *, year(month)::INT AS yr FROM prep WHERE usable AND (aoi_id, year(month)) IN (SELECT (aoi_id, year(month)) FROM prep WHERE usable GROUP BY aoi_id, year(month) HAVING count(DISTINCT month(month)) >= {k}))"""
+
+
+HARM = f"""{years_cte('full12', 12)},
+hb AS (SELECT aoi_id, avg(extent_pct) AS b0, {', '.join(f"2 * avg(extent_pct * {f}({h} * (month(month) - 1) * 2 * pi() / 12)) AS {n}{h}" for h in (1, 2) for n, f in (('s', 'sin'), ('c', 'cos')))} FROM full12 GROUP BY ALL),
+hr AS (SELECT aoi_id, b0, s1, c1, s2, c2, count(*) AS n, sum((y - b0) ** 2) AS r0, sum((y - b0 - e1) ** 2) AS r1, sum((y - b0 - e1 - e2) ** 2) AS r2 FROM (SELECT *, extent_pct AS y, s1 * sin(t) + c1 * cos(t) AS e1, s2 * sin(2 * t) + c2 * cos(2 * t) AS e2 FROM (SELECT *, (month(month) - 1) * 2 * pi() / 12 AS t FROM full12 JOIN hb USING (aoi_id))) GROUP BY ALL),
+ho AS (SELECT *, CASE WHEN a0 <= a1 AND a0 <= a2 THEN 0 WHEN a1 <= a2 THEN 1 ELSE 2 END AS o FROM (SELECT *, n * ln(r0 / n) + 2 + 4.0 / (n - 2) AS a0, n * ln(r1 / n) + 6 + 24.0 / (n - 4) AS a1, n * ln(r2 / n) + 10 + 60.0 / (n - 6) AS a2 FROM hr)),
+hc AS (SELECT aoi_id, moy, o, 1 - (CASE o WHEN 0 THEN r0 WHEN 1 THEN r1 ELSE r2 END) / r0 AS strength, b0 + CASE WHEN o >= 1 THEN s1 * sin(t) + c1 * cos(t) ELSE 0 END + CASE WHEN o >= 2 THEN s2 * sin(2 * t) + c2 * cos(2 * t) ELSE 0 END AS value FROM (SELECT *, (moy - 1) * 2 * pi() / 12 AS t FROM ho, (SELECT unnest(range(1, 13))::INT AS moy))),
+hx AS (SELECT a.aoi_id, a.moy, a.o, a.strength, a.value, a.value > l.value AND a.value >= r.value AS is_max, a.value < l.value AND a.value <= r.value AS is_min FROM hc a JOIN hc l ON l.aoi_id = a.aoi_id AND l.moy = (a.moy + 10) % 12 + 1 JOIN hc r ON r.aoi_id = a.aoi_id AND r.moy = a.moy % 12 + 1)"""
+add("r1_qualifying_years", f"WITH {prep('nation')}, {years_cte('q', 9)} SELECT aoi_id, yr, count(*) AS n_months FROM q GROUP BY ALL")
+add("r2_harmonic_fit", f"WITH {prep()}, {HARM} SELECT aoi_id, n, o AS fit_order, round(1 - (CASE o WHEN 0 THEN r0 WHEN 1 THEN r1 ELSE r2 END) / r0, 6) AS strength FROM ho")
+add("r3_local_extrema", f"WITH {prep()}, {HARM} SELECT aoi_id, moy, round(value, 6) AS value, is_max, is_min FROM hx")
+add("r4_seasonal_pattern", f"""WITH {prep()}, {HARM}, pk AS (SELECT aoi_id, arg_max(moy, (value, -moy)) FILTER (is_max) AS p, arg_min(moy, (value, moy)) FILTER (is_min) AS t, max(value) - min(value) AS rg, any_value(o) AS o, count(*) FILTER (is_max) AS mx, any_value(strength) AS strength FROM hx GROUP BY ALL)
+SELECT aoi_id, CASE WHEN rg <= 1 THEN 'low_variability' WHEN o = 0 THEN 'weak_or_irregular' WHEN mx = 1 THEN 'unimodal_annual' ELSE 'bimodal_or_complex' END AS pattern, p AS peak_month, t AS trough_month, round(strength, 6) AS strength, (SELECT count(DISTINCT yr) FROM full12 f WHERE f.aoi_id = pk.aoi_id) AS n_complete_years FROM pk""")
+EXT = f"""{years_cte('q9', 9)}, ext AS (SELECT aoi_id, yr, month(arg_min(month, (-extent_pct, month)))::INT AS peak, month(arg_min(month, (extent_pct, month)))::INT AS trough FROM q9 GROUP BY ALL)"""
+add("r10_annual_extremes", f"WITH {prep('nation', seasonal=False)}, {EXT} SELECT * FROM ext")
+add("r9_amplitude_snr", f"WITH {prep('nation')}, {EXT}, m AS (SELECT aoi_id, month(month) AS k, avg(extent_pct) AS m, stddev_samp(extent_pct) AS s FROM q9 GROUP BY ALL) SELECT aoi_id, round((max(m) - min(m)) / avg(s), 6) AS snr FROM m GROUP BY ALL")
+
+
+def circ(v: str) -> str:
+    t = f"(({v} - 1) * 2 * pi() / 12)"
+    return f"""cc AS (SELECT aoi_id, avg(cos({t})) AS c, avg(sin({t})) AS s, count(*) AS n FROM ext GROUP BY ALL),
+co AS (SELECT *, atan2(round(sin(d), 12) + 0.0, cos(d)) * 12 / (2 * pi()) AS o FROM (SELECT aoi_id, yr, {v} AS v, c, s, n, {t} - atan2(s, c) AS d, row_number() OVER (PARTITION BY aoi_id ORDER BY {v}, yr) AS i FROM ext JOIN cc USING (aoi_id))),
+cs AS (SELECT aoi_id, any_value(n) AS n, sqrt(any_value(c) ** 2 + any_value(s) ** 2) AS concentration, CASE WHEN any_value(n) >= 4 THEN quantile_cont(o, 0.75) - quantile_cont(o, 0.25) END AS iqr_months, max(i::DOUBLE / n - (v - 1) / 12.0::DOUBLE) + max((v - 1) / 12.0::DOUBLE - (i - 1)::DOUBLE / n) AS kuiper FROM co GROUP BY ALL)"""
+
+
+add("r7_circular_peaks", f"WITH {prep('nation', seasonal=False)}, {EXT}, {circ('peak')} SELECT aoi_id, n, round(concentration, 6) AS concentration, round(iqr_months, 6) AS iqr_months, round(kuiper, 6) AS kuiper FROM cs")
+add("r6_circular_troughs", f"WITH {prep('nation')}, {EXT}, {circ('trough')} SELECT aoi_id, n, round(concentration, 6) AS concentration, round(iqr_months, 6) AS iqr_months, round(kuiper, 6) AS kuiper FROM cs")
+
+PEAKCLIM = f"{years_cte('q9', 9)}, pc AS (SELECT aoi_id, arg_min(k, (-m, k))::INT AS peak_month, arg_min(k, (m, k))::INT AS trough_month FROM (SELECT aoi_id, month(month) AS k, round(avg(extent_pct), 6) AS m FROM q9 GROUP BY ALL) GROUP BY ALL)"
+add("f2_climatology_windows", f"WITH {prep('nation')}, {PEAKCLIM} SELECT aoi_id, peak_month, ((peak_month + 9) % 12 + 1)::INT AS wet_start, ((peak_month + 2) % 12 + 1)::INT AS wet_end, ((peak_month + 3) % 12 + 1)::INT AS dry_start, ((peak_month + 8) % 12 + 1)::INT AS dry_end FROM pc")
+FIXED = f"""seen AS (SELECT aoi_id, month, extent_pct AS v FROM prep WHERE extent_pct IS NOT NULL AND invalid_pct < 100),
+sp AS (SELECT aoi_id, min(month) AS f, max(month) AS l FROM seen GROUP BY ALL),
+yw AS (SELECT aoi_id, yr, make_date(yr - 1, 11, 1) AS w0, make_date(yr, 4, 1) AS w1, make_date(yr, 7, 1) AS d0, make_date(yr, 12, 1) AS d1 FROM (SELECT aoi_id, unnest(range(year(f), year(l) + 1))::INT AS yr FROM sp)),
+wet AS (SELECT yw.aoi_id, yr, month, v, max(v) OVER (PARTITION BY yw.aoi_id, yr) AS b, count(*) OVER (PARTITION BY yw.aoi_id, yr) AS n FROM yw JOIN seen s ON s.aoi_id = yw.aoi_id AND month BETWEEN w0 AND w1),
+dry AS (SELECT yw.aoi_id, yr, month, v, min(v) OVER (PARTITION BY yw.aoi_id, yr) AS b, count(*) OVER (PARTITION BY yw.aoi_id, yr) AS n FROM yw JOIN seen s ON s.aoi_id = yw.aoi_id AND month BETWEEN d0 AND d1),
+pk AS (SELECT aoi_id, yr, month AS pm, v AS pv FROM (SELECT *, row_number() OVER (PARTITION BY aoi_id, yr ORDER BY month) - 1 AS i, count(*) OVER (PARTITION BY aoi_id, yr) AS k FROM wet WHERE v = b AND n >= 2) WHERE i = k // 2),
+en AS (SELECT aoi_id, yr, month AS em, v AS ev FROM (SELECT *, row_number() OVER (PARTITION BY aoi_id, yr ORDER BY month) - 1 AS i, count(*) OVER (PARTITION BY aoi_id, yr) AS k FROM dry WHERE v = b AND n >= 2) WHERE i = k // 2),
+fm AS (SELECT aoi_id, yr, arg_min(month, (d, month)) AS mm, arg_min(v, (d, month)) AS mv FROM (SELECT pk.aoi_id, pk.yr, month, v, abs(2 * (month - DATE '1970-01-01') - (pm - DATE '1970-01-01') - (em - DATE '1970-01-01')) AS d FROM pk JOIN en USING (aoi_id, yr) JOIN seen s ON s.aoi_id = pk.aoi_id AND month BETWEEN pm AND em) GROUP BY ALL),
+fy0 AS (SELECT aoi_id, yr AS hy_year, coalesce((lag(em) OVER (PARTITION BY aoi_id ORDER BY yr) + INTERVAL 1 MONTH)::DATE, f) AS hy_start, em AS hy_end, pm AS peak_month, round(pv, 6) AS peak_extent_pct, mm AS mid_dry_month, round(mv, 6) AS mid_extent_pct, em AS end_dry_month, round(ev, 6) AS end_extent_pct, round(pv - ev, 6) AS amplitude_pct FROM pk JOIN en USING (aoi_id, yr) JOIN fm USING (aoi_id, yr) JOIN sp USING (aoi_id)),
+fy1 AS (SELECT *, (year(hy_end) * 12 + month(hy_end) - year(hy_start) * 12 - month(hy_start) + 1)::INT AS n_months_cycle FROM fy0),
+{floor_(True).replace('FROM prep WHERE usable', 'FROM (SELECT aoi_id, month, v AS extent_pct FROM seen)')},
+fty AS (SELECT aoi_id, quantile_cont(amplitude_pct, 0.5) FILTER (amplitude_pct > 0) AS t FROM fy1 GROUP BY ALL),
+fg AS (SELECT fy1.*, CASE WHEN noise_pp > 0 THEN amplitude_pct / (noise_pp * 2 * sqrt(ln(greatest(n_months_cycle, 3)))) END AS ratio, CASE WHEN amplitude_pct <= greatest(0, coalesce(t, 0) * 0.25) THEN 'low' WHEN amplitude_pct <= greatest(0, coalesce(t, 0) * 0.5) THEN 'medium' ELSE 'high' END AS g FROM fy1 LEFT JOIN fty USING (aoi_id) LEFT JOIN fn USING (aoi_id)),
+fy AS (SELECT * EXCLUDE (ratio, g, c), c AS confidence, CASE WHEN amplitude_pct <= 0 THEN 'flat_window' WHEN c = 'low' THEN 'annual_window_low_amplitude' ELSE 'annual_window' END AS boundary_source FROM (SELECT *, CASE WHEN ratio <= 1 THEN 'low' WHEN ratio <= 1.5 AND g = 'high' THEN 'medium' ELSE g END AS c FROM fg))"""
+for n_, by_, se_ in (("f3_fixed_years", "region", True), ("f3_fixed_years_irregular", "nation", False)):
+    add(n_, f"WITH {prep(by_, se_)}, {FIXED} SELECT * FROM fy")
+add("f6_label_months", f"""WITH {prep()}, {FIXED}, e AS (SELECT aoi_id, min(hy_year) AS fy_, min(hy_start) AS fs, max(hy_year) AS ly, max(hy_end) AS le FROM fy GROUP BY ALL)
+SELECT p.aoi_id, p.month, CASE WHEN fy.hy_year IS NOT NULL THEN CASE WHEN p.month <= peak_month THEN 'Wet' ELSE 'Dry' END WHEN p.month < fs THEN 'Wet' WHEN p.month > le THEN 'Dry' END AS season, coalesce(fy.hy_year, CASE WHEN p.month < fs THEN fy_ WHEN p.month > le THEN ly END) AS hy_year FROM prep p LEFT JOIN fy ON fy.aoi_id = p.aoi_id AND p.month BETWEEN hy_start AND hy_end JOIN e ON e.aoi_id = p.aoi_id""")
+add("f8_fixed_year_quality", f"""WITH {prep()}, {FIXED}, j AS (SELECT fy.aoi_id, hy_year, a.invalid_pct AS p, b.invalid_pct AS m, c.invalid_pct AS e, confidence FROM fy LEFT JOIN prep a ON a.aoi_id = fy.aoi_id AND a.month = peak_month LEFT JOIN prep b ON b.aoi_id = fy.aoi_id AND b.month = mid_dry_month LEFT JOIN prep c ON c.aoi_id = fy.aoi_id AND c.month = end_dry_month), k AS (SELECT *, (p IS NULL OR m IS NULL OR e IS NULL OR p > 33 OR m > 33 OR e > 33) AS bad FROM j)
+SELECT aoi_id, hy_year, round(p, 6) AS peak_invalid_pct, round(m, 6) AS mid_dry_invalid_pct, round(e, 6) AS end_dry_invalid_pct, CASE WHEN bad THEN 'provisional' ELSE 'confirmed' END AS boundary_status, CASE WHEN bad THEN 'partial' ELSE 'complete' END AS status, CASE WHEN bad THEN 'boundary_low_quality' ELSE 'ok' END AS status_reason, CASE WHEN bad THEN 'low' ELSE confidence END AS confidence FROM k""")
+
+
+def extreme(rows: str, out: str, keys: str, kind: str) -> str:
+    """CTEs picking the extreme of each window of ``rows`` into ``out``."""
+    s = "" if kind == "min" else "-"
+    return f"""{out}_r AS (SELECT *, CASE WHEN extent_pct IS NOT NULL AND invalid_pct < 100 THEN {s}extent_pct END AS cv FROM {rows}),
+{out}_p AS (SELECT *, CASE WHEN count(*) OVER nb >= 2 THEN median(cv) OVER nb END AS med FROM {out}_r WHERE cv IS NOT NULL WINDOW nb AS (PARTITION BY {keys} ORDER BY month ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING)),
+{out}_a AS (SELECT {keys}, arg_min({{'m': month, 'e': extent_pct, 'i': invalid_pct, 'nv': n_valid, 'q': quality_state, 'u': usable, 'med': med, 'cv': cv}}, (cv, month)) AS raw FROM {out}_p GROUP BY ALL HAVING count(*) >= 2),
+{out}_w AS (SELECT {keys}, count(*) FILTER (usable AND extent_pct IS NOT NULL) AS n_usable, min(month) AS lo, max(month) AS hi, any_value(expected) AS expected, any_value(expected_count) AS ec, any_value(noise_pp) AS nz, any_value(amplitude_pp) AS am FROM {rows} GROUP BY ALL),
+{out}_j AS (SELECT *, CASE WHEN am <= 0 THEN 0 ELSE least(0.1 * am, greatest(coalesce(100.0::DOUBLE / nullif(raw.nv, 0), 0), nz)) END AS tol, nz > 0 AND coalesce(raw.med - raw.cv > 3 * nz, false) AS amb FROM {out}_w LEFT JOIN {out}_a USING ({keys})),
+{out}_k AS (SELECT *, CASE WHEN raw IS NULL THEN 'unresolved' WHEN raw.q <> 'usable' OR NOT raw.u THEN 'low_quality' WHEN amb THEN 'ambiguous' ELSE 'raw' END AS sel, CASE WHEN raw IS NULL THEN 'internal_gap' WHEN lo > expected - to_months(((ec - 1) // 2)::INT) THEN 'left_truncated' WHEN hi < expected + to_months(((ec - 1) // 2)::INT) THEN 'right_truncated' WHEN n_usable / ec::DOUBLE < 0.7 THEN 'internal_gap' ELSE 'full' END AS win FROM {out}_j),
+{out}_e AS (SELECT {keys}, r.month, raw.m AS atm, row_number() OVER (PARTITION BY {keys} ORDER BY r.month) AS i, coalesce(r.cv <= raw.cv + tol, false) AS eq FROM {out}_r r JOIN {out}_k USING ({keys}) WHERE raw IS NOT NULL),
+{out}_u AS (SELECT {keys}, min(month) AS run_start, max(month) AS run_end FROM (SELECT *, i - row_number() OVER (PARTITION BY {keys} ORDER BY month) AS g FROM {out}_e WHERE eq) GROUP BY {keys}, g HAVING bool_or(month = atm)),
+{out} AS (SELECT {keys}, raw.m AS atm, raw.e AS extent, raw.i AS invalid, run_start, run_end, win, sel, CASE WHEN raw IS NULL THEN 0 ELSE least(1.0::DOUBLE, n_usable / ec::DOUBLE) * CASE WHEN amb THEN 0.6::DOUBLE ELSE 1 END * CASE WHEN win <> 'full' THEN 0.75::DOUBLE ELSE 1 END END AS support, expected FROM {out}_k LEFT JOIN {out}_u USING ({keys}))"""
+
+
+def dynamic(month: int = 9) -> str:
+    return f"""{SCALE},
+dyr AS (SELECT aoi_id, hy_year, make_date(hy_year, {month}, 1) AS expected FROM (SELECT aoi_id, unnest(range(min(year(month)), max(year(month)) + 1))::INT AS hy_year FROM prep GROUP BY aoi_id)),
+twin AS (SELECT p.*, hy_year, expected, 7 AS expected_count, noise_pp, amplitude_pp FROM prep p JOIN dyr ON dyr.aoi_id = p.aoi_id AND p.month BETWEEN expected - INTERVAL 3 MONTH AND expected + INTERVAL 3 MONTH JOIN scale ON scale.aoi_id = p.aoi_id),
+{extreme('twin', 'tx', 'aoi_id, hy_year', 'min')},
+opp AS (SELECT aoi_id, hy_year, atm AS trough_month, extent AS trough_extent_pct, invalid AS trough_invalid_pct, run_start, run_end, coalesce(win, 'internal_gap') AS window_status, coalesce(sel, 'unresolved') AS selection_status, coalesce(support, 0) AS support, (year(atm) * 12 + month(atm) - year(tx.expected) * 12 - month(tx.expected))::INT AS phase_offset,
+  CASE WHEN atm IS NULL THEN 'unresolved' WHEN win = 'full' AND sel = 'raw' AND support >= 0.8 THEN 'confirmed' ELSE 'provisional' END AS boundary_status FROM dyr LEFT JOIN tx USING (aoi_id, hy_year)),
+cyc AS (SELECT *, row_number() OVER (PARTITION BY aoi_id ORDER BY hy_year) = 1 AS began, lag(trough_month) OVER (PARTITION BY aoi_id ORDER BY hy_year) AS prev FROM opp),
+cyc2 AS (SELECT c.*, CASE WHEN trough_month IS NULL THEN NULL WHEN began THEN f ELSE (prev + INTERVAL 1 MONTH)::DATE END AS hy_start FROM cyc c JOIN (SELECT aoi_id, min(month) AS f FROM prep GROUP BY ALL) USING (aoi_id)),
+cm AS (SELECT p.*, hy_year, hy_start, trough_month FROM prep p JOIN cyc2 c ON c.aoi_id = p.aoi_id AND p.month BETWEEN hy_start AND trough_month),
+cf AS (SELECT aoi_id, hy_year, count(*) AS cycle_months, count(*) FILTER (usable) AS n_usable_months, avg(observed_fraction) FILTER (usable) AS q, bool_or(quality_state = 'unknown') AS unk FROM cm GROUP BY ALL),
+pw0 AS (SELECT cm.*, noise_pp, amplitude_pp, count(*) OVER (PARTITION BY cm.aoi_id, hy_year) AS expected_count, row_number() OVER (PARTITION BY cm.aoi_id, hy_year ORDER BY month) - 1 AS i FROM cm JOIN scale ON scale.aoi_id = cm.aoi_id WHERE month < trough_month),
+pw AS (SELECT *, max(CASE WHEN i = expected_count // 2 THEN month END) OVER (PARTITION BY aoi_id, hy_year) AS expected FROM pw0),
+{extreme('pw', 'px', 'aoi_id, hy_year', 'max')},
+po AS (SELECT cm.*, atm AS peak_month, extent AS peak, noise_pp, low.extent_pct AS lowv FROM cm JOIN px ON px.aoi_id = cm.aoi_id AND px.hy_year = cm.hy_year AND cm.month >= atm JOIN scale ON scale.aoi_id = cm.aoi_id JOIN prep low ON low.aoi_id = cm.aoi_id AND low.month = cm.trough_month),
+pr AS (SELECT *, coalesce(usable AND coalesce(lag(usable) OVER o, false) AND extent_pct - lag(extent_pct) OVER o > noise_pp, false) AS rise FROM po WINDOW o AS (PARTITION BY aoi_id, hy_year ORDER BY month)),
+pp AS (SELECT *, rise AND NOT coalesce(lag(rise) OVER (PARTITION BY aoi_id, hy_year ORDER BY month), false) AS pulse, abs(2 * (month - DATE '1970-01-01') - (peak_month - DATE '1970-01-01') - (trough_month - DATE '1970-01-01')) AS d FROM pr),
+pt AS (SELECT aoi_id, hy_year, min(month) FILTER (usable AND extent_pct <= (peak + lowv) / 2) AS half_loss_month, arg_min(month, (d, month)) FILTER (usable) AS mid, count(*) FILTER (pulse) AS pulses, any_value((peak + lowv) / 2) AS target FROM pp GROUP BY ALL),
+an0 AS (SELECT c.*, cycle_months, n_usable_months, q, unk, px.atm AS pm, px.extent AS pe, px.sel AS psel, px.support AS psup, half_loss_month, mid, pulses, target, CASE WHEN trough_month IS NULL THEN 'unresolved' WHEN hy_start IS NULL THEN 'none' WHEN n_usable_months >= 8 AND px.atm IS NOT NULL THEN 'ok' ELSE 'thin' END AS k FROM cyc2 c LEFT JOIN cf USING (aoi_id, hy_year) LEFT JOIN px USING (aoi_id, hy_year) LEFT JOIN pt USING (aoi_id, hy_year)),
+an1 AS (SELECT *, psel = 'low_quality' OR began OR boundary_status <> 'confirmed' AS prov FROM an0),
+an2 AS (SELECT *, n_usable_months / cycle_months::DOUBLE * coalesce(q, 0.5) * CASE WHEN prov THEN 0.75::DOUBLE ELSE 1 END AS sc FROM an1),
+an AS (SELECT aoi_id, hy_year, CASE k WHEN 'unresolved' THEN 'unresolved' WHEN 'ok' THEN CASE WHEN prov THEN 'partial' ELSE 'complete' END ELSE 'partial' END AS status,
+  CASE k WHEN 'unresolved' THEN 'insufficient_trough_candidates' WHEN 'none' THEN 'no_previous_boundary' WHEN 'thin' THEN 'insufficient_cycle_coverage' ELSE CASE WHEN began THEN 'record_start_boundary' WHEN psel = 'low_quality' THEN 'peak_low_quality' WHEN NOT prov THEN 'ok' ELSE 'boundary_provisional' END END AS status_reason,
+  CASE WHEN k IN ('ok', 'thin') THEN hy_start END AS hy_start, CASE WHEN k IN ('ok', 'thin') THEN trough_month END AS hy_end, CASE WHEN k IN ('ok', 'thin') THEN cycle_months END AS cycle_months, CASE WHEN k IN ('ok', 'thin') THEN n_usable_months END AS n_usable_months,
+  CASE WHEN k = 'ok' THEN pm END AS peak_month, CASE WHEN k = 'ok' THEN pe END AS peak_extent_pct, CASE WHEN k = 'ok' THEN psel END AS peak_selection_status, CASE WHEN k = 'ok' THEN psup END AS peak_selection_support, trough_month, trough_extent_pct, trough_invalid_pct, boundary_status,
+  CASE WHEN k = 'ok' THEN mid END AS temporal_mid_dry_month, CASE WHEN k = 'ok' THEN half_loss_month END AS half_loss_month, CASE WHEN k = 'ok' THEN target END AS half_loss_target_pct, CASE WHEN k = 'ok' THEN pe - trough_extent_pct END AS drawdown_pct, CASE WHEN k = 'ok' AND pe > 0 THEN trough_extent_pct / pe END AS persistence_ratio,
+  CASE WHEN k = 'ok' THEN (year(trough_month) * 12 + month(trough_month) - year(pm) * 12 - month(pm))::INT END AS recession_months, CASE WHEN k = 'ok' THEN pulses END AS n_rewetting_pulses, CASE WHEN k <> 'ok' THEN 'low' WHEN (CASE WHEN unk THEN least(sc, 0.59) ELSE sc END) >= 0.8 THEN 'high' WHEN (CASE WHEN unk THEN least(sc, 0.59) ELSE sc END) >= 0.6 THEN 'medium' ELSE 'low' END AS confidence FROM an2)"""
+
+
+def rounded(cols: str, doubles: str) -> str:
+    return ", ".join([*cols.split(), *[f"round({c}, 6) AS {c}" for c in doubles.split()]])
+
+
+for by_, se_, tag in (("region", True, ""), ("nation", False, "_irregular")):
+    D = f"WITH {prep(by_, se_, 40)}, {dynamic()}"
+    add(f"y5_trough_opportunities{tag}", f"{D} SELECT {rounded('aoi_id hy_year trough_month run_start run_end window_status selection_status phase_offset boundary_status', 'trough_extent_pct trough_invalid_pct support')} FROM opp")
+    add(f"y3_cycle_peaks{tag}", f"{D} SELECT {rounded('aoi_id hy_year peak_month peak_selection_status', 'peak_extent_pct peak_selection_support')} FROM an WHERE peak_month IS NOT NULL")
+    add(f"y6_annual_table{tag}", f"{D} SELECT {rounded('aoi_id hy_year status status_reason hy_start hy_end cycle_months n_usable_months peak_month peak_selection_status trough_month boundary_status confidence', 'peak_extent_pct trough_extent_pct')} FROM an")
+    add(f"y7_half_loss{tag}", f"{D} SELECT {rounded('aoi_id hy_year half_loss_month', 'half_loss_target_pct')} FROM an WHERE peak_month IS NOT NULL")
+    add(f"y8_mid_dry{tag}", f"{D} SELECT aoi_id, hy_year, temporal_mid_dry_month FROM an WHERE peak_month IS NOT NULL")
+    add(f"y9_rewetting_pulses{tag}", f"{D} SELECT {rounded('aoi_id hy_year n_rewetting_pulses recession_months', 'drawdown_pct persistence_ratio')} FROM an WHERE peak_month IS NOT NULL")
+add("y10_secondary_extrema", f"""WITH {prep('nation', False, 40)}, {dynamic()}, sr AS (SELECT p.aoi_id, hy_year, p.month, extent_pct AS v, peak_month, an.trough_month, row_number() OVER o AS i, lag(extent_pct) OVER o AS l, lead(extent_pct) OVER o AS r, count(*) OVER (PARTITION BY p.aoi_id, hy_year) AS n, count(*) FILTER (p.month < peak_month) OVER (PARTITION BY p.aoi_id, hy_year) + 1 AS pp, count(*) FILTER (p.month < an.trough_month) OVER (PARTITION BY p.aoi_id, hy_year) + 1 AS tp
+FROM prep p JOIN an ON an.aoi_id = p.aoi_id AND p.month BETWEEN hy_start AND hy_end WHERE usable AND peak_month IS NOT NULL WINDOW o AS (PARTITION BY p.aoi_id, hy_year ORDER BY p.month))
+SELECT aoi_id, hy_year, arg_min(month, (-v, month)) FILTER (v > l AND v >= r AND abs(i - least(pp, n)) >= 2) AS secondary_peak_month, round(max(v) FILTER (v > l AND v >= r AND abs(i - least(pp, n)) >= 2), 6) AS secondary_peak_extent_pct, arg_min(month, (v, month)) FILTER (v < l AND v <= r AND abs(i - least(tp, n)) >= 2) AS secondary_trough_month, round(min(v) FILTER (v < l AND v <= r AND abs(i - least(tp, n)) >= 2), 6) AS secondary_trough_extent_pct FROM sr GROUP BY ALL""")

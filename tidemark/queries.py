@@ -8,9 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions.columns import r6
+from .operators import dynamic_year as dy
 from .operators import events as ev
+from .operators import fixed_year as fx
 from .operators import prepare as pr
 from .operators import scale as sc
+from .operators import season as se
 from .sources import tables as src
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -26,7 +29,8 @@ def query(name: str) -> Callable[[Query], Query]:
 
 
 def prepared(s: SparkSession, d: str, by: str = "region", seasonal: bool = True, **options) -> DataFrame:
-    return pr.prepare(src.monthly_counts(s, d, by=by, seasonal=seasonal), **options)
+    """The monthly records, kept in memory: small, and read by many steps of a query."""
+    return pr.prepare(src.monthly_counts(s, d, by=by, seasonal=seasonal), **options).cache()
 
 
 def rounded(df: DataFrame) -> DataFrame:
@@ -144,3 +148,119 @@ def _(s, d):
 @query("e7_event_summary")
 def _(s, d):
     return ev.extract(prepared(s, d, "nation", False), mode="quantile", min_event_months=2, min_separation_months=2)[2]
+
+
+@query("r1_qualifying_years")
+def _(s, d):
+    return se.years_with(prepared(s, d, "nation"), 9).groupBy("aoi_id", "yr").agg(F.count("*").alias("n_months"))
+
+
+@query("r2_harmonic_fit")
+def _(s, d):
+    return rounded(se.harmonics(se.years_with(prepared(s, d), 12)).select("aoi_id", "n", "fit_order", "strength"))
+
+
+@query("r3_local_extrema")
+def _(s, d):
+    return rounded(se.curve(se.harmonics(se.years_with(prepared(s, d), 12))).select("aoi_id", "moy", "value", "is_max", "is_min"))
+
+
+@query("r4_seasonal_pattern")
+def _(s, d):
+    return rounded(se.pattern(prepared(s, d)))
+
+
+@query("r10_annual_extremes")
+def _(s, d):
+    return se.annual_extremes(prepared(s, d, "nation", False))
+
+
+@query("r9_amplitude_snr")
+def _(s, d):
+    return rounded(se.amplitude_snr(prepared(s, d, "nation")))
+
+
+@query("r7_circular_peaks")
+def _(s, d):
+    return rounded(se.circular(se.annual_extremes(prepared(s, d, "nation", False)), "peak"))
+
+
+@query("r6_circular_troughs")
+def _(s, d):
+    return rounded(se.circular(se.annual_extremes(prepared(s, d, "nation")), "trough"))
+
+
+@query("r8_circular_summary")
+def _(s, d):
+    return rounded(se.circular_summary(se.annual_extremes(prepared(s, d, "nation", False)), "peak"))
+
+
+@query("r12_regime")
+def _(s, d):
+    return rounded(se.assess(prepared(s, d)))
+
+
+@query("r14_rainfall_comparison")
+def _(s, d):
+    p, r = prepared(s, d), pr.prepare(pr.rainfall_as_extent(src.rainfall(s, d)))
+    side = lambda x: se.assess(x).join(se.peak_of_climatology(x), "aoi_id", "left")
+    return rounded(se.compare_rainfall(side(p), side(r)))
+
+
+@query("f2_climatology_windows")
+def _(s, d):
+    return fx.suggest_from_climatology(se.peak_of_climatology(prepared(s, d, "nation")))
+
+
+@query("f3_fixed_years")
+def _(s, d):
+    return fx.detect(prepared(s, d))
+
+
+@query("f3_fixed_years_irregular")
+def _(s, d):
+    return fx.detect(prepared(s, d, "nation", False))
+
+
+@query("f6_label_months")
+def _(s, d):
+    p = prepared(s, d)
+    return fx.label_months(p, fx.detect(p))
+
+
+@query("f8_fixed_year_quality")
+def _(s, d):
+    p = prepared(s, d)
+    x = fx.annotate_quality(fx.detect(p), p, max_invalid_pct=33)
+    return rounded(x.select("aoi_id", "hy_year", "peak_invalid_pct", "mid_dry_invalid_pct", "end_dry_invalid_pct", "boundary_status", "status", "status_reason", "confidence"))
+
+
+def _annual(s, d, tag):
+    p = prepared(s, d, "nation", False, max_invalid_pct=40) if tag else prepared(s, d, max_invalid_pct=40)
+    return p, dy.detect(p, 9)
+
+
+def _part(columns: str, resolved: bool = True):
+    def run(s, d, tag):
+        a = _annual(s, d, tag)[1]
+        return rounded((a.where("peak_month IS NOT NULL") if resolved else a).select(*columns.split()))
+
+    return run
+
+
+for _tag in ("", "_irregular"):
+    QUERIES[f"y5_trough_opportunities{_tag}"] = lambda s, d, t=_tag: rounded(dy.troughs(prepared(s, d, "nation" if t else "region", not t, max_invalid_pct=40), 9))
+    for _n, _c, _r in (
+        ("y3_cycle_peaks", "aoi_id hy_year peak_month peak_selection_status peak_extent_pct peak_selection_support", True),
+        ("y6_annual_table", "aoi_id hy_year status status_reason hy_start hy_end cycle_months n_usable_months peak_month peak_selection_status trough_month boundary_status confidence peak_extent_pct trough_extent_pct", False),
+        ("y7_half_loss", "aoi_id hy_year half_loss_month half_loss_target_pct", True),
+        ("y8_mid_dry", "aoi_id hy_year temporal_mid_dry_month", True),
+        ("y9_rewetting_pulses", "aoi_id hy_year n_rewetting_pulses recession_months drawdown_pct persistence_ratio", True),
+    ):
+        QUERIES[f"{_n}{_tag}"] = lambda s, d, t=_tag, f=_part(_c, _r): f(s, d, t)
+
+
+@query("y10_secondary_extrema")
+def _(s, d):
+    p, a = _annual(s, d, "_irregular")
+    return dy.secondary_extrema(p, a)

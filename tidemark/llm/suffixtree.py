@@ -70,7 +70,8 @@ class Block:
     def __init__(self, lengths: bytes, training: bytes, words: bytes, local: bytes):
         self.lengths = _unpack(lengths, np.int64)
         self.words = _unpack_keys(words)
-        token = self.words[_unpack(local, np.uint32)]
+        self.local = _unpack(local, np.uint32).astype(np.int64)
+        token = self.words[self.local]
         self.ends = np.cumsum(self.lengths)
         self.n = len(token)
         self.owner = np.repeat(np.arange(len(self.lengths)), self.lengths)
@@ -95,20 +96,20 @@ def _distinct(keys: np.ndarray, trains: np.ndarray) -> tuple[np.ndarray, np.ndar
 def _replay(row: dict, answers: dict[tuple[int, str], bytes], depth: int, total: int, kinds: int, least: int, base: tuple[float, float]):
     """Rebuild a block's state up to where answers end.
 
-    Yields nothing; returns (block, counts, score, ask): ``ask`` is the next question, as
-    (level, name, keys, training counts or gains), or None when all levels are answered.
+    Returns (block, base, score, ask): the probabilities of each token under the root and under the
+    tree, or the next question (level, name, keys, training counts, gains) if an answer is missing.
     """
     b = Block(row["lengths"], row["training"], row["words"], row["local"])
-    u, c, at = _distinct(b.grams, b.trains)
     if (0, "n") not in answers:
-        return b, None, None, (0, "n", u, c, None)
-    n = answers[0, "n"][at].astype(np.float64)
+        return b, None, None, (0, "n", b.words, np.bincount(b.local[b.trains], minlength=len(b.words)), None)
+    n = answers[0, "n"][b.local].astype(np.float64)
     p0 = (n + 0.5) / (total + 0.5 * (kinds + 1))
     p = p0.copy()
+    known, ids = b.words, b.local  # the last level's distinct grams, ascending, and each token's place among them
     for level in range(1, depth + 1):
         # the context of a token: the gram of ``level`` words before it, met ``least`` times in training
         before = np.concatenate([[0.0], n[:-1]])
-        context = np.concatenate([np.zeros(1, dtype=np.uint64), b.grams[:-1]])
+        context = np.concatenate([[0], ids[:-1]])
         asks = (b.place >= level) & (before >= least)
         b.deeper(level)
         where = np.flatnonzero(asks)
@@ -118,7 +119,11 @@ def _replay(row: dict, answers: dict[tuple[int, str], bytes], depth: int, total:
         n = np.zeros(b.n)
         n[where] = answers[level, "n"][at]
         ctx, here, held = context[where], n[where], before[where]
-        su, sat = np.unique(ctx, return_inverse=True)
+        met = np.zeros(len(known), dtype=bool)
+        met[ctx] = True
+        su, sat = known[met], (np.cumsum(met) - 1)[ctx]
+        known, ids = u, np.zeros(b.n, dtype=np.int64)
+        ids[where] = at
         if (level, "s") not in answers:
             # leave-one-out gain over the parent's distribution, of each of the priors, summed over training tokens
             t = np.flatnonzero(b.trains[where])
@@ -231,7 +236,7 @@ def _cut(block_bytes: int):
 def _scored(batches: Iterator[pa.RecordBatch], settings: dict) -> Iterator[pa.RecordBatch]:
     for row, answers in _blocks(batches):
         b, p0, p, _ = _replay(row, answers, **settings["model"])
-        n0 = answers[0, "n"][np.searchsorted(b.words, b.token)]
+        n0 = answers[0, "n"][b.local]
         m = len(b.lengths)
         add = lambda x, b=b, m=m: np.bincount(b.owner, weights=x, minlength=m)
         yield pa.RecordBatch.from_arrays(
@@ -240,7 +245,7 @@ def _scored(batches: Iterator[pa.RecordBatch], settings: dict) -> Iterator[pa.Re
         )
 
 
-def score(docs: DataFrame, held_out: Column, *, doc_id: str = "doc_id", text: str = "text", depth: int = 3, least: int = 8, gain: float = 2.0, block_bytes: int = 8 << 20) -> DataFrame:
+def score(docs: DataFrame, held_out: Column, *, doc_id: str = "doc_id", text: str = "text", depth: int = 3, least: int = 8, gain: float = 2.0, block_bytes: int = 4 << 20) -> DataFrame:
     """log10 probability of every text under a suffix tree learned from the rows where ``held_out`` is false.
 
     Rows (doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score), one per input

@@ -217,3 +217,29 @@ for by_, se_, tag in (("region", True, ""), ("nation", False, "_irregular")):
 add("y10_secondary_extrema", f"""WITH {prep('nation', False, 40)}, {dynamic()}, sr AS (SELECT p.aoi_id, hy_year, p.month, extent_pct AS v, peak_month, an.trough_month, row_number() OVER o AS i, lag(extent_pct) OVER o AS l, lead(extent_pct) OVER o AS r, count(*) OVER (PARTITION BY p.aoi_id, hy_year) AS n, count(*) FILTER (p.month < peak_month) OVER (PARTITION BY p.aoi_id, hy_year) + 1 AS pp, count(*) FILTER (p.month < an.trough_month) OVER (PARTITION BY p.aoi_id, hy_year) + 1 AS tp
 FROM prep p JOIN an ON an.aoi_id = p.aoi_id AND p.month BETWEEN hy_start AND hy_end WHERE usable AND peak_month IS NOT NULL WINDOW o AS (PARTITION BY p.aoi_id, hy_year ORDER BY p.month))
 SELECT aoi_id, hy_year, arg_min(month, (-v, month)) FILTER (v > l AND v >= r AND abs(i - least(pp, n)) >= 2) AS secondary_peak_month, round(max(v) FILTER (v > l AND v >= r AND abs(i - least(pp, n)) >= 2), 6) AS secondary_peak_extent_pct, arg_min(month, (v, month)) FILTER (v < l AND v <= r AND abs(i - least(tp, n)) >= 2) AS secondary_trough_month, round(min(v) FILTER (v < l AND v <= r AND abs(i - least(tp, n)) >= 2), 6) AS secondary_trough_extent_pct FROM sr GROUP BY ALL""")
+
+PIX = """ob AS (SELECT date_trunc('month', l_shipdate)::DATE AS month, l_shipdate AS ts, l_orderkey AS sid, l_linenumber AS part, (l_partkey % 8)::INT AS y, (l_suppkey % 8)::INT AS x, CASE WHEN l_returnflag = 'R' THEN 128 WHEN l_returnflag = 'A' THEN 0 WHEN l_linenumber % 2 = 1 THEN 1 ELSE 64 END AS raw FROM lineitem),
+dm AS (SELECT month, ts::DATE AS day, y, x, arg_min(raw, ((raw & 1)::INT, ts, sid, part)) AS raw FROM ob GROUP BY ALL),
+cd AS (SELECT month, day, y, x, CASE WHEN raw & 1 = 1 THEN -1 WHEN raw = 128 THEN 1 WHEN raw = 0 THEN 0 ELSE -1 END AS code FROM dm),
+mj AS (SELECT month, y, x, CASE WHEN sum(CASE code WHEN 1 THEN 1 WHEN 0 THEN -1 ELSE 0 END) > 0 THEN 1 WHEN max(code) >= 0 THEN 0 ELSE max(code) END::INT AS code FROM cd GROUP BY ALL),
+cells AS (SELECT y, x FROM (SELECT unnest(range(8))::INT AS y), (SELECT unnest(range(8))::INT AS x) WHERE y + x < 12),
+cl AS (SELECT month, y, x, CASE WHEN NOT (y + x < 12) THEN -2 ELSE code END AS code FROM mj),
+st AS (SELECT y, x, count(*) FILTER (code = 1) AS count_wet, count(*) FILTER (code IN (0, 1)) AS count_clear FROM cl GROUP BY ALL),
+rd AS (SELECT month, count(*) FILTER (code = 1) AS n_water, count(*) FILTER (code = 0) AS n_dry, count(*) FILTER (code IN (0, 1)) AS n_valid, count(*) FILTER (code <> -2) AS n_aoi FROM cl GROUP BY ALL)"""
+PCT = "round(100.0::DOUBLE * n_water / nullif(n_valid, 0), 6) AS extent_pct, round(100.0::DOUBLE * n_invalid / nullif(n_aoi, 0), 6) AS invalid_pct"
+add("p1_decode", f"WITH {PIX} SELECT month, y, x, day, code FROM cd")
+add("p2_day_mosaic", f"WITH {PIX} SELECT month, day, y, x, raw FROM dm")
+add("p3_monthly_composite", f"WITH {PIX} SELECT month, y, x, code FROM mj")
+add("p3_any_wet_composite", f"WITH {PIX} SELECT month, y, x, max(code)::INT AS code FROM cd GROUP BY ALL")
+add("p4_clip", f"WITH {PIX} SELECT month, y, x, code::INT AS code FROM cl")
+add("p6_monthly_reduction", f"WITH {PIX}, r AS (SELECT *, n_aoi - n_valid AS n_invalid FROM rd) SELECT month, n_water, n_dry, n_valid, n_aoi, n_invalid, {PCT} FROM r")
+add("p7_sum_tiles", f"WITH {PIX}, r AS (SELECT *, n_aoi - n_valid AS n_invalid FROM rd) SELECT month, n_water, n_valid, n_invalid, n_aoi, {PCT}, true AS sound FROM r")
+add("p33_complete_cube", f"WITH {PIX}, ax AS (SELECT unnest(generate_series(min(month), max(month), INTERVAL 1 MONTH))::DATE AS month FROM mj) SELECT ax.month, c.y, c.x, coalesce(code, -1)::INT AS code FROM cells c CROSS JOIN ax LEFT JOIN mj ON mj.month = ax.month AND mj.y = c.y AND mj.x = c.x")
+add("s16_statistics", f"WITH {PIX} SELECT y, x, count_wet, count_clear, round(100.0::DOUBLE * count_wet / nullif(count_clear, 0), 6) AS frequency FROM st")
+add("p10_ever_wet", f"WITH {PIX} SELECT y, x FROM st WHERE count_clear > 0 AND count_wet / count_clear::DOUBLE >= 0.5")
+add("p12_historical_mask", f"WITH {PIX} SELECT y, x FROM st WHERE count_wet > 0 AND y + x < 12")
+add("p15_planning_footprint", f"WITH {PIX}, c AS (SELECT DISTINCT y // 4 AS y, x // 4 AS x FROM st WHERE count_wet > 0 AND y + x < 12) SELECT DISTINCT (y + dy)::INT AS y, (x + dx)::INT AS x FROM c, (SELECT unnest([-1, 0, 1]) AS dy), (SELECT unnest([-1, 0, 1]) AS dx) WHERE y + dy >= 0 AND x + dx >= 0")
+add("p17_coarsen", f"WITH {PIX} SELECT month, (y // 4)::INT AS y, (x // 4)::INT AS x, (CASE WHEN count(*) FILTER (code <> -2) = 0 THEN -2 WHEN count(*) FILTER (code = 1) > count(*) FILTER (code = 0) THEN 1 WHEN count(*) FILTER (code = 0) > count(*) FILTER (code = 1) THEN 0 ELSE -1 END)::INT AS code FROM cl GROUP BY month, y // 4, x // 4")
+add("p18_mismatches", f"WITH {PIX}, b AS (SELECT month, y, x, max(code) AS cb FROM cd GROUP BY ALL) SELECT cl.month, count(*) AS n_shared, count(*) FILTER (code <> cb) AS n_mismatch FROM cl JOIN b USING (month, y, x) WHERE code <> -2 AND cb <> -2 GROUP BY ALL")
+add("p38_containment", f"WITH {PIX} SELECT month, count(*) AS n_outside FROM mj WHERE code = 1 AND NOT (y + x < 12) GROUP BY ALL")
+add("p20_active_windows", f"WITH {PIX} SELECT DISTINCT (y // 4)::INT AS tile_y, (x // 4)::INT AS tile_x FROM st WHERE count_wet > 0")

@@ -11,6 +11,7 @@ from .functions.columns import r6
 from .operators import dynamic_year as dy
 from .operators import events as ev
 from .operators import fixed_year as fx
+from .operators import pixels as px
 from .operators import prepare as pr
 from .operators import scale as sc
 from .operators import season as se
@@ -264,3 +265,39 @@ for _tag in ("", "_irregular"):
 def _(s, d):
     p, a = _annual(s, d, "_irregular")
     return dy.secondary_extrema(p, a)
+
+
+def _days(s, d):
+    return px.day_mosaic(src.observations(s, d)).select("month", "day", "y", "x", px.decode(F.col("raw")).alias("code"))
+
+
+def _monthly(s, d):
+    return px.monthly_composite(_days(s, d))
+
+
+def _mask(s, d):
+    return px.clip(_monthly(s, d), src.aoi_cells(s)).select("month", "y", "x", "code")
+
+
+def _wet(s, d):
+    return px.ever_wet(px.statistics(_mask(s, d)))
+
+
+QUERIES |= {
+    "p1_decode": lambda s, d: _days(s, d),
+    "p2_day_mosaic": lambda s, d: px.day_mosaic(src.observations(s, d)),
+    "p3_monthly_composite": lambda s, d: _monthly(s, d),
+    "p3_any_wet_composite": lambda s, d: px.monthly_composite(_days(s, d), majority=False),
+    "p4_clip": lambda s, d: _mask(s, d),
+    "p6_monthly_reduction": lambda s, d: rounded(px.monthly_reduction(_mask(s, d))),
+    "p7_sum_tiles": lambda s, d: rounded(px.sum_tiles(px.monthly_reduction(_mask(s, d).withColumn("tile", F.expr("y div 4")), ["month", "tile"]))),
+    "p33_complete_cube": lambda s, d: px.complete_cube(_monthly(s, d), src.aoi_cells(s)),
+    "s16_statistics": lambda s, d: rounded(px.statistics(_mask(s, d))),
+    "p10_ever_wet": lambda s, d: px.ever_wet(px.statistics(_mask(s, d)), 0.5),
+    "p12_historical_mask": lambda s, d: px.historical_mask(px.statistics(_mask(s, d)), src.aoi_cells(s)),
+    "p15_planning_footprint": lambda s, d: px.planning_footprint(px.historical_mask(px.statistics(_mask(s, d)), src.aoi_cells(s))),
+    "p17_coarsen": lambda s, d: px.coarsen(_mask(s, d), 4),
+    "p18_mismatches": lambda s, d: px.mismatches(_mask(s, d), px.monthly_composite(_days(s, d), majority=False)),
+    "p38_containment": lambda s, d: px.uncontained(_monthly(s, d), src.aoi_cells(s)),
+    "p20_active_windows": lambda s, d: px.active_windows(_wet(s, d), 4),
+}

@@ -34,7 +34,7 @@ def robust_scale(prepared: DataFrame) -> DataFrame:
 def _persistence(rows: DataFrame, x: str) -> DataFrame:
     """Lag-1 autocorrelation kept within 0 and 0.9."""
     lagged = rows.withColumn("_p", F.lag(x).over(in_order())).where("_p is not null")
-    same = F.coalesce(F.nanvl(F.corr(x, "_p"), F.lit(0.0)), F.lit(0.0))
+    same = F.coalesce(F.try_divide(F.covar_pop(x, "_p"), F.stddev_pop(x) * F.stddev_pop("_p")), F.lit(0.0))
     return lagged.groupBy("aoi_id").agg(F.least(F.lit(0.9), F.greatest(F.lit(0.0), same)).alias("phi"))
 
 

@@ -218,6 +218,27 @@ add("y10_secondary_extrema", f"""WITH {prep('nation', False, 40)}, {dynamic()},
 FROM prep p JOIN an ON an.aoi_id = p.aoi_id AND p.month BETWEEN hy_start AND hy_end WHERE usable AND peak_month IS NOT NULL WINDOW o AS (PARTITION BY p.aoi_id, hy_year ORDER BY p.month))
 SELECT aoi_id, hy_year, arg_min(month, (-v, month)) FILTER (v > l AND v >= r AND abs(i - least(pp, n)) >= 2) AS secondary_peak_month, round(max(v) FILTER (v > l AND v >= r AND abs(i - least(pp, n)) >= 2), 6) AS secondary_peak_extent_pct, arg_min(month, (v, month)) FILTER (v < l AND v <= r AND abs(i - least(tp, n)) >= 2) AS secondary_trough_month, round(min(v) FILTER (v < l AND v <= r AND abs(i - least(tp, n)) >= 2), 6) AS secondary_trough_extent_pct FROM sr GROUP BY ALL""")
 
+add("c7_monthly_condition", f"""WITH {prep('nation', False, 40)} SELECT a.aoi_id, a.month, round(a.extent_pct, 6) AS extent_pct, round(quantile_cont(b.extent_pct, 0.5), 6) AS reference_median_pct, CASE WHEN a.usable THEN round(a.extent_pct - quantile_cont(b.extent_pct, 0.5), 6) END AS anomaly_pct,
+CASE WHEN a.usable THEN round(100.0::DOUBLE * (count(*) FILTER (b.extent_pct < a.extent_pct) + 0.5::DOUBLE * count(*) FILTER (b.extent_pct = a.extent_pct)) / nullif(count(b.extent_pct), 0), 6) END AS condition_percentile, count(b.extent_pct) AS reference_n, a.quality_state
+FROM prep a LEFT JOIN prep b ON a.aoi_id = b.aoi_id AND month(a.month) = month(b.month) AND a.month <> b.month AND b.usable GROUP BY a.aoi_id, a.month, a.extent_pct, a.usable, a.quality_state""")
+
+
+def condition(eligible: str, pairs: str, mode: str, few: str) -> str:
+    pct = "100.0::DOUBLE * (count(*) FILTER (b.{0} < a.{0}) + 0.5::DOUBLE * count(*) FILTER (b.{0} = a.{0})) / nullif(count(b.{0}), 0)"
+    tag = lambda c: f"CASE WHEN few THEN 'insufficient_baseline' WHEN {c} <= 20 THEN 'low' WHEN {c} >= 80 THEN 'high' WHEN {c} IS NOT NULL THEN 'typical' ELSE 'insufficient_baseline' END"
+    return f"""WITH {prep('nation', False)}, {FIXED}, an AS (SELECT aoi_id, hy_year, peak_extent_pct AS p, end_extent_pct AS t, {eligible} AS eligible, row_number() OVER (PARTITION BY aoi_id ORDER BY hy_year) AS i, count(*) FILTER ({eligible}) OVER (PARTITION BY aoi_id) AS k FROM fy),
+cp AS (SELECT a.aoi_id, a.hy_year, a.p, a.t, a.eligible, a.k, count(b.hy_year) AS nb, {pct.format('p')} AS pp, {pct.format('t')} AS tp FROM an a LEFT JOIN an b ON a.aoi_id = b.aoi_id AND b.eligible AND {pairs} GROUP BY a.aoi_id, a.hy_year, a.p, a.t, a.eligible, a.k),
+cq AS (SELECT *, {few} AS few FROM cp),
+cl AS (SELECT *, {tag('pp')} AS rc, {tag('tp')} AS rf FROM cq),
+cj AS (SELECT *, CASE WHEN few THEN 'insufficient_baseline' WHEN rc = 'high' AND rf = 'high' THEN 'wet_persistent' WHEN rc = 'high' AND rf = 'low' THEN 'recharged_then_contracting' WHEN rc = 'low' AND rf = 'high' THEN 'buffered_low_recharge' WHEN rc = 'low' AND rf = 'low' THEN 'dry_low_refuge' ELSE 'typical_or_mixed' END AS ac FROM cl),
+cr AS (SELECT *, count(*) FILTER (ac <> 'dry_low_refuge') OVER o AS gd, count(*) FILTER (ac <> 'wet_persistent') OVER o AS gw, p - lag(p) OVER o AS dp, t - lag(t) OVER o AS dt FROM cj WINDOW o AS (PARTITION BY aoi_id ORDER BY hy_year))
+SELECT aoi_id, hy_year, p AS peak_extent_pct, t AS trough_extent_pct, eligible, {mode} AS baseline_mode, nb::INT AS n_baseline, round(pp, 6) AS peak_percentile, round(tp, 6) AS trough_percentile, rc AS recharge_condition, rf AS refuge_condition, ac AS annual_condition, round(dp, 6) AS peak_change_from_previous_pct, round(dt, 6) AS trough_change_from_previous_pct,
+count(*) FILTER (ac = 'dry_low_refuge') OVER (PARTITION BY aoi_id, gd ORDER BY hy_year) AS consecutive_dry_cycles, count(*) FILTER (ac = 'wet_persistent') OVER (PARTITION BY aoi_id, gw ORDER BY hy_year) AS consecutive_wet_cycles FROM cr"""
+
+
+add("c6_annual_condition", condition("confidence <> 'low'", "b.hy_year <> a.hy_year", "'full'", "k < 4"))
+add("c2_rolling_condition", condition("true", "b.i < a.i AND a.i > 5 AND b.i >= a.i - 10", "CASE WHEN nb < 5 THEN 'insufficient' WHEN nb < 10 THEN 'expanding' ELSE 'rolling' END", "nb < 5"))
+
 PIX = """ob AS (SELECT date_trunc('month', l_shipdate)::DATE AS month, l_shipdate AS ts, l_orderkey AS sid, l_linenumber AS part, (l_partkey % 8)::INT AS y, (l_suppkey % 8)::INT AS x, CASE WHEN l_returnflag = 'R' THEN 128 WHEN l_returnflag = 'A' THEN 0 WHEN l_linenumber % 2 = 1 THEN 1 ELSE 64 END AS raw FROM lineitem),
 dm AS (SELECT month, ts::DATE AS day, y, x, arg_min(raw, ((raw & 1)::INT, ts, sid, part)) AS raw FROM ob GROUP BY ALL),
 cd AS (SELECT month, day, y, x, CASE WHEN raw & 1 = 1 THEN -1 WHEN raw = 128 THEN 1 WHEN raw = 0 THEN 0 ELSE -1 END AS code FROM dm),

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions.columns import r6
+from .operators import condition as co
 from .operators import dynamic_year as dy
 from .operators import events as ev
 from .operators import fixed_year as fx
@@ -267,6 +268,25 @@ def _(s, d):
     return dy.secondary_extrema(p, a)
 
 
+@query("c7_monthly_condition")
+def _(s, d):
+    return rounded(co.monthly_condition(prepared(s, d, "nation", False, max_invalid_pct=40)))
+
+
+def _fixed_annual(s, d):
+    return fx.detect(prepared(s, d, "nation", False)).select("aoi_id", "hy_year", "peak_extent_pct", F.col("end_extent_pct").alias("trough_extent_pct"), (F.col("confidence") != "low").alias("eligible"))
+
+
+@query("c6_annual_condition")
+def _(s, d):
+    return rounded(co.annual_condition(_fixed_annual(s, d), min_baseline=4))
+
+
+@query("c2_rolling_condition")
+def _(s, d):
+    return rounded(co.annual_condition(_fixed_annual(s, d).withColumn("eligible", F.lit(True)), mode="rolling"))
+
+
 def _days(s, d):
     return px.day_mosaic(src.observations(s, d)).select("month", "day", "y", "x", px.decode(F.col("raw")).alias("code"))
 

@@ -217,3 +217,47 @@ def test_empty_tables(spark, empty):
     assert quality.judge(empty).count() == 0
     assert langid.identify(empty, langid.train(empty)).count() == 0
     assert nndescent.near_vectors(spark.createDataFrame([], "vec_id long, embedding array<float>, label int")).count() == 0
+
+
+def distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+    return row[-1]
+
+
+def test_near_lines(spark):
+    rng = random.Random(11)
+    abc = "abcdefghijklmnopqrstuvwxyz"
+    word = lambda: "".join(rng.choice(abc) for _ in range(rng.randint(2, 9)))
+    pairs = []
+    for words in (2, 3, 5, 10, 20, 50):
+        for _ in range(25):
+            line = " ".join(word() for _ in range(words))
+            other, most = line, rng.choice((0.08, 0.1, 0.13)) * len(line)
+            for _ in range(max(1, int(most))):
+                i = rng.randrange(len(other))
+                other = rng.choice((other[:i] + rng.choice(abc) + other[i + 1 :], other[:i] + other[i + 1 :], other[:i] + rng.choice(abc) + other[i:]))
+            pairs.append((line, other))
+    rows = [(2 * i + k, x) for i, p in enumerate(pairs) for k, x in enumerate(p)]
+    got = {r.doc_id: r.n_removed for r in linedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    near = [distance(*[" ".join(x.split()) for x in p]) <= math.floor(0.1 * max(len(" ".join(x.split())) for x in p) + 1e-9) for p in pairs]
+    found = [got[2 * i + 1] == 1 for i in range(len(pairs))]
+    assert not any(f and not n for f, n in zip(found, near, strict=True)) and not any(got[2 * i] for i in range(len(pairs)))
+    assert sum(near) >= 60 and sum(f and n for f, n in zip(found, near, strict=True)) >= 0.97 * sum(near)
+
+
+def test_word_change_and_table_rows(spark):
+    words = [f"word{i * 7919 % 1000}" for i in range(40)]
+    texts = [" ".join(words[: k]) for k in (10, 20, 40)]
+    rows = [(i, x) for i, x in enumerate([*texts, *[" ".join([*x.split()[:-3], "changed", *x.split()[-2:]]) for x in texts], "| 1999 | Alpha | 12 |", "| 2004 | Omega | 77 |"])]
+    got = {r.doc_id: r.n_removed for r in linedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {0: 0, 1: 0, 2: 0, 3: 1, 4: 1, 5: 1, 6: 0, 7: 0}
+
+
+def test_short_lines_repeat(spark):
+    rows = [(1, "Read more\n\n完全に同じ行です。空白はありません\nx\nMenu"), (2, "read  MORE\n\n完全に同じ行です。空白はありません\ny\nMenu")]
+    got = {r.doc_id: r.text for r in linedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: rows[0][1], 2: "\ny"}

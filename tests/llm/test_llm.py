@@ -261,3 +261,18 @@ def test_short_lines_repeat(spark):
     rows = [(1, "Read more\n\n完全に同じ行です。空白はありません\nx\nMenu"), (2, "read  MORE\n\n完全に同じ行です。空白はありません\ny\nMenu")]
     got = {r.doc_id: r.text for r in linedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == {1: rows[0][1], 2: "\ny"}
+
+
+def test_pipeline_keeps_mixture(spark, tmp_path):
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    sizes = {"a": 900, "b": 400, "c": 100}
+    rows = [(i, f"text {i}", "en", x, 8) for i, x in enumerate(x for x, n in sizes.items() for _ in range(n))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    corpus_pipeline.mixed(spark, docs, "").repartition(5).write.parquet(str(tmp_path / "mixed"))
+    got = corpus_pipeline.tokens(spark, spark.read.parquet(str(tmp_path / "mixed")), "").orderBy("slot", "pos_in_block", "doc_id").collect()
+    assert len(got) == len(rows) and all(r.round_trip for r in got)
+    shares = mixing.whole_shares({x: n**0.5 for x, n in sizes.items()}, 1000)
+    for slots in (10, 20, 40):
+        blocks = {x: len({r.slot for r in got if r.source == x and r.slot < slots}) for x in sizes}
+        left = [x for x in sizes if max(r.slot for r in got if r.source == x) >= slots]
+        assert left and all(abs(blocks[x] - slots * shares[x] / 1000) < 1 for x in left)

@@ -114,15 +114,18 @@ def _name(source: str | None) -> str:
     return "null" if source is None else f"s{source}"
 
 
-def in_order(docs: DataFrame, *, doc_id: str = "doc_id", source: str = "source", **options) -> DataFrame:
+def in_order(docs: DataFrame, *, doc_id: str = "doc_id", source: str = "source", place: bool = False, **options) -> DataFrame:
     """The rows of ``docs``, all columns, in the order of the schedule: partition by partition, and within each.
 
+    With ``place``, slot and pos_in_block follow: files that are written and read again keep no order, these do.
     Rows with equal ids and sources stand together at the place of the first of them.
     """
     plan = mix(docs, doc_id=doc_id, source=source, **options)
     plan = plan.groupBy("doc_id", "source").agg(F.min(F.struct("slot", "pos_in_block")).alias("_at")).toDF("_pid", "_psource", "_at")
     names = docs.columns
+    kept = [i for i, c in enumerate(names) if not place or c not in ("slot", "pos_in_block")]
     rows = docs.toDF(*[f"_c{i}" for i in range(len(names))])
     placed = rows.join(plan, rows[f"_c{names.index(doc_id)}"].eqNullSafe(plan["_pid"]) & rows[f"_c{names.index(source)}"].eqNullSafe(plan["_psource"]))
     order = [F.col("_at.slot"), F.col("_at.pos_in_block"), F.col("_pid")]
-    return placed.orderBy(*order).select(*[f"_c{i}" for i in range(len(names))]).toDF(*names)
+    at = ["slot", "pos_in_block"] if place else []
+    return placed.orderBy(*order).select(*[f"_c{i}" for i in kept], *[f"_at.{c}" for c in at]).toDF(*[names[i] for i in kept], *at)

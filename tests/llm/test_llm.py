@@ -276,3 +276,14 @@ def test_pipeline_keeps_mixture(spark, tmp_path):
         blocks = {x: len({r.slot for r in got if r.source == x and r.slot < slots}) for x in sizes}
         left = [x for x in sizes if max(r.slot for r in got if r.source == x) >= slots]
         assert left and all(abs(blocks[x] - slots * shares[x] / 1000) < 1 for x in left)
+
+
+def test_isolated_pairs_are_found(spark):
+    rng = np.random.default_rng(6)
+    c = rng.normal(size=(150, 24))
+    out = [(2 * i + j, (c[i] + 0.2 * rng.normal(size=24)).tolist(), 1) for i in range(150) for j in range(2)]
+    x = np.array([v for _, v, _ in out])
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    want = (x @ x.T >= 0.93).sum(axis=1) - 1
+    got = nndescent.near_vectors(spark.createDataFrame(out, "vec_id long, embedding array<double>, label int"), trees=1, leaf=4, rounds=1, most_rounds=2, audit=8, audit_links=30)
+    assert want.sum() > 100 and {r.vec_id: r.n_links for r in got.collect()} == dict(enumerate(want.tolist()))

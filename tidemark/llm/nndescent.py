@@ -127,7 +127,7 @@ def _ask_all(queries, threshold: float):
     return run
 
 
-def near_vectors(vectors: DataFrame, *, vec_id: str = "vec_id", embedding: str = "embedding", label: str = "label", threshold: float = 0.93, k: int = 10, trees: int = 8, leaf: int = 48, pool: int = 64, rounds: int = 2, most_rounds: int = 8, audit: int = 1024, recall: float = 0.999, seed: int = 7) -> DataFrame:
+def near_vectors(vectors: DataFrame, *, vec_id: str = "vec_id", embedding: str = "embedding", label: str = "label", threshold: float = 0.93, k: int = 10, trees: int = 8, leaf: int = 48, pool: int = 64, rounds: int = 2, most_rounds: int = 8, audit: int = 1024, audit_links: int = 5000, recall: float = 0.999, seed: int = 7) -> DataFrame:
     """Links between vectors of equal label: rows (vec_id, n_links, component_id, kept), one per input row.
 
     Vectors are linked if their cosine, in double precision, is at least ``threshold``. ``n_links`` counts the other rows linked
@@ -136,9 +136,11 @@ def near_vectors(vectors: DataFrame, *, vec_id: str = "vec_id", embedding: str =
     Equal vectors are one node from the start. The neighbour graph begins with the leaves of ``trees`` random-hyperplane trees.
     In each round every node's pool, itself, its neighbours and those whose neighbour it is, is compared within itself (pools over
     ``pool`` members in random parts, other parts in each round), and each member keeps its best k. A list
-    whose members are all links is saturated: its k doubles. After ``rounds`` rounds an audit asks about ``audit``
-    hash-chosen nodes against all rows; while fewer than ``recall`` of their links lie within found components, another round
-    follows. Links are then counted exactly within components, in blocks of at most some hundreds of nodes, without listing pairs.
+    whose members are all links is saturated: its k doubles. After ``rounds`` rounds an audit asks hash-chosen nodes
+    against all rows: ``audit`` of them, then four times as many, until ``audit_links`` of their links are seen or all nodes were
+    asked. While fewer than ``recall`` of these links lie within found components, ``trees`` freshly seeded trees are grown, twice
+    as many each time, and another round follows. If ``most_rounds`` rounds don't reach ``recall``, all nodes
+    are asked, in blocks, and no link is missed. Links are then counted exactly within components, in blocks of at most some hundreds of nodes, without listing pairs.
 
     Null labels, vectors that are null, empty, zero, or hold nulls or non-finite numbers link with nothing; nor do vectors of
     different lengths. A null id is the component id only of rows that link with no other id. Repeated rows link with each
@@ -172,15 +174,40 @@ def near_vectors(vectors: DataFrame, *, vec_id: str = "vec_id", embedding: str =
         return stored(got.select("id", "l", F.when((F.size("l") >= F.col("k")) & (last >= threshold), 2 * F.col("k")).otherwise(F.col("k")).alias("k"), F.when(F.size("l") >= F.col("k"), F.when(last >= threshold, F.lit(-1.0)).otherwise(last)).otherwise(F.lit(-1.0)).alias("bar")), "nn-lists")
 
     counts = blob.groupBy("grp").agg(F.count("*").alias("n"))
+    # every node that links reach; components() leaves out the roots themselves
+    reached = lambda edges: (r := components(edges)).union(r.select("root", "root")).distinct()
     depth = F.greatest(F.lit(0), F.least(F.lit(32), F.ceil(F.log2(F.col("n") / leaf)).cast("int")))
-    codes = blob.select("id", "grp", "vec").mapInArrow(_codes(trees, seed), "id long, grp long, codes array<long>").join(counts, "grp")
-    leaves = codes.select("id", "grp", depth.alias("d"), F.posexplode("codes").alias("t", "code")).select(F.xxhash64("grp", "t", F.call_function("shiftright", F.col("code"), F.lit(32) - F.col("d"))).alias("key"), "id", F.lit(k).alias("k"), F.lit(-1.0).alias("bar"))
-    lists = merged(compared(leaves, 0), None)
-
-    chosen = blob.select("id", "grp", "vec").orderBy(F.xxhash64("id")).limit(audit).collect()
-    asked = spark.sparkContext.broadcast([(r["id"], r["grp"], bytes(r["vec"])) for r in chosen])
-    truth = stored(blob.select("id", "grp", "vec").mapInArrow(_ask_all(asked, threshold), "a long, b long").where("a <> b"), "nn-truth")
-    n_truth = truth.count()
+
+    def leaves(number: int, seed: int) -> DataFrame:
+        codes = blob.select("id", "grp", "vec").mapInArrow(_codes(number, seed), "id long, grp long, codes array<long>").join(counts, "grp")
+        return codes.select("id", "grp", depth.alias("d"), F.posexplode("codes").alias("t", "code")).select(F.xxhash64(F.lit(seed), "grp", "t", F.call_function("shiftright", F.col("code"), F.lit(32) - F.col("d"))).alias("key"), "id", F.lit(k).alias("k"), F.lit(-1.0).alias("bar"))
+    lists = merged(compared(leaves(trees, seed), 0), None)
+
+    n_nodes, n_asked, n_truth, truth = blob.count(), 0, 0, None
+    order = stored(blob.select("id", "grp", "vec", F.xxhash64("id").alias("h")).orderBy("h"), "nn-order")
+    last = None
+
+    def ask(number: int) -> None:
+        """Ask the next ``number`` nodes, a block of ``audit`` at a time, about all their links."""
+        nonlocal n_asked, n_truth, truth, last
+        upto = min(n_nodes, n_asked + number)
+        while n_asked < upto:
+            rest = order if last is None else order.where(F.col("h") > last)
+            chosen = rest.orderBy("h").limit(min(max(audit, 4096), upto - n_asked)).collect()
+            asked = spark.sparkContext.broadcast([(r["id"], r["grp"], bytes(r["vec"])) for r in chosen])
+            found = stored(blob.select("id", "grp", "vec").mapInArrow(_ask_all(asked, threshold), "a long, b long").where("a <> b"), "nn-truth")
+            truth = found if truth is None else truth.unionByName(found)
+            n_truth += found.count()
+            n_asked += len(chosen)
+            last = chosen[-1]["h"]
+            asked.unpersist()
+
+    ask(audit)
+    while n_truth < audit_links and n_asked < n_nodes:
+        ask(3 * n_asked)
+    if truth is None:
+        truth = spark.createDataFrame([], "a long, b long")
+    grown = trees
     for turn in range(1, most_rounds + 1):
         state = lists.select("id", "k", "bar")
         out = lists.select("id", F.explode("l.v").alias("v"))
@@ -190,12 +217,17 @@ def near_vectors(vectors: DataFrame, *, vec_id: str = "vec_id", embedding: str =
         if turn < rounds:
             continue
         edges = lists.select("id", F.explode("l").alias("x")).where(F.col("x.s") >= threshold).select(F.col("id").alias("a"), F.col("x.v").alias("b"))
-        roots = components(edges)
+        roots = reached(edges)
         of = lambda c: roots.toDF(c, f"_r{c}")
         met = truth.join(of("a"), "a").join(of("b"), "b").where("_ra = _rb").count() if n_truth else 0
-        if met >= recall * n_truth:
+        if met >= recall * n_truth or n_asked == n_nodes:
             break
-    roots = components(edges.union(truth))
+        if turn < most_rounds:
+            grown *= 2
+            lists = merged(lists.select("id", "l").unionByName(compared(leaves(grown, seed + turn), -turn)), lists.select("id", "k"))
+    else:
+        ask(n_nodes - n_asked)
+    roots = reached(edges.union(truth))
     group = roots.toDF("id", "root").join(blob, "id")
     size = group.groupBy("root").agg(F.count("*").alias("n"))
     chunked = group.join(size, "root").withColumn("c", F.pmod(F.xxhash64("id"), F.ceil(F.col("n") / 256).cast("long")))

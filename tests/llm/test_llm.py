@@ -287,3 +287,19 @@ def test_isolated_pairs_are_found(spark):
     want = (x @ x.T >= 0.93).sum(axis=1) - 1
     got = nndescent.near_vectors(spark.createDataFrame(out, "vec_id long, embedding array<double>, label int"), trees=1, leaf=4, rounds=1, most_rounds=2, audit=8, audit_links=30)
     assert want.sum() > 100 and {r.vec_id: r.n_links for r in got.collect()} == dict(enumerate(want.tolist()))
+
+
+def test_narrow_margins_are_rejected(spark):
+    rng = random.Random(4)
+    parts = {x: ["".join(rng.choice(a) for _ in range(rng.randint(2, 4))) for _ in range(150)] for x, a in (("en", "etaoinshrdlu"), ("fr", "esaitnrulodcé"), ("xx", "zkvwyjqpbgmf"))}
+
+    def say(lang, n):
+        return " ".join(rng.choice(parts[lang]) + rng.choice(parts[lang]) for _ in range(n))
+
+    labelled = [(1000 * k + i, say(x, 300), x) for k, x in enumerate(("en", "fr")) for i in range(80)]
+    known = langid.train(spark.createDataFrame(labelled, "doc_id long, text string, lang string"))
+    clean = [(i, say(("en", "fr")[i % 2], (20, 100, 1500)[i % 3])) for i in range(60)]
+    junk = [(100 + i, say("xx", (100, 400, 3000)[i % 3])) for i in range(30)]
+    mixed = [(200 + i, " ".join(say(("en", "fr")[k % 2], 10) for k in range(100))) for i in range(10)]
+    got = {r.doc_id: r.rejected for r in langid.identify(spark.createDataFrame(clean + junk + mixed, "doc_id long, text string"), known, keep=["doc_id"]).collect()}
+    assert not any(got[i] for i, _ in clean) and all(got[i] for i, _ in junk + mixed)

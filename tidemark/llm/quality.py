@@ -97,7 +97,9 @@ def judge(docs: DataFrame, **columns: str) -> DataFrame:
     The base rules fail documents of under 50 words, or with more than half of their words in
     repeated three-word windows. Of the others, those are kept that lie within 3 quartile distances of the
     quartiles of their language and source: in mean word length on both sides, in the shares
-    of symbols, repeated lines and repeated words above. Groups of under 100
+    of symbols, repeated lines and repeated words above. A quartile distance counts as MEASURES' least one where it is smaller: 1 character, 1% symbols,
+    10% repeated lines or words. On sf0.1 that decides in all 20 groups of 100 or more documents, for all four measures,
+    so there the cutoffs are a quartile and a fixed width. Groups of under 100
     documents go by their language's sketch, which is the sum of its groups' sketches.
 
     Null texts have no words; null languages and sources are groups of their own; repeated

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bucket_links, pick, stored, text_id
+from .common import bucket_links, forget, partitions, pick, stored, text_id
 from .words import mix, text_blocks, word_hashes
 
 SHINGLE = 5
@@ -18,6 +18,10 @@ REGISTERS = BANDS * ROWS
 SIMILARITY = 0.8
 #: Estimates vary by 0.036 at the threshold; pairs this far below it aren't looked at again.
 SLACK = 0.17
+#: A bucket is compared in chunks of so many bags, or of so many bytes of bags, at most.
+CHUNK, CHUNK_BYTES = 512, 16 << 20
+#: Ids of texts, of 8 bytes each, are broadcast up to so many; beyond, the texts are shuffled.
+BROADCAST_IDS = 1_000_000
 
 _M = np.uint64(REGISTERS)
 _ONE = np.uint64(0x9E3779B97F4A7C15)
@@ -118,9 +122,28 @@ def overlap(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray])
     return both / max(1, int(a[1].sum() + b[1].sum()) - both)
 
 
-def _bag(text: bytes) -> tuple[np.ndarray, np.ndarray]:
-    _, h, c = shingle_bags([text])
-    return h, c
+def _pack_bag(h: np.ndarray, c: np.ndarray) -> bytes:
+    """Hashes, then counts of those that occur more than once, as (place, count)."""
+    more = np.flatnonzero(c > 1)
+    return np.concatenate([np.array([len(h)], dtype=np.uint64), h, more.astype(np.uint64), c[more].astype(np.uint64)]).tobytes()
+
+
+def _unpack_bag(b: bytes) -> tuple[np.ndarray, np.ndarray]:
+    x = np.frombuffer(b, dtype=np.uint64)
+    n = int(x[0])
+    c = np.ones(n, dtype=np.int64)
+    more = x[n + 1 :].reshape(2, -1).astype(np.int64)
+    c[more[0]] = more[1]
+    return x[1 : n + 1], c
+
+
+def _bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The bag of each text."""
+    for tid, raw in text_blocks(batches, ["_tid", "_x"], "_x", 2 << 20):
+        doc, h, count = shingle_bags([x or b"" for x in raw])
+        ends = np.searchsorted(doc, np.arange(len(raw) + 1))
+        bags = [_pack_bag(h[i:j], count[i:j]) for i, j in zip(ends[:-1], ends[1:], strict=True)]
+        yield pa.RecordBatch.from_arrays([pa.array(tid, pa.int64()), pa.array(bags, pa.binary())], names=["_tid", "_bag"])
 
 
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -147,17 +170,112 @@ def _alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    lately: dict[int, tuple] = {}
+    """Of pairs with their bags, those that are similar enough."""
+    for batch in batches:
+        a, b, x, y = batch.columns
+        hit = [i for i in range(batch.num_rows) if overlap(_unpack_bag(x[i].as_py()), _unpack_bag(y[i].as_py())) >= SIMILARITY]
+        hit = pa.array(hit, pa.int64())
+        yield pa.RecordBatch.from_arrays([a.take(hit), b.take(hit)], names=["a", "b"])
+
+
+def overlaps(left: list[tuple[np.ndarray, np.ndarray]], right: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+    """Weighted Jaccard of each bag on the left with each on the right.
+
+    A shingle that occurs c times is c features, the first occurrence, the second, and so on;
+    common features are then counted by products of 0/1 matrices, some thousand features at a time.
+    """
+    if not left or not right:
+        return np.zeros((len(left), len(right)))
+
+    def features(bags: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+        row = np.repeat(np.arange(len(bags)), [int(c.sum()) for _, c in bags])
+        h = np.concatenate([np.repeat(h, c) for h, c in bags])
+        c = np.concatenate([c for _, c in bags])
+        nth = np.arange(len(h)) - np.repeat(np.cumsum(c) - c, c)
+        with np.errstate(over="ignore"):
+            return row, np.where(nth > 0, mix(h + nth.astype(np.uint64) * _ONE), h)
+
+    (ra, fa), (rb, fb) = features(left), features(right)
+    shared = np.intersect1d(fa, fb)
+    out = np.zeros((len(left), len(right)))
+    ia, ib = np.searchsorted(shared, fa), np.searchsorted(shared, fb)
+    ok_a = np.flatnonzero(shared[np.minimum(ia, len(shared) - 1)] == fa) if len(shared) else ia[:0]
+    ok_b = np.flatnonzero(shared[np.minimum(ib, len(shared) - 1)] == fb) if len(shared) else ib[:0]
+    for at in range(0, len(shared), 4096):
+        x, y = np.zeros((len(left), 4096), dtype=np.float32), np.zeros((len(right), 4096), dtype=np.float32)
+        for m, r, i, ok in ((x, ra, ia, ok_a), (y, rb, ib, ok_b)):
+            own = ok[(i[ok] >= at) & (i[ok] < at + 4096)]
+            m[r[own], i[own] - at] = 1
+        out += x @ y.T
+    total = np.bincount(ra, minlength=len(left))[:, None] + np.bincount(rb, minlength=len(right))[None, :]
+    return out / np.maximum(1, total - out)
+
+
+def _forest(i: np.ndarray, j: np.ndarray, n: int) -> np.ndarray:
+    """Which of the links (i, j) among n suffice to join what all of them join."""
+    root = list(range(n))
+
+    def find(x: int) -> int:
+        while root[x] != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    keep = []
+    for k, (a, b) in enumerate(zip(i.tolist(), j.tolist(), strict=True)):
+        a, b = find(a), find(b)
+        if a != b:
+            root[b] = a
+            keep.append(k)
+    return np.array(keep, dtype=np.int64)
+
+
+def _apart(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links within each group of rows (key, c, c2, mine, id, root, _sig, _bag) that join different roots; groups arrive one after the other.
+
+    ``mine`` are the rows of chunk c; if c is not c2, only pairs of a row of c with one of c2 are compared.
+    """
+    least = (SIMILARITY - SLACK) * REGISTERS
+
+    def compare(rows: list[tuple]) -> tuple[list[int], list[int]]:
+        same = rows[0][1] == rows[0][2]
+        left = [r for r in rows if r[3]]
+        right = left if same else [r for r in rows if not r[3]]
+        if not left or not right:
+            return [], []
+        roots = np.array([r[5] for r in left]), np.array([r[5] for r in right])
+        if same:  # the largest component isn't compared with itself
+            u, inv, n = np.unique(roots[0], return_inverse=True, return_counts=True)
+            left = [r for r, i in zip(left, inv, strict=True) if i != n.argmax()]
+            roots = np.array([r[5] for r in left], dtype=np.int64), roots[1]
+            if not left:
+                return [], []
+        sx, sy = (np.frombuffer(b"".join(r[6] for r in side), dtype=np.uint8).reshape(-1, REGISTERS) for side in (left, right))
+        agree = np.stack([(x[None, :] == sy).sum(axis=1) for x in sx])
+        open_ = (agree >= least) & (roots[0][:, None] != roots[1][None, :])
+        i, j = np.flatnonzero(open_.any(axis=1)), np.flatnonzero(open_.any(axis=0))
+        if not len(i):
+            return [], []
+        near = overlaps([_unpack_bag(left[k][7]) for k in i], [_unpack_bag(right[k][7]) for k in j]) >= SIMILARITY
+        p, q = np.nonzero(near & open_[np.ix_(i, j)])
+        ids = np.array([left[k][4] for k in i])[p], np.array([right[k][4] for k in j])[q]
+        at = np.unique(np.concatenate([roots[0][i][p], roots[1][j][q]]), return_inverse=True)[1]
+        own = _forest(at[: len(p)], at[len(p) :], len(at))
+        return ids[0][own].tolist(), ids[1][own].tolist()
+
+    def run(rows: list[tuple]) -> pa.RecordBatch:
+        a, b = compare(rows)
+        return pa.RecordBatch.from_arrays([pa.array([min(x) for x in zip(a, b, strict=True)], pa.int64()), pa.array([max(x) for x in zip(a, b, strict=True)], pa.int64())], names=["a", "b"])
+
+    own: list[tuple] = []
     for batch in batches:
-        found = []
-        for a, b, x, y in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
-            if a not in lately:
-                if len(lately) > 8:
-                    lately.clear()
-                lately[a] = _bag(x.encode("utf-8", "replace"))
-            if overlap(lately[a], _bag(y.encode("utf-8", "replace"))) >= SIMILARITY:
-                found.append((a, b))
-        yield pa.RecordBatch.from_arrays([pa.array([f[i] for f in found], pa.int64()) for i in (0, 1)], names=["a", "b"])
+        for r in zip(*(batch.column(c).to_pylist() for c in ("key", "c", "c2", "mine", "id", "root", "_sig", "_bag")), strict=True):
+            if own and own[0][:3] != r[:3]:
+                yield run(own)
+                own = []
+            own.append(r)
+    if own:
+        yield run(own)
 
 
 def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", pivots: int = 2) -> DataFrame:
@@ -171,8 +289,9 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     is verified on the whole texts.
 
     Members of a band's bucket are first compared with ``pivots`` of its members, one after the
-    other, and only what stays in different classes is compared pair by pair. A bucket of
-    thousands of copies so makes as many pairs as it has members, and no link between classes is lost.
+    other. Where it still holds several classes, their members are compared in chunks, by
+    signature and then exactly on the whole bags, inside the tasks: a task gives only links that
+    join classes, so no list of a bucket's pairs exists, and no link between classes is lost.
 
     Null texts and texts without a word are classes of their own, row by row; a text of one to
     four words is one shingle. Null ids take part, a class of nulls has a null id. Other columns are left aside;
@@ -187,17 +306,32 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     exploded = kinds.select("_tid", F.explode("_bands").alias("key"))
     shared = exploded.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
     members = stored(exploded.join(shared, "key"), "bag-members")
-    some = members.select("_tid").distinct()
-    sigs = kinds.join(some, "_tid", "left_semi").select("_tid", "_sig")
-    texts = base.groupBy("_tid").agg(F.min("_x").alias("_x")).join(some, "_tid", "left_semi")
-    texts = stored(texts, "bag-texts")
+    some = stored(members.select("_tid").distinct(), "bag-some")
+    few = F.broadcast(some) if some.count() <= BROADCAST_IDS else some
+    sigs = stored(kinds.join(few, "_tid", "left_semi").select("_tid", "_sig"), "bag-sigs")
+    texts = base.select("_tid", "_x").join(few, "_tid", "left_semi").groupBy("_tid").agg(F.min("_x").alias("_x"))
+    bags = stored(texts.mapInArrow(_bags, "_tid long, _bag binary"), "bag-bags")
+    parts = partitions(docs.sparkSession)
 
     def linked(pairs: DataFrame) -> DataFrame:
         near = pairs.join(sigs.toDF("a", "_sa"), "a").join(sigs.toDF("b", "_sb"), "b").select("a", "b", "_sa", "_sb").mapInArrow(_alike, "a long, b long")
-        full = stored(near, "bag-open").join(texts.toDF("a", "_xa"), "a").join(texts.toDF("b", "_xb"), "b").select("a", "b", "_xa", "_xb")
-        return stored(full.mapInArrow(_verify, "a long, b long"), "bag-links")
-
-    roots = bucket_links(members.select("key", F.col("_tid").alias("id")), linked, pivots).toDF("_tid", "_root")
+        near = stored(near, "bag-open")
+        full = near.join(bags.toDF("a", "_xa"), "a").join(bags.toDF("b", "_xb"), "b").select("a", "b", "_xa", "_xb")
+        links = stored(full.mapInArrow(_verify, "a long, b long"), "bag-links")
+        forget(near)
+        return links
+
+    def last(now: DataFrame) -> DataFrame:
+        """Links between different roots within buckets(key, id, root), each bucket in pairs of chunks."""
+        held = now.join(sigs.toDF("id", "_sig"), "id").join(bags.toDF("id", "_bag"), "id")
+        size = held.groupBy("key").agg(F.ceil(F.greatest(F.count("*") / CHUNK, F.sum(F.length("_bag")) / CHUNK_BYTES)).cast("int").alias("k"))
+        cut = held.join(size, "key").withColumn("c0", F.pmod(F.xxhash64(F.lit(3), "id"), F.col("k")).cast("int"))
+        pair = F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("other")
+        cut = cut.select("key", "id", "root", "_sig", "_bag", "c0", pair).select("key", F.least("c0", "other").alias("c"), F.greatest("c0", "other").alias("c2"), (F.col("c0") <= F.col("other")).alias("mine"), "id", "root", "_sig", "_bag")
+        cut = cut.repartition(parts, "key", "c", "c2").sortWithinPartitions("key", "c", "c2")
+        return stored(cut.mapInArrow(_apart, "a long, b long"), "bag-links")
+
+    roots = bucket_links(members.select("key", F.col("_tid").alias("id")), linked, pivots, last_links=last).toDF("_tid", "_root")
     named = signed.select("doc_id", "_row", "_tid", F.col("_sig").isNotNull().alias("worded")).join(roots, "_tid", "left")
     named = stored(named.select("doc_id", "_row", "_tid", "worded", F.when(F.col("worded"), F.coalesce("_root", "_tid")).alias("_class")), "bag-classes")
     heads = named.where("worded").groupBy("_class").agg(F.min(F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", "_row")).alias("h")).select("_class", F.col("h.doc_id").alias("class_id"), F.col("h._row").alias("_head"))

@@ -106,34 +106,31 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     return now.select(F.col("a").alias("id"), F.col("b").alias("root"))
 
 
-def bucket_links(members: DataFrame, linked: Callable[[DataFrame], DataFrame], pivots: int = 2, last_pairs: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+def bucket_links(members: DataFrame, linked: Callable[[DataFrame], DataFrame], pivots: int = 2, *, last_links: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """Components over the links found among members(key, id) of the same bucket: rows (id, root).
 
     ``linked`` takes distinct pairs (a, b) and gives back those that hold, as a stored table.
     Members of a bucket are first paired with ``pivots`` of its members, one after the other;
-    only what is then still in different components is paired one by one. So a
-    bucket whose members are all alike makes as many pairs as it has members, and yet no pair that
-    could join two components stays unseen. ``last_pairs`` may make these last pairs (a, b) out of
-    rows (key, id, root) itself, and leave out those that can't hold before they are written.
+    what is then still in different components goes to ``last_links``, as rows (key, id, root) of
+    buckets with several roots, which gives back, stored, links (a, b) that join all roots that
+    links join. So a bucket whose members are all alike makes as many pairs as it has members,
+    and yet no pair that could join two components stays unseen.
     """
-    links = None
-    now = members.withColumn("root", F.col("id"))
+    links, now = None, members.withColumn("root", F.col("id"))
     for turn in range(pivots + 1):
         if turn:
             roots = components(links).toDF("id", "_root")
             now = stored(members.join(roots, "id", "left").select("key", "id", F.coalesce("_root", "id").alias("root")), "bucket-now")
             apart = now.groupBy("key").agg(F.min("root").alias("_lo"), F.max("root").alias("_hi")).where("_lo <> _hi").select("key")
             now = now.join(apart, "key")
-        if turn < pivots:
+        if turn == pivots:
+            new = last_links(now)
+        else:
             # The pivot: of the first component in the bucket (after the first turn), the member that this turn's hash puts first.
             chance = F.xxhash64(F.lit(turn), F.col("id"))
             pivot = now.groupBy("key").agg(F.min(F.struct(*([F.col("root")] if turn else []), chance.alias("h"), F.col("id").alias("p"), F.col("root").alias("r"))).alias("q")).select("key", "q.p", "q.r")
             pairs = now.join(pivot, "key").where("root <> r" if turn else "id <> p").select(F.least("id", "p").alias("a"), F.greatest("id", "p").alias("b"))
-        elif last_pairs is not None:
-            pairs = last_pairs(now)
-        else:
-            pairs = now.toDF("key", "a", "ra").join(now.toDF("key", "b", "rb"), "key").where("ra < rb").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-        new = linked(pairs.distinct())
+            new = linked(pairs.distinct())
         links = new if links is None else links.unionByName(new)
     return components(links)
 

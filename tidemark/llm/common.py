@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -28,9 +29,11 @@ def pick(df: DataFrame, **columns: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or our own where it is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset, a local master gets a folder of its own, a cluster an error."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         at = f"file://{tempfile.mkdtemp(prefix='tidemark-')}"
         spark.conf.set("spark.checkpoint.dir", at)
     return at.rstrip("/")
@@ -75,7 +78,7 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
 
     Alternates the large-star and small-star steps. Each step only regroups edges by an
     end point, so a component never sits in one row, and each step's table is written to
-    the shared folder. Ids that no edge names aren't in the result.
+    the shared folder. Ids that no edge names aren't in the result, nor are the roots themselves.
     """
     now = stored(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "cc")
 

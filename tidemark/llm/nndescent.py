@@ -42,7 +42,7 @@ def _codes(trees: int, seed: int):
     return run
 
 
-def _join_pools(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _join_pools(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa.RecordBatch]:
     """Compare the members of each pool; rows arrive pool by pool. Gives each member its best partners over its bar."""
 
     def compare(own: list[tuple]) -> list[tuple]:
@@ -55,7 +55,9 @@ def _join_pools(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 continue
             ids = np.array([r[1] for r in rows])
             x = _rows([r[5] for r in rows])
-            s = np.round(x @ x.T, 12)
+            raw = x @ x.T
+            # rounded, so that all pools agree on a pair; never up to the threshold
+            s = np.where(raw < threshold, np.minimum(np.round(raw, 12), threshold - 1e-12), np.round(raw, 12))
             np.fill_diagonal(s, -2)
             for i, r in enumerate(rows):
                 k = min(r[3], len(rows) - 1)
@@ -162,7 +164,7 @@ def near_vectors(vectors: DataFrame, *, vec_id: str = "vec_id", embedding: str =
         part = F.pmod(F.xxhash64(F.lit(salt), "id"), F.ceil(F.col("n") / pool).cast("long"))
         pools = members.join(sized, "key").select(F.xxhash64("key", part).alias("pool"), "id", "k", "bar")
         full = pools.join(blob.select("id", "grp", "vec"), "id").select("pool", "id", "grp", "k", "bar", "vec")
-        return full.repartition(parts, "pool").sortWithinPartitions("pool").mapInArrow(_join_pools, _LISTS)
+        return full.repartition(parts, "pool").sortWithinPartitions("pool").mapInArrow(lambda b: _join_pools(b, threshold), _LISTS)
 
     def merged(lists: DataFrame, sizes: DataFrame | None) -> DataFrame:
         """Per node the best of all lists given, cut to its k; saturated lists get twice the k."""
@@ -232,7 +234,9 @@ def near_vectors(vectors: DataFrame, *, vec_id: str = "vec_id", embedding: str =
     size = group.groupBy("root").agg(F.count("*").alias("n"))
     chunked = group.join(size, "root").withColumn("c", F.pmod(F.xxhash64("id"), F.ceil(F.col("n") / 256).cast("long")))
     packed = stored(chunked.groupBy("root", "c").agg(F.sort_array(F.collect_list(F.struct("id", "m", "vec"))).alias("rows")), "nn-chunks")
-    pairs = packed.toDF("root", "c", "left").join(packed.toDF("root", "c2", "right"), "root").where("c <= c2").select("left", "right", (F.col("c") == F.col("c2")).alias("same"))
+    # one row for each pair of chunks, so that no task holds a whole component
+    pairs = packed.select("root", "c").join(size, "root").select("root", "c", F.explode(F.sequence(F.col("c"), F.ceil(F.col("n") / 256).cast("long") - 1)).alias("c2"))
+    pairs = pairs.join(packed.toDF("root", "c", "left"), ["root", "c"]).join(packed.toDF("root", "c2", "right"), ["root", "c2"]).select("left", "right", (F.col("c") == F.col("c2")).alias("same"))
     linked = pairs.mapInArrow(_count_chunks(threshold), "id long, n long").groupBy("id").agg(F.sum("n").alias("_n"))
     named = kinds.select("id", "_l", "_e", "first", "m").join(roots.toDF("id", "_root"), "id", "left").join(linked, "id", "left")
     least = named.where("_root is not null").groupBy("_root").agg(F.min("first").alias("_least"))

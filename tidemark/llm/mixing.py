@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import heapq
+import math
 from collections.abc import Mapping
+from fractions import Fraction
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -27,6 +29,16 @@ def whole_shares(weights: Mapping[str | None, float], period: int) -> dict[str |
     return out
 
 
+def exact_shares(weights: Mapping[str | None, int | Fraction], most: int) -> dict[str | None, int] | None:
+    """Weights that are whole numbers or fractions as slots of the period that holds each of them exactly; None if it is over ``most`` slots."""
+    if not all(isinstance(w, (int, Fraction)) and w > 0 for w in weights.values()):
+        return None
+    base = math.lcm(*[Fraction(w).denominator for w in weights.values()])
+    slots = {x: int(Fraction(w) * base) for x, w in sorted(weights.items(), key=lambda p: (p[0] is not None, p[0]))}
+    least = math.gcd(*slots.values())
+    return {x: n // least for x, n in slots.items()} if sum(slots.values()) // least <= most else None
+
+
 def edf_period(shares: Mapping[str | None, int], period: int) -> list[tuple[str | None, int, int]]:
     """One period of the schedule: (source, block of the source in the period, slot).
 
@@ -55,17 +67,18 @@ def order_key(doc_id: str) -> Column:
     return F.md5(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary"))
 
 
-def mix(docs: DataFrame, *, doc_id: str = "doc_id", source: str = "source", weights: Mapping[str | None, float] | None = None, temperature: float = 0.5, period: int = 1000, block_docs: int = 16) -> DataFrame:
+def mix(docs: DataFrame, *, doc_id: str = "doc_id", source: str = "source", weights: Mapping[str | None, float] | None = None, temperature: float = 0.5, period: int = 1000, most_slots: int = 65536, block_docs: int = 16) -> DataFrame:
     """Interleave the sources' documents so that every prefix follows the target weights.
 
     Rows (doc_id, source, block, pos_in_block, release, deadline, slot), one per input row; read in the
     order (slot, pos_in_block). Documents of a source follow the order of ``order_key``; every
     ``block_docs`` of them make a block. Without ``weights`` the target is (documents of the
     source) ** temperature; sources that weights don't name share the smallest weight given.
-    Weights become whole slots of a period (``period``, or twice the sources if there are more),
-    whose EDF schedule the driver works out once: a table of ``period`` rows. As long as
-    all sources last, each source's blocks among the first t slots differ from t * weight by
-    less than one. A source that ends leaves its later slots empty, and nothing is dropped.
+    Weights that are ints or Fractions are kept exactly, by a period that is their reduced sum, if that is at most
+    ``most_slots``. Others become whole slots of a period (``period``, or twice the sources if there are more), one
+    at least, and these shares are then the target. The driver works out the EDF schedule of one period, a table of its slots. As long as
+    all sources last, each source's blocks among the first t slots differ from t * target by
+    less than one, at every t. A source that ends leaves its later slots empty, and nothing is dropped.
 
     A null source is a source. Null ids are documents, repeated rows too. Texts aren't read.
     No rows give no rows.
@@ -93,8 +106,11 @@ def mix(docs: DataFrame, *, doc_id: str = "doc_id", source: str = "source", weig
     if not counts:
         return rank.select("doc_id", "source", *[F.lit(None).cast(t).alias(c) for c, t in (("block", "long"), ("pos_in_block", "int"), ("release", "long"), ("deadline", "long"), ("slot", "long"))])
     target = {x: n**temperature for x, n in counts.items()} if weights is None else {x: weights.get(x, min(weights.values())) for x in counts}
-    period = max(period, 2 * len(counts))
-    shares = whole_shares(target, period)
+    shares = exact_shares(target, most_slots)
+    if shares is None:
+        period = max(period, 2 * len(counts))
+        shares = whole_shares(target, period)
+    period = sum(shares.values())
     plan = spark.createDataFrame([(x, shares[x], i, slot) for x, i, slot in edf_period(shares, period)], "_src string, _a int, _i int, _slot int")
     block = F.expr(f"_rank div {block_docs}")
     rank = rank.withColumn("block", block).withColumn("pos_in_block", F.expr(f"cast(_rank % {block_docs} as int)"))

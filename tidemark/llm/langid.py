@@ -16,8 +16,8 @@ from .common import pick
 #: What stands between runs of letters.
 _BETWEEN = re.compile(r"[\W\d_]+")
 _BLOCK = 4096
-#: Texts up to so many bytes are compressed at FINE, longer ones at COARSE.
-_SHORT, FINE, COARSE = 1024, 12, 6
+#: zstandard's level, for texts of any length.
+LEVEL = 9
 #: Margins are learned from so many pieces of a language at most, for lengths of which so many are rightly named.
 _ASKED, _FEW = 128, 20
 
@@ -88,15 +88,15 @@ def train(docs: DataFrame, learn: Column | None = None, *, text: str = "text", l
 class Classifier:
     def __init__(self, dictionaries: Mapping[str, bytes], bits: float = 0.1):
         self.langs, self.bits = list(dictionaries), bits
-        self.by_level = {level: [self._compressor(d, level) for d in dictionaries.values()] for level in (FINE, COARSE)}
+        self.coders = [self._compressor(d) for d in dictionaries.values()]
 
     @staticmethod
-    def _compressor(content: bytes, level: int) -> zstandard.ZstdCompressor:
+    def _compressor(content: bytes) -> zstandard.ZstdCompressor:
         if len(content) < 8:
-            return zstandard.ZstdCompressor(level=level, write_content_size=False)
+            return zstandard.ZstdCompressor(level=LEVEL, write_content_size=False)
         d = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-        d.precompute_compress(level)
-        return zstandard.ZstdCompressor(level=level, dict_data=d, write_content_size=False, write_dict_id=False)
+        d.precompute_compress(LEVEL)
+        return zstandard.ZstdCompressor(level=LEVEL, dict_data=d, write_content_size=False, write_dict_id=False)
 
     def __call__(self, text: str | None) -> tuple[str, float, int]:
         """(language, share of its likelihood, bytes by which it beats the next); und without letters.
@@ -115,9 +115,8 @@ class Classifier:
         return self.langs[best], min(rest) - least if rest else least, least
 
     def _codes(self, data: bytes) -> list[int]:
-        own = self.by_level[FINE if len(data) <= _SHORT else COARSE]
         blocks = [data[i : i + _BLOCK] for i in range(0, len(data), _BLOCK)]
-        return [sum(len(c.compress(b)) for b in blocks) for c in own]
+        return [sum(len(c.compress(b)) for b in blocks) for c in self.coders]
 
     def measure(self, text: str | None) -> tuple[str, float, int, int, int]:
         """What a call gives, then the bytes of the smallest code and those of the text's letters."""

@@ -12,7 +12,7 @@ import numpy as np
 import pytest
 
 from tidemark.llm import bagminhash, bpe, langid, linedup, mixing, nndescent, pii, quality, sharding, suffixtree
-from tidemark.llm.common import crc_fold
+from tidemark.llm.common import components, crc_fold
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, Text string"
 WORDS = "the of and a to in is it that was for on are as with his they at be this from have or by one had not but what all were when we there can an your which their said".split()
@@ -303,3 +303,93 @@ def test_narrow_margins_are_rejected(spark):
     mixed = [(200 + i, " ".join(say(("en", "fr")[k % 2], 10) for k in range(100))) for i in range(10)]
     got = {r.doc_id: r.rejected for r in langid.identify(spark.createDataFrame(clean + junk + mixed, "doc_id long, text string"), known, keep=["doc_id"]).collect()}
     assert not any(got[i] for i, _ in clean) and all(got[i] for i, _ in junk + mixed)
+
+
+def test_exact_weights():
+    shares = mixing.exact_shares({"a": 1, "b": 1, "c": 1}, 1000)
+    assert shares == {"a": 1, "b": 1, "c": 1} and mixing.exact_shares({"a": 0.5, "b": 1}, 1000) is None
+    shares = mixing.exact_shares({"a": 7, "b": mixing.Fraction(5, 3), None: 2}, 1000)
+    assert shares == {None: 6, "a": 21, "b": 5}
+    done, period = collections.Counter(), sum(shares.values())
+    for t, (x, _, _) in enumerate(sorted(mixing.edf_period(shares, period), key=lambda p: p[2]), 1):
+        done[x] += 1
+        assert all(abs(done[s] - t * a / period) < 1 for s, a in shares.items())
+
+
+def test_mixing_order_by_brute_force(spark):
+    rng = random.Random(8)
+    rows = [(i, rng.choice(["a", "a", "a", "b", "c", None])) for i in range(300)] + [(7, "a"), (7, "a")]
+    got = mixing.mix(spark.createDataFrame(rows, "doc_id long, source string").repartition(5), weights={"a": 2, "b": 1, "c": 1, None: 1}, block_docs=4).collect()
+    key = lambda d: hashlib.md5(str(d).encode()).hexdigest()
+    places = {}
+    for slot, x in enumerate([x for x, _, _ in sorted(mixing.edf_period({None: 1, "a": 2, "b": 1, "c": 1}, 5), key=lambda p: p[2])] * 60):
+        places.setdefault(x, []).append(slot)
+    for x in ("a", "b", "c", None):
+        own = sorted((key(d), d) for d, s in rows if s == x)
+        want = [(d, places[x][i // 4], i % 4) for i, (_, d) in enumerate(own)]
+        assert sorted((r.doc_id, r.slot, r.pos_in_block) for r in got if r.source == x) == sorted(want)
+
+
+def test_written_shards_hold_every_row_once(spark, tmp_path):
+    rows = [(1, "x" * 40, 5)] * 50 + [(i, "y" * (i % 30), i) for i in range(2, 200)] + [(None, None, 0)] * 3
+    docs = spark.createDataFrame(rows, "doc_id long, text string, n int").repartition(4)
+    sharding.write_shards(docs, str(tmp_path / "s"), limit_bytes=200)
+    got = spark.read.parquet(str(tmp_path / "s"))
+    assert sorted(map(str, (r[:3] for r in got.select("doc_id", "text", "n").collect()))) == sorted(str(tuple(r)) for r in rows)
+    assert max(r[0] for r in got.groupBy("_shard").agg({"*": "count"}).select("count(1)").collect()) < 50
+
+
+def components_of(pairs):
+    root = {}
+
+    def find(x):
+        while root.setdefault(x, x) != x:
+            x = root[x]
+        return x
+
+    for a, b in pairs:
+        x, y = sorted((find(a), find(b)))
+        root[y] = x
+    return {x: find(x) for x in root if find(x) != x}
+
+
+@pytest.mark.parametrize("pairs", [[(1, 2)], [(5, i) for i in range(6, 30)], [(i, i + 1) for i in range(40)], [(1, 2), (3, 2), (10, 11), (11, 10), (12, 12)]])
+def test_components(spark, pairs):
+    got = {r.id: r.root for r in components(spark.createDataFrame(pairs, "a long, b long")).collect()}
+    assert got == components_of(pairs)
+
+
+def test_edit_distances():
+    rng = random.Random(2)
+    xs, ys = [], []
+    for n in (0, 1, 3, 20, 60):
+        for _ in range(25):
+            x = "".join(rng.choice("abé日 ") for _ in range(n))
+            y = list(x)
+            for _ in range(rng.randrange(0, 6)):
+                i = rng.randrange(len(y) + 1)
+                y[i : i + rng.randrange(2)] = rng.choice(["", "a", "zz"])
+            xs.append(x)
+            ys.append("".join(y))
+    d = np.array([distance(x, y) for x, y in zip(xs, ys, strict=True)])
+    for most in (0, 1, 2, 5, 70):
+        limit = np.full(len(xs), most)
+        assert (linedup.within(xs, ys, limit) == (d <= most)).all() and not (linedup._far(xs, ys, limit) & (d <= most)).any()
+
+
+def test_pii_base_by_re(spark):
+    rng = random.Random(9)
+    bits = ["a@b.co", "x.y@mail.example.org", "@", ".", "1.2.3.4", "256.1.1.1", "10.0.0.1.5", "4111 1111 1111 1111", "4111-1111-1111-1112", "+1 (288) 555-5549", "+44 20 7946", "é", " ", " and ", "+", "12", "-", "(", "日"]
+    rows = [(i, "".join(rng.choice(bits) for _ in range(rng.randrange(12)))) for i in range(400)] + [(400, None), (401, ""), (402, "z " * 9000 + "q@w.de"), (7, "a@b.co"), (7, "a@b.co")]
+    kinds = {
+        "email": (r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", lambda x: True),
+        "ip": (r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", lambda x: all(int(p) <= 255 for p in x.split("."))),
+        "card": (r"[0-9]([\x20-]?[0-9])+", lambda x: 12 <= len(d := re.sub("[^0-9]", "", x)) <= 19 and sum(sum(divmod(int(c) * 2, 10)) if i % 2 else int(c) for i, c in enumerate(reversed(d))) % 10 == 0),
+        "phone": (r"\+[0-9][\x20().0-9-]+[0-9]", lambda x: 9 <= len(re.sub("[^0-9]", "", x)) <= 15),
+    }
+    want = collections.Counter()
+    for i, t in rows:
+        spans = [(m.start(), n, f"{k}:{m.start()}:{m.end()}") for n, (k, (p, ok)) in enumerate(kinds.items()) for m in re.finditer(p, t or "") if ok(m[0])]
+        want[i, hashlib.sha256(",".join(s for _, _, s in sorted(spans)).encode()).hexdigest()] += 1
+    got = collections.Counter((r.doc_id, r.base_sha256) for r in pii.digest(pii.find_spans(spark.createDataFrame(rows, "doc_id long, text string"))).collect())
+    assert got == want

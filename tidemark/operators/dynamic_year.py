@@ -45,11 +45,12 @@ def window_extreme(rows: DataFrame, keys: list[str], kind: str) -> DataFrame:
     return sel.select(*keys, F.col("raw.month").alias("at"), F.col("raw.extent_pct").alias("extent"), F.col("raw.invalid_pct").alias("invalid"), "run_start", "run_end", "window_status", "selection_status", F.when(F.col("raw").isNull(), 0.0).otherwise(support).alias("support"), "n_usable", (month_number(F.col("raw.month")) - month_number("expected")).alias("phase_offset"))
 
 
-def troughs(prepared: DataFrame, expected_month: int, *, radius: int = 3, scale: DataFrame | None = None) -> DataFrame:
-    """One opportunity per calendar year: the low of the months around the expected one."""
+def troughs(prepared: DataFrame, expected_month: int | DataFrame, *, radius: int = 3, scale: DataFrame | None = None) -> DataFrame:
+    """One opportunity per calendar year: the low of the months around the expected one, a month or (aoi_id, trough_month) for each area."""
     scale = robust_scale(prepared) if scale is None else scale
     years = prepared.groupBy("aoi_id").agg(F.min(F.year("month")).alias("a"), F.max(F.year("month")).alias("b")).select("aoi_id", F.explode(F.sequence("a", "b")).alias("hy_year"))
-    years = years.withColumn("expected", F.make_date("hy_year", F.lit(expected_month), F.lit(1)))
+    years = years.withColumn("_m", F.lit(expected_month)) if isinstance(expected_month, int) else years.join(expected_month.select("aoi_id", F.col("trough_month").alias("_m")), "aoi_id")
+    years = years.select("aoi_id", "hy_year", F.make_date("hy_year", "_m", F.lit(1)).alias("expected"))
     near = prepared.join(years, "aoi_id").where(F.col("month").between(F.add_months("expected", -radius), F.add_months("expected", radius)))
     picked = window_extreme(near.withColumn("expected_count", F.lit(2 * radius + 1)).join(scale, "aoi_id"), ["aoi_id", "hy_year"], "min")
     out = years.select("aoi_id", "hy_year").join(picked, ["aoi_id", "hy_year"], "left")
@@ -124,7 +125,7 @@ def assemble(prepared: DataFrame, opportunities: DataFrame, *, secondary: bool =
     )
 
 
-def detect(prepared: DataFrame, expected_trough_month: int, *, radius: int = 3) -> DataFrame:
+def detect(prepared: DataFrame, expected_trough_month: int | DataFrame, *, radius: int = 3) -> DataFrame:
     scale = robust_scale(prepared)
     return assemble(prepared, troughs(prepared, expected_trough_month, radius=radius, scale=scale), scale=scale)
 

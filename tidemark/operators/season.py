@@ -124,7 +124,7 @@ def resampled(months: np.ndarray, n_resamples: int, seed: int, confidence: float
     low, high = np.percentile(lengths, [edge, 100 - edge])
     null = _kuiper(two.integers(0, 12, size=(max(n_resamples, 999), len(months))) / 12.0)
     own = _kuiper(((months - 1) / 12.0)[None, :])[0]
-    return float(low), float(high), float((1 + np.count_nonzero(null >= own - 1e-12)) / (len(null) + 1))
+    return float(low), float(high), float((1 + np.count_nonzero(null >= own)) / (len(null) + 1))
 
 
 def circular_summary(extremes: DataFrame, value: str, *, n_resamples: int = 200, seed: int = 0, confidence: float = 0.95) -> DataFrame:
@@ -151,6 +151,7 @@ def assess(prepared: DataFrame, *, n_resamples: int = 200, seed: int = 0) -> Dat
     side = lambda v: circular_summary(enough, v, n_resamples=n_resamples, seed=seed).select("aoi_id", *[F.col(c).alias(f"{v}_{c}") for c in ("concentration", "ci_low", "ci_high", "iqr_months", "uniformity_p")])
     out = prepared.select("aoi_id").distinct().join(years, "aoi_id", "left").join(amplitude_snr(prepared), "aoi_id", "left").join(side("peak"), "aoi_id", "left").join(side("trough"), "aoi_id", "left")
     out = out.withColumn("n_years", F.coalesce("n_years", F.lit(0)))
+    out = out.withColumn("snr", F.when(F.col("n_years") < MIN_YEARS, 0.0).otherwise(F.col("snr")))
     label = F.when(F.col("n_years") < MIN_YEARS, "insufficient_record").otherwise(regime_label(F.col("snr"), F.col("peak_ci_low"), F.col("peak_uniformity_p"), F.col("n_years")))
     return gates(out.withColumn("regime", label))
 
@@ -165,17 +166,22 @@ def gates(regimes: DataFrame) -> DataFrame:
 
 
 def compare_rainfall(extent: DataFrame, rain: DataFrame) -> DataFrame:
-    """Extent's regime beside rainfall's, with the signed lag of the peaks in (-6, 6] and what differs."""
+    """Extent's regime beside rainfall's, with the signed lag of the peaks in (-6, 6] and what differs.
+
+    A lag needs two regimes that have a cycle. The first rule that fits names the difference.
+    """
     e = extent.select("aoi_id", F.col("regime").alias("extent_regime"), F.col("snr").alias("extent_snr"), F.col("peak_month").alias("extent_peak"))
     r = rain.select("aoi_id", F.col("regime").alias("rain_regime"), F.col("snr").alias("rain_snr"), F.col("peak_month").alias("rain_peak"))
     j = e.join(r, "aoi_id", "left")
-    rank = lambda c: F.when(F.col(c) == "seasonal", 2).when(F.col(c) == "marginal", 1).otherwise(0)
+    one, two = F.col("extent_regime"), F.col("rain_regime")
+    cyclic = lambda c: c.isin("seasonal", "marginal")
+    weak = lambda c: c.isin("aseasonal", "marginal")
     label = (
-        F.when(F.col("rain_regime").isNull(), "no_rainfall").when(F.col("rain_regime") == "insufficient_record", "rainfall_insufficient").when(F.col("extent_regime") == "insufficient_record", "extent_insufficient")
-        .when(F.col("extent_regime") == F.col("rain_regime"), "agree").when((F.col("rain_regime") == "seasonal") & (F.col("extent_regime") == "aseasonal"), "extent_damped")
-        .when(rank("extent_regime") > rank("rain_regime"), "extent_more_seasonal").otherwise("partial")
+        F.when(two.isNull(), "no_rainfall").when(two == "insufficient_record", "rainfall_insufficient").when(one == "insufficient_record", "extent_insufficient")
+        .when((one == two) & (one != "marginal"), "agree").when(cyclic(two) & weak(one) & (one != two), "extent_damped").when(cyclic(one) & weak(two) & (one != two), "extent_more_seasonal").otherwise("partial")
     )
-    return j.withColumn("lag_months", cyclic_offset(F.col("extent_peak") - F.col("rain_peak"))).withColumn("divergence", label)
+    lag = F.when(cyclic(one) & cyclic(two), cyclic_offset(F.col("extent_peak") - F.col("rain_peak")))
+    return j.withColumn("lag_months", lag).withColumn("divergence", label)
 
 
 def peak_of_climatology(prepared: DataFrame) -> DataFrame:

@@ -3,15 +3,17 @@
 from __future__ import annotations
 
 
-def obs(by: str = "region", seasonal: bool = True) -> str:
+def obs(by: str = "region", seasonal: bool | None = True) -> str:
     area = "n_regionkey" if by == "region" else "s_nationkey"
     k = "((month(l_shipdate) - 2 + 12) % 12)"
     wet = f"l_orderkey % 12 >= 2 * least({k}, 12 - {k})" if seasonal else "l_returnflag = 'R'"
+    if seasonal is None:
+        wet = "l_orderkey % 10 < CASE WHEN (year(l_shipdate) * 12 + month(l_shipdate)) % 19 < 2 THEN 9 ELSE 1 END"
     return f"""obs AS (SELECT {area}::INT AS aoi_id, date_trunc('month', l_shipdate)::DATE AS month, count(*) AS n_aoi, count(*) FILTER (l_returnflag <> 'N') AS n_valid,
   count(*) FILTER (l_returnflag <> 'N' AND {wet}) AS n_water FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey GROUP BY ALL)"""
 
 
-def prep(by: str = "region", seasonal: bool = True, max_invalid: float = 20, policy: str = "flag") -> str:
+def prep(by: str = "region", seasonal: bool | None = True, max_invalid: float = 20, policy: str = "flag") -> str:
     use = "extent_pct IS NOT NULL AND (invalid_pct IS NULL OR invalid_pct < 100)" if policy == "flag" else "quality_state = 'usable'"
     return f"""{obs(by, seasonal)},
 axis AS (SELECT aoi_id, unnest(generate_series(min(month), max(month), INTERVAL 1 MONTH))::DATE AS month FROM obs GROUP BY aoi_id),
@@ -89,7 +91,7 @@ add("b3_event_noise", f"WITH {prep('nation')}, {floor_(False)} SELECT aoi_id, n,
 add("b4_epsilon", f"WITH {prep()}, {SCALE} SELECT p.aoi_id, p.month, round(CASE WHEN amplitude_pp <= 0 THEN 0 ELSE least(0.1 * amplitude_pp, greatest(coalesce(100.0::DOUBLE / nullif(n_valid, 0), 0), noise_pp)) END, 6) AS epsilon_pp FROM prep p JOIN scale USING (aoi_id)")
 add("b5_mean_water_fraction", f"WITH {prep()} SELECT aoi_id, round(avg(extent_pct) / 100, 6) AS mean_fraction FROM prep GROUP BY ALL")
 for m in ("noise", "quantile"):
-    E = f"WITH {prep('nation' if m == 'quantile' else 'region', seasonal=m == 'noise')}, {event_ctes(m)}"
+    E = f"WITH {prep('nation' if m == 'quantile' else 'region', seasonal=None if m == 'noise' else False)}, {event_ctes(m)}"
     add(f"e1_thresholds_{m}", f"{E} SELECT aoi_id, round(baseline, 6) AS baseline, round(enter_t, 6) AS enter_t, round(exit_t, 6) AS exit_t, round(low_t, 6) AS low_t, round(noise_pp, 6) AS noise_pp, threshold_mode FROM lim")
     add(f"e2_hysteresis_{m}", f"{E} SELECT aoi_id, month, wet, low FROM es")
     add(f"e5_wet_events_{m}", f"{E} SELECT * FROM ev")
@@ -136,7 +138,7 @@ add("r7_circular_peaks", f"WITH {prep('nation', seasonal=False)}, {EXT}, {circ('
 add("r6_circular_troughs", f"WITH {prep('nation')}, {EXT}, {circ('trough')} SELECT aoi_id, n, round(concentration, 6) AS concentration, round(iqr_months, 6) AS iqr_months, round(kuiper, 6) AS kuiper FROM cs")
 
 PEAKCLIM = f"{years_cte('q9', 9)}, pc AS (SELECT aoi_id, arg_min(k, (-m, k))::INT AS peak_month, arg_min(k, (m, k))::INT AS trough_month FROM (SELECT aoi_id, month(month) AS k, round(avg(extent_pct), 6) AS m FROM q9 GROUP BY ALL) GROUP BY ALL)"
-add("f2_climatology_windows", f"WITH {prep('nation')}, {PEAKCLIM} SELECT aoi_id, peak_month, ((peak_month + 9) % 12 + 1)::INT AS wet_start, ((peak_month + 2) % 12 + 1)::INT AS wet_end, ((peak_month + 3) % 12 + 1)::INT AS dry_start, ((peak_month + 8) % 12 + 1)::INT AS dry_end FROM pc")
+add("f7_windows_around_peak", f"WITH {prep('nation')}, {PEAKCLIM} SELECT aoi_id, peak_month, ((peak_month + 9) % 12 + 1)::INT AS wet_start, 6 AS wet_len, ((peak_month + 3) % 12 + 1)::INT AS dry_start, 6 AS dry_len FROM pc")
 FIXED = f"""seen AS (SELECT aoi_id, month, extent_pct AS v FROM prep WHERE extent_pct IS NOT NULL AND invalid_pct < 100),
 sp AS (SELECT aoi_id, min(month) AS f, max(month) AS l FROM seen GROUP BY ALL),
 yw AS (SELECT aoi_id, yr, make_date(yr - 1, 11, 1) AS w0, make_date(yr, 4, 1) AS w1, make_date(yr, 7, 1) AS d0, make_date(yr, 12, 1) AS d1 FROM (SELECT aoi_id, unnest(range(year(f), year(l) + 1))::INT AS yr FROM sp)),
@@ -239,28 +241,55 @@ count(*) FILTER (ac = 'dry_low_refuge') OVER (PARTITION BY aoi_id, gd ORDER BY h
 add("c6_annual_condition", condition("confidence <> 'low'", "b.hy_year <> a.hy_year", "'full'", "k < 4"))
 add("c2_rolling_condition", condition("true", "b.i < a.i AND a.i > 5 AND b.i >= a.i - 10", "CASE WHEN nb < 5 THEN 'insufficient' WHEN nb < 10 THEN 'expanding' ELSE 'rolling' END", "nb < 5"))
 
-PIX = """ob AS (SELECT date_trunc('month', l_shipdate)::DATE AS month, l_shipdate AS ts, l_orderkey AS sid, l_linenumber AS part, (l_partkey % 8)::INT AS y, (l_suppkey % 8)::INT AS x, CASE WHEN l_returnflag = 'R' THEN 128 WHEN l_returnflag = 'A' THEN 0 WHEN l_linenumber % 2 = 1 THEN 1 ELSE 64 END AS raw FROM lineitem),
-dm AS (SELECT month, ts::DATE AS day, y, x, arg_min(raw, ((raw & 1)::INT, ts, sid, part)) AS raw FROM ob GROUP BY ALL),
-cd AS (SELECT month, day, y, x, CASE WHEN raw & 1 = 1 THEN -1 WHEN raw = 128 THEN 1 WHEN raw = 0 THEN 0 ELSE -1 END AS code FROM dm),
-mj AS (SELECT month, y, x, CASE WHEN sum(CASE code WHEN 1 THEN 1 WHEN 0 THEN -1 ELSE 0 END) > 0 THEN 1 WHEN max(code) >= 0 THEN 0 ELSE max(code) END::INT AS code FROM cd GROUP BY ALL),
-cells AS (SELECT y, x FROM (SELECT unnest(range(8))::INT AS y), (SELECT unnest(range(8))::INT AS x) WHERE y + x < 12),
-cl AS (SELECT month, y, x, CASE WHEN NOT (y + x < 12) THEN -2 ELSE code END AS code FROM mj),
-st AS (SELECT y, x, count(*) FILTER (code = 1) AS count_wet, count(*) FILTER (code IN (0, 1)) AS count_clear FROM cl GROUP BY ALL),
-rd AS (SELECT month, count(*) FILTER (code = 1) AS n_water, count(*) FILTER (code = 0) AS n_dry, count(*) FILTER (code IN (0, 1)) AS n_valid, count(*) FILTER (code <> -2) AS n_aoi FROM cl GROUP BY ALL)"""
+PIX = """ob AS (SELECT (l_suppkey % 5)::INT AS aoi_id, date_trunc('month', l_shipdate)::DATE AS month, l_shipdate AS ts, l_orderkey AS sid, l_linenumber AS part, (l_partkey % 16)::INT AS y, (l_partkey // 16)::INT AS x, CASE WHEN l_returnflag = 'R' THEN 128 WHEN l_returnflag = 'A' THEN 0 WHEN l_linenumber % 2 = 1 THEN 1 ELSE 64 END AS raw FROM lineitem),
+dm AS (SELECT aoi_id, month, ts::DATE AS day, y, x, arg_min(raw, ((raw & 1)::INT, ts, sid, part)) AS raw FROM ob GROUP BY ALL),
+cd AS (SELECT aoi_id, month, day, y, x, CASE WHEN raw & 1 = 1 THEN -1 WHEN raw = 128 THEN 1 WHEN raw = 0 THEN 0 ELSE -1 END AS code FROM dm),
+mj AS (SELECT aoi_id, month, y, x, CASE WHEN sum(CASE code WHEN 1 THEN 1 WHEN 0 THEN -1 ELSE 0 END) > 0 THEN 1 WHEN max(code) >= 0 THEN 0 ELSE max(code) END::INT AS code FROM cd GROUP BY ALL),
+cells AS (SELECT DISTINCT aoi_id, (p_partkey % 16)::INT AS y, (p_partkey // 16)::INT AS x FROM part, (SELECT unnest(range(5))::INT AS aoi_id) WHERE (p_partkey % 16 + p_partkey // 16 + aoi_id) % 8 <> 0),
+cl AS (SELECT mj.aoi_id, month, mj.y, mj.x, CASE WHEN c.y IS NULL THEN -2 ELSE code END AS code FROM mj LEFT JOIN cells c ON c.aoi_id = mj.aoi_id AND c.y = mj.y AND c.x = mj.x),
+st AS (SELECT aoi_id, y, x, count(*) FILTER (code = 1) AS count_wet, count(*) FILTER (code IN (0, 1)) AS count_clear FROM cl GROUP BY ALL),
+hm AS (SELECT aoi_id, y, x FROM st SEMI JOIN cells USING (aoi_id, y, x) WHERE count_wet > 0),
+rd AS (SELECT aoi_id, month, count(*) FILTER (code = 1) AS n_water, count(*) FILTER (code = 0) AS n_dry, count(*) FILTER (code IN (0, 1)) AS n_valid, count(*) FILTER (code <> -2) AS n_aoi FROM cl GROUP BY ALL)"""
 PCT = "round(100.0::DOUBLE * n_water / nullif(n_valid, 0), 6) AS extent_pct, round(100.0::DOUBLE * n_invalid / nullif(n_aoi, 0), 6) AS invalid_pct"
-add("p1_decode", f"WITH {PIX} SELECT month, y, x, day, code FROM cd")
-add("p2_day_mosaic", f"WITH {PIX} SELECT month, day, y, x, raw FROM dm")
-add("p3_monthly_composite", f"WITH {PIX} SELECT month, y, x, code FROM mj")
-add("p3_any_wet_composite", f"WITH {PIX} SELECT month, y, x, max(code)::INT AS code FROM cd GROUP BY ALL")
-add("p4_clip", f"WITH {PIX} SELECT month, y, x, code::INT AS code FROM cl")
-add("p6_monthly_reduction", f"WITH {PIX}, r AS (SELECT *, n_aoi - n_valid AS n_invalid FROM rd) SELECT month, n_water, n_dry, n_valid, n_aoi, n_invalid, {PCT} FROM r")
-add("p7_sum_tiles", f"WITH {PIX}, r AS (SELECT *, n_aoi - n_valid AS n_invalid FROM rd) SELECT month, n_water, n_valid, n_invalid, n_aoi, {PCT}, true AS sound FROM r")
-add("p33_complete_cube", f"WITH {PIX}, ax AS (SELECT unnest(generate_series(min(month), max(month), INTERVAL 1 MONTH))::DATE AS month FROM mj) SELECT ax.month, c.y, c.x, coalesce(code, -1)::INT AS code FROM cells c CROSS JOIN ax LEFT JOIN mj ON mj.month = ax.month AND mj.y = c.y AND mj.x = c.x")
-add("s16_statistics", f"WITH {PIX} SELECT y, x, count_wet, count_clear, round(100.0::DOUBLE * count_wet / nullif(count_clear, 0), 6) AS frequency FROM st")
-add("p10_ever_wet", f"WITH {PIX} SELECT y, x FROM st WHERE count_clear > 0 AND count_wet / count_clear::DOUBLE >= 0.5")
-add("p12_historical_mask", f"WITH {PIX} SELECT y, x FROM st WHERE count_wet > 0 AND y + x < 12")
-add("p15_planning_footprint", f"WITH {PIX}, c AS (SELECT DISTINCT y // 4 AS y, x // 4 AS x FROM st WHERE count_wet > 0 AND y + x < 12) SELECT DISTINCT (y + dy)::INT AS y, (x + dx)::INT AS x FROM c, (SELECT unnest([-1, 0, 1]) AS dy), (SELECT unnest([-1, 0, 1]) AS dx) WHERE y + dy >= 0 AND x + dx >= 0")
-add("p17_coarsen", f"WITH {PIX} SELECT month, (y // 4)::INT AS y, (x // 4)::INT AS x, (CASE WHEN count(*) FILTER (code <> -2) = 0 THEN -2 WHEN count(*) FILTER (code = 1) > count(*) FILTER (code = 0) THEN 1 WHEN count(*) FILTER (code = 0) > count(*) FILTER (code = 1) THEN 0 ELSE -1 END)::INT AS code FROM cl GROUP BY month, y // 4, x // 4")
-add("p18_mismatches", f"WITH {PIX}, b AS (SELECT month, y, x, max(code) AS cb FROM cd GROUP BY ALL) SELECT cl.month, count(*) AS n_shared, count(*) FILTER (code <> cb) AS n_mismatch FROM cl JOIN b USING (month, y, x) WHERE code <> -2 AND cb <> -2 GROUP BY ALL")
-add("p38_containment", f"WITH {PIX} SELECT month, count(*) AS n_outside FROM mj WHERE code = 1 AND NOT (y + x < 12) GROUP BY ALL")
-add("p20_active_windows", f"WITH {PIX} SELECT DISTINCT (y // 4)::INT AS tile_y, (x // 4)::INT AS tile_x FROM st WHERE count_wet > 0")
+
+
+def coarse(f: int) -> str:
+    return f"SELECT aoi_id, month, (y // {f})::INT AS y, (x // {f})::INT AS x, (CASE WHEN count(*) FILTER (code <> -2) = 0 THEN -2 WHEN count(*) FILTER (code = 1) > count(*) FILTER (code = 0) THEN 1 WHEN count(*) FILTER (code = 0) > count(*) FILTER (code = 1) THEN 0 ELSE -1 END)::INT AS code FROM cl GROUP BY aoi_id, month, y // {f}, x // {f}"
+
+
+def around(src: str, k: int) -> str:
+    return f"SELECT aoi_id, (y + dy)::INT AS y, (x + dx)::INT AS x FROM {src}, (SELECT unnest(range({-k}, {k + 1})) AS dy), (SELECT unnest(range({-k}, {k + 1})) AS dx)"
+
+
+for n_, sql_ in {
+    "p1_decode": "SELECT aoi_id, month, y, x, day, code FROM cd",
+    "p2_day_mosaic": "SELECT aoi_id, month, day, y, x, raw FROM dm",
+    "p3_monthly_composite": "SELECT aoi_id, month, y, x, code FROM mj",
+    "p3_any_wet_composite": "SELECT aoi_id, month, y, x, max(code)::INT AS code FROM cd GROUP BY ALL",
+    "p4_clip": "SELECT aoi_id, month, y, x, code::INT AS code FROM cl",
+    "p5_fill_inside": "SELECT aoi_id, month, y, x, CASE WHEN y + x < 40 AND EXISTS (SELECT 1 FROM cells c WHERE c.aoi_id = mj.aoi_id AND c.y = mj.y AND c.x = mj.x) THEN CASE WHEN code = 0 THEN -1 ELSE code END ELSE CASE WHEN code = 0 THEN -2 ELSE code END END::INT AS code FROM mj",
+    "p6_monthly_reduction": f"SELECT aoi_id, month, n_water, n_dry, n_valid, n_aoi, n_valid AS n_wet_aoi, n_invalid, {PCT}, round(100.0::DOUBLE * n_water / nullif(n_valid, 0), 6) AS wet_fill_pct FROM (SELECT *, n_aoi - n_valid AS n_invalid FROM rd)",
+    "p6_wet_area_reduction": f"SELECT aoi_id, month, n_water, n_dry, n_valid, n_aoi, n_wet_aoi, n_invalid, {PCT}, round(100.0::DOUBLE * n_water / nullif(n_wet_aoi, 0), 6) AS wet_fill_pct FROM (SELECT *, n_aoi - n_valid AS n_invalid FROM rd) JOIN (SELECT cl.aoi_id, month, count(hm.y) FILTER (code <> -2) AS n_wet_aoi FROM cl LEFT JOIN hm ON hm.aoi_id = cl.aoi_id AND hm.y = cl.y AND hm.x = cl.x GROUP BY ALL) USING (aoi_id, month)",
+    "p7_sum_tiles": f"SELECT aoi_id, month, n_water, n_valid, n_invalid, n_aoi, {PCT}, true AS sound FROM (SELECT *, n_aoi - n_valid AS n_invalid FROM rd)",
+    "p8_unseen_months": "SELECT aoi_id, m::DATE AS month, 0::BIGINT AS n_water, 0::BIGINT AS n_valid, 0::BIGINT AS n_wet_aoi, n AS n_aoi, n AS n_invalid, NULL::DOUBLE AS extent_pct, 100.0::DOUBLE AS invalid_pct FROM (SELECT aoi_id, count(*) AS n FROM cells GROUP BY ALL), (SELECT unnest(generate_series(DATE '2000-03-01', DATE '2001-02-01', INTERVAL 1 MONTH)) AS m)",
+    "p33_complete_cube": "SELECT ax.aoi_id, ax.month, c.y, c.x, coalesce(code, -1)::INT AS code FROM cells c JOIN (SELECT aoi_id, unnest(generate_series(min(month), max(month), INTERVAL 1 MONTH))::DATE AS month FROM mj GROUP BY aoi_id) ax ON ax.aoi_id = c.aoi_id LEFT JOIN mj ON mj.aoi_id = c.aoi_id AND mj.month = ax.month AND mj.y = c.y AND mj.x = c.x",
+    "s16_statistics": "SELECT aoi_id, y, x, count_wet, count_clear, round(100.0::DOUBLE * count_wet / nullif(count_clear, 0), 6) AS frequency FROM st",
+    "p10_ever_wet": "SELECT aoi_id, y, x FROM st WHERE count_clear > 0 AND count_wet / count_clear::DOUBLE >= 0.5",
+    "p11_wet_area": f"SELECT DISTINCT * FROM ({around('(SELECT aoi_id, y, x FROM (' + around('(SELECT DISTINCT * FROM (' + around('hm', 1) + '))', 1) + ') GROUP BY ALL HAVING count(*) = 9)', 1)})",
+    "p12_historical_mask": "SELECT * FROM hm",
+    "p15_planning_footprint": f"SELECT DISTINCT * FROM ({around('(SELECT DISTINCT aoi_id, y // 4 AS y, x // 4 AS x FROM hm)', 1)}) WHERE y >= 0 AND x >= 0",
+    "p16_union_inside": "SELECT DISTINCT aoi_id, y, x FROM cl SEMI JOIN cells USING (aoi_id, y, x) WHERE code = 1 AND (year(month) < 1995 OR year(month) > 1996)",
+    "p17_coarsen": coarse(4),
+    "p18_mismatches": "SELECT cl.aoi_id, cl.month, count(*) AS n_shared, count(*) FILTER (code <> cb) AS n_mismatch FROM cl JOIN (SELECT aoi_id, month, y, x, max(code) AS cb FROM cd GROUP BY ALL) USING (aoi_id, month, y, x) WHERE code <> -2 AND cb <> -2 GROUP BY ALL",
+    "p20_active_windows": "SELECT DISTINCT aoi_id, (y // 4)::INT AS tile_y, (x // 4)::INT AS tile_x FROM st WHERE count_wet > 0",
+    "p21_grid_windows": "SELECT aoi_id, ty::INT AS tile_y, tx::INT AS tile_x, (ty * 6)::INT AS y0, least(ty * 6 + 6, h)::INT AS y1, (tx * 6)::INT AS x0, least(tx * 6 + 6, w)::INT AS x1 FROM (SELECT *, unnest(range(((w + 5) // 6)::BIGINT)) AS tx FROM (SELECT *, unnest(range(((h + 5) // 6)::BIGINT)) AS ty FROM (SELECT aoi_id, max(y) + 1 AS h, max(x) + 1 AS w FROM cells GROUP BY ALL)))",
+    "p22_plan_resolution": "SELECT aoi_id, res::INT AS res_m, round(area / (res * res) * 24 * 5 / 1e9, 6) AS peak_gb, round(100.0::DOUBLE * res * res / area, 6) AS floor_pp, CASE WHEN NOT fits THEN 'native_no_fit' WHEN 100.0::DOUBLE * res * res / area > 0.1 * amp THEN 'signal_veto_no_fit' WHEN res = 30 THEN 'ok' ELSE 'coarsened' END AS reason FROM (SELECT *, coalesce(list_filter([30, 60, 100, 150, 300], lambda r: area / (r * r) * 24 * 5 / 1e9 <= 0.05)[1], 300) AS res, len(list_filter([30, 60, 100, 150, 300], lambda r: area / (r * r) * 24 * 5 / 1e9 <= 0.05)) > 0 AS fits FROM (SELECT n_nationkey::INT AS aoi_id, power(3.0::DOUBLE, n_nationkey % 13 + 14) AS area, CASE WHEN n_nationkey % 3 > 0 THEN n_nationkey / 100.0::DOUBLE END AS amp FROM nation))",
+    "p32_scenes_by_year": "SELECT aoi_id, year(ts)::INT AS yr, count(DISTINCT sid) AS n_scenes, count(*) AS n_observations FROM ob GROUP BY ALL",
+    "p35_same_cells": "SELECT aoi_id, count(*) FILTER (b IS NULL) AS only_first, count(*) FILTER (a IS NULL) AS only_second FROM (SELECT *, 1 AS a FROM hm) FULL JOIN (SELECT aoi_id, y, x, 1 AS b FROM st WHERE count_wet > 0) USING (aoi_id, y, x) GROUP BY ALL",
+    "p36_tiles_in": "SELECT DISTINCT aoi_id, y // 4 AS tile_y, x // 4 AS tile_x FROM hm",
+    "p37_spans_tiles": "SELECT aoi_id, (min(y) // 64 <> max(y) // 64 OR min(x) // 64 <> max(x) // 64) AS spans_tiles FROM cells GROUP BY ALL",
+    "p38_containment": "SELECT aoi_id, month, count(*) AS n_outside FROM mj ANTI JOIN cells USING (aoi_id, y, x) WHERE code = 1 GROUP BY ALL",
+    "p39_differing": "SELECT aoi_id, month, count(*) AS n_pixels, count(*) FILTER (a.code IS DISTINCT FROM b.code) AS n_differing FROM cl a FULL JOIN (SELECT aoi_id, month, y, x, max(code)::INT AS code FROM cd WHERE code >= 0 GROUP BY ALL) b USING (aoi_id, month, y, x) GROUP BY ALL",
+    "p40_fidelity": " UNION ALL ".join(f"SELECT aoi_id, {f} AS factor, count(*) AS n_valid, count(*) FILTER (cl.code <> k.code) AS n_mismatch, round(1 - count(*) FILTER (cl.code <> k.code) / count(*)::DOUBLE, 6) AS fidelity FROM cl JOIN ({coarse(f)}) k USING (aoi_id, month) WHERE k.y = cl.y // {f} AND k.x = cl.x // {f} AND cl.code IN (0, 1) GROUP BY aoi_id" for f in (2, 4)),
+}.items():
+    add(n_, f"WITH {PIX} {sql_}")

@@ -30,9 +30,9 @@ def query(name: str) -> Callable[[Query], Query]:
     return put
 
 
-def prepared(s: SparkSession, d: str, by: str = "region", seasonal: bool = True, **options) -> DataFrame:
+def prepared(s: SparkSession, d: str, by: str = "region", seasonal: bool = True, floods: bool = False, **options) -> DataFrame:
     """The monthly records, kept in memory: small, and read by many steps of a query."""
-    return pr.prepare(src.monthly_counts(s, d, by=by, seasonal=seasonal), **options).cache()
+    return pr.prepare(src.monthly_counts(s, d, by=by, seasonal=seasonal, floods=floods), **options).cache()
 
 
 def rounded(df: DataFrame) -> DataFrame:
@@ -132,7 +132,7 @@ def _(s, d):
 
 
 def _events(s, d, m):
-    return prepared(s, d, "nation" if m == "quantile" else "region", m == "noise")
+    return prepared(s, d, "nation" if m == "quantile" else "region", False, floods=m == "noise")
 
 
 for _m in ("noise", "quantile"):
@@ -209,9 +209,9 @@ def _(s, d):
     return rounded(se.compare_rainfall(side(p), side(r)))
 
 
-@query("f2_climatology_windows")
+@query("f7_windows_around_peak")
 def _(s, d):
-    return fx.suggest_from_climatology(se.peak_of_climatology(prepared(s, d, "nation")))
+    return fx.around_peak(se.peak_of_climatology(prepared(s, d, "nation")))
 
 
 @query("f3_fixed_years")
@@ -288,36 +288,76 @@ def _(s, d):
 
 
 def _days(s, d):
-    return px.day_mosaic(src.observations(s, d)).select("month", "day", "y", "x", px.decode(F.col("raw")).alias("code"))
+    return px.day_mosaic(src.observations(s, d)).select("aoi_id", "month", "day", "y", "x", px.decode(F.col("raw")).alias("code"))
 
 
 def _monthly(s, d):
     return px.monthly_composite(_days(s, d))
 
 
+def _any(s, d):
+    return px.monthly_composite(_days(s, d), majority=False)
+
+
 def _mask(s, d):
-    return px.clip(_monthly(s, d), src.aoi_cells(s)).select("month", "y", "x", "code")
+    return px.clip(_monthly(s, d), src.aoi_cells(s, d)).select("aoi_id", "month", "y", "x", "code")
 
 
 def _wet(s, d):
     return px.ever_wet(px.statistics(_mask(s, d)))
 
 
+def _history(s, d):
+    return px.historical_mask(px.statistics(_mask(s, d)), src.aoi_cells(s, d))
+
+
+def _shapes(s, d):
+    return src.aoi_cells(s, d).groupBy("aoi_id").agg((F.max("y") + 1).alias("height"), (F.max("x") + 1).alias("width"))
+
+
+def _decades(s, d):
+    m = _mask(s, d)
+    return [px.ever_wet(px.statistics(m.where(c))) for c in ("year(month) < 1995", "year(month) > 1996")]
+
+
+def _fill(s, d):
+    cells = src.aoi_cells(s, d).where("y + x < 40")
+    return px.fill_inside(_monthly(s, d).withColumn("code", F.when(F.col("code") == 0, -2).otherwise(F.col("code"))), cells).select("aoi_id", "month", "y", "x", "code")
+
+
+def _areas(s, d):
+    k = F.col("n_nationkey")
+    return src.table(s, d, "nation").select(k.cast("int").alias("aoi_id"), F.pow(F.lit(3.0), k % 13 + 14).alias("area_m2"), F.when(k % 3 > 0, k / 100).alias("amplitude_pp"))
+
+
 QUERIES |= {
     "p1_decode": lambda s, d: _days(s, d),
     "p2_day_mosaic": lambda s, d: px.day_mosaic(src.observations(s, d)),
     "p3_monthly_composite": lambda s, d: _monthly(s, d),
-    "p3_any_wet_composite": lambda s, d: px.monthly_composite(_days(s, d), majority=False),
+    "p3_any_wet_composite": lambda s, d: _any(s, d),
     "p4_clip": lambda s, d: _mask(s, d),
+    "p5_fill_inside": lambda s, d: _fill(s, d),
     "p6_monthly_reduction": lambda s, d: rounded(px.monthly_reduction(_mask(s, d))),
-    "p7_sum_tiles": lambda s, d: rounded(px.sum_tiles(px.monthly_reduction(_mask(s, d).withColumn("tile", F.expr("y div 4")), ["month", "tile"]))),
-    "p33_complete_cube": lambda s, d: px.complete_cube(_monthly(s, d), src.aoi_cells(s)),
+    "p6_wet_area_reduction": lambda s, d: rounded(px.monthly_reduction(_mask(s, d), wet=_history(s, d))),
+    "p7_sum_tiles": lambda s, d: rounded(px.sum_tiles(px.monthly_reduction(_mask(s, d).withColumn("tile", F.expr("y div 4")), ["aoi_id", "month", "tile"]))),
+    "p8_unseen_months": lambda s, d: px.unseen_months(src.aoi_cells(s, d), "2000-03-15", "2001-02-28"),
+    "p33_complete_cube": lambda s, d: px.complete_cube(_monthly(s, d), src.aoi_cells(s, d)),
     "s16_statistics": lambda s, d: rounded(px.statistics(_mask(s, d))),
     "p10_ever_wet": lambda s, d: px.ever_wet(px.statistics(_mask(s, d)), 0.5),
-    "p12_historical_mask": lambda s, d: px.historical_mask(px.statistics(_mask(s, d)), src.aoi_cells(s)),
-    "p15_planning_footprint": lambda s, d: px.planning_footprint(px.historical_mask(px.statistics(_mask(s, d)), src.aoi_cells(s))),
+    "p11_wet_area": lambda s, d: px.wet_area(_history(s, d)),
+    "p12_historical_mask": lambda s, d: _history(s, d),
+    "p15_planning_footprint": lambda s, d: px.planning_footprint(_history(s, d)),
+    "p16_union_inside": lambda s, d: px.union_inside(_decades(s, d), src.aoi_cells(s, d)),
     "p17_coarsen": lambda s, d: px.coarsen(_mask(s, d), 4),
-    "p18_mismatches": lambda s, d: px.mismatches(_mask(s, d), px.monthly_composite(_days(s, d), majority=False)),
-    "p38_containment": lambda s, d: px.uncontained(_monthly(s, d), src.aoi_cells(s)),
+    "p18_mismatches": lambda s, d: px.mismatches(_mask(s, d), _any(s, d)),
     "p20_active_windows": lambda s, d: px.active_windows(_wet(s, d), 4),
+    "p21_grid_windows": lambda s, d: px.grid_windows(_shapes(s, d), 6),
+    "p22_plan_resolution": lambda s, d: rounded(px.plan_resolution(_areas(s, d), budget_gb=0.05)),
+    "p32_scenes_by_year": lambda s, d: px.scenes_by_year(src.observations(s, d)),
+    "p35_same_cells": lambda s, d: px.same_cells(_history(s, d), _wet(s, d)),
+    "p36_tiles_in": lambda s, d: px.tiles_in(px.active_windows(src.aoi_cells(s, d), 4), _history(s, d), 4),
+    "p37_spans_tiles": lambda s, d: px.spans_tiles(src.aoi_cells(s, d), 64),
+    "p38_containment": lambda s, d: px.uncontained(_monthly(s, d), src.aoi_cells(s, d)),
+    "p39_differing": lambda s, d: px.differing(_mask(s, d), px.monthly_composite(_days(s, d).where("code >= 0"), majority=False)),
+    "p40_fidelity": lambda s, d: rounded(px.fidelity(_mask(s, d), [2, 4])),
 }

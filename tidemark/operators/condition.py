@@ -82,7 +82,7 @@ def joint(recharge: Column, refuge: Column) -> Column:
     )
 
 
-def annual_condition(annual: DataFrame, *, mode: str = "full", start: int | None = None, end: int | None = None, noise: DataFrame | None = None, min_baseline: int = MIN_BASELINE) -> DataFrame:
+def annual_condition(annual: DataFrame, *, mode: str = "full", start: int | None = None, end: int | None = None, noise: DataFrame | None = None, min_baseline: int = MIN_BASELINE, low_variability: DataFrame | None = None) -> DataFrame:
     """Each year's peak (recharge) and low (refuge) against its baseline.
 
     ``annual``: aoi_id, hy_year, peak_extent_pct, trough_extent_pct, eligible (may serve in
@@ -90,6 +90,7 @@ def annual_condition(annual: DataFrame, *, mode: str = "full", start: int | None
     than five before them, are insufficient. With ``noise`` (aoi_id, noise_pp), low and high
     labels whose value lies within the noise of the baseline's median become ``typical_uncertain``
     in the qualified columns, and timing is of low confidence where the amplitude is under twice the noise.
+    Areas of ``low_variability`` (aoi_id) get no conditions: their years differ by nothing that could be named.
     """
     x = baselines(annual, ["peak_extent_pct", "trough_extent_pct"], mode=mode, start=start, end=end)
     if mode == "rolling":
@@ -102,6 +103,11 @@ def annual_condition(annual: DataFrame, *, mode: str = "full", start: int | None
         p = percentile_in("_ref", f"{k}_extent_pct", F.col(f"{k}_extent_pct"))
         x = x.withColumn(f"{k}_percentile", p).withColumn(f"{name}_condition", F.when(few, "insufficient_baseline").otherwise(label(F.col(f"{k}_percentile"))))
     x = x.withColumn("annual_condition", F.when(few, "insufficient_baseline").otherwise(joint(F.col("recharge_condition"), F.col("refuge_condition"))))
+    if low_variability is not None:
+        x = x.join(low_variability.select("aoi_id").distinct().withColumn("_flat", F.lit(True)), "aoi_id", "left")
+        for c in ("recharge_condition", "refuge_condition", "annual_condition"):
+            x = x.withColumn(c, F.when(F.col("_flat").isNotNull(), "not_applicable_low_variability").otherwise(F.col(c)))
+        x = x.drop("_flat")
     order = Window.partitionBy("aoi_id").orderBy("hy_year")
     for k in ("peak", "trough"):
         c = F.col(f"{k}_extent_pct")

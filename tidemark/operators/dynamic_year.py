@@ -126,8 +126,10 @@ def assemble(prepared: DataFrame, opportunities: DataFrame, *, secondary: bool =
 
 
 def detect(prepared: DataFrame, expected_trough_month: int | DataFrame, *, radius: int = 3) -> DataFrame:
-    scale = robust_scale(prepared)
-    return assemble(prepared, troughs(prepared, expected_trough_month, radius=radius, scale=scale), scale=scale)
+    # one row per area, and per area and year: kept, as many steps read them
+    scale = robust_scale(prepared).cache()
+    found = troughs(prepared, expected_trough_month, radius=radius, scale=scale).cache()
+    return assemble(prepared, found, scale=scale).cache()
 
 
 def secondary_extrema(prepared: DataFrame, annual: DataFrame) -> DataFrame:

@@ -82,7 +82,8 @@ def summary(marked: DataFrame, found: DataFrame, spells: DataFrame) -> DataFrame
 
 def extract(prepared: DataFrame, *, mode: str = "noise", min_event_months: int = 1, min_separation_months: int = 1, min_low_months: int = 2, **limits) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     """(events, low spells, summary, marked months) of prepared records."""
-    marked = states(prepared, thresholds(prepared, mode=mode, **limits))
-    found = events(marked, min_months=min_event_months, min_separation=min_separation_months)
-    spells = low_spells(marked, min_months=min_low_months)
+    # months, events and spells are read by several steps
+    marked = states(prepared, thresholds(prepared, mode=mode, **limits)).cache()
+    found = events(marked, min_months=min_event_months, min_separation=min_separation_months).cache()
+    spells = low_spells(marked, min_months=min_low_months).cache()
     return found, spells, summary(marked, found, spells), marked

@@ -241,6 +241,68 @@ count(*) FILTER (ac = 'dry_low_refuge') OVER (PARTITION BY aoi_id, gd ORDER BY h
 add("c6_annual_condition", condition("confidence <> 'low'", "b.hy_year <> a.hy_year", "'full'", "k < 4"))
 add("c2_rolling_condition", condition("true", "b.i < a.i AND a.i > 5 AND b.i >= a.i - 10", "CASE WHEN nb < 5 THEN 'insufficient' WHEN nb < 10 THEN 'expanding' ELSE 'rolling' END", "nb < 5"))
 
+add("f1_checked_windows", """WITH w AS (SELECT n_nationkey::INT AS aoi_id, (n_nationkey % 14)::INT AS wet_start, (n_nationkey % 9 + 1)::INT AS wet_len, (n_nationkey * 5 % 12 + 1)::INT AS dry_start, (n_nationkey % 7 + 1)::INT AS dry_len FROM nation), p AS (SELECT *, (dry_start - ((wet_start + wet_len - 2) % 12 + 1) - 1 + 24) % 12 + 1 AS gap FROM w)
+SELECT aoi_id, wet_start, wet_len, dry_start, dry_len, CASE WHEN wet_start NOT BETWEEN 1 AND 12 OR dry_start NOT BETWEEN 1 AND 12 THEN 'months and lengths lie between 1 and 12' WHEN gap = 12 THEN 'the dry window begins in the wet window''s last month' WHEN wet_len + gap - 1 + dry_len > 18 THEN 'windows span more than 18 months' END AS error FROM p""")
+add("f2_climatology_windows", f"""WITH {prep('nation', False)}, m AS (SELECT aoi_id, month(month)::INT AS k, avg(extent_pct) AS v FROM prep WHERE extent_pct IS NOT NULL GROUP BY ALL),
+a AS (SELECT aoi_id, avg(v) AS mean, arg_min(k, (-v, k)) AS p, arg_min(k, (v, k)) AS t FROM m GROUP BY ALL HAVING count(*) = 12),
+s AS (SELECT a.aoi_id, p, t, k, v > mean AS up FROM a JOIN m USING (aoi_id)),
+r AS (SELECT aoi_id, p, t, least(11, coalesce(min((k - p + 12) % 12) FILTER (k <> p AND NOT up) - 1, 11)) AS pf, coalesce(min((p - k + 12) % 12) FILTER (k <> p AND NOT up) - 1, 11) AS pb, least(11, coalesce(min((k - t + 12) % 12) FILTER (k <> t AND up) - 1, 11)) AS tf, coalesce(min((t - k + 12) % 12) FILTER (k <> t AND up) - 1, 11) AS tb FROM s GROUP BY ALL),
+q AS (SELECT aoi_id, p, t, (p - 1 - least(pb, 11 - pf) + 12) % 12 + 1 AS ws, pf + least(pb, 11 - pf) + 1 AS wl, (t - 1 - least(tb, 11 - tf) + 12) % 12 + 1 AS ds, tf + least(tb, 11 - tf) + 1 AS dl FROM r),
+z AS (SELECT *, (ws + wl - 2) % 12 + 1 = ds AS meets FROM q)
+SELECT aoi_id, p AS peak_month, t AS trough_month, ws::INT AS wet_start, wl::INT AS wet_len, (CASE WHEN meets THEN ds % 12 + 1 ELSE ds END)::INT AS dry_start, (CASE WHEN meets THEN CASE dl WHEN 1 THEN 12 ELSE dl - 1 END ELSE dl END)::INT AS dry_len FROM z""")
+_OWN = "yw AS (SELECT aoi_id, yr, (w1 - INTERVAL 5 MONTH)::DATE AS w0, w1, (w1 + INTERVAL 1 MONTH)::DATE AS d0, (w1 + INTERVAL 6 MONTH)::DATE AS d1 FROM (SELECT aoi_id, yr, make_date(yr, ((peak_month + 2) % 12 + 1)::INT, 1) AS w1 FROM pc JOIN (SELECT aoi_id, unnest(range(year(f), year(l) + 1))::INT AS yr FROM sp) USING (aoi_id))),\nwet AS"
+AROUND = FIXED[: FIXED.index("yw AS")] + _OWN + FIXED[FIXED.index("wet AS") + 6 :]
+add("f3_fixed_years_by_area", f"WITH {prep('nation', False)}, {PEAKCLIM}, {AROUND} SELECT * FROM fy")
+DN = f"WITH {prep('nation', False, 40)}, {dynamic()}"
+FROMDYN = "fd AS (SELECT aoi_id, hy_year, hy_start, hy_end, peak_month, peak_extent_pct, temporal_mid_dry_month AS mid_dry_month, trough_month AS end_dry_month, trough_extent_pct AS end_extent_pct, peak_extent_pct - trough_extent_pct AS amplitude_pct, cycle_months AS n_months_cycle, confidence, 'dynamic_trough' AS boundary_source FROM an WHERE status IN ('complete', 'partial') AND hy_start IS NOT NULL AND hy_end IS NOT NULL AND peak_month IS NOT NULL AND trough_month IS NOT NULL)"
+add("f9_from_dynamic", f"{DN}, {FROMDYN} SELECT {rounded('aoi_id hy_year hy_start hy_end peak_month mid_dry_month end_dry_month n_months_cycle confidence boundary_source', 'peak_extent_pct end_extent_pct amplitude_pct')} FROM fd")
+LEVELS = "lv AS (SELECT *, quantile_cont(CASE WHEN usable THEN extent_pct END, 0.5) OVER (PARTITION BY aoi_id, month(month)) AS level, CASE WHEN row_number() OVER o = 1 THEN extent_pct - extent_pct ELSE extent_pct - lag(extent_pct) OVER o END AS slope FROM prep WINDOW o AS (PARTITION BY aoi_id ORDER BY month))"
+CROSS = f"""{LEVELS},
+hc0 AS (SELECT a.*, l.month, l.extent_pct AS v, l.usable AND l.level IS NOT NULL AS seen, l.level, l.slope, s.noise_pp, pl.level AS plevel FROM an a JOIN lv l ON l.aoi_id = a.aoi_id AND l.month BETWEEN hy_start AND hy_end JOIN scale s ON s.aoi_id = a.aoi_id JOIN lv pl ON pl.aoi_id = a.aoi_id AND pl.month = a.peak_month WHERE a.status IN ('complete', 'partial')),
+hc1 AS (SELECT *, CASE WHEN peak_extent_pct - plevel > 0 THEN peak_extent_pct - plevel WHEN peak_extent_pct - trough_extent_pct > 0 THEN peak_extent_pct - trough_extent_pct ELSE greatest(noise_pp, 1e-6) END AS h FROM hc0),
+hc2 AS (SELECT *, min(CASE WHEN seen AND month > peak_month AND v <= level + 0.5 * h THEN month END) OVER (PARTITION BY aoi_id, hy_year) AS half FROM hc1),
+hcut AS (SELECT aoi_id, hy_year, any_value(hy_start) AS s, any_value(hy_end) AS e, any_value(peak_month) AS pm, any_value(status) AS st, any_value(boundary_status) AS bs, any_value(peak_selection_status) AS ps, coalesce(min(month) FILTER (seen AND month <= peak_month AND v >= level AND slope >= -noise_pp), any_value(peak_month)) AS wet_start, coalesce(any_value(half), (any_value(peak_month) + INTERVAL 1 MONTH)::DATE) AS half_start, any_value(half) IS NOT NULL AS half_seen, coalesce(min(month) FILTER (seen AND month > coalesce(half, (peak_month + INTERVAL 1 MONTH)::DATE) AND v <= level), any_value(hy_end)) AS dry_start FROM hc2 GROUP BY aoi_id, hy_year)"""
+add("h1_levels", f"WITH {prep('nation', False, 40)}, {LEVELS} SELECT aoi_id, month, round(level, 6) AS level, round(slope, 6) AS slope FROM lv")
+add("h2_crossings", f"{DN}, {CROSS} SELECT aoi_id, hy_year, wet_start, half_start, half_seen, dry_start FROM hcut")
+for by_, se_, tag in (("region", True, ""), ("nation", False, "_irregular")):
+    add(f"h4_phases{tag}", f"""WITH {prep(by_, se_, 40)}, {dynamic()}, {CROSS} SELECT p.aoi_id, p.month, coalesce(c.hy_year, o.hy_year)::INT AS hy_year, CASE WHEN c.hy_year IS NULL THEN 'unspecified' WHEN p.month = c.e THEN 'dry' WHEN p.month < wet_start THEN 'recovery' WHEN p.month < half_start THEN 'wet' WHEN p.month < dry_start THEN 'recession' ELSE 'dry' END AS phase,
+CASE WHEN c.hy_year IS NOT NULL THEN CASE WHEN NOT usable THEN 'unusable' WHEN st = 'complete' THEN 'ok' ELSE 'provisional' END WHEN o.hy_year IS NOT NULL THEN 'unresolved_cycle' ELSE 'outside_cycle' END AS phase_status,
+CASE WHEN c.hy_year IS NOT NULL THEN round(least(1, greatest(0, 0.55::DOUBLE + CASE WHEN bs = 'confirmed' THEN 0.2::DOUBLE ELSE 0 END + CASE WHEN half_seen THEN 0.1::DOUBLE ELSE 0 END + CASE WHEN ps = 'raw' THEN 0.1::DOUBLE ELSE 0 END - CASE WHEN NOT usable THEN 0.25::DOUBLE ELSE 0 END)), 6) END AS phase_confidence, 'rule_based' AS phase_method, 'robust_extrema' AS boundary_basis, round(extent_pct, 6) AS extent_pct, usable AS candidate_usable
+FROM prep p LEFT JOIN hcut c ON c.aoi_id = p.aoi_id AND p.month BETWEEN c.s AND c.e LEFT JOIN an o ON o.aoi_id = p.aoi_id AND o.status <> 'complete' AND p.month BETWEEN o.hy_start AND o.hy_end""")
+REG = "['seasonal', 'marginal', 'aseasonal', 'insufficient_record']"
+add("r14_divergence_rules", f"""WITH e AS (SELECT n_nationkey::INT AS k, {REG}[n_nationkey % 4 + 1] AS er, n_nationkey / 10.0::DOUBLE AS es, (n_nationkey * 7 % 12 + 1)::INT AS ep FROM nation), r AS (SELECT n_nationkey::INT AS k, {REG}[n_nationkey // 4 % 4 + 1] AS rr, n_nationkey / 5.0::DOUBLE AS rs, (n_nationkey * 5 % 12 + 1)::INT AS rp FROM nation WHERE n_nationkey % 6 <> 5),
+j AS (SELECT *, (ep - rp + 12) % 12 AS g FROM e LEFT JOIN r USING (k))
+SELECT k AS aoi_id, er AS extent_regime, es AS extent_snr, ep AS extent_peak, rr AS rain_regime, rs AS rain_snr, rp AS rain_peak, CASE WHEN er IN ('seasonal', 'marginal') AND rr IN ('seasonal', 'marginal') THEN CASE WHEN g > 6 THEN g - 12 ELSE g END END::INT AS lag_months,
+CASE WHEN rr IS NULL THEN 'no_rainfall' WHEN rr = 'insufficient_record' THEN 'rainfall_insufficient' WHEN er = 'insufficient_record' THEN 'extent_insufficient' WHEN er = rr THEN CASE er WHEN 'marginal' THEN 'partial' ELSE 'agree' END WHEN rr = 'seasonal' THEN 'extent_damped' WHEN rr = 'marginal' THEN CASE er WHEN 'aseasonal' THEN 'extent_damped' ELSE 'extent_more_seasonal' END ELSE 'extent_more_seasonal' END AS divergence FROM j""")
+add("r11_regime_rules", "WITH o AS (SELECT o_orderkey AS id, o_orderkey % 300 / 100.0::DOUBLE AS snr, o_orderkey % 11 / 10.0::DOUBLE AS ci, o_orderkey % 13 / 50.0::DOUBLE AS p, o_orderkey % 17 AS n FROM orders) SELECT id, CASE WHEN snr >= 2 AND ci >= 0.7 THEN 'seasonal' WHEN snr < 0.7 THEN 'aseasonal' WHEN p >= 0.1 AND n >= 10 THEN 'aseasonal' ELSE 'marginal' END AS regime FROM o")
+add("r13_route_rules", f"""WITH o AS (SELECT o_orderkey::BIGINT AS id, {REG}[o_orderkey % 4 + 1] AS r, CASE WHEN o_orderkey % 19 > 0 THEN o_orderkey % 11 / 10.0::DOUBLE END AS tc, o_orderkey % 7 / 40.0::DOUBLE AS pp, o_orderkey % 9 / 50.0::DOUBLE AS tp, o_orderkey % 10 / 10.0::DOUBLE AS pr, CASE WHEN o_orderkey % 23 > 0 THEN o_orderkey % 13 / 20.0::DOUBLE END AS tr FROM orders),
+g AS (SELECT id, r, r = 'seasonal' AND coalesce(tc >= 0.7, false) AS a, r = 'seasonal' OR (r = 'marginal' AND coalesce(pp < 0.1 AND tp < 0.1 AND pr >= 0.3 AND tr >= 0.3, false)) AS b FROM o)
+SELECT id, a AS supports_per_year, b AS supports_fixed_window, CASE WHEN r = 'insufficient_record' THEN 'insufficient_record' WHEN a THEN 'per_year_detection' WHEN b THEN 'fixed_climatological_window' ELSE 'event_characterisation' END AS route FROM g""")
+ALIGN = f"""{DN}, {FIXED},
+al AS (SELECT fy.aoi_id, hy_year AS event_id, end_dry_month AS truth_month, arg_min(o.low, (abs(o.low - end_dry_month), o.low)) AS actual_month FROM fy LEFT JOIN (SELECT aoi_id, trough_month AS low FROM opp WHERE trough_month IS NOT NULL) o ON o.aoi_id = fy.aoi_id AND o.low > fy.hy_start - INTERVAL 1 MONTH AND o.low <= fy.hy_end GROUP BY ALL),
+ad AS (SELECT *, (year(actual_month) * 12 + month(actual_month) - year(truth_month) * 12 - month(truth_month))::INT AS d FROM al)"""
+add("o5_aligned_events", f"{ALIGN} SELECT aoi_id, event_id, truth_month, actual_month, d AS delta_months FROM ad")
+add("o6_timing", f"{ALIGN} SELECT aoi_id, count(*) AS n_eligible, count(d) AS n_resolved, round(count(d) / count(*)::DOUBLE, 6) AS coverage, round(count(*) FILTER (abs(d) <= 1) / count(*)::DOUBLE, 6) AS within_1_month, round(avg(d), 6) AS signed_bias_months, round(avg(abs(d)), 6) AS resolved_mae_months, round(avg(coalesce(abs(d), 12)), 6) AS total_mae_months, round(quantile_cont(coalesce(abs(d), 12)::DOUBLE, 0.5), 6) AS median_abs_error_months, round(quantile_cont(coalesce(abs(d), 12)::DOUBLE, 0.9), 6) AS p90_abs_error_months, max(coalesce(abs(d), 12))::DOUBLE AS max_abs_error_months FROM ad GROUP BY aoi_id")
+OTHER = prep("region", False)
+for x_ in ("obs", "axis", "prep0", "prep1", "prep"):
+    for end_ in (" AS", " GROUP", " USING", ")", " LEFT", " WHERE"):
+        OTHER = OTHER.replace(f" {x_}{end_}", f" {x_}_{end_}").replace(f"\n{x_}{end_}", f"\n{x_}_{end_}")
+OTHER = OTHER.replace("obs AS", "obs_ AS", 1)
+add("o19_compare_series", f"WITH {prep()}, {OTHER}, j AS (SELECT a.aoi_id, a.month, a.extent_pct AS n, b.extent_pct AS c FROM prep a JOIN prep_ b USING (aoi_id, month) WHERE a.extent_pct IS NOT NULL AND b.extent_pct IS NOT NULL), k AS (SELECT aoi_id, count(*) AS n_months_compared, round(corr(n, c), 6) AS correlation, round(max(abs(n - c)), 6) AS max_abs_diff_extent_pct, round(avg(abs(n - c)), 6) AS mean_abs_diff_extent_pct, arg_min(month, (-n, month)) AS native_wet_month, arg_min(month, (n, month)) AS native_dry_month, arg_min(month, (-c, month)) AS coarse_wet_month, arg_min(month, (c, month)) AS coarse_dry_month FROM j GROUP BY aoi_id) SELECT *, native_wet_month = coarse_wet_month AS same_wet_month, native_dry_month = coarse_dry_month AS same_dry_month FROM k")
+EXPORT = f"{DN}, {FROMDYN}, {event_ctes('quantile')}"
+add("o8_hydro_years_export", f"{EXPORT} SELECT aoi_id, hy_year, hy_start AS start_date, hy_end AS end_date, n_months_cycle AS n_months, peak_month AS peak_date, round(peak_extent_pct, 6) AS peak_extent_pct, mid_dry_month AS mid_dry_date, end_dry_month AS trough_date, round(end_extent_pct, 6) AS trough_extent_pct, round(amplitude_pct, 6) AS amplitude_pct, confidence, boundary_source FROM fd")
+add("o8_wet_events_export", f"{EXPORT} SELECT aoi_id, event_id AS wet_event_id, start_month AS start_date, end_month AS end_date, duration_months, peak_month AS peak_date, peak_extent_pct, mean_extent_pct, magnitude_pp_months, baseline_extent_pct FROM ev")
+add("o8_low_spells_export", f"{EXPORT} SELECT aoi_id, low_spell_id, start_month AS start_date, end_month AS end_date, duration_months, baseline_extent_pct, min_extent_pct FROM ls")
+add("o7_monthly_export", f"""{EXPORT}, {RAIN}, mc AS (SELECT a.aoi_id, a.month, round(quantile_cont(b.extent_pct, 0.5), 6) AS reference_median_pct, CASE WHEN a.usable THEN round(a.extent_pct - quantile_cont(b.extent_pct, 0.5), 6) END AS anomaly_pct, CASE WHEN a.usable THEN round(100.0::DOUBLE * (count(*) FILTER (b.extent_pct < a.extent_pct) + 0.5::DOUBLE * count(*) FILTER (b.extent_pct = a.extent_pct)) / nullif(count(b.extent_pct), 0), 6) END AS condition_percentile FROM prep a LEFT JOIN prep b ON a.aoi_id = b.aoi_id AND month(a.month) = month(b.month) AND a.month <> b.month AND b.usable GROUP BY a.aoi_id, a.month, a.extent_pct, a.usable),
+ra AS (SELECT p.aoi_id, p.month, rainfall_mm, round(rainfall_mm - quantile_cont(rainfall_mm, 0.5) OVER (PARTITION BY p.aoi_id, month(p.month)), 6) AS rainfall_anomaly_mm FROM prep p LEFT JOIN rain r USING (aoi_id, month)),
+iy AS (SELECT p.aoi_id, p.month, min(hy_year) AS hy_year, bool_or(fd.peak_month = p.month) AS is_peak, bool_or(fd.end_dry_month = p.month) AS is_trough FROM prep p JOIN fd ON fd.aoi_id = p.aoi_id AND p.month BETWEEN hy_start AND hy_end GROUP BY p.aoi_id, p.month),
+ie AS (SELECT p.aoi_id, p.month, min(event_id) AS wet_event_id FROM prep p JOIN ev ON ev.aoi_id = p.aoi_id AND p.month BETWEEN start_month AND end_month GROUP BY p.aoi_id, p.month),
+il AS (SELECT p.aoi_id, p.month, min(low_spell_id) AS low_spell_id FROM prep p JOIN ls ON ls.aoi_id = p.aoi_id AND p.month BETWEEN start_month AND end_month GROUP BY p.aoi_id, p.month)
+SELECT p.aoi_id, p.month, round(p.extent_pct, 6) AS extent_pct, round(p.invalid_pct, 6) AS invalid_pct, p.quality_state, p.usable AS candidate_usable, reference_median_pct, anomaly_pct, condition_percentile, hy_year, coalesce(is_peak, false) AS is_peak, coalesce(is_trough, false) AS is_trough, wet_event_id, low_spell_id, round(rainfall_mm, 6) AS rainfall_mm, rainfall_anomaly_mm
+FROM prep p JOIN mc USING (aoi_id, month) JOIN ra USING (aoi_id, month) LEFT JOIN iy USING (aoi_id, month) LEFT JOIN ie USING (aoi_id, month) LEFT JOIN il USING (aoi_id, month)""")
+_FLAT = ", ".join(f"CASE WHEN aoi_id % 5 = 0 THEN 'not_applicable_low_variability' ELSE {x} END AS {x}" for x in ("recharge_condition", "refuge_condition", "annual_condition"))
+add("c3_low_variability", f"SELECT aoi_id, hy_year, {_FLAT} FROM ({ORACLES['c6_annual_condition']})")
+
 PIX = """ob AS (SELECT (l_suppkey % 5)::INT AS aoi_id, date_trunc('month', l_shipdate)::DATE AS month, l_shipdate AS ts, l_orderkey AS sid, l_linenumber AS part, (l_partkey % 16)::INT AS y, (l_partkey // 16)::INT AS x, CASE WHEN l_returnflag = 'R' THEN 128 WHEN l_returnflag = 'A' THEN 0 WHEN l_linenumber % 2 = 1 THEN 1 ELSE 64 END AS raw FROM lineitem),
 dm AS (SELECT aoi_id, month, ts::DATE AS day, y, x, arg_min(raw, ((raw & 1)::INT, ts, sid, part)) AS raw FROM ob GROUP BY ALL),
 cd AS (SELECT aoi_id, month, day, y, x, CASE WHEN raw & 1 = 1 THEN -1 WHEN raw = 128 THEN 1 WHEN raw = 0 THEN 0 ELSE -1 END AS code FROM dm),

@@ -4,18 +4,22 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions.columns import r6
 from .operators import condition as co
 from .operators import dynamic_year as dy
+from .operators import evaluate as va
 from .operators import events as ev
 from .operators import fixed_year as fx
+from .operators import phase as ph
 from .operators import pixels as px
 from .operators import prepare as pr
 from .operators import scale as sc
 from .operators import season as se
+from .plans import exports as ex
+from .plans import routing as ro
 from .sources import tables as src
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -287,6 +291,146 @@ def _(s, d):
     return rounded(co.annual_condition(_fixed_annual(s, d).withColumn("eligible", F.lit(True)), mode="rolling"))
 
 
+@query("f1_checked_windows")
+def _(s, d):
+    k = F.col("n_nationkey")
+    w = src.table(s, d, "nation").select(k.cast("int").alias("aoi_id"), (k % 14).cast("int").alias("wet_start"), (k % 9 + 1).cast("int").alias("wet_len"), (k * 5 % 12 + 1).cast("int").alias("dry_start"), (k % 7 + 1).cast("int").alias("dry_len"))
+    return fx.checked(w)
+
+
+@query("f2_climatology_windows")
+def _(s, d):
+    return fx.from_climatology(prepared(s, d, "nation", False))
+
+
+@query("f3_fixed_years_by_area")
+def _(s, d):
+    p = prepared(s, d, "nation", False)
+    return fx.detect(p, fx.around_peak(se.peak_of_climatology(p)).drop("peak_month"))
+
+
+@query("f9_from_dynamic")
+def _(s, d):
+    return rounded(fx.from_dynamic(_annual(s, d, "_irregular")[1]))
+
+
+def _phased(s, d, tag):
+    p, a = _annual(s, d, tag)
+    return p, a, sc.robust_scale(p).select("aoi_id", "noise_pp")
+
+
+@query("h1_levels")
+def _(s, d):
+    return rounded(ph.levels(prepared(s, d, "nation", False, max_invalid_pct=40)).select("aoi_id", "month", "level", "slope"))
+
+
+@query("h2_crossings")
+def _(s, d):
+    return ph.crossings(*_phased(s, d, "_irregular")).select("aoi_id", "hy_year", "wet_start", "half_start", "half_seen", "dry_start")
+
+
+for _tag in ("", "_irregular"):
+    QUERIES[f"h4_phases{_tag}"] = lambda s, d, t=_tag: rounded(ph.assign(*_phased(s, d, t)))
+
+
+_REGIMES = ("seasonal", "marginal", "aseasonal", "insufficient_record")
+
+
+def _one_of(names: tuple[str, ...], k: Column) -> Column:
+    return F.element_at(F.array(*[F.lit(x) for x in names]), (k % len(names) + 1).cast("int"))
+
+
+@query("r14_divergence_rules")
+def _(s, d):
+    k = F.col("n_nationkey")
+    n = src.table(s, d, "nation")
+    e = n.select(k.cast("int").alias("aoi_id"), _one_of(_REGIMES, k).alias("regime"), (k / 10.0).alias("snr"), (k * 7 % 12 + 1).cast("int").alias("peak_month"))
+    r = n.where("n_nationkey % 6 <> 5").select(k.cast("int").alias("aoi_id"), _one_of(_REGIMES, F.expr("n_nationkey div 4")).alias("regime"), (k / 5.0).alias("snr"), (k * 5 % 12 + 1).cast("int").alias("peak_month"))
+    return se.compare_rainfall(e, r)
+
+
+@query("r11_regime_rules")
+def _(s, d):
+    k = F.col("o_orderkey")
+    return src.table(s, d, "orders").select(k.alias("id"), se.regime_label(k % 300 / 100, k % 11 / 10, k % 13 / 50, k % 17).alias("regime"))
+
+
+@query("r13_route_rules")
+def _(s, d):
+    k = F.col("o_orderkey")
+    o = src.table(s, d, "orders").select(k.cast("long").alias("id"), _one_of(_REGIMES, k).alias("regime"), F.when(k % 19 > 0, k % 11 / 10).alias("trough_ci_low"), (k % 7 / 40).alias("peak_uniformity_p"), (k % 9 / 50).alias("trough_uniformity_p"), (k % 10 / 10).alias("peak_concentration"), F.when(k % 23 > 0, k % 13 / 20).alias("trough_concentration"))
+    return se.gates(o).select("id", "supports_per_year", "supports_fixed_window", "route")
+
+
+def _known(s, d):
+    """Fixed years as known events, with the dynamic lows to be judged by them."""
+    p, a = _annual(s, d, "_irregular")
+    truth = fx.detect(p).select("aoi_id", F.col("hy_year").alias("event_id"), F.col("end_dry_month").alias("truth_month"), F.add_months("hy_start", -1).alias("interval_start"), F.col("hy_end").alias("interval_end"))
+    return va.align(truth, a.select("aoi_id", F.col("trough_month").alias("actual_month")))
+
+
+@query("o5_aligned_events")
+def _(s, d):
+    return _known(s, d).withColumn("delta_months", va.month_delta("actual_month", "truth_month"))
+
+
+@query("o6_timing")
+def _(s, d):
+    return rounded(va.timing(_known(s, d)))
+
+
+@query("o19_compare_series")
+def _(s, d):
+    return rounded(va.compare_series(prepared(s, d, "region", True), prepared(s, d, "region", False)))
+
+
+def _export(s, d):
+    p = prepared(s, d, "nation", False, max_invalid_pct=40)
+    found, spells, _, _ = ev.extract(p, mode="quantile")
+    return p, found, spells
+
+
+@query("o7_monthly_export")
+def _(s, d):
+    p, found, spells = _export(s, d)
+    return rounded(ex.monthly(p, fx.from_dynamic(dy.detect(p, 9)), found, spells, rainfall=pr.align_rainfall(p, src.rainfall(s, d))))
+
+
+@query("o8_hydro_years_export")
+def _(s, d):
+    return rounded(ex.hydro_years(fx.from_dynamic(_annual(s, d, "_irregular")[1])))
+
+
+@query("o8_wet_events_export")
+def _(s, d):
+    return ex.wet_events(_export(s, d)[1])
+
+
+@query("o8_low_spells_export")
+def _(s, d):
+    return ex.low_spells(_export(s, d)[2])
+
+
+@query("o1_years_by_route")
+def _(s, d):
+    """Routes dealt to areas in turn, so that all of them occur."""
+    p = prepared(s, d, "nation", False, max_invalid_pct=40)
+    routes = se.peak_of_climatology(p).withColumn("route", _one_of(("per_year_detection", "fixed_climatological_window", "event_characterisation"), F.col("aoi_id"))).cache()
+    years = ro.by_route(p, routes, max_invalid_pct=40)[0]
+    return rounded(years.select("aoi_id", "hy_year", "hy_start", "hy_end", "peak_month", "end_dry_month", "amplitude_pct", "n_months_cycle", "boundary_source", "boundary_basis"))
+
+
+@query("o3_summary_rows")
+def _(s, d):
+    return ro.summary_rows(ro.analyse(prepared(s, d)))
+
+
+@query("c3_low_variability")
+def _(s, d):
+    flat = src.table(s, d, "nation").where("n_nationkey % 5 = 0").select(F.col("n_nationkey").cast("int").alias("aoi_id"))
+    return co.annual_condition(_fixed_annual(s, d), min_baseline=4, low_variability=flat).select("aoi_id", "hy_year", "recharge_condition", "refuge_condition", "annual_condition")
+
+
 def _days(s, d):
     return px.day_mosaic(src.observations(s, d)).select("aoi_id", "month", "day", "y", "x", px.decode(F.col("raw")).alias("code"))
 

@@ -1,33 +1,41 @@
-"""Conditions of years with known answers."""
+"""Conditions of years whose ranks are plain to see."""
 
 import pytest
 
 from tidemark.operators import condition, prepare
 
+#: Ranks of the lows of fifteen years; peaks rise year by year.
+LOW_RANKS = [0, 13, 5, 2, 3, 4, 6, 7, 8, 9, 10, 11, 12, 1, 14]
 
-def years(spark, n=12):
-    lows = [1.0, 12.0, *[float(i) for i in range(3, 11)], 2.0, 11.0][:n]
-    return spark.createDataFrame([(1, 2000 + i, 10.0 * (i + 1), lows[i], True) for i in range(n)], "aoi_id int, hy_year int, peak_extent_pct double, trough_extent_pct double, eligible boolean")
 
+def years(spark, n=15):
+    rows = [(1, 2001 + i, 20.0 + 4 * i, 0.5 * LOW_RANKS[i], True) for i in range(n)]
+    return spark.createDataFrame(rows, "aoi_id int, hy_year int, peak_extent_pct double, trough_extent_pct double, eligible boolean")
 
-def test_joint_names(spark):
-    noise = spark.createDataFrame([(1, 200.0)], "aoi_id int, noise_pp double")
+
+def test_names_of_extremes(spark):
+    noise = spark.createDataFrame([(1, 60.0)], "aoi_id int, noise_pp double")
     got = {r.hy_year: r for r in condition.annual_condition(years(spark), noise=noise).collect()}
-    assert [got[y].annual_condition for y in (2000, 2001, 2005, 2010, 2011)] == ["dry_low_refuge", "buffered_low_recharge", "typical_or_mixed", "recharged_then_contracting", "wet_persistent"]
-    assert (got[2000].peak_percentile, got[2011].peak_percentile) == (0.0, 100.0)
-    assert (got[2000].consecutive_dry_cycles, got[2001].consecutive_dry_cycles, got[2011].consecutive_wet_cycles) == (1, 0, 1)
-    assert got[2000].recharge_condition_qualified == "typical_uncertain" and got[2000].timing_confidence == "low"
+    assert {y: got[y].annual_condition for y in (2001, 2002, 2003, 2014, 2015)} == {2001: "dry_low_refuge", 2002: "buffered_low_recharge", 2003: "typical_or_mixed", 2014: "recharged_then_contracting", 2015: "wet_persistent"}
+    assert got[2003].peak_percentile == pytest.approx(200 / 14) and got[2002].trough_percentile == pytest.approx(1300 / 14)
+    assert [got[y].consecutive_dry_cycles for y in (2001, 2002)] == [1, 0] and got[2015].consecutive_wet_cycles == 1
+    assert got[2015].recharge_condition_qualified == "typical_uncertain" and got[2015].timing_confidence == "low"
+
+
+def test_baselines_before_each_year(spark):
+    got = [(r.baseline_mode, r.n_baseline) for r in condition.annual_condition(years(spark, 13), mode="rolling").orderBy("hy_year").collect()]
+    assert [m for m, _ in got] == ["insufficient"] * 5 + ["expanding"] * 5 + ["rolling"] * 3 and [n for _, n in got[5:]] == [5, 6, 7, 8, 9, 10, 10, 10]
 
 
-def test_rolling_baselines_grow_to_ten(spark):
-    got = {r.hy_year: r for r in condition.annual_condition(years(spark), mode="rolling").collect()}
-    assert [(got[y].baseline_mode, got[y].n_baseline) for y in (2000, 2004, 2005, 2009, 2010, 2011)] == [("insufficient", 0), ("insufficient", 0), ("expanding", 5), ("expanding", 9), ("rolling", 10), ("rolling", 10)]
+def test_too_few_years(spark):
+    assert {r.annual_condition for r in condition.annual_condition(years(spark, 6)).collect()} == {"insufficient_baseline"}
 
 
-def test_few_years_are_insufficient(spark):
-    assert {r.annual_condition for r in condition.annual_condition(years(spark, 4)).collect()} == {"insufficient_baseline"}
+def test_areas_of_low_variability_get_no_names(spark):
+    got = condition.annual_condition(years(spark), low_variability=spark.createDataFrame([(1,)], "aoi_id int")).select("annual_condition").distinct().collect()
+    assert [r[0] for r in got] == ["not_applicable_low_variability"]
 
 
-def test_reference_interval_needs_both_ends(spark):
-    with pytest.raises(ValueError, match="both"):
-        condition.monthly_condition(prepare.prepare(spark.createDataFrame([], "aoi_id int, month date, extent_pct double, invalid_pct double")), reference_start="2000-01-01")
+def test_half_an_interval_is_refused(spark):
+    with pytest.raises(ValueError):
+        condition.monthly_condition(prepare.prepare(spark.createDataFrame([], "aoi_id int, month date, extent_pct double, invalid_pct double")), reference_end="2009-12-01")

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import first_min, median, month_number, r6
+from ..functions.lineage import cut
 from .scale import epsilon, robust_scale
 
 #: Boundary thresholds, fixed values.
@@ -126,10 +127,10 @@ def assemble(prepared: DataFrame, opportunities: DataFrame, *, secondary: bool =
 
 
 def detect(prepared: DataFrame, expected_trough_month: int | DataFrame, *, radius: int = 3) -> DataFrame:
-    # one row per area, and per area and year: kept, as many steps read them
-    scale = robust_scale(prepared).cache()
-    found = troughs(prepared, expected_trough_month, radius=radius, scale=scale).cache()
-    return assemble(prepared, found, scale=scale).cache()
+    # one row per area, and per area and year, that many steps read
+    scale = cut(robust_scale(prepared))
+    found = cut(troughs(prepared, expected_trough_month, radius=radius, scale=scale))
+    return cut(assemble(prepared, found, scale=scale))
 
 
 def secondary_extrema(prepared: DataFrame, annual: DataFrame) -> DataFrame:

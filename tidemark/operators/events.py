@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import first_max, median, quantile, r6
+from ..functions.lineage import cut
 from .scale import in_order, noise_floor
 
 DEGENERATE = 0.01
@@ -83,7 +84,7 @@ def summary(marked: DataFrame, found: DataFrame, spells: DataFrame) -> DataFrame
 def extract(prepared: DataFrame, *, mode: str = "noise", min_event_months: int = 1, min_separation_months: int = 1, min_low_months: int = 2, **limits) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     """(events, low spells, summary, marked months) of prepared records."""
     # months, events and spells are read by several steps
-    marked = states(prepared, thresholds(prepared, mode=mode, **limits)).cache()
-    found = events(marked, min_months=min_event_months, min_separation=min_separation_months).cache()
-    spells = low_spells(marked, min_months=min_low_months).cache()
+    marked = cut(states(prepared, thresholds(prepared, mode=mode, **limits)))
+    found = cut(events(marked, min_months=min_event_months, min_separation=min_separation_months))
+    spells = cut(low_spells(marked, min_months=min_low_months))
     return found, spells, summary(marked, found, spells), marked

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import median
+from ..functions.lineage import cut
 
 #: What confidence starts from, and what is added or taken off; fixed values.
 BASE, CONFIRMED, HALF_LOST, RAW_PEAK, UNUSABLE = 0.55, 0.20, 0.10, 0.10, -0.25
@@ -49,10 +50,10 @@ def crossings(prepared: DataFrame, years: DataFrame, noise: DataFrame) -> DataFr
 
 def assign(prepared: DataFrame, years: DataFrame, noise: DataFrame, *, boundary_basis: str = "robust_extrema") -> DataFrame:
     """Every month's phase: recovery, wet, recession, dry within the years that have a peak; unspecified elsewhere, with a status that says why."""
-    cut = crossings(prepared, years, noise)
+    cuts = cut(crossings(prepared, years, noise))
     rest = years.where("status <> 'complete' AND hy_start IS NOT NULL AND hy_end IS NOT NULL").select(F.col("aoi_id").alias("_b"), F.col("hy_year").alias("_open"), F.col("hy_start").alias("_s"), F.col("hy_end").alias("_e"))
     own = prepared.select("aoi_id", "month", "extent_pct", "candidate_usable")
-    j = own.join(cut.withColumnRenamed("aoi_id", "_a"), (F.col("aoi_id") == F.col("_a")) & F.col("month").between(F.col("hy_start"), F.col("hy_end")), "left")
+    j = own.join(cuts.withColumnRenamed("aoi_id", "_a"), (F.col("aoi_id") == F.col("_a")) & F.col("month").between(F.col("hy_start"), F.col("hy_end")), "left")
     j = j.join(rest, (F.col("aoi_id") == F.col("_b")) & F.col("month").between(F.col("_s"), F.col("_e")), "left")
     m, cycle = F.col("month"), F.col("hy_year").isNotNull()
     phase = F.when(~cycle, "unspecified").when(m == F.col("hy_end"), "dry").when(m < F.col("wet_start"), "recovery").when(m < F.col("half_start"), "wet").when(m < F.col("dry_start"), "recession").otherwise("dry")

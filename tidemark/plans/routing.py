@@ -7,6 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.lineage import cut
 from ..operators import dynamic_year, events, fixed_year, phase, scale, season
 
 #: The columns that the years of both routes share.
@@ -28,14 +29,14 @@ class Analysis:
 def by_route(prepared: DataFrame, regimes: DataFrame, *, max_invalid_pct: float = 20.0) -> tuple[DataFrame, DataFrame]:
     """(years, phases): own boundaries each year, one window around the usual peak, or none, as ``regimes`` (aoi_id, route, peak_month, trough_month) says."""
     some = lambda route: regimes.where(F.col("route") == route)
-    own = prepared.join(some("per_year_detection").select("aoi_id"), "aoi_id", "left_semi")
-    fixed = prepared.join(some("fixed_climatological_window").select("aoi_id"), "aoi_id", "left_semi")
+    own = cut(prepared.join(some("per_year_detection").select("aoi_id"), "aoi_id", "left_semi"))
+    fixed = cut(prepared.join(some("fixed_climatological_window").select("aoi_id"), "aoi_id", "left_semi"))
     annual = dynamic_year.detect(own, some("per_year_detection").select("aoi_id", "trough_month"))
     window = fixed_year.around_peak(some("fixed_climatological_window").select("aoi_id", "peak_month")).drop("peak_month")
-    imposed = fixed_year.annotate_quality(fixed_year.detect(fixed, window), fixed, max_invalid_pct=max_invalid_pct)
+    imposed = cut(fixed_year.annotate_quality(fixed_year.detect(fixed, window), fixed, max_invalid_pct=max_invalid_pct))
     years = fixed_year.from_dynamic(annual).select(*YEARS, F.lit("detected_per_year").alias("boundary_basis")).unionByName(imposed.select(*YEARS, "boundary_basis"))
     same = imposed.select("aoi_id", "hy_year", "hy_start", "hy_end", "peak_month", "peak_extent_pct", F.col("end_extent_pct").alias("trough_extent_pct"), "status", "boundary_status", F.lit(None).cast("string").alias("peak_selection_status"))
-    noise = scale.robust_scale(prepared).select("aoi_id", "noise_pp")
+    noise = cut(scale.robust_scale(prepared).select("aoi_id", "noise_pp"))
     phases = phase.assign(own, annual, noise).unionByName(phase.assign(fixed, same, noise, boundary_basis="imposed_fixed_window"))
     return years, phases
 
@@ -45,7 +46,7 @@ def analyse(prepared: DataFrame, *, n_resamples: int = 200, seed: int = 0, max_i
     found, spells, summary, _ = events.extract(prepared)
     regimes = season.assess(prepared, n_resamples=n_resamples, seed=seed).join(season.peak_of_climatology(prepared), "aoi_id", "left")
     cyclic = F.col("regime").isin("seasonal", "marginal")
-    regimes = regimes.withColumn("peak_month", F.when(cyclic, F.col("peak_month"))).withColumn("trough_month", F.when(cyclic, F.col("trough_month"))).cache()
+    regimes = cut(regimes.withColumn("peak_month", F.when(cyclic, F.col("peak_month"))).withColumn("trough_month", F.when(cyclic, F.col("trough_month"))))
     years, phases = by_route(prepared, regimes, max_invalid_pct=max_invalid_pct)
     return Analysis(regimes, years, found, spells, summary, phases)
 

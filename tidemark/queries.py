@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions.columns import r6
+from .functions.lineage import cut
 from .operators import condition as co
 from .operators import dynamic_year as dy
 from .operators import evaluate as va
@@ -35,8 +36,8 @@ def query(name: str) -> Callable[[Query], Query]:
 
 
 def prepared(s: SparkSession, d: str, by: str = "region", seasonal: bool = True, floods: bool = False, **options) -> DataFrame:
-    """The monthly records, kept in memory: small, and read by many steps of a query."""
-    return pr.prepare(src.monthly_counts(s, d, by=by, seasonal=seasonal, floods=floods), **options).cache()
+    """The monthly records, written once: small, and read by many steps of a query."""
+    return cut(pr.prepare(src.monthly_counts(s, d, by=by, seasonal=seasonal, floods=floods), **options))
 
 
 def rounded(df: DataFrame) -> DataFrame:
@@ -415,7 +416,7 @@ def _(s, d):
 def _(s, d):
     """Routes dealt to areas in turn, so that all of them occur."""
     p = prepared(s, d, "nation", False, max_invalid_pct=40)
-    routes = se.peak_of_climatology(p).withColumn("route", _one_of(("per_year_detection", "fixed_climatological_window", "event_characterisation"), F.col("aoi_id"))).cache()
+    routes = cut(se.peak_of_climatology(p).withColumn("route", _one_of(("per_year_detection", "fixed_climatological_window", "event_characterisation"), F.col("aoi_id"))))
     years = ro.by_route(p, routes, max_invalid_pct=40)[0]
     return rounded(years.select("aoi_id", "hy_year", "hy_start", "hy_end", "peak_month", "end_dry_month", "amplitude_pct", "n_months_cycle", "boundary_source", "boundary_basis"))
 

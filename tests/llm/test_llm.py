@@ -393,3 +393,27 @@ def test_pii_base_by_re(spark):
         want[i, hashlib.sha256(",".join(s for _, _, s in sorted(spans)).encode()).hexdigest()] += 1
     got = collections.Counter((r.doc_id, r.base_sha256) for r in pii.digest(pii.find_spans(spark.createDataFrame(rows, "doc_id long, text string"))).collect())
     assert got == want
+
+
+def test_pipeline_end_to_end(spark, tmp_path):
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    rng = random.Random(12)
+    letters = {"en": "etaoinshrdlu", "fr": "esaitnrulodcé"}
+    parts = {x: ["".join(rng.choice(a) for _ in range(rng.randint(2, 4))) for _ in range(150)] for x, a in letters.items()}
+    say = lambda x, n: " ".join(rng.choice(parts[x]) + rng.choice(parts[x]) for _ in range(n))
+    rows = [(i, say(("en", "fr")[i % 2], 120) + "\n" + say(("en", "fr")[i % 2], 30), ("en", "fr")[i % 2], f"s{i % 3}", 0) for i in range(160)]
+    common = say("en", 12)
+    rows += [(200 + i, say("en", 90) + "\n" + common, "en", "s0", 0) for i in range(6)]  # a line in several documents
+    near = say("en", 200).split(" ")
+    rows += [(300 + i, " ".join([*near[: 50 + 20 * i], "other", *near[51 + 20 * i :]]), "en", "s1", 0) for i in range(3)]  # words changed: lines of over 0.9, so the first stays
+    rows += [(400, "12 345 !", "en", "s1", 0), (401, None, None, None, None), (402, "", "en", "s2", 0)]
+    (tmp_path / "d").mkdir()
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "d" / "documents.parquet"))
+    got = {r.doc_id: r for r in corpus_pipeline.run(spark, str(tmp_path / "d")).collect()}
+    assert [n for n, _ in corpus_pipeline.STAGES] == ["language", "lines", "near", "mixed", "tokens"]
+    assert set(got) == {*range(160), *range(200, 206), 300} and all(r.round_trip for r in got.values())
+    assert all(got[i].lang == ("en", "fr")[i % 2] for i in range(160))
+    assert len({(r.slot, r.pos_in_block) for r in got.values()}) == len(got)
+    docs = spark.read.parquet(str(tmp_path / "d" / "documents.parquet"))
+    kept = {r.doc_id: r.text for r in corpus_pipeline.lines(spark, docs, "").collect()}
+    assert kept[200].endswith(common) and all(kept[i] == rows[160 + i - 200][1].split("\n")[0] for i in range(201, 206)) and all(kept[i] == rows[i][1] for i in range(160))

@@ -4,6 +4,7 @@ import collections
 import hashlib
 import itertools
 import math
+import os
 import random
 import re
 import zlib
@@ -417,3 +418,32 @@ def test_pipeline_end_to_end(spark, tmp_path):
     docs = spark.read.parquet(str(tmp_path / "d" / "documents.parquet"))
     kept = {r.doc_id: r.text for r in corpus_pipeline.lines(spark, docs, "").collect()}
     assert kept[200].endswith(common) and all(kept[i] == rows[160 + i - 200][1].split("\n")[0] for i in range(201, 206)) and all(kept[i] == rows[i][1] for i in range(160))
+
+
+def test_lines_of_documents_by_brute_force(spark):
+    path = "/root/testdata/sf0.01/documents.parquet"
+    if not os.path.exists(path):
+        pytest.skip("no documents")
+    texts = [r.text for r in spark.read.parquet(path).select("text").collect()]
+    lines = sorted({x for t in texts if t for x in (linedup._normal_bytes(y.encode()).decode() for y in t.split("\n")) if 9 <= len(x) <= 3000}, key=lambda x: (len(x), x))
+    n = np.array([len(x) for x in lines])
+    counts = np.zeros((len(lines), 128), dtype=np.int16)
+    for i, x in enumerate(lines):
+        counts[i] = np.bincount(np.frombuffer(x.encode("utf-32-le"), dtype=np.uint32) % 128, minlength=128)
+    pairs = []
+    for i in range(len(lines)):
+        to = int(np.searchsorted(n, int(n[i] / 0.9 + 1e-6), side="right"))
+        # an edit changes the counts of characters by two at most
+        near = np.abs(counts[i + 1 : to] - counts[i]).sum(axis=1) <= 2 * np.floor(0.1 * n[i + 1 : to] + 1e-9)
+        pairs += [(i, i + 1 + j) for j in np.flatnonzero(near).tolist()]
+    links = []
+    for at in range(0, len(pairs), 8192):
+        some = [p for p in pairs[at : at + 8192]]
+        xs, ys = [lines[i] for i, _ in some], [lines[j] for _, j in some]
+        most = np.array([math.floor(0.1 * len(y) + 1e-9) for y in ys])
+        open_ = np.flatnonzero(~linedup._far(xs, ys, most))
+        good = open_[linedup.within([xs[k] for k in open_], [ys[k] for k in open_], most[open_])]
+        links += [some[k] for k in good]
+    want = components_of(links)
+    got = {r.doc_id for r in linedup.dedup_lines(spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")).where("n_removed = 1").collect()}
+    assert len(want) > 50 and not got - set(want) and len(got) >= 0.98 * len(want)

@@ -116,6 +116,40 @@ def test_pii(spark):
     assert found[1].spans == "" == found[2].spans
 
 
+def test_pii_classifier_learns_from_text(spark):
+    """Where the labelers are silent, words seen with their votes decide: held-out numbers without any cue."""
+    rng = random.Random(4)
+    number = lambda: f"{rng.randrange(200, 999)} {rng.randrange(200, 999)} {rng.randrange(1000, 9999)}"
+    rows = []
+    for _ in range(150):
+        rows.append((len(rows), f"please reach me by phone {number()} today", None))
+        rows.append((len(rows), f"warehouse stock item order {number()} shipped", None))
+    for _ in range(40):
+        rows.append((len(rows), f"please reach me by {number()} today", True))
+        rows.append((len(rows), f"warehouse stock item {number()} shipped", False))
+    truth = {i: t for i, _, t in rows}
+    found = pii.find_spans(spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string"), accept=0.0).collect()
+    chance = {r.doc_id: r.spans[0]["chance"] for r in found}
+    assert min(chance[i] for i, t in truth.items() if t) > max(chance[i] for i, t in truth.items() if t is False)
+
+
+def test_pii_secrets(spark):
+    rng = random.Random(8)
+    code = lambda: "".join(rng.choice("0123456789abcdef") for _ in range(40))
+    rows, want = [], {}
+    for i in range(60):
+        c = code()
+        text = (f'the api_key = "{c}" was set', f"see commit {c} of it", "a-long-dashed-name-of-2024-pages and " + prose(rng, 30), f"é token: {c}, then")[i % 4]
+        rows.append((i, text))
+        want[i] = f"secret:{text.index(c)}:{text.index(c) + 40}" if i % 4 in (0, 3) else ""
+    rows += [(60, "x1" * 9000), (61, None), (0, rows[0][1])]
+    found = pii.digest(pii.find_spans(spark.createDataFrame(rows, "doc_id long, text string"))).collect()
+    assert len(found) == len(rows)
+    for r in found:
+        if r.doc_id < 60:
+            assert (r.spans, r.base_sha256, r.n_card) == (want[r.doc_id], hashlib.sha256(b"").hexdigest(), 0), rows[r.doc_id]
+
+
 def test_bpe_is_tiktoken(spark):
     public_tokenizers = pytest.importorskip("public_tokenizers")
     tiktoken = pytest.importorskip("tiktoken")

@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
+import functools
 import math
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import pick, stored
 from .quality import let
 
-#: Kinds in the order in which spans at the same place are listed.
-KINDS = ("email", "ip", "card", "phone")
+#: Kinds in the order in which spans at the same place are listed. Secrets (credentials) have no strict pattern.
+KINDS = ("email", "ip", "card", "phone", "secret")
+BASE_KINDS = KINDS[:4]
 
 #: Strict patterns. A match can only begin where a run of its first characters begins, or where the last match
 #: ended; that, and possessive repeats, keep the leftmost longest match and save the regex engine from trying every place.
@@ -25,6 +28,7 @@ STRICT = {
 LOOSE = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++\x20?[(\[](?:at|AT|@)[)\]]\x20?[A-Za-z0-9-]++(?:\x20?(?:\.|[(\[](?:dot|DOT)[)\]])\x20?[A-Za-z0-9-]++)++",
     "phone": r"(?<![0-9+.-])(?<![0-9)]\x20)\(?[0-9]{3}\)?[\x20.-][0-9]{3}[\x20.-][0-9]{4}(?![0-9.-])",
+    "secret": r"(?<![A-Za-z0-9+/_=.-])(?=[A-Za-z+/_-]*+[0-9])(?=[0-9+/_-]*+[A-Za-z])[A-Za-z0-9+/_-]{16,}+={0,2}+",
 }
 #: Cheap signs without which a pattern can't match.
 SIGN = {"email": "@", "phone": "+"}
@@ -39,10 +43,19 @@ CUES = {
     "ip": r"\bip\b|host|server|address|adresse|login|client|from",
     "card": "card|visa|credit|pay|karte|carte|tarjeta|master|amex",
     "phone": r"phone|\btel|call|fax|mobil|handy|telefon|téléphone|llam",
+    "secret": "token|secret|passw|key|auth|bearer|credential|login",
 }
+#: Names of credentials, and of other long codes, when they stand right before the span.
+SECRET_NAME = r"(?:token|secret|passw\w*|pwd|key|auth\w*|bearer|credential\w*)[^\p{L}\p{N}]*$"
+CODE_NAME = r"(?:sha\d*|md5|commit|checksum|digest|hash|uuid|guid|etag|revision|file|path)[^\p{L}\p{N}]*$"
 AGAINST = r"version|isbn|issn|order|invoice|serial|token|\bid\b|\bref\b|\bv$|build|sku|tracking"
 
 LABELERS = ("regex", "gazetteer", "context", "shape", "border")
+#: A span's features are slots of its kind: the first FIXED for bias, votes and size, the others for hashes of the words
+#: around it and of three-character pieces of its shape (letters and digits masked).
+SLOTS, FIXED = 1024, 16
+#: At most so many candidates of each kind train the classifier, those with the least hashes.
+TRAIN_SPANS = 4000
 #: Spans are added when the classifier gives them at least this probability.
 ACCEPT = 0.9
 
@@ -102,17 +115,37 @@ def _votes(kind: str, text: Column, x: Column, base: Column) -> list[Column]:
     elif kind == "card":
         gazetteer = vote(_digits(m).rlike(CARD_PREFIX))
         shape = vote(m.rlike(r"^(?:[0-9]{15,16}|[0-9]{4}([\x20-])[0-9]{4}\1[0-9]{4}\1[0-9]{4}|[0-9]{4}[\x20-][0-9]{6}[\x20-][0-9]{5})$"))
+    elif kind == "secret":
+        gazetteer = vote(before.rlike(SECRET_NAME), before.rlike(CODE_NAME))
+        shape = vote(m.rlike(r"^(?:[0-9a-f]{32,}|[0-9A-F]{32,}|(?=.*[a-z])(?=.*[A-Z])(?:[^0-9]*[0-9]){3}.*)$"), m.rlike("^[0-9a-f]{8}-[0-9a-f]{4}-|[a-z]{6}|^[0-9/_+-]*$"))
     else:
         gazetteer = vote(_digits(m).rlike(CALLING_CODE) & m.startswith("+"), m.startswith("+"))
         shape = vote(F.length(_digits(m)).between(10, 13) & ~m.rlike(r"[\x20().-]{3,}"))
-    context = F.when(before.rlike(AGAINST), -1).when(before.rlike(CUES[kind]), 1).otherwise(0)
+    against = CODE_NAME if kind == "secret" else AGAINST
+    context = F.when(before.rlike(against), -1).when(before.rlike(CUES[kind]), 1).otherwise(0)
     around = F.concat(F.substring(text, x["s"], F.when(x["s"] > 0, 1).otherwise(0)), F.lit("\n"), F.substring(text, x["e"] + 1, F.lit(1)))
     border = vote(~around.rlike(r"(?s)^[\p{L}\p{N}_]|[\p{L}\p{N}_]$"))
-    strict = F.when(base, 1).when(x["f"] == 1, -1).otherwise(0)
+    strict = vote(before.rlike(r"[:=]\s*[\"']?$")) if kind == "secret" else F.when(base, 1).when(x["f"] == 1, -1).otherwise(0)
     return [strict, gazetteer, context, shape, border]
 
 
-_SPAN = "array<struct<kind:int,s:int,e:int,base:boolean,votes:array<int>,size:int>>"
+_SPAN = "array<struct<kind:int,s:int,e:int,base:boolean,votes:array<int>,slots:array<int>>>"
+
+
+def _slots(kind: str, text: Column, x: Column, votes: Column) -> Column:
+    """The slots of a span's features, each once."""
+    words = lambda part: F.filter(F.split(F.regexp_replace(F.lower(part), "[0-9]", "0"), r"[^\p{L}0_]+"), lambda w: w != "")
+    named = lambda mark, found: F.transform(F.slice(found, F.lit(1), F.lit(3)), lambda w, i: F.concat(F.lit(mark), i.cast("string"), w))
+    before = F.reverse(words(F.substring(text, F.greatest(F.lit(1), x["s"] - 39), F.least(F.lit(40), x["s"]))))
+    after = words(F.substring(text, x["e"] + 1, F.lit(24)))
+    ends = F.concat(F.lit("^"), F.substring(x["m"], 1, 12), F.lit("~"), F.substring(x["m"], -12, 12), F.lit("$"))
+    shape = F.regexp_replace(F.regexp_replace(F.regexp_replace(ends, "[0-9]", "0"), r"\p{Ll}", "a"), r"\p{Lu}", "A")
+    pieces = let(shape, lambda c: F.transform(F.sequence(F.lit(1), F.length(c) - 2), lambda i: F.concat(F.lit("s"), F.substring(c, i, F.lit(3)))))
+    hashed = F.transform(F.concat(named("b", before), named("a", after), pieces), lambda f: (F.lit(FIXED) + F.pmod(F.xxhash64(f), F.lit(SLOTS - FIXED))).cast("int"))
+    n = len(LABELERS)
+    cast = F.filter(F.transform(votes, lambda v, i: F.when(v == 1, 1 + i).when(v == -1, 1 + n + i)), lambda v: v.isNotNull())
+    size = F.least(F.lit(3), F.floor((x["e"] - x["s"]) / 8)).cast("int") + 1 + 2 * n
+    return F.transform(F.array_distinct(F.concat(F.array(F.lit(0), size), cast, hashed)), lambda f: f + KINDS.index(kind) * SLOTS)
 
 
 def _candidates(text: Column) -> Column:
@@ -122,7 +155,8 @@ def _candidates(text: Column) -> Column:
     def of(kind: str, pattern: str, strict: bool) -> Column:
         def row(x: Column) -> Column:
             base = _passes(kind, x["m"]) if strict else F.lit(False)
-            return let(base, lambda b: F.struct(F.lit(KINDS.index(kind)).alias("kind"), x["s"].alias("s"), x["e"].alias("e"), b.alias("base"), F.array(*_votes(kind, text, x, b)).alias("votes"), F.least(F.lit(3), F.floor((x["e"] - x["s"]) / 8).cast("int")).alias("size")))
+            span = lambda b, v: F.struct(F.lit(KINDS.index(kind)).alias("kind"), x["s"].alias("s"), x["e"].alias("e"), b.alias("base"), v.alias("votes"), _slots(kind, text, x, v).alias("slots"))
+            return let(base, lambda b: let(F.array(*_votes(kind, text, x, b)), lambda v: span(b, v)))
 
         found = F.transform(_find(text, pattern, int(strict)), row).cast(_SPAN)
         if not strict and kind == "email":
@@ -161,65 +195,59 @@ def estimate(patterns: list[tuple[int, tuple[int, ...], int]], rounds: int = 50)
     return out
 
 
-def fit(rows: list[tuple[int, tuple[int, ...], int, int]], model: dict[int, dict], rounds: int = 300, rate: float = 1.0, ridge: float = 0.01) -> dict[int, list[float]]:
-    """A logistic span classifier per kind, trained on the EM posteriors: weights of (1, votes for, votes against, size)."""
-    out = {}
-    for kind, m in model.items():
-        own = [(_features(v, size), m["posterior"][v], n) for k, v, size, n in rows if k == kind]
-        total = sum(n for _, _, n in own)
-        w = [0.0] * len(own[0][0])
-        for _ in range(rounds):
-            g = [ridge * x for x in w]
-            for f, q, n in own:
-                d = (1 / (1 + math.exp(-max(-30.0, min(30.0, sum(a * b for a, b in zip(w, f, strict=True)))))) - q) * n / total
-                g = [a + d * b for a, b in zip(g, f, strict=True)]
-            w = [a - rate * b for a, b in zip(w, g, strict=True)]
-        out[kind] = w
-    return out
+def fit(rows: list[tuple[int, tuple[int, ...], list[int]]], model: dict[int, dict], rounds: int = 300, rate: float = 1.0, ridge: float = 1e-3) -> list[float]:
+    """A logistic span classifier, trained on the EM posteriors: a weight for each slot of each kind.
 
-
-def _features(votes: tuple[int, ...], size: int) -> list[float]:
-    return [1.0, *[float(v == 1) for v in votes], *[float(v == -1) for v in votes], size / 3]
+    ``rows``: (kind, votes, slots) of the training spans. A feature seen with votes of one sort speaks for its spans
+    where the labelers are silent; that is what the classifier adds to EM. Steps are scaled by how often a slot occurs.
+    """
+    weights = np.zeros(len(KINDS) * SLOTS)
+    for kind, m in sorted(model.items()):
+        own = [(s, m["posterior"][v]) for k, v, s in rows if k == kind]
+        if not own:
+            continue
+        sizes = np.array([len(s) for s, _ in own])
+        slots, at = np.concatenate([np.array(s) for s, _ in own]), np.repeat(np.arange(len(own)), sizes)
+        goal = np.array([q for _, q in own])
+        seen = np.bincount(slots, minlength=len(weights))
+        pace = rate / (sizes.max() * (seen / len(own)).clip(0.05))
+        for _ in range(rounds):
+            z = np.bincount(at, weights=weights[slots], minlength=len(own)).clip(-30, 30)
+            miss = 1 / (1 + np.exp(-z)) - goal
+            weights -= 4 * pace * (np.bincount(slots, weights=miss[at], minlength=len(weights)) / len(own) + ridge * weights * (seen > 0))
+    return weights.tolist()
 
 
-def _chance(x: Column, weights: dict[int, list[float]]) -> Column:
+def _chance(x: Column, weights: Column) -> Column:
     """The classifier's probability of a span."""
-    out = F.lit(0.0)
-    n = len(LABELERS)
-    for kind, w in weights.items():
-        z = F.lit(w[0])
-        for i in range(n):
-            v = F.get(x["votes"], F.lit(i))
-            z = z + F.when(v == 1, w[1 + i]).when(v == -1, w[1 + n + i]).otherwise(0.0)
-        z = z + x["size"] * (w[1 + 2 * n] / 3)
-        out = F.when(x["kind"] == kind, 1 / (1 + F.exp(-z))).otherwise(out)
-    return out
+    return 1 / (1 + F.exp(-F.aggregate(x["slots"], F.lit(0.0), lambda a, f: a + F.get(weights, f))))
 
 
-def find_spans(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", accept: float = ACCEPT) -> DataFrame:
+def find_spans(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", accept: float = ACCEPT, train_spans: int = TRAIN_SPANS) -> DataFrame:
     """Spans of personal data: rows (doc_id, spans array<struct<kind, start, end, base, chance>>), one per input row.
 
     Places count code points, ends exclusive; spans are ordered by start, then kind. Base spans (strict pattern and
     check passed) always stay. Looser candidates, such as cards with a wrong checksum or spelt-out addresses, are added where
     the classifier gives at least ``accept`` and no base span overlaps. Five labelers vote on every candidate of the
-    corpus; the driver sees only how often each pattern of votes occurs (at most 4 * 3^5 * 4 rows), runs
-    EM over it and trains the classifier on its posteriors.
+    corpus; the driver sees how often each pattern of votes occurs (at most 5 * 3^5 rows, over all candidates), runs EM over
+    it, and trains the classifier on the posteriors of ``train_spans`` candidates of each kind at most, by their votes, the words around them
+    and their shape. Secrets (values of tokens, keys, passwords) are only ever added.
 
     Null and empty texts have no spans; null ids and repeated rows are kept; other columns are left aside; no rows give no rows.
     """
     rows = pick(docs, doc_id=doc_id, _x=text).withColumn("_x", F.coalesce("_x", F.lit("")))
     # only texts with a digit or an at sign can hold a candidate
-    may = F.col("_x").rlike(r"[0-9][\x20.-]?[0-9]|@|[(\[](?:at|AT)[)\]]|\+[0-9]")
+    may = F.col("_x").rlike(r"[0-9][\x20.-]?[0-9]|@|[(\[](?:at|AT)[)\]]|\+[0-9]|[A-Za-z0-9+/_-]{16}")
     none = F.array().cast(_SPAN)
     found = stored(rows.select("doc_id", F.when(may, _candidates(F.col("_x"))).otherwise(none).alias("_c")), "pii-candidates")
-    counts = found.where(F.size("_c") > 0).select(F.explode("_c").alias("x")).groupBy("x.kind", "x.votes", "x.size").agg(F.count("*").alias("n")).collect()
-    patterns: dict[tuple, int] = {}
-    for r in counts:
-        key = (r["kind"], tuple(r["votes"]))
-        patterns[key] = patterns.get(key, 0) + r["n"]
+    spans = found.where(F.size("_c") > 0).select("doc_id", F.explode("_c").alias("x")).select("doc_id", "x.*")
+    patterns = {(r["kind"], tuple(r["votes"])): r["n"] for r in spans.groupBy("kind", "votes").agg(F.count("*").alias("n")).collect()}
     model = estimate([(k, v, n) for (k, v), n in sorted(patterns.items())])
-    weights = fit([(r["kind"], tuple(r["votes"]), r["size"], r["n"]) for r in sorted(counts, key=lambda r: (r["kind"], r["votes"], r["size"]))], model)
-    judged = lambda x: F.struct(x["s"].alias("start"), x["kind"].alias("kind"), x["e"].alias("end"), x["base"].alias("base"), (_chance(x, weights) if weights else F.lit(0.0)).alias("chance"))
+    ranked = spans.select("kind", "votes", "slots", F.xxhash64("doc_id", "s", "e").alias("_h"))
+    taken = [ranked.where(F.col("kind") == k).orderBy("_h", "votes", "slots").limit(train_spans).drop("_h") for k in sorted(model)]
+    rows = functools.reduce(DataFrame.unionAll, taken).collect() if taken else []
+    weights = F.split(F.lit(",".join(map(repr, fit([(r["kind"], tuple(r["votes"]), r["slots"]) for r in rows], model)))), ",").cast("array<double>")
+    judged = lambda x: F.struct(x["s"].alias("start"), x["kind"].alias("kind"), x["e"].alias("end"), x["base"].alias("base"), _chance(x, weights).alias("chance"))
 
     def choose(c: Column) -> Column:
         return let(F.filter(c, lambda x: x["base"]), lambda b: F.array_sort(F.concat(b, F.filter(c, lambda x: ~x["base"] & (x["chance"] >= accept) & ~F.exists(b, lambda y: (y["start"] < x["end"]) & (x["start"] < y["end"]))))))
@@ -237,4 +265,4 @@ def digest(found: DataFrame) -> DataFrame:
     """(doc_id, n_email, n_ip, n_card, n_phone of base spans, base_sha256, spans)."""
     count = lambda i: F.size(F.filter("spans", lambda x: x["base"] & (x["kind"] == i))).cast("long")
     base = written(F.filter("spans", lambda x: x["base"]))
-    return found.select("doc_id", *[count(i).alias(f"n_{k}") for i, k in enumerate(KINDS)], F.sha2(base.cast("binary"), 256).alias("base_sha256"), written(F.col("spans")).alias("spans"))
+    return found.select("doc_id", *[count(i).alias(f"n_{k}") for i, k in enumerate(BASE_KINDS)], F.sha2(base.cast("binary"), 256).alias("base_sha256"), written(F.col("spans")).alias("spans"))

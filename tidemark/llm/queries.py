@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bagminhash, bpe, langid, linedup, mixing, nndescent, pii, quality, sharding, suffixtree
+from . import bagminhash, bpe, divergence, langid, linedup, mixing, nndescent, pii, quality, sharding, suffixtree
 from .common import crc_fold
 
 
@@ -66,6 +66,10 @@ def op10_extendible_hash_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shards(_table(spark, sf_dir, "documents"))
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_suffix_tree_score": op1_suffix_tree_score,
@@ -78,8 +82,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_compression_language": op8_compression_language,
         "op9_adaptive_quality": op9_adaptive_quality,
         "op10_extendible_hash_shards": op10_extendible_hash_shards,
+        "op11_source_divergence": op11_source_divergence,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_adaptive_quality": quality.SQL, "op10_extendible_hash_shards": sharding.SQL}
+    return {"op9_adaptive_quality": quality.SQL, "op10_extendible_hash_shards": sharding.SQL, "op11_source_divergence": divergence.SQL}

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bagminhash, bpe, divergence, langid, linedup, mixing, nndescent, pii, quality, sharding, suffixtree
+from . import bagminhash, bpe, divergence, langid, linedup, mixing, nndescent, pii, quality, repeats, sharding, suffixtree, toxicity
 from .common import crc_fold
 
 
@@ -70,6 +70,17 @@ def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.audit(_table(spark, sf_dir, "documents"))
 
 
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.digest(repeats.collapse_runs(repeats.with_planted_runs(_table(spark, sf_dir, "documents"))))
+
+
+def op13_toxicity_machine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    held_out = crc_fold("doc_id", 5) == 0
+    machine = toxicity.train(docs, _table(spark, sf_dir, "labels"), ~held_out)
+    return toxicity.score(docs, machine).select("doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_suffix_tree_score": op1_suffix_tree_score,
@@ -83,6 +94,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_adaptive_quality": op9_adaptive_quality,
         "op10_extendible_hash_shards": op10_extendible_hash_shards,
         "op11_source_divergence": op11_source_divergence,
+        "op12_periodic_runs": op12_periodic_runs,
+        "op13_toxicity_machine": op13_toxicity_machine,
     }
 
 

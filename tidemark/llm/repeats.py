@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import pick
+from .common import WORD_BREAK, pick
 from .words import text_blocks
 
 #: A run has at least so many words.
@@ -173,7 +173,7 @@ def with_planted_runs(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "t
     """(doc_id, text): one text in ten, by crc32 of its id, becomes periodic from some word on."""
     h = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
     plain = pick(docs, doc_id=doc_id, text=text).withColumn("_h", h)
-    words = F.when(F.col("_h") % 10 == 0, F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0)))
+    words = F.when(F.col("_h") % 10 == 0, F.filter(F.split(F.coalesce("text", F.lit("")), WORD_BREAK), lambda w: w != ""))
     made = plain.withColumn("_w", words).withColumn("_n", F.coalesce(F.size("_w"), F.lit(0)).cast("long")).withColumn("_g", F.floor(F.col("_h") / 10))
     made = made.withColumn("_a", F.expr("if(_n > 0, _g % _n, 0)")).withColumn("_p", F.expr("1 + (_n - _a) div (3 + _g % 8)"))
     turned = F.expr("array_join(transform(_w, (x, i) -> if(i < _a, x, _w[cast(_a + (i - _a) % _p as int)])), ' ')")

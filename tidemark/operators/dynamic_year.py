@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import first_min, median, month_number, r6
 from ..functions.lineage import cut
+from .boundary import boundary_sequence, trough_candidates
 from .scale import epsilon, robust_scale
 
 #: Boundary thresholds, fixed values.
@@ -20,6 +21,8 @@ def window_extreme(rows: DataFrame, keys: list[str], kind: str) -> DataFrame:
     ``rows``: keys, the prepared columns, and per window expected, expected_count, noise_pp and
     amplitude_pp. Months are candidates if seen at all; quality only lowers the status.
     """
+    if "n_valid" not in rows.columns:  # percentages only: no resolution is known
+        rows = rows.withColumn("n_valid", F.lit(None).cast("long"))
     sign = 1.0 if kind == "min" else -1.0
     seen = F.col("extent_pct").isNotNull() & F.coalesce(F.col("invalid_pct") < 100, F.lit(False))
     rows = rows.withColumn("_v", F.when(seen, sign * F.col("extent_pct")))
@@ -47,17 +50,31 @@ def window_extreme(rows: DataFrame, keys: list[str], kind: str) -> DataFrame:
 
 
 def troughs(prepared: DataFrame, expected_month: int | DataFrame, *, radius: int = 3, scale: DataFrame | None = None) -> DataFrame:
-    """One opportunity per calendar year: the low of the months around the expected one, a month or (aoi_id, trough_month) for each area."""
+    """One opportunity per calendar year: the low of the months around the expected one, a month or (aoi_id, trough_month) for each area.
+
+    The observed least stands; where several months of its run share its very value, the one that fits the neighbouring
+    years best is taken, and labelled ``coherence_adjusted`` if it isn't the first of them.
+    """
     scale = robust_scale(prepared) if scale is None else scale
+    key = ["aoi_id", "hy_year"]
     years = prepared.groupBy("aoi_id").agg(F.min(F.year("month")).alias("a"), F.max(F.year("month")).alias("b")).select("aoi_id", F.explode(F.sequence("a", "b")).alias("hy_year"))
     years = years.withColumn("_m", F.lit(expected_month)) if isinstance(expected_month, int) else years.join(expected_month.select("aoi_id", F.col("trough_month").alias("_m")), "aoi_id")
-    years = years.select("aoi_id", "hy_year", F.make_date("hy_year", "_m", F.lit(1)).alias("expected"))
+    years = years.select(*key, F.make_date("hy_year", "_m", F.lit(1)).alias("expected"))
     near = prepared.join(years, "aoi_id").where(F.col("month").between(F.add_months("expected", -radius), F.add_months("expected", radius)))
-    picked = window_extreme(near.withColumn("expected_count", F.lit(2 * radius + 1)).join(scale, "aoi_id"), ["aoi_id", "hy_year"], "min")
-    out = years.select("aoi_id", "hy_year").join(picked, ["aoi_id", "hy_year"], "left")
+    picked = window_extreme(near.withColumn("expected_count", F.lit(2 * radius + 1)).join(scale, "aoi_id"), key, "min")
+    raw = cut(years.join(picked, key, "left"))
+    fitted = boundary_sequence(trough_candidates(prepared, raw, F.col("expected")), relative_tolerance=0.0)
+    seen = prepared.select("aoi_id", F.col("month").alias("trough_month"), F.col("extent_pct").alias("trough_extent_pct"), F.col("invalid_pct").alias("trough_invalid_pct"))
+    out = raw.join(fitted.select(*key, F.col("month").alias("trough_month")), key).join(seen, ["aoi_id", "trough_month"], "left")
+    moved = (F.col("trough_month") != F.col("at")) & (F.col("selection_status") != "low_quality")
+    out = out.withColumn("selection_status", F.when(moved, "coherence_adjusted").otherwise(F.coalesce("selection_status", F.lit("unresolved"))))
     sure = (F.col("window_status") == "full") & (F.col("selection_status") == "raw") & (F.col("support") >= MIN_SUPPORT)
-    status = F.when(F.col("at").isNull(), "unresolved").when(sure, "confirmed").otherwise("provisional")
-    return out.select("aoi_id", "hy_year", F.col("at").alias("trough_month"), F.col("extent").alias("trough_extent_pct"), F.col("invalid").alias("trough_invalid_pct"), "run_start", "run_end", F.coalesce("window_status", F.lit("internal_gap")).alias("window_status"), F.coalesce("selection_status", F.lit("unresolved")).alias("selection_status"), F.coalesce("support", F.lit(0.0)).alias("support"), "phase_offset", status.alias("boundary_status"))
+    status = F.when(F.col("trough_month").isNull(), "unresolved").when(sure, "confirmed").otherwise("provisional")
+    return out.select(
+        *key, "trough_month", "trough_extent_pct", "trough_invalid_pct", F.col("at").alias("raw_trough_month"), F.col("extent").alias("raw_trough_extent_pct"), "run_start", "run_end",
+        F.coalesce("window_status", F.lit("internal_gap")).alias("window_status"), "selection_status", F.coalesce("support", F.lit(0.0)).alias("support"),
+        (month_number("trough_month") - month_number("expected")).alias("phase_offset"), status.alias("boundary_status"),
+    )
 
 
 def cycles(prepared: DataFrame, opportunities: DataFrame) -> DataFrame:

@@ -69,7 +69,7 @@ ORACLES: dict[str, str] = {}
 
 
 def add(name: str, sql: str) -> None:
-    ORACLES[name] = sql
+    ORACLES[name] = sql.replace("WITH ", "WITH RECURSIVE ", 1) if sql.startswith("WITH ") else sql
 
 
 P = "round(extent_pct, 6) AS extent_pct, round(invalid_pct, 6) AS invalid_pct"
@@ -175,13 +175,29 @@ def extreme(rows: str, out: str, keys: str, kind: str) -> str:
 {out} AS (SELECT {keys}, raw.m AS atm, raw.e AS extent, raw.i AS invalid, run_start, run_end, win, sel, CASE WHEN raw IS NULL THEN 0 ELSE least(1.0::DOUBLE, n_usable / ec::DOUBLE) * CASE WHEN amb THEN 0.6::DOUBLE ELSE 1 END * CASE WHEN win <> 'full' THEN 0.75::DOUBLE ELSE 1 END END AS support, expected FROM {out}_k LEFT JOIN {out}_u USING ({keys}))"""
 
 
-def dynamic(month: int = 9) -> str:
+def sequence(src: str, out: str, tolerance: str | None) -> str:
+    """CTEs: the lows chosen together, out(aoi_id, hy_year, out), from src(aoi_id, hy_year, expected, run_start, run_end): a recursion over the years of a block."""
+    n = out
+    keep = f"QUALIFY v <= min(v) OVER (PARTITION BY s.aoi_id, hy_year) * (1 + {tolerance}::DOUBLE)" if tolerance else ""
+    return f"""{n}_c AS (SELECT s.aoi_id, hy_year, month AS m, extent_pct AS v, abs(year(month) * 12 + month(month) - year(expected) * 12 - month(expected)) AS phase FROM {src} s JOIN prep p ON p.aoi_id = s.aoi_id AND p.month BETWEEN run_start AND run_end WHERE extent_pct IS NOT NULL AND invalid_pct < 100 {keep}),
+{n}_r AS (
+  SELECT aoi_id, hy_year, m, phase AS cost, [m] AS path FROM {n}_c c WHERE NOT EXISTS (SELECT 1 FROM {n}_c b WHERE b.aoi_id = c.aoi_id AND b.hy_year = c.hy_year - 1)
+  UNION ALL
+  SELECT c.aoi_id, c.hy_year, c.m, any_value(c.phase) + min(r.cost + abs(datediff('month', r.m, c.m) - 12)), list_append(arg_min(r.path, (r.cost + abs(datediff('month', r.m, c.m) - 12), r.m)), c.m) FROM {n}_r r JOIN {n}_c c ON c.aoi_id = r.aoi_id AND c.hy_year = r.hy_year + 1 GROUP BY c.aoi_id, c.hy_year, c.m),
+{n}_e AS (SELECT aoi_id, hy_year, arg_min(path, (cost, -(m - DATE '1900-01-01'))) AS path FROM {n}_r r WHERE NOT EXISTS (SELECT 1 FROM {n}_c b WHERE b.aoi_id = r.aoi_id AND b.hy_year = r.hy_year + 1) GROUP BY ALL),
+{n}_x AS (SELECT aoi_id, hy_year - len(path) + i AS hy_year, path[i] AS m FROM (SELECT *, unnest(range(1, len(path) + 1)) AS i FROM {n}_e)),
+{n} AS (SELECT s.aoi_id, s.hy_year, m AS {out} FROM {src} s LEFT JOIN {n}_x USING (aoi_id, hy_year))"""
+
+
+def dynamic(month: int = 9, radius: int = 3) -> str:
     return f"""{SCALE},
 dyr AS (SELECT aoi_id, hy_year, make_date(hy_year, {month}, 1) AS expected FROM (SELECT aoi_id, unnest(range(min(year(month)), max(year(month)) + 1))::INT AS hy_year FROM prep GROUP BY aoi_id)),
-twin AS (SELECT p.*, hy_year, expected, 7 AS expected_count, noise_pp, amplitude_pp FROM prep p JOIN dyr ON dyr.aoi_id = p.aoi_id AND p.month BETWEEN expected - INTERVAL 3 MONTH AND expected + INTERVAL 3 MONTH JOIN scale ON scale.aoi_id = p.aoi_id),
+twin AS (SELECT p.*, hy_year, expected, {2 * radius + 1} AS expected_count, noise_pp, amplitude_pp FROM prep p JOIN dyr ON dyr.aoi_id = p.aoi_id AND p.month BETWEEN expected - INTERVAL {radius} MONTH AND expected + INTERVAL {radius} MONTH JOIN scale ON scale.aoi_id = p.aoi_id),
 {extreme('twin', 'tx', 'aoi_id, hy_year', 'min')},
-opp AS (SELECT aoi_id, hy_year, atm AS trough_month, extent AS trough_extent_pct, invalid AS trough_invalid_pct, run_start, run_end, coalesce(win, 'internal_gap') AS window_status, coalesce(sel, 'unresolved') AS selection_status, coalesce(support, 0) AS support, (year(atm) * 12 + month(atm) - year(tx.expected) * 12 - month(tx.expected))::INT AS phase_offset,
-  CASE WHEN atm IS NULL THEN 'unresolved' WHEN win = 'full' AND sel = 'raw' AND support >= 0.8 THEN 'confirmed' ELSE 'provisional' END AS boundary_status FROM dyr LEFT JOIN tx USING (aoi_id, hy_year)),
+opp0 AS (SELECT dyr.aoi_id, dyr.hy_year, dyr.expected, atm, extent AS raw_trough_extent_pct, run_start, run_end, coalesce(win, 'internal_gap') AS window_status, coalesce(sel, 'unresolved') AS sel0, coalesce(support, 0) AS support FROM dyr LEFT JOIN tx USING (aoi_id, hy_year)),
+{sequence('opp0', 'fit', '0.0')},
+opp AS (SELECT aoi_id, hy_year, fit AS trough_month, p.extent_pct AS trough_extent_pct, p.invalid_pct AS trough_invalid_pct, atm AS raw_trough_month, raw_trough_extent_pct, run_start, run_end, window_status, CASE WHEN fit <> atm AND sel0 <> 'low_quality' THEN 'coherence_adjusted' ELSE sel0 END AS selection_status, support, (year(fit) * 12 + month(fit) - year(expected) * 12 - month(expected))::INT AS phase_offset,
+  CASE WHEN fit IS NULL THEN 'unresolved' WHEN window_status = 'full' AND sel0 = 'raw' AND fit = atm AND support >= 0.8 THEN 'confirmed' ELSE 'provisional' END AS boundary_status FROM opp0 JOIN fit USING (aoi_id, hy_year) LEFT JOIN (SELECT aoi_id, month AS fit, extent_pct, invalid_pct FROM prep) p USING (aoi_id, fit)),
 cyc AS (SELECT *, row_number() OVER (PARTITION BY aoi_id ORDER BY hy_year) = 1 AS began, lag(trough_month) OVER (PARTITION BY aoi_id ORDER BY hy_year) AS prev FROM opp),
 cyc2 AS (SELECT c.*, CASE WHEN trough_month IS NULL THEN NULL WHEN began THEN f ELSE (prev + INTERVAL 1 MONTH)::DATE END AS hy_start FROM cyc c JOIN (SELECT aoi_id, min(month) AS f FROM prep GROUP BY ALL) USING (aoi_id)),
 cm AS (SELECT p.*, hy_year, hy_start, trough_month FROM prep p JOIN cyc2 c ON c.aoi_id = p.aoi_id AND p.month BETWEEN hy_start AND trough_month),
@@ -210,12 +226,14 @@ def rounded(cols: str, doubles: str) -> str:
 
 for by_, se_, tag in (("region", True, ""), ("nation", False, "_irregular")):
     D = f"WITH {prep(by_, se_, 40)}, {dynamic()}"
-    add(f"y5_trough_opportunities{tag}", f"{D} SELECT {rounded('aoi_id hy_year trough_month run_start run_end window_status selection_status phase_offset boundary_status', 'trough_extent_pct trough_invalid_pct support')} FROM opp")
+    add(f"y5_trough_opportunities{tag}", f"{D} SELECT {rounded('aoi_id hy_year trough_month raw_trough_month run_start run_end window_status selection_status phase_offset boundary_status', 'trough_extent_pct trough_invalid_pct raw_trough_extent_pct support')} FROM opp")
     add(f"y3_cycle_peaks{tag}", f"{D} SELECT {rounded('aoi_id hy_year peak_month peak_selection_status', 'peak_extent_pct peak_selection_support')} FROM an WHERE peak_month IS NOT NULL")
     add(f"y6_annual_table{tag}", f"{D} SELECT {rounded('aoi_id hy_year status status_reason hy_start hy_end cycle_months n_usable_months peak_month peak_selection_status trough_month boundary_status confidence', 'peak_extent_pct trough_extent_pct')} FROM an")
     add(f"y7_half_loss{tag}", f"{D} SELECT {rounded('aoi_id hy_year half_loss_month', 'half_loss_target_pct')} FROM an WHERE peak_month IS NOT NULL")
     add(f"y8_mid_dry{tag}", f"{D} SELECT aoi_id, hy_year, temporal_mid_dry_month FROM an WHERE peak_month IS NOT NULL")
     add(f"y9_rewetting_pulses{tag}", f"{D} SELECT {rounded('aoi_id hy_year n_rewetting_pulses recession_months', 'drawdown_pct persistence_ratio')} FROM an WHERE peak_month IS NOT NULL")
+add("y4_boundary_sequence", f"""WITH {prep('nation', False, 40)}, {dynamic(radius=5)}, {sequence('opp0', 'coherent', None)}, {sequence('opp0', 'within_5_pct', '0.05')}
+SELECT coherent.aoi_id, coherent.hy_year, coherent, within_5_pct, fit AS least_only FROM coherent JOIN within_5_pct USING (aoi_id, hy_year) JOIN fit USING (aoi_id, hy_year)""")
 add("y10_secondary_extrema", f"""WITH {prep('nation', False, 40)}, {dynamic()}, sr AS (SELECT p.aoi_id, hy_year, p.month, extent_pct AS v, peak_month, an.trough_month, row_number() OVER o AS i, lag(extent_pct) OVER o AS l, lead(extent_pct) OVER o AS r, count(*) OVER (PARTITION BY p.aoi_id, hy_year) AS n, count(*) FILTER (p.month < peak_month) OVER (PARTITION BY p.aoi_id, hy_year) + 1 AS pp, count(*) FILTER (p.month < an.trough_month) OVER (PARTITION BY p.aoi_id, hy_year) + 1 AS tp
 FROM prep p JOIN an ON an.aoi_id = p.aoi_id AND p.month BETWEEN hy_start AND hy_end WHERE usable AND peak_month IS NOT NULL WINDOW o AS (PARTITION BY p.aoi_id, hy_year ORDER BY p.month))
 SELECT aoi_id, hy_year, arg_min(month, (-v, month)) FILTER (v > l AND v >= r AND abs(i - least(pp, n)) >= 2) AS secondary_peak_month, round(max(v) FILTER (v > l AND v >= r AND abs(i - least(pp, n)) >= 2), 6) AS secondary_peak_extent_pct, arg_min(month, (v, month)) FILTER (v < l AND v <= r AND abs(i - least(tp, n)) >= 2) AS secondary_trough_month, round(min(v) FILTER (v < l AND v <= r AND abs(i - least(tp, n)) >= 2), 6) AS secondary_trough_extent_pct FROM sr GROUP BY ALL""")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .functions.columns import r6
 from .functions.lineage import cut
+from .operators import boundary as bd
 from .operators import condition as co
 from .operators import dynamic_year as dy
 from .operators import evaluate as va
@@ -267,6 +268,14 @@ for _tag in ("", "_irregular"):
         QUERIES[f"{_n}{_tag}"] = lambda s, d, t=_tag, f=_part(_c, _r): f(s, d, t)
 
 
+@query("y4_boundary_sequence")
+def _(s, d):
+    p = prepared(s, d, "nation", False, max_invalid_pct=40)
+    years = cut(bd.trough_candidates(p, dy.troughs(p, 9, radius=5), F.make_date("hy_year", F.lit(9), F.lit(1))))
+    named = lambda tolerance, name: bd.boundary_sequence(years, relative_tolerance=tolerance).withColumnRenamed("month", name)
+    return named(None, "coherent").join(named(0.05, "within_5_pct"), ["aoi_id", "hy_year"]).join(named(0.0, "least_only"), ["aoi_id", "hy_year"])
+
+
 @query("y10_secondary_extrema")
 def _(s, d):
     p, a = _annual(s, d, "_irregular")

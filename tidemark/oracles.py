@@ -111,17 +111,34 @@ def years_cte(name: str, k: int) -> str:
     return f"""{name} AS (SELECT *, year(month)::INT AS yr FROM prep WHERE usable AND (aoi_id, year(month)) IN (SELECT (aoi_id, year(month)) FROM prep WHERE usable GROUP BY aoi_id, year(month) HAVING count(DISTINCT month(month)) >= {k}))"""
 
 
-HARM = f"""{years_cte('full12', 12)},
-hb AS (SELECT aoi_id, avg(extent_pct) AS b0, {', '.join(f"2 * avg(extent_pct * {f}({h} * (month(month) - 1) * 2 * pi() / 12)) AS {n}{h}" for h in (1, 2) for n, f in (('s', 'sin'), ('c', 'cos')))} FROM full12 GROUP BY ALL),
+HARM_OF = f"""hb AS (SELECT aoi_id, avg(extent_pct) AS b0, {', '.join(f"2 * avg(extent_pct * {f}({h} * (month(month) - 1) * 2 * pi() / 12)) AS {n}{h}" for h in (1, 2) for n, f in (('s', 'sin'), ('c', 'cos')))} FROM full12 GROUP BY ALL),
 hr AS (SELECT aoi_id, b0, s1, c1, s2, c2, count(*) AS n, sum((y - b0) ** 2) AS r0, sum((y - b0 - e1) ** 2) AS r1, sum((y - b0 - e1 - e2) ** 2) AS r2 FROM (SELECT *, extent_pct AS y, s1 * sin(t) + c1 * cos(t) AS e1, s2 * sin(2 * t) + c2 * cos(2 * t) AS e2 FROM (SELECT *, (month(month) - 1) * 2 * pi() / 12 AS t FROM full12 JOIN hb USING (aoi_id))) GROUP BY ALL),
 ho AS (SELECT *, CASE WHEN a0 <= a1 AND a0 <= a2 THEN 0 WHEN a1 <= a2 THEN 1 ELSE 2 END AS o FROM (SELECT *, n * ln(r0 / n) + 2 + 4.0 / (n - 2) AS a0, n * ln(r1 / n) + 6 + 24.0 / (n - 4) AS a1, n * ln(r2 / n) + 10 + 60.0 / (n - 6) AS a2 FROM hr)),
 hc AS (SELECT aoi_id, moy, o, 1 - (CASE o WHEN 0 THEN r0 WHEN 1 THEN r1 ELSE r2 END) / r0 AS strength, b0 + CASE WHEN o >= 1 THEN s1 * sin(t) + c1 * cos(t) ELSE 0 END + CASE WHEN o >= 2 THEN s2 * sin(2 * t) + c2 * cos(2 * t) ELSE 0 END AS value FROM (SELECT *, (moy - 1) * 2 * pi() / 12 AS t FROM ho, (SELECT unnest(range(1, 13))::INT AS moy))),
 hx AS (SELECT a.aoi_id, a.moy, a.o, a.strength, a.value, a.value > l.value AND a.value >= r.value AS is_max, a.value < l.value AND a.value <= r.value AS is_min FROM hc a JOIN hc l ON l.aoi_id = a.aoi_id AND l.moy = (a.moy + 10) % 12 + 1 JOIN hc r ON r.aoi_id = a.aoi_id AND r.moy = a.moy % 12 + 1)"""
+HARM = f"{years_cte('full12', 12)},\n{HARM_OF}"
 add("r1_qualifying_years", f"WITH {prep('nation')}, {years_cte('q', 9)} SELECT aoi_id, yr, count(*) AS n_months FROM q GROUP BY ALL")
 add("r2_harmonic_fit", f"WITH {prep()}, {HARM} SELECT aoi_id, n, o AS fit_order, round(1 - (CASE o WHEN 0 THEN r0 WHEN 1 THEN r1 ELSE r2 END) / r0, 6) AS strength FROM ho")
 add("r3_local_extrema", f"WITH {prep()}, {HARM} SELECT aoi_id, moy, round(value, 6) AS value, is_max, is_min FROM hx")
 add("r4_seasonal_pattern", f"""WITH {prep()}, {HARM}, pk AS (SELECT aoi_id, arg_max(moy, (value, -moy)) FILTER (is_max) AS p, arg_min(moy, (value, moy)) FILTER (is_min) AS t, max(value) - min(value) AS rg, any_value(o) AS o, count(*) FILTER (is_max) AS mx, any_value(strength) AS strength FROM hx GROUP BY ALL)
 SELECT aoi_id, CASE WHEN rg <= 1 THEN 'low_variability' WHEN o = 0 THEN 'weak_or_irregular' WHEN mx = 1 THEN 'unimodal_annual' ELSE 'bimodal_or_complex' END AS pattern, p AS peak_month, t AS trough_month, round(strength, 6) AS strength, (SELECT count(DISTINCT yr) FROM full12 f WHERE f.aoi_id = pk.aoi_id) AS n_complete_years FROM pk""")
+SHAPE = f"""{HARM_OF}, sh AS (SELECT aoi_id, max(value) - min(value) AS rg, any_value(o) AS o, count(*) FILTER (is_max) AS mx, any_value(strength) AS strength, arg_max(moy, (value, -moy)) AS hi, arg_min(moy, (value, moy)) AS lo,
+  list(moy ORDER BY value DESC, moy) FILTER (is_max) AS tops, list(moy ORDER BY value, moy) FILTER (is_min) AS lows FROM hx GROUP BY ALL)
+SELECT aoi_id, CASE WHEN rg <= 1 THEN 'low_variability' WHEN o = 0 THEN 'weak_or_irregular' WHEN mx = 1 THEN 'unimodal_annual' ELSE 'bimodal_or_complex' END AS label, strength, hi, lo, tops, lows FROM sh"""
+for by_, se_, tag in (("region", True, ""), ("nation", False, "_irregular")):
+    add(f"r4_bootstrap_support{tag}", f"""WITH {prep(by_, se_)}, {years_cte('all12', 12)},
+yrs AS (SELECT aoi_id, yr, row_number() OVER (PARTITION BY aoi_id ORDER BY yr) - 1 AS i, count(*) OVER (PARTITION BY aoi_id) AS n FROM (SELECT DISTINCT aoi_id, yr FROM all12)),
+own AS (WITH full12 AS (SELECT * FROM all12 WHERE aoi_id IN (SELECT aoi_id FROM yrs WHERE n >= 5)), {SHAPE}),
+pick AS (SELECT n, s_suppkey AS r, (s_suppkey * 31 + j * (s_nationkey + 7) + j * j) % n AS i FROM supplier, (SELECT n, unnest(range(n)) AS j FROM (SELECT DISTINCT n FROM yrs WHERE n >= 5))),
+boot AS (WITH full12 AS (SELECT yrs.aoi_id * 10000000 + r AS aoi_id, month, extent_pct FROM yrs JOIN pick ON pick.n = yrs.n AND pick.i = yrs.i JOIN all12 a ON a.aoi_id = yrs.aoi_id AND a.yr = yrs.yr), {SHAPE}),
+bl AS (SELECT aoi_id // 10000000 AS aoi_id, label, hi, lo FROM boot),
+sup AS (SELECT aoi_id, count(*) FILTER (bl.label = own.label) / count(*)::DOUBLE AS support FROM bl JOIN own USING (aoi_id) GROUP BY ALL),
+bm AS (SELECT aoi_id, w, m, 2 * pi() * (m - 1) / 12 AS t FROM bl, LATERAL (VALUES ('hi', hi), ('lo', lo)) x(w, m)),
+bc AS (SELECT aoi_id, w, avg(cos(t)) AS c, avg(sin(t)) AS s FROM bm GROUP BY ALL),
+iq AS (SELECT aoi_id, w, quantile_cont(o, 0.75) - quantile_cont(o, 0.25) AS iqr FROM (SELECT aoi_id, w, atan2(round(sin(t - atan2(s, c)), 12) + 0.0, cos(t - atan2(s, c))) * 12 / (2 * pi()) AS o FROM bm JOIN bc USING (aoi_id, w)) GROUP BY ALL)
+SELECT aoi_id, CASE WHEN label IS NULL THEN 'insufficient_record' WHEN label <> 'low_variability' AND support < 0.8 THEN 'weak_or_irregular' ELSE label END AS pattern, CASE WHEN label <> 'low_variability' THEN coalesce(tops[1], hi) END AS peak_month, CASE WHEN label <> 'low_variability' THEN coalesce(lows[1], lo) END AS trough_month,
+  tops[2] AS secondary_peak_month, lows[2] AS secondary_trough_month, round(coalesce(strength, 0), 6) AS strength, round(coalesce(support, 0), 6) AS bootstrap_support, round((SELECT iqr FROM iq WHERE iq.aoi_id = a.aoi_id AND w = 'hi'), 6) AS peak_phase_iqr_months, round((SELECT iqr FROM iq WHERE iq.aoi_id = a.aoi_id AND w = 'lo'), 6) AS trough_phase_iqr_months,
+  (SELECT count(*) FROM yrs WHERE yrs.aoi_id = a.aoi_id) AS n_complete_years FROM (SELECT DISTINCT aoi_id FROM prep) a LEFT JOIN own USING (aoi_id) LEFT JOIN sup USING (aoi_id)""")
 EXT = f"""{years_cte('q9', 9)}, ext AS (SELECT aoi_id, yr, month(arg_min(month, (-extent_pct, month)))::INT AS peak, month(arg_min(month, (extent_pct, month)))::INT AS trough FROM q9 GROUP BY ALL)"""
 add("r10_annual_extremes", f"WITH {prep('nation', seasonal=False)}, {EXT} SELECT * FROM ext")
 add("r9_amplitude_snr", f"WITH {prep('nation')}, {EXT}, m AS (SELECT aoi_id, month(month) AS k, avg(extent_pct) AS m, stddev_samp(extent_pct) AS s FROM q9 GROUP BY ALL) SELECT aoi_id, round((max(m) - min(m)) / avg(s), 6) AS snr FROM m GROUP BY ALL")

@@ -20,6 +20,7 @@ from .operators import pixels as px
 from .operators import prepare as pr
 from .operators import scale as sc
 from .operators import season as se
+from .operators import support as su
 from .plans import exports as ex
 from .plans import routing as ro
 from .sources import tables as src
@@ -178,6 +179,17 @@ def _(s, d):
     return rounded(se.pattern(prepared(s, d)))
 
 
+def _draws(s, d):
+    """Draws of 5 to 12 years for each supplier, by key arithmetic."""
+    one = src.table(s, d, "supplier").select(F.col("s_suppkey").alias("replicate"), "s_nationkey", F.explode(F.sequence(F.lit(5), F.lit(12))).alias("n"))
+    one = one.withColumn("j", F.explode(F.expr("sequence(0, n - 1)")))
+    return one.select("n", "replicate", F.expr("cast((replicate * 31 + j * (s_nationkey + 7) + j * j) % n as int)").alias("i")).groupBy("n", "replicate", "i").agg(F.count("*").alias("k"))
+
+
+QUERIES["r4_bootstrap_support"] = lambda s, d: rounded(su.seasonal_pattern(prepared(s, d), draws=_draws(s, d)))
+QUERIES["r4_bootstrap_support_irregular"] = lambda s, d: rounded(su.seasonal_pattern(prepared(s, d, "nation", False), draws=_draws(s, d)))
+
+
 @query("r10_annual_extremes")
 def _(s, d):
     return se.annual_extremes(prepared(s, d, "nation", False))

@@ -162,27 +162,6 @@ def grid_windows(shapes: DataFrame, size: int) -> DataFrame:
     return rows.select("aoi_id", "tile_y", "tile_x", edge("tile_y", "height", 0).alias("y0"), edge("tile_y", "height", 1).alias("y1"), edge("tile_x", "width", 0).alias("x0"), edge("tile_x", "width", 1).alias("x1"))
 
 
-def _neighbours(cells: DataFrame, reach: int) -> DataFrame:
-    steps = F.sequence(F.lit(-reach), F.lit(reach))
-    wide = cells.select(*CELL, F.explode(steps).alias("_dy")).withColumn("_dx", F.explode(steps))
-    return wide.select("aoi_id", (F.col("y") + F.col("_dy")).alias("y"), (F.col("x") + F.col("_dx")).alias("x"))
-
-
-def dilate(cells: DataFrame, reach: int) -> DataFrame:
-    """All cells within ``reach`` of one, along both axes."""
-    return _neighbours(cells, reach).distinct()
-
-
-def erode(cells: DataFrame, reach: int) -> DataFrame:
-    """The cells whose whole neighbourhood of ``reach`` is there."""
-    return _neighbours(cells, reach).groupBy(*CELL).agg(F.count("*").alias("_n")).where(F.col("_n") == (2 * reach + 1) ** 2).select(*CELL)
-
-
-def wet_area(cells: DataFrame, *, close: int = 1, buffer: int = 1) -> DataFrame:
-    """Ever-wet cells, with gaps of up to twice ``close`` cells filled, widened by ``buffer`` cells: squares of cells stand for distances."""
-    return dilate(erode(dilate(cells, close), close), buffer)
-
-
 def union_inside(parts: list[DataFrame], area: DataFrame) -> DataFrame:
     """The cells of any of several sets, within the area."""
     out = parts[0].select(*CELL)

@@ -358,6 +358,15 @@ def around(src: str, k: int) -> str:
     return f"SELECT aoi_id, (y + dy)::INT AS y, (x + dx)::INT AS x FROM {src}, (SELECT unnest(range({-k}, {k + 1})) AS dy), (SELECT unnest(range({-k}, {k + 1})) AS dx)"
 
 
+def far(src: str, close: int, buffer: int) -> str:
+    """Cells within the square roots of ``close`` and ``buffer``: all distances, cell by cell."""
+    disc = lambda square: f"(SELECT dy, dx FROM (SELECT unnest(range(-12, 13)) AS dy), (SELECT unnest(range(-12, 13)) AS dx) WHERE dy * dy + dx * dx <= {square})"
+    near = lambda s, square: f"(SELECT DISTINCT aoi_id, y + dy AS y, x + dx AS x FROM {s}, {disc(square)})"
+    grown = near(src, close)
+    shut = f"(SELECT g.aoi_id, g.y, g.x FROM {grown} g, {disc(close)} o JOIN {grown} h ON h.aoi_id = g.aoi_id AND h.y = g.y + dy AND h.x = g.x + dx GROUP BY ALL HAVING count(*) = (SELECT count(*) FROM {disc(close)}))"
+    return f"SELECT aoi_id, y::INT AS y, x::INT AS x FROM {near(shut, buffer)}"
+
+
 for n_, sql_ in {
     "p1_decode": "SELECT aoi_id, month, y, x, day, code FROM cd",
     "p2_day_mosaic": "SELECT aoi_id, month, day, y, x, raw FROM dm",
@@ -372,7 +381,8 @@ for n_, sql_ in {
     "p33_complete_cube": "SELECT ax.aoi_id, ax.month, c.y, c.x, coalesce(code, -1)::INT AS code FROM cells c JOIN (SELECT aoi_id, unnest(generate_series(min(month), max(month), INTERVAL 1 MONTH))::DATE AS month FROM mj GROUP BY aoi_id) ax ON ax.aoi_id = c.aoi_id LEFT JOIN mj ON mj.aoi_id = c.aoi_id AND mj.month = ax.month AND mj.y = c.y AND mj.x = c.x",
     "s16_statistics": "SELECT aoi_id, y, x, count_wet, count_clear, round(100.0::DOUBLE * count_wet / nullif(count_clear, 0), 6) AS frequency FROM st",
     "p10_ever_wet": "SELECT aoi_id, y, x FROM st WHERE count_clear > 0 AND count_wet / count_clear::DOUBLE >= 0.5",
-    "p11_wet_area": f"SELECT DISTINCT * FROM ({around('(SELECT aoi_id, y, x FROM (' + around('(SELECT DISTINCT * FROM (' + around('hm', 1) + '))', 1) + ') GROUP BY ALL HAVING count(*) = 9)', 1)})",
+    "p11_wet_area": far("hm", 4, 9),
+    "p34_footprint_area": far("(SELECT aoi_id, y, x FROM st WHERE count_wet > 0)", 25, 100),
     "p12_historical_mask": "SELECT * FROM hm",
     "p15_planning_footprint": f"SELECT DISTINCT * FROM ({around('(SELECT DISTINCT aoi_id, y // 4 AS y, x // 4 AS x FROM hm)', 1)}) WHERE y >= 0 AND x >= 0",
     "p16_union_inside": "SELECT DISTINCT aoi_id, y, x FROM cl SEMI JOIN cells USING (aoi_id, y, x) WHERE code = 1 AND (year(month) < 1995 OR year(month) > 1996)",
@@ -390,3 +400,17 @@ for n_, sql_ in {
     "p40_fidelity": " UNION ALL ".join(f"SELECT aoi_id, {f} AS factor, count(*) AS n_valid, count(*) FILTER (cl.code <> k.code) AS n_mismatch, round(1 - count(*) FILTER (cl.code <> k.code) / count(*)::DOUBLE, 6) AS fidelity FROM cl JOIN ({coarse(f)}) k USING (aoi_id, month) WHERE k.y = cl.y // {f} AND k.x = cl.x // {f} AND cl.code IN (0, 1) GROUP BY aoi_id" for f in (2, 4)),
 }.items():
     add(n_, f"WITH {PIX} {sql_}")
+
+add("p25_rasterise", """WITH bands AS (SELECT (p_partkey % 5)::INT AS aoi_id, 'b' || p_partkey // 5 // 64 AS ring, p_partkey // 5 * 1.5::DOUBLE + 0.37::DOUBLE AS x, p_size % 7 + 9.25::DOUBLE AS hi, 7.75::DOUBLE - p_size % 5 AS lo FROM part),
+boxes AS (SELECT (s_suppkey % 5)::INT AS aoi_id, 's' || s_suppkey AS ring, s_suppkey // 5 * 12.0::DOUBLE + 3.2::DOUBLE AS x FROM supplier),
+pts AS (SELECT aoi_id, ring, row_number() OVER (PARTITION BY aoi_id, ring ORDER BY x) AS o, x, 20 - hi AS y FROM bands UNION ALL SELECT aoi_id, ring, 1000 + row_number() OVER (PARTITION BY aoi_id, ring ORDER BY x DESC), x, 20 - lo FROM bands
+  UNION ALL SELECT aoi_id, ring, o, x + dx, 20 - y FROM boxes, (VALUES (1, 0.0::DOUBLE, 8.1::DOUBLE), (2, 4.1::DOUBLE, 8.1::DOUBLE), (3, 4.1::DOUBLE, 8.9::DOUBLE), (4, 0.0::DOUBLE, 8.9::DOUBLE)) v(o, dx, y)),
+e AS (SELECT aoi_id, x AS px, y AS py, coalesce(lead(x) OVER w, first_value(x) OVER w) AS qx, coalesce(lead(y) OVER w, first_value(y) OVER w) AS qy FROM pts WINDOW w AS (PARTITION BY aoi_id, ring ORDER BY o)),
+grid AS (SELECT aoi_id, (max(p_partkey // 5) * 3 // 2)::INT AS width FROM (SELECT (p_partkey % 5)::INT AS aoi_id, p_partkey FROM part) GROUP BY ALL),
+cell AS (SELECT aoi_id, r, unnest(range(width)) AS c FROM (SELECT aoi_id, width, unnest(range(18)) AS r FROM grid)),
+middle AS (SELECT cell.aoi_id, r, c FROM cell JOIN e ON e.aoi_id = cell.aoi_id AND least(py, qy) <= r + 0.5 AND r + 0.5 < greatest(py, qy) AND px + (r + 0.5 - py) * (qx - px) / (qy - py) <= c + 0.5 GROUP BY ALL HAVING count(*) % 2 = 1),
+through AS (SELECT DISTINCT cell.aoi_id, r, c FROM cell JOIN e ON e.aoi_id = cell.aoi_id AND c < greatest(px, qx) AND c + 1 > least(px, qx) AND r < greatest(py, qy) + 1e-300 AND r + 1 > least(py, qy)
+  WHERE (px <> qx OR (c < px AND px < c + 1)) AND (py <> qy OR (r < py AND py < r + 1))
+    AND greatest(0, CASE WHEN px <> qx THEN least((c - px) / (qx - px), (c + 1 - px) / (qx - px)) ELSE 0 END, CASE WHEN py <> qy THEN least((r - py) / (qy - py), (r + 1 - py) / (qy - py)) ELSE 0 END)
+      < least(1, CASE WHEN px <> qx THEN greatest((c - px) / (qx - px), (c + 1 - px) / (qx - px)) ELSE 1 END, CASE WHEN py <> qy THEN greatest((r - py) / (qy - py), (r + 1 - py) / (qy - py)) ELSE 1 END))
+SELECT aoi_id, r::INT AS y, c::INT AS x FROM (SELECT * FROM middle UNION SELECT * FROM through)""")

@@ -11,6 +11,7 @@ from .functions.columns import r6
 from .functions.lineage import cut
 from .operators import boundary as bd
 from .operators import condition as co
+from .operators import distance as di
 from .operators import dynamic_year as dy
 from .operators import evaluate as va
 from .operators import events as ev
@@ -18,6 +19,7 @@ from .operators import fixed_year as fx
 from .operators import phase as ph
 from .operators import pixels as px
 from .operators import prepare as pr
+from .operators import rasterise as ra
 from .operators import scale as sc
 from .operators import season as se
 from .operators import support as su
@@ -491,6 +493,24 @@ def _fill(s, d):
     return px.fill_inside(_monthly(s, d).withColumn("code", F.when(F.col("code") == 0, -2).otherwise(F.col("code"))), cells).select("aoi_id", "month", "y", "x", "code")
 
 
+def _rings(s, d):
+    """Polygons of five areas: bands of 64 parts each, whose sizes make their upper and lower bounds, and boxes of the suppliers that cut holes or stand beside them."""
+    k = F.expr("p_partkey div 5")
+    parts = src.table(s, d, "part").select((F.col("p_partkey") % 5).cast("int").alias("aoi_id"), F.expr("cast(p_partkey div 5 div 64 as int)").alias("ring"), (k * F.lit(1.5) + F.lit(0.37)).alias("x"), (F.col("p_size") % 7 + 9.25).alias("hi"), (7.75 - F.col("p_size") % 5).alias("lo"))
+    side = lambda c, turn: F.transform(F.array_sort(F.collect_list(F.struct((turn * F.col("x")).alias("o"), "x", F.col(c).alias("y")))), lambda q: F.struct(q["x"].alias("x"), q["y"].alias("y")))
+    bands = parts.groupBy("aoi_id", "ring").agg(F.concat(side("hi", 1), side("lo", -1)).alias("points")).select("aoi_id", "points")
+    x = F.expr("s_suppkey div 5") * F.lit(12.0) + F.lit(3.2)
+    corner = lambda dx, y: F.struct((x + dx).alias("x"), F.lit(y).alias("y"))
+    boxes = src.table(s, d, "supplier").select((F.col("s_suppkey") % 5).cast("int").alias("aoi_id"), F.array(corner(0.0, 8.1), corner(4.1, 8.1), corner(4.1, 8.9), corner(0.0, 8.9)).alias("points"))
+    return bands.unionByName(boxes)
+
+
+def _vector_grids(s, d):
+    """A grid for each area, its rows downwards, as wide as its bands."""
+    n = src.table(s, d, "part").groupBy((F.col("p_partkey") % 5).cast("int").alias("aoi_id")).agg((F.max(F.expr("p_partkey div 5")) * 3 / 2).cast("int").alias("width"))
+    return n.select("aoi_id", *[F.lit(v).alias(c) for c, v in (("x0", 0.0), ("y0", 20.0), ("dx", 1.0), ("dy", -1.0), ("height", 18))], "width")
+
+
 def _areas(s, d):
     k = F.col("n_nationkey")
     return src.table(s, d, "nation").select(k.cast("int").alias("aoi_id"), F.pow(F.lit(3.0), k % 13 + 14).alias("area_m2"), F.when(k % 3 > 0, k / 100).alias("amplitude_pp"))
@@ -510,7 +530,9 @@ QUERIES |= {
     "p33_complete_cube": lambda s, d: px.complete_cube(_monthly(s, d), src.aoi_cells(s, d)),
     "s16_statistics": lambda s, d: rounded(px.statistics(_mask(s, d))),
     "p10_ever_wet": lambda s, d: px.ever_wet(px.statistics(_mask(s, d)), 0.5),
-    "p11_wet_area": lambda s, d: px.wet_area(_history(s, d)),
+    "p11_wet_area": lambda s, d: di.wet_area(_history(s, d), close_m=60, buffer_m=90),
+    "p34_footprint_area": lambda s, d: di.wet_area(_wet(s, d)),
+    "p25_rasterise": lambda s, d: ra.cells_touched(_rings(s, d), _vector_grids(s, d)),
     "p12_historical_mask": lambda s, d: _history(s, d),
     "p15_planning_footprint": lambda s, d: px.planning_footprint(_history(s, d)),
     "p16_union_inside": lambda s, d: px.union_inside(_decades(s, d), src.aoi_cells(s, d)),

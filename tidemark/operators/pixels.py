@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import ratio_pct
+from .prepare import unrepeated
 
 #: Canonical mask codes, fixed values.
 WATER, DRY, INVALID, OUTSIDE = 1, 0, -1, -2
@@ -57,8 +58,13 @@ def fill_inside(mask: DataFrame, cells: DataFrame) -> DataFrame:
     return mask.join(inside, CELL, "left").withColumn("code", code.cast("int")).drop("_in")
 
 
-def complete_cube(mask: DataFrame, cells: DataFrame) -> DataFrame:
-    """Every month of an area's span for every cell of the area; what is missing is INVALID."""
+def complete_cube(mask: DataFrame, cells: DataFrame, duplicates: str | None = None, order: str | None = None) -> DataFrame:
+    """Every month of an area's span for every cell of the area; what is missing is INVALID.
+
+    ``duplicates``: None if the mask is known to have one code a cell and month; ``raise`` or ``first`` (by ``order``) as in ``prepare.unrepeated``.
+    """
+    if duplicates is not None:
+        mask = unrepeated(mask, ["month", *CELL], duplicates, order)
     span = mask.groupBy("aoi_id").agg(F.min("month").alias("lo"), F.max("month").alias("hi")).select("aoi_id", F.explode(F.sequence("lo", "hi", F.expr("interval 1 month"))).alias("month"))
     return cells.join(F.broadcast(span), "aoi_id").join(mask, ["month", *CELL], "left").withColumn("code", F.coalesce("code", F.lit(INVALID)))
 

@@ -19,6 +19,7 @@ def month_axis(df: DataFrame, keys: list[str] = ["aoi_id"]) -> DataFrame:  # noq
 def check_extent(df: DataFrame, keys: list[str] = ["aoi_id"]) -> DataFrame:  # noqa: B006
     """One row per area with what is wrong with its records, null if nothing: duplicate months, broken counts, percentages out of range."""
     names = set(df.columns)
+    df = df.withColumn("month", month_floor("month"))
     dup = df.groupBy(*keys, "month").agg(F.count("*").alias("n")).groupBy(*keys).agg(F.sort_array(F.collect_list(F.when(F.col("n") > 1, F.col("month").cast("string")))).alias("_dup"))
     tests: list[tuple[Column, str]] = []
     if names & {"n_water", "n_valid", "n_aoi"}:
@@ -68,19 +69,65 @@ def prepare(df: DataFrame, *, keys: list[str] = ["aoi_id"], max_invalid_pct: flo
     return out.withColumn("observed_fraction", 1 - invalid / 100).withColumn("quality_state", state).withColumn("candidate_usable", usable)
 
 
+def sound(df: DataFrame, faults: DataFrame, keys: list[str] = ["aoi_id"]) -> DataFrame:  # noqa: B006
+    """The records of areas without a fault; ``faults`` has (keys, error), null for sound areas."""
+    return df.join(faults.where("error IS NOT NULL").select(*keys), keys, "left_anti")
+
+
+def raise_for(faults: DataFrame, keys: list[str] = ["aoi_id"]) -> None:  # noqa: B006
+    """An error that names the first ten faulty areas and how many there are."""
+    bad = faults.where("error IS NOT NULL")
+    first = bad.orderBy(*keys).limit(10).collect()
+    if first:
+        raise ValueError(f"{bad.count()} areas: " + "; ".join(f"{', '.join(str(r[k]) for k in keys)}: {r['error']}" for r in first))
+
+
+def prepare_checked(df: DataFrame, *, keys: list[str] = ["aoi_id"], **options) -> DataFrame:  # noqa: B006
+    """``prepare``, after ``check_extent`` has found no fault in any area; else an error."""
+    raise_for(check_extent(df, keys), keys)
+    return prepare(df, keys=keys, **options)
+
+
+def unrepeated(df: DataFrame, keys: list[str], duplicates: str = "raise", order: str | None = None) -> DataFrame:
+    """``df`` with one row for each value of ``keys``: repeated ones raise an error, or the first by ``order`` stays."""
+    if duplicates == "first":
+        if order is None:
+            raise ValueError("to keep the first of repeated rows takes an order")
+        w = Window.partitionBy(*keys).orderBy(order)
+        return df.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
+    if duplicates != "raise":
+        raise ValueError(f"no policy {duplicates} for repeated rows")
+    twice = df.groupBy(*keys).agg(F.count("*").alias("_n")).where("_n > 1").orderBy(*keys).limit(5).collect()
+    if twice:
+        raise ValueError("repeated rows: " + "; ".join(", ".join(str(r[k]) for k in keys) for r in twice))
+    return df
+
+
+def frame_source(df: DataFrame, start: str | None = None, end: str | None = None) -> DataFrame:
+    """``normalise_frame`` of records whose months aren't repeated and of which some lie between the dates; else an error."""
+    out = unrepeated(normalise_frame(df, start, end), ["aoi_id", "month"])
+    if out.isEmpty():
+        raise ValueError("no months inside the requested dates")
+    return out
+
+
 def normalise_frame(df: DataFrame, start: str | None = None, end: str | None = None) -> DataFrame:
     """In-memory records as a source: months floored, missing invalid_pct 0, clipped to inclusive dates."""
+    out = df.withColumn("invalid_pct", F.coalesce("invalid_pct", F.lit(0.0)) if "invalid_pct" in df.columns else F.lit(0.0))
+    return normalise_dates(out, start, end)
+
+
+def normalise_dates(df: DataFrame, start: str | None = None, end: str | None = None) -> DataFrame:
+    """Months floored, and those between two dates, both months included."""
     out = df.withColumn("month", month_floor("month"))
-    out = out.withColumn("invalid_pct", F.coalesce("invalid_pct", F.lit(0.0)) if "invalid_pct" in df.columns else F.lit(0.0))
-    if start:
-        out = out.where(F.col("month") >= F.lit(start).cast("date"))
-    return out.where(F.col("month") <= F.lit(end).cast("date")) if end else out
+    first, last = (F.trunc(F.lit(x).cast("date"), "MM") for x in (start, end))
+    out = out.where(F.col("month") >= first) if start else out
+    return out.where(F.col("month") <= last) if end else out
 
 
-def coerce_monthly(df: DataFrame, *, keys: list[str] = ["aoi_id"], order: str = "ordinal", value: str = "extent_pct") -> DataFrame:  # noqa: B006
-    """The older coercion: months floored, the first row of a month by ``order`` kept, null values dropped."""
-    w = Window.partitionBy(*keys, "month").orderBy(order)
-    return df.withColumn("month", month_floor("month")).withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n").where(F.col(value).isNotNull())
+def coerce_monthly(df: DataFrame, *, keys: list[str] = ["aoi_id"], order: str = "ordinal", value: str = "extent_pct", duplicates: str = "first") -> DataFrame:  # noqa: B006
+    """The older coercion: months floored, the first row of a month by ``order`` kept (or repeated months refused), null values dropped."""
+    return unrepeated(df.withColumn("month", month_floor("month")), [*keys, "month"], duplicates, order).where(F.col(value).isNotNull())
 
 
 def basin_from_counts(df: DataFrame) -> DataFrame:
@@ -115,6 +162,11 @@ def rainfall_as_extent(rain: DataFrame) -> DataFrame:
     return rain.select("aoi_id", "month", F.least(F.lit(100.0), F.greatest(F.lit(0.0), F.try_divide(100 * F.col("rainfall_mm"), top))).alias("extent_pct"), F.lit(0.0).alias("invalid_pct"))
 
 
+def normalise_rainfall(rain: DataFrame, value: str = "rainfall_mm") -> DataFrame:
+    """(aoi_id, month, rainfall_mm) with months floored; repeated months are refused."""
+    return unrepeated(rain.select("aoi_id", month_floor("month").alias("month"), F.col(value).cast("double").alias("rainfall_mm")), ["aoi_id", "month"])
+
+
 def align_rainfall(axis: DataFrame, rain: DataFrame) -> DataFrame:
     """Rainfall on the extent's months, with its anomaly from the calendar month's median."""
     out = axis.select("aoi_id", "month").join(rain, ["aoi_id", "month"], "left")

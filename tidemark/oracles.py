@@ -414,3 +414,17 @@ through AS (SELECT DISTINCT cell.aoi_id, r, c FROM cell JOIN e ON e.aoi_id = cel
     AND greatest(0, CASE WHEN px <> qx THEN least((c - px) / (qx - px), (c + 1 - px) / (qx - px)) ELSE 0 END, CASE WHEN py <> qy THEN least((r - py) / (qy - py), (r + 1 - py) / (qy - py)) ELSE 0 END)
       < least(1, CASE WHEN px <> qx THEN greatest((c - px) / (qx - px), (c + 1 - px) / (qx - px)) ELSE 1 END, CASE WHEN py <> qy THEN greatest((r - py) / (qy - py), (r + 1 - py) / (qy - py)) ELSE 1 END))
 SELECT aoi_id, r::INT AS y, c::INT AS x FROM (SELECT * FROM middle UNION SELECT * FROM through)""")
+
+add("o13_batch_outcomes", f"""WITH {prep('nation', False).replace('obs AS (', 'whole AS (', 1).replace("""
+axis AS (""", """
+broken AS (SELECT aoi_id, month, n_aoi, n_valid, n_aoi - n_valid + (aoi_id % 9 = 2 AND month(month) = 5)::INT AS n_invalid, CASE WHEN aoi_id % 9 = 3 AND month(month) = 7 THEN -1 ELSE n_water END AS n_water, 1 + (aoi_id % 9 = 1 AND month(month) = 3)::INT AS times
+  FROM whole WHERE (aoi_id % 9 <> 4 OR year(month) = 1997) AND (aoi_id % 9 <> 5 OR year(month) < 1996)),
+asked AS (SELECT n_nationkey::INT AS aoi_id FROM nation UNION SELECT max(aoi_id) + 1 FROM broken),
+within AS (SELECT * FROM broken WHERE month BETWEEN DATE '1996-02-01' AND DATE '1999-11-01'),
+judged AS (SELECT asked.aoi_id, (SELECT count(*) FROM broken b WHERE b.aoi_id = asked.aoi_id) AS n_all, count(w.month) AS n_months, min(month) AS first_month, max(month) AS last_month, string_agg(CASE WHEN times > 1 THEN month::VARCHAR END, ', ' ORDER BY month) AS twice, bool_or(n_water < 0) AS negative, bool_or(n_valid + n_invalid <> n_aoi) AS uneven, count(*) FILTER (n_valid > 0) AS seen FROM asked LEFT JOIN within w USING (aoi_id) GROUP BY asked.aoi_id),
+outcome AS (SELECT *, CASE WHEN n_all = 0 THEN 'NoRecord' WHEN n_months = 0 THEN 'NoMonths' WHEN twice IS NOT NULL OR negative OR uneven THEN 'BadRecord' WHEN seen < 12 THEN 'ShortRecord' END AS error_type FROM judged),
+obs AS (SELECT aoi_id, month, n_aoi, n_valid, n_water FROM within WHERE aoi_id IN (SELECT aoi_id FROM outcome WHERE error_type IS NULL)),
+axis AS (""", 1)}, {event_ctes()}
+SELECT aoi_id, error_type IS NULL AS succeeded, error_type, CASE error_type WHEN 'NoRecord' THEN 'no record' WHEN 'NoMonths' THEN 'no months inside the requested dates' WHEN 'ShortRecord' THEN 'months with a value: ' || seen || ', needed: 12'
+  WHEN 'BadRecord' THEN CASE WHEN twice IS NOT NULL THEN 'duplicate months: ' || twice WHEN negative THEN 'negative counts' ELSE 'valid and invalid pixels don''t add up' END END AS error, n_months, first_month, last_month, n_wet_events, n_low_spells
+FROM outcome LEFT JOIN (SELECT aoi_id, count(*) AS n_wet_events FROM ev GROUP BY ALL) USING (aoi_id) LEFT JOIN (SELECT aoi_id, count(*) AS n_low_spells FROM ls GROUP BY ALL) USING (aoi_id)""")

@@ -23,6 +23,7 @@ from .operators import rasterise as ra
 from .operators import scale as sc
 from .operators import season as se
 from .operators import support as su
+from .plans import batch as ba
 from .plans import exports as ex
 from .plans import routing as ro
 from .sources import tables as src
@@ -449,6 +450,21 @@ def _(s, d):
     return ro.summary_rows(ro.analyse(prepared(s, d)))
 
 
+@query("o13_batch_outcomes")
+def _(s, d):
+    """Records of which some are broken on purpose, by area: a month repeated, counts that don't add up, negative counts, too few months; one requested area has none."""
+    x = src.monthly_counts(s, d, by="nation", seasonal=False).withColumn("n_invalid", F.col("n_aoi") - F.col("n_valid"))
+    k = F.col("aoi_id") % 9
+    x = x.withColumn("n_invalid", F.when((k == 2) & (F.month("month") == 5), F.col("n_invalid") + 1).otherwise(F.col("n_invalid"))).withColumn("n_water", F.when((k == 3) & (F.month("month") == 7), -1).otherwise(F.col("n_water")))
+    x = x.where((k != 4) | (F.year("month") == 1997)).where((k != 5) | (F.year("month") < 1996))
+    x = x.unionByName(x.where((k == 1) & (F.month("month") == 3)).withColumn("month", F.date_add("month", 9)))
+    areas = src.table(s, d, "nation").select(F.col("n_nationkey").cast("int").alias("aoi_id")).unionByName(x.select((F.max("aoi_id") + 1).alias("aoi_id")))
+    b = ba.run_many(x, areas, start="1996-02-10", end="1999-11-03", analysed=False)
+    found, spells, _, _ = ev.extract(b.records)
+    n = lambda t, c: t.groupBy("aoi_id").agg(F.count("*").alias(c))
+    return b.outcomes.join(n(found, "n_wet_events"), "aoi_id", "left").join(n(spells, "n_low_spells"), "aoi_id", "left")
+
+
 @query("c3_low_variability")
 def _(s, d):
     flat = src.table(s, d, "nation").where("n_nationkey % 5 = 0").select(F.col("n_nationkey").cast("int").alias("aoi_id"))

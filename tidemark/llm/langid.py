@@ -131,7 +131,7 @@ class Classifier:
         return self.langs[best], share, min(rest) - least if rest else least, least, len(data)
 
 
-_HELD: dict[int, Classifier] = {}
+_HELD: list = []
 
 
 def identify(docs: DataFrame, dictionaries: Mapping[str, bytes], *, text: str = "text", keep: list[str] | None = None, min_margin: int = 1) -> DataFrame:
@@ -151,10 +151,9 @@ def identify(docs: DataFrame, dictionaries: Mapping[str, bytes], *, text: str =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         value = shipped.value
-        if id(value) not in _HELD:
-            _HELD.clear()
-            _HELD[id(value)] = Classifier(value[0])
-        ask = _HELD[id(value)]
+        if not _HELD or _HELD[0] is not value:  # the value is held too, so that no later one can take its place in memory
+            _HELD[:] = value, Classifier(value[0])
+        ask = _HELD[1]
         known = Dictionaries()
         known.least = value[1]
         for batch in batches:

@@ -401,6 +401,10 @@ for n_, sql_ in {
 }.items():
     add(n_, f"WITH {PIX} {sql_}")
 
+MONTHS = "(SELECT unnest(generate_series(DATE '1995-03-01', DATE '1998-10-01', INTERVAL 1 MONTH))::DATE AS month)"
+add("s12_cached_extent", f"""WITH {PIX} SELECT aoi_id, month, n_water, n_valid, n_aoi - n_valid AS n_invalid, n_aoi, round(100.0::DOUBLE * n_water / nullif(n_valid, 0), 6) AS extent_pct, round(100.0::DOUBLE * (n_aoi - n_valid) / n_aoi, 6) AS invalid_pct
+FROM (SELECT a.aoi_id, a.month, n_aoi, count(cl.code) FILTER (code = 1) AS n_water, count(cl.code) FILTER (code IN (0, 1)) AS n_valid FROM (SELECT aoi_id, count(*) AS n_aoi, month FROM cells, {MONTHS} GROUP BY ALL) a LEFT JOIN cl USING (aoi_id, month) GROUP BY ALL)""")
+add("s28_completed_years", f"WITH {PIX} SELECT aoi_id, year(month)::INT AS yr, count(DISTINCT month) AS n_months FROM cells, {MONTHS} WHERE year(month) < 1997 AND aoi_id < 2 GROUP BY ALL")
 add("p25_rasterise", """WITH bands AS (SELECT (p_partkey % 5)::INT AS aoi_id, 'b' || p_partkey // 5 // 64 AS ring, p_partkey // 5 * 1.5::DOUBLE + 0.37::DOUBLE AS x, p_size % 7 + 9.25::DOUBLE AS hi, 7.75::DOUBLE - p_size % 5 AS lo FROM part),
 boxes AS (SELECT (s_suppkey % 5)::INT AS aoi_id, 's' || s_suppkey AS ring, s_suppkey // 5 * 12.0::DOUBLE + 3.2::DOUBLE AS x FROM supplier),
 pts AS (SELECT aoi_id, ring, row_number() OVER (PARTITION BY aoi_id, ring ORDER BY x) AS o, x, 20 - hi AS y FROM bands UNION ALL SELECT aoi_id, ring, 1000 + row_number() OVER (PARTITION BY aoi_id, ring ORDER BY x DESC), x, 20 - lo FROM bands

@@ -405,6 +405,21 @@ MONTHS = "(SELECT unnest(generate_series(DATE '1995-03-01', DATE '1998-10-01', I
 add("s12_cached_extent", f"""WITH {PIX} SELECT aoi_id, month, n_water, n_valid, n_aoi - n_valid AS n_invalid, n_aoi, round(100.0::DOUBLE * n_water / nullif(n_valid, 0), 6) AS extent_pct, round(100.0::DOUBLE * (n_aoi - n_valid) / n_aoi, 6) AS invalid_pct
 FROM (SELECT a.aoi_id, a.month, n_aoi, count(cl.code) FILTER (code = 1) AS n_water, count(cl.code) FILTER (code IN (0, 1)) AS n_valid FROM (SELECT aoi_id, count(*) AS n_aoi, month FROM cells, {MONTHS} GROUP BY ALL) a LEFT JOIN cl USING (aoi_id, month) GROUP BY ALL)""")
 add("s28_completed_years", f"WITH {PIX} SELECT aoi_id, year(month)::INT AS yr, count(DISTINCT month) AS n_months FROM cells, {MONTHS} WHERE year(month) < 1997 AND aoi_id < 2 GROUP BY ALL")
+add("p13_mask_versions", f"WITH {PIX} SELECT aoi_id, y, x, count(*) FILTER (code = 1) AS count_wet, count(*) AS count_clear FROM cl WHERE code IN (0, 1) AND year(month) BETWEEN 1990 AND 1999 GROUP BY ALL")
+GAP = "greatest(1, (year({b}) - year({a})) * 12 + month({b}) - month({a}) + (day({b}) > day({a}))::INT)"
+add("p14_coverage_gaps", f"""WITH o AS (SELECT o_custkey, min(o_orderdate)::DATE AS a, max(o_orderdate)::DATE AS b FROM orders GROUP BY ALL),
+g AS (SELECT o_custkey, CASE WHEN a < DATE '1996-01-01' THEN {GAP.format(a='a', b="DATE '1996-01-01'")} END::INT AS before, CASE WHEN b > DATE '1997-12-31' THEN {GAP.format(a="DATE '1997-12-31'", b='b')} END::INT AS after FROM o)
+SELECT *, 'the window ' || nullif(concat_ws(' and ', 'begins ' || before || ' month(s) before the coverage', 'ends ' || after || ' month(s) after it, so cells first wet since then are missing'), '') AS note FROM g""")
+add("p31_wet_area_from_years", f"WITH {PIX} {far('(SELECT DISTINCT aoi_id, y, x FROM cl WHERE code = 1 AND year(month) BETWEEN 1995 AND 1998)', 9, 36)}")
+SPARSE = f"""{PIX}, sp AS (SELECT * FROM cells WHERE aoi_id = 0 OR x % (40 * aoi_id) < 9), sh AS (SELECT aoi_id, max(y) + 1 AS h, max(x) + 1 AS w FROM cells GROUP BY ALL),
+tl AS (SELECT DISTINCT aoi_id, t, y // t AS ty, x // t AS tx FROM sp, (VALUES (64), (32), (8)) v(t)),
+sc AS (SELECT aoi_id, t, count(*) AS n_tiles, sum((least((ty + 1) * t, h) - ty * t) * (least((tx + 1) * t, w) - tx * t))::BIGINT AS px FROM tl JOIN sh USING (aoi_id) GROUP BY ALL UNION ALL SELECT aoi_id, NULL, 1, (h * w)::BIGINT FROM sh),
+pl AS (SELECT aoi_id, first(struct_pack(t, n_tiles, px, c) ORDER BY c, t IS NOT NULL, t DESC) AS b, first(struct_pack(t, n_tiles, px, c)) FILTER (t IS NULL) AS w FROM (SELECT *, px + 40.0::DOUBLE * n_tiles AS c FROM sc) GROUP BY ALL),
+pn AS (SELECT aoi_id, b.t IS NOT NULL AND (w.c - b.c) / w.c >= 0.15 AS tiled, b, w FROM pl)"""
+add("p19_plan_tiles", f"WITH {SPARSE} SELECT aoi_id, CASE WHEN tiled THEN b.t END AS tile_pixels, CASE WHEN tiled THEN b.n_tiles ELSE 1 END AS n_tiles, CASE WHEN tiled THEN b.px ELSE w.px END AS intersecting_pixels, round(CASE WHEN tiled THEN b.c ELSE w.c END, 6) AS predicted_cost, round(CASE WHEN tiled THEN (w.c - b.c) / w.c ELSE 0 END, 6) AS relative_improvement, tiled FROM pn")
+add("p19_planned_windows", f"""WITH {SPARSE} SELECT aoi_id, ty::INT AS tile_y, tx::INT AS tile_x, (ty * t)::INT AS y0, least((ty + 1) * t, h)::INT AS y1, (tx * t)::INT AS x0, least((tx + 1) * t, sh.w)::INT AS x1 FROM tl JOIN pn USING (aoi_id) JOIN sh USING (aoi_id) WHERE tiled AND t = b.t
+UNION ALL SELECT aoi_id, 0, 0, 0, h::INT, 0, sh.w::INT FROM pn JOIN sh USING (aoi_id) WHERE NOT tiled""")
+add("s10_tile_scan", f"WITH {SPARSE} SELECT aoi_id, y // 8 AS tile_y, x // 8 AS tile_x, count(*) AS n_pixels, count(*) FILTER (code = 1) AS n_water FROM cl WHERE (aoi_id, y // 8, x // 8) IN (SELECT (aoi_id, y // 8, x // 8) FROM sp) AND (aoi_id, y // 8, x // 8) NOT IN ((0, 0, 0), (1, 1, 2)) GROUP BY ALL")
 add("p25_rasterise", """WITH bands AS (SELECT (p_partkey % 5)::INT AS aoi_id, 'b' || p_partkey // 5 // 64 AS ring, p_partkey // 5 * 1.5::DOUBLE + 0.37::DOUBLE AS x, p_size % 7 + 9.25::DOUBLE AS hi, 7.75::DOUBLE - p_size % 5 AS lo FROM part),
 boxes AS (SELECT (s_suppkey % 5)::INT AS aoi_id, 's' || s_suppkey AS ring, s_suppkey // 5 * 12.0::DOUBLE + 3.2::DOUBLE AS x FROM supplier),
 pts AS (SELECT aoi_id, ring, row_number() OVER (PARTITION BY aoi_id, ring ORDER BY x) AS o, x, 20 - hi AS y FROM bands UNION ALL SELECT aoi_id, ring, 1000 + row_number() OVER (PARTITION BY aoi_id, ring ORDER BY x DESC), x, 20 - lo FROM bands

@@ -17,6 +17,7 @@ from .operators import dynamic_year as dy
 from .operators import evaluate as va
 from .operators import events as ev
 from .operators import fixed_year as fx
+from .operators import history as hi
 from .operators import phase as ph
 from .operators import pixels as px
 from .operators import prepare as pr
@@ -24,6 +25,7 @@ from .operators import rasterise as ra
 from .operators import scale as sc
 from .operators import season as se
 from .operators import support as su
+from .operators import tiles as ti
 from .plans import batch as ba
 from .plans import exports as ex
 from .plans import routing as ro
@@ -551,6 +553,56 @@ def _(s, d):
     return c.completed(name)
 
 
+@query("p13_mask_versions")
+def _(s, d):
+    """Counts of a mask that was first built to 1996, then brought to 1999; the years to 1996 are gone by then."""
+    h = hi.MaskHistory(s, f"{shared_dir(s)}/history-{uuid.uuid4().hex}")
+    counts = cut(hi.yearly_counts(_mask(s, d)))
+    h.resolve(counts, 1990, 1996)
+    return h.resolve(counts.where("yr > 1996"), 1990, 1999)[0]
+
+
+@query("p14_coverage_gaps")
+def _(s, d):
+    """Orders' and their customers' first and last dates as windows, against a coverage of 1996 and 1997."""
+    o = src.table(s, d, "orders").groupBy("o_custkey").agg(F.min("o_orderdate").cast("date").alias("a"), F.max("o_orderdate").cast("date").alias("b"))
+    g = hi.coverage_gap(F.col("a"), F.col("b"), F.lit("1996-01-01").cast("date"), F.lit("1997-12-31").cast("date"))
+    return o.select("o_custkey", g.alias("g")).select("o_custkey", "g.*")
+
+
+@query("p31_wet_area_from_years")
+def _(s, d):
+    return hi.choose_wet_cells(counts=hi.yearly_counts(_mask(s, d)), years=(1995, 1998), cell_m=50.0)[0]
+
+
+SIZES = {"candidates": (64, 32, 8), "tile_overhead": 40.0}
+
+
+@query("p19_plan_tiles")
+def _(s, d):
+    return rounded(ti.plan_tiles(_sparse(s, d), _shapes(s, d), **SIZES))
+
+
+@query("p19_planned_windows")
+def _(s, d):
+    c = cut(_sparse(s, d))
+    return ti.planned_windows(ti.plan_tiles(c, _shapes(s, d), **SIZES), c, _shapes(s, d))
+
+
+def _sparse(s, d):
+    """Cells of which the areas hold more or less: every one, or only those of some columns."""
+    return src.aoi_cells(s, d).where("aoi_id = 0 OR x % (40 * aoi_id) < 9")
+
+
+@query("s10_tile_scan")
+def _(s, d):
+    """Water by tile, of tiles with cells of the area, without those on the list of tiles done."""
+    path = f"{shared_dir(s)}/tiles-{uuid.uuid4().hex}"
+    ti.write_tiles(_mask(s, d), path, 8)
+    done = s.createDataFrame([(0, 0, 0), (1, 1, 2)], "aoi_id int, tile_y int, tile_x int")
+    return ti.read_tiles(s, path, _sparse(s, d), 8, skip=done).groupBy("aoi_id", "tile_y", "tile_x").agg(F.count("*").alias("n_pixels"), F.count_if(F.col("code") == 1).alias("n_water"))
+
+
 def _rings(s, d):
     """Polygons of five areas: bands of 64 parts each, whose sizes make their upper and lower bounds, and boxes of the suppliers that cut holes or stand beside them."""
     k = F.expr("p_partkey div 5")

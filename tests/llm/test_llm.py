@@ -320,10 +320,30 @@ def test_isolated_pairs_are_found(spark):
     x = np.array([v for _, v, _ in out])
     x /= np.linalg.norm(x, axis=1, keepdims=True)
     want = (x @ x.T >= 0.93).sum(axis=1) - 1
-    got = nndescent.near_vectors(spark.createDataFrame(out, "vec_id long, embedding array<double>, label int"), trees=1, leaf=4, rounds=1, most_rounds=2, audit=8, audit_links=30)
+    got = nndescent.near_vectors(spark.createDataFrame(out, "vec_id long, embedding array<double>, label int"), trees=1, leaf=4, rounds=1, audit=200)
     assert want.sum() > 100 and {r.vec_id: r.n_links for r in got.collect()} == dict(enumerate(want.tolist()))
 
 
+def test_rare_links_are_found_by_the_search_alone(spark, monkeypatch):
+    """In 6000 vectors 30 pairs link: the audit asks 256 vectors, never all, and what it sees isn't added to the links."""
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(6000, 24))
+    for i in range(30):
+        u = rng.normal(size=24)
+        u -= (u @ x[i]) * x[i] / (x[i] @ x[i])
+        c = rng.uniform(0.935, 0.99)
+        x[3000 + i] = c * x[i] + np.sqrt(1 - c * c) * np.linalg.norm(x[i]) / np.linalg.norm(u) * u
+    asked = []
+    whole = nndescent._ask_all
+    monkeypatch.setattr(nndescent, "_ask_all", lambda queries, threshold: asked.append(len(queries.value)) or whole(queries, threshold))
+    got = nndescent.near_vectors(spark.createDataFrame([(i, v, 1) for i, v in enumerate(x.tolist())], "vec_id long, embedding array<double>, label int"), audit=256).collect()
+    y = x / np.linalg.norm(x, axis=1, keepdims=True)
+    want = (y @ y.T >= 0.93).sum(axis=1) - 1
+    assert asked == [256] and want.sum() >= 60
+    assert {r.vec_id: r.n_links for r in got} == dict(enumerate(want.tolist()))
+    assert len(got) == 6000 and min(r.audit_recall for r in got) >= 0.99
+
+
 def test_narrow_margins_are_rejected(spark):
     rng = random.Random(4)
     parts = {x: ["".join(rng.choice(a) for _ in range(rng.randint(2, 4))) for _ in range(150)] for x, a in (("en", "etaoinshrdlu"), ("fr", "esaitnrulodcé"), ("xx", "zkvwyjqpbgmf"))}

@@ -129,8 +129,8 @@ def _ask_all(queries, threshold: float):
     return run
 
 
-def near_vectors(vectors: DataFrame, *, vec_id: str = "vec_id", embedding: str = "embedding", label: str = "label", threshold: float = 0.93, k: int = 10, trees: int = 8, leaf: int = 48, pool: int = 64, rounds: int = 2, most_rounds: int = 8, audit: int = 1024, audit_links: int = 5000, recall: float = 0.999, seed: int = 7) -> DataFrame:
-    """Links between vectors of equal label: rows (vec_id, n_links, component_id, kept), one per input row.
+def near_vectors(vectors: DataFrame, *, vec_id: str = "vec_id", embedding: str = "embedding", label: str = "label", threshold: float = 0.93, k: int = 10, trees: int = 8, leaf: int = 48, pool: int = 64, rounds: int = 2, most_rounds: int = 8, audit: int = 1024, recall: float = 0.999, seed: int = 7) -> DataFrame:
+    """Links between vectors of equal label: rows (vec_id, n_links, component_id, kept, audit_recall), one per input row.
 
     Vectors are linked if their cosine, in double precision, is at least ``threshold``. ``n_links`` counts the other rows linked
     directly, ``component_id`` is the least vec_id that links reach, ``kept`` tells whether it is the row's own.
@@ -138,11 +138,14 @@ def near_vectors(vectors: DataFrame, *, vec_id: str = "vec_id", embedding: str =
     Equal vectors are one node from the start. The neighbour graph begins with the leaves of ``trees`` random-hyperplane trees.
     In each round every node's pool, itself, its neighbours and those whose neighbour it is, is compared within itself (pools over
     ``pool`` members in random parts, other parts in each round), and each member keeps its best k. A list
-    whose members are all links is saturated: its k doubles. After ``rounds`` rounds an audit asks hash-chosen nodes
-    against all rows: ``audit`` of them, then four times as many, until ``audit_links`` of their links are seen or all nodes were
-    asked. While fewer than ``recall`` of these links lie within found components, ``trees`` freshly seeded trees are grown, twice
-    as many each time, and another round follows. If ``most_rounds`` rounds don't reach ``recall``, all nodes
-    are asked, in blocks, and no link is missed. Links are then counted exactly within components, in blocks of at most some hundreds of nodes, without listing pairs.
+    whose members are all links is saturated: its k doubles. After ``rounds`` rounds an audit measures recall in two ways, of a
+    size that doesn't grow with the table: ``audit`` hash-chosen nodes had a near copy planted at a cosine spread evenly from
+    ``threshold`` to 1, which took part in the search as a node of its own; and as many nodes are asked against all rows for the links
+    there really are. While fewer than ``recall`` of either lie within found components, ``trees`` freshly seeded trees are grown, twice as
+    many each time, and another round follows, ``most_rounds`` at most; a search that then still finds less than nine tenths of
+    the planted copies or real links is an error. Links come from the neighbour graph alone: planted copies leave it before components are formed, what the audit
+    saw isn't added. Links are then counted exactly within components, in blocks of at most some hundreds of nodes, without listing pairs.
+    ``audit_recall``, the lesser of the two measures, is the same in all rows.
 
     Null labels, vectors that are null, empty, zero, or hold nulls or non-finite numbers link with nothing; nor do vectors of
     different lengths. A null id is the component id only of rows that link with no other id. Repeated rows link with each
@@ -156,6 +159,9 @@ def near_vectors(vectors: DataFrame, *, vec_id: str = "vec_id", embedding: str =
     kinds = kinds.withColumn("grp", F.xxhash64("_l", F.size("_e"))).withColumn("id", F.monotonically_increasing_id())
     kinds = stored(kinds, "nn-kinds")
     blob = stored(kinds.select("id", "grp", "m", "_e").mapInArrow(_to_blob, "id long, grp long, m long, vec binary"), "nn-vectors")
+    chosen = stored(blob.select("id", "grp", "vec").orderBy(F.xxhash64(F.lit(seed), "id"), "id").limit(audit), "nn-audit")
+    planted = chosen.mapInArrow(_near_copies(threshold, seed), "id long, grp long, vec binary")
+    nodes = stored(blob.select("id", "grp", "vec").unionByName(planted), "nn-nodes")
     parts = partitions(spark)
 
     def compared(members: DataFrame, salt: int) -> DataFrame:
@@ -163,7 +169,7 @@ def near_vectors(vectors: DataFrame, *, vec_id: str = "vec_id", embedding: str =
         sized = members.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
         part = F.pmod(F.xxhash64(F.lit(salt), "id"), F.ceil(F.col("n") / pool).cast("long"))
         pools = members.join(sized, "key").select(F.xxhash64("key", part).alias("pool"), "id", "k", "bar")
-        full = pools.join(blob.select("id", "grp", "vec"), "id").select("pool", "id", "grp", "k", "bar", "vec")
+        full = pools.join(nodes, "id").select("pool", "id", "grp", "k", "bar", "vec")
         return full.repartition(parts, "pool").sortWithinPartitions("pool").mapInArrow(lambda b: _join_pools(b, threshold), _LISTS)
 
     def merged(lists: DataFrame, sizes: DataFrame | None) -> DataFrame:
@@ -175,40 +181,28 @@ def near_vectors(vectors: DataFrame, *, vec_id: str = "vec_id", embedding: str =
         last = F.element_at("l", -1)["s"]
         return stored(got.select("id", "l", F.when((F.size("l") >= F.col("k")) & (last >= threshold), 2 * F.col("k")).otherwise(F.col("k")).alias("k"), F.when(F.size("l") >= F.col("k"), F.when(last >= threshold, F.lit(-1.0)).otherwise(last)).otherwise(F.lit(-1.0)).alias("bar")), "nn-lists")
 
-    counts = blob.groupBy("grp").agg(F.count("*").alias("n"))
+    counts = nodes.groupBy("grp").agg(F.count("*").alias("n"))
     # every node that links reach; components() leaves out the roots themselves
     reached = lambda edges: (r := components(edges)).union(r.select("root", "root")).distinct()
     depth = F.greatest(F.lit(0), F.least(F.lit(32), F.ceil(F.log2(F.col("n") / leaf)).cast("int")))
 
     def leaves(number: int, seed: int) -> DataFrame:
-        codes = blob.select("id", "grp", "vec").mapInArrow(_codes(number, seed), "id long, grp long, codes array<long>").join(counts, "grp")
+        codes = nodes.mapInArrow(_codes(number, seed), "id long, grp long, codes array<long>").join(counts, "grp")
         return codes.select("id", "grp", depth.alias("d"), F.posexplode("codes").alias("t", "code")).select(F.xxhash64(F.lit(seed), "grp", "t", F.call_function("shiftright", F.col("code"), F.lit(32) - F.col("d"))).alias("key"), "id", F.lit(k).alias("k"), F.lit(-1.0).alias("bar"))
     lists = merged(compared(leaves(trees, seed), 0), None)
 
-    n_nodes, n_asked, n_truth, truth = blob.count(), 0, 0, None
-    order = stored(blob.select("id", "grp", "vec", F.xxhash64("id").alias("h")).orderBy("h"), "nn-order")
-    last = None
-
-    def ask(number: int) -> None:
-        """Ask the next ``number`` nodes, a block of ``audit`` at a time, about all their links."""
-        nonlocal n_asked, n_truth, truth, last
-        upto = min(n_nodes, n_asked + number)
-        while n_asked < upto:
-            rest = order if last is None else order.where(F.col("h") > last)
-            chosen = rest.orderBy("h").limit(min(max(audit, 4096), upto - n_asked)).collect()
-            asked = spark.sparkContext.broadcast([(r["id"], r["grp"], bytes(r["vec"])) for r in chosen])
-            found = stored(blob.select("id", "grp", "vec").mapInArrow(_ask_all(asked, threshold), "a long, b long").where("a <> b"), "nn-truth")
-            truth = found if truth is None else truth.unionByName(found)
-            n_truth += found.count()
-            n_asked += len(chosen)
-            last = chosen[-1]["h"]
-            asked.unpersist()
-
-    ask(audit)
-    while n_truth < audit_links and n_asked < n_nodes:
-        ask(3 * n_asked)
-    if truth is None:
-        truth = spark.createDataFrame([], "a long, b long")
+    asked = spark.sparkContext.broadcast([(r["id"], r["grp"], bytes(r["vec"])) for r in chosen.collect()])  # ``audit`` vectors at most
+    truth = stored(blob.select("id", "grp", "vec").mapInArrow(_ask_all(asked, threshold), "a long, b long").where("a <> b"), "nn-truth")
+    n_truth, n_planted = truth.count(), len(asked.value)
+    copies = planted.select(F.col("id").alias("a"), (-1 - F.col("id")).alias("b"))
+
+    def met(pairs: DataFrame, number: int, edges: DataFrame) -> float:
+        """The share of pairs that lie within components of the edges."""
+        if not number:
+            return 1.0
+        roots = reached(edges)
+        return pairs.join(roots.toDF("a", "_ra"), "a").join(roots.toDF("b", "_rb"), "b").where("_ra = _rb").count() / number
+
     grown = trees
     for turn in range(1, most_rounds + 1):
         state = lists.select("id", "k", "bar")
@@ -219,17 +213,16 @@ def near_vectors(vectors: DataFrame, *, vec_id: str = "vec_id", embedding: str =
         if turn < rounds:
             continue
         edges = lists.select("id", F.explode("l").alias("x")).where(F.col("x.s") >= threshold).select(F.col("id").alias("a"), F.col("x.v").alias("b"))
-        roots = reached(edges)
-        of = lambda c: roots.toDF(c, f"_r{c}")
-        met = truth.join(of("a"), "a").join(of("b"), "b").where("_ra = _rb").count() if n_truth else 0
-        if met >= recall * n_truth or n_asked == n_nodes:
+        real = stored(edges.where("a >= 0 AND b >= 0"), "nn-edges")
+        reachable = min(met(copies, n_planted, edges), met(truth, n_truth, real))
+        if reachable >= recall:
             break
         if turn < most_rounds:
             grown *= 2
             lists = merged(lists.select("id", "l").unionByName(compared(leaves(grown, seed + turn), -turn)), lists.select("id", "k"))
-    else:
-        ask(n_nodes - n_asked)
-    roots = reached(edges.union(truth))
+    if reachable < 0.9:
+        raise RuntimeError(f"the search reaches {reachable:.3f} of the audit's links")
+    roots = reached(real)
     group = roots.toDF("id", "root").join(blob, "id")
     size = group.groupBy("root").agg(F.count("*").alias("n"))
     chunked = group.join(size, "root").withColumn("c", F.pmod(F.xxhash64("id"), F.ceil(F.col("n") / 256).cast("long")))
@@ -243,7 +236,27 @@ def near_vectors(vectors: DataFrame, *, vec_id: str = "vec_id", embedding: str =
     named = named.join(least, "_root", "left").select("_l", "_e", F.coalesce("_least", "first").alias("component_id"), (F.coalesce("_n", F.lit(0)) + F.col("m") - 1).cast("long").alias("n_links"))
     good = rows.where("_ok").join(named, ["_l", "_e"]).select("vec_id", "n_links", "component_id")
     rest = rows.where("not _ok").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
-    return good.unionByName(rest).select("vec_id", "n_links", "component_id", F.col("vec_id").eqNullSafe(F.col("component_id")).alias("kept"))
+    return good.unionByName(rest).select("vec_id", "n_links", "component_id", F.col("vec_id").eqNullSafe(F.col("component_id")).alias("kept"), F.lit(reachable).alias("audit_recall"))
+
+
+def _near_copies(threshold: float, seed: int):
+    """A copy of each vector, turned away from it by a chance angle whose cosine is at least ``threshold``; its id is -1 - id."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            made = []
+            for i, blob in zip(b.column("id").to_pylist(), b.column("vec").to_pylist(), strict=True):
+                rng = np.random.default_rng([seed, i])
+                v = np.frombuffer(blob, dtype=np.float64)
+                v = v / np.abs(v).max()
+                v = v / np.linalg.norm(v)
+                u = rng.normal(size=len(v))
+                u = u - (u @ v) * v
+                cosine, size = rng.uniform(threshold + 1e-6, 1.0), np.linalg.norm(u)
+                made.append((cosine * v + np.sqrt(1 - cosine * cosine) * u / size if len(v) > 1 and size > 0 else v).tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array([-1 - i for i in b.column("id").to_pylist()], pa.int64()), b.column("grp"), pa.array(made, pa.binary())], names=["id", "grp", "vec"])
+
+    return run
 
 
 def _to_blob(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

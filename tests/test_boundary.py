@@ -64,3 +64,23 @@ def test_equal_lows_follow_the_neighbouring_years(spark):
     assert [got[y].trough_month for y in (2001, 2002, 2003)] == [dt.date(y, 7, 1) for y in (2001, 2002, 2003)]
     assert (got[2002].raw_trough_month, got[2002].selection_status, got[2002].boundary_status) == (dt.date(2002, 6, 1), "coherence_adjusted", "provisional")
     assert got[2001].selection_status == got[2003].selection_status == "raw"
+
+
+def test_options(spark):
+    with pytest.raises(ValueError, match="1 and 12"):
+        dynamic_year.YearOptions(0)
+    for bad in ({"trough_search_radius_months": 6}, {"max_invalid_pct": 101}, {"quality_policy": "drop"}):
+        with pytest.raises(ValueError):
+            dynamic_year.YearOptions(9, **bad)
+    year = [60.0, 70.0, 80.0, 70.0, 55.0, 40.0, 20.0, 40.0, 50.0, 55.0, 58.0, 59.0]
+    rows = record(spark, year * 4, start=(2001, 1))
+    got = dynamic_year.detect_with(rows, dynamic_year.YearOptions(7, trough_search_radius_months=2)).where("trough_month IS NOT NULL").collect()
+    assert [r.trough_month for r in sorted(got, key=lambda r: r.hy_year)] == [dt.date(y, 7, 1) for y in range(2001, 2005)]
+    with pytest.raises(ValueError, match="duplicate months"):
+        dynamic_year.detect_with(rows.union(rows), dynamic_year.YearOptions(7))
+
+
+def test_suggested_months(spark):
+    rows = spark.createDataFrame([(1, "unimodal_annual", 9, 2), (2, "low_variability", None, None), (3, "bimodal_or_complex", None, 3)], "aoi_id int, pattern string, trough_month int, peak_month int")
+    got = {r.aoi_id: (r.expected_trough_month, r.expected_peak_month, r.error) for r in dynamic_year.suggest(rows).collect()}
+    assert got[1] == (9, 2, None) and got[2] == (None, None, "no stable trough phase: low_variability") and got[3][:2] == (None, None) and got[3][2]

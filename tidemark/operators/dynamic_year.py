@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import first_min, median, month_number, r6
 from ..functions.lineage import cut
 from .boundary import boundary_sequence, trough_candidates
+from .prepare import prepare_checked
 from .scale import epsilon, robust_scale
 
 #: Boundary thresholds, fixed values.
@@ -143,6 +146,44 @@ def assemble(prepared: DataFrame, opportunities: DataFrame, *, secondary: bool =
     )
 
 
+@dataclass(frozen=True)
+class YearOptions:
+    """What own boundaries per year are looked for with: one set of options for all areas of a job."""
+
+    expected_trough_month: int
+    trough_search_radius_months: int = 3
+    max_invalid_pct: float = 20.0
+    allow_unknown_quality: bool = False
+    quality_policy: str = "flag"
+
+    def __post_init__(self) -> None:
+        if self.expected_trough_month not in range(1, 13):
+            raise ValueError("the expected month lies between 1 and 12")
+        if self.trough_search_radius_months not in range(6):
+            raise ValueError("the search radius lies between 0 and 5 months")
+        if not 0 <= self.max_invalid_pct <= 100:
+            raise ValueError("the share of invalid pixels lies between 0 and 100")
+        if self.quality_policy not in ("exclude", "flag"):
+            raise ValueError("poor quality is excluded or flagged")
+
+
+#: Patterns without a trough phase to expect.
+UNSTABLE = ("weak_or_irregular", "low_variability", "insufficient_record")
+
+
+def suggest(patterns: DataFrame) -> DataFrame:
+    """(aoi_id, expected_trough_month, expected_peak_month, error) from seasonal patterns (aoi_id, pattern, trough_month, peak_month): the months to look around, or why there are none."""
+    none = F.col("pattern").isin(*UNSTABLE) | F.col("trough_month").isNull()
+    keep = lambda c: F.when(~none, F.col(c)).alias(f"expected_{c}")
+    return patterns.select("aoi_id", keep("trough_month"), keep("peak_month"), F.when(none, F.concat(F.lit("no stable trough phase: "), F.col("pattern"))).alias("error"))
+
+
+def detect_with(records: DataFrame, options: YearOptions) -> DataFrame:
+    """The annual table of all areas' records under the same options; faulty records are refused."""
+    use = prepare_checked(records, max_invalid_pct=options.max_invalid_pct, allow_unknown_quality=options.allow_unknown_quality, quality_policy=options.quality_policy)
+    return detect(cut(use), options.expected_trough_month, radius=options.trough_search_radius_months)
+
+
 def detect(prepared: DataFrame, expected_trough_month: int | DataFrame, *, radius: int = 3) -> DataFrame:
     # one row per area, and per area and year, that many steps read
     scale = cut(robust_scale(prepared))
@@ -150,9 +191,14 @@ def detect(prepared: DataFrame, expected_trough_month: int | DataFrame, *, radiu
     return cut(assemble(prepared, found, scale=scale))
 
 
-def secondary_extrema(prepared: DataFrame, annual: DataFrame) -> DataFrame:
-    """Second peaks and lows of each cycle's usable months, two places or more from the first ones (the earliest of equals)."""
+def secondary_extrema(prepared: DataFrame, annual: DataFrame, patterns: DataFrame | None = None) -> DataFrame:
+    """Second peaks and lows of each cycle's usable months, two places or more from the first ones (the earliest of equals).
+
+    With ``patterns`` (aoi_id, pattern) only years of ``bimodal_or_complex`` areas have rows.
+    """
     key = ["aoi_id", "hy_year"]
+    if patterns is not None:
+        annual = annual.join(patterns.where("pattern = 'bimodal_or_complex'").select("aoi_id"), "aoi_id", "left_semi")
     span = annual.where("peak_month IS NOT NULL").select(*key, "hy_start", "hy_end", "peak_month", "trough_month")
     rows = prepared.where("candidate_usable").join(span, "aoi_id").where("month BETWEEN hy_start AND hy_end")
     by = Window.partitionBy(*key)

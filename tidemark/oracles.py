@@ -241,6 +241,11 @@ def rounded(cols: str, doubles: str) -> str:
     return ", ".join([*cols.split(), *[f"round({c}, 6) AS {c}" for c in doubles.split()]])
 
 
+LABEL = f"""lab AS (WITH full12 AS (SELECT *, year(month)::INT AS yr FROM prep WHERE usable AND (aoi_id, year(month)) IN (SELECT (aoi_id, year(month)) FROM prep WHERE usable GROUP BY aoi_id, year(month) HAVING count(DISTINCT month(month)) >= 12)), {SHAPE}),
+pat AS (SELECT a.aoi_id, CASE WHEN coalesce(n, 0) < 5 THEN 'insufficient_record' ELSE label END AS pattern, coalesce(tops[1], hi) AS pk, coalesce(lows[1], lo) AS tr FROM (SELECT DISTINCT aoi_id FROM prep) a LEFT JOIN lab USING (aoi_id)
+  LEFT JOIN (SELECT aoi_id, count(*) AS n FROM (SELECT aoi_id, year(month) FROM prep WHERE usable GROUP BY ALL HAVING count(DISTINCT month(month)) >= 12) GROUP BY ALL) USING (aoi_id))"""
+add("y1_suggested_months", f"""WITH {prep('nation', False)}, {LABEL} SELECT aoi_id, CASE WHEN pattern IN ('unimodal_annual', 'bimodal_or_complex') THEN tr END AS expected_trough_month, CASE WHEN pattern IN ('unimodal_annual', 'bimodal_or_complex') THEN pk END AS expected_peak_month,
+  CASE WHEN pattern NOT IN ('unimodal_annual', 'bimodal_or_complex') THEN 'no stable trough phase: ' || pattern END AS error FROM pat""")
 for by_, se_, tag in (("region", True, ""), ("nation", False, "_irregular")):
     D = f"WITH {prep(by_, se_, 40)}, {dynamic()}"
     add(f"y5_trough_opportunities{tag}", f"{D} SELECT {rounded('aoi_id hy_year trough_month raw_trough_month run_start run_end window_status selection_status phase_offset boundary_status', 'trough_extent_pct trough_invalid_pct raw_trough_extent_pct support')} FROM opp")
@@ -254,6 +259,9 @@ SELECT coherent.aoi_id, coherent.hy_year, coherent, within_5_pct, fit AS least_o
 add("y10_secondary_extrema", f"""WITH {prep('nation', False, 40)}, {dynamic()}, sr AS (SELECT p.aoi_id, hy_year, p.month, extent_pct AS v, peak_month, an.trough_month, row_number() OVER o AS i, lag(extent_pct) OVER o AS l, lead(extent_pct) OVER o AS r, count(*) OVER (PARTITION BY p.aoi_id, hy_year) AS n, count(*) FILTER (p.month < peak_month) OVER (PARTITION BY p.aoi_id, hy_year) + 1 AS pp, count(*) FILTER (p.month < an.trough_month) OVER (PARTITION BY p.aoi_id, hy_year) + 1 AS tp
 FROM prep p JOIN an ON an.aoi_id = p.aoi_id AND p.month BETWEEN hy_start AND hy_end WHERE usable AND peak_month IS NOT NULL WINDOW o AS (PARTITION BY p.aoi_id, hy_year ORDER BY p.month))
 SELECT aoi_id, hy_year, arg_min(month, (-v, month)) FILTER (v > l AND v >= r AND abs(i - least(pp, n)) >= 2) AS secondary_peak_month, round(max(v) FILTER (v > l AND v >= r AND abs(i - least(pp, n)) >= 2), 6) AS secondary_peak_extent_pct, arg_min(month, (v, month)) FILTER (v < l AND v <= r AND abs(i - least(tp, n)) >= 2) AS secondary_trough_month, round(min(v) FILTER (v < l AND v <= r AND abs(i - least(tp, n)) >= 2), 6) AS secondary_trough_extent_pct FROM sr GROUP BY ALL""")
+add("y10_bimodal_extrema", f"""WITH {prep('nation', False, 40)}, {dynamic()}, {LABEL}, sr AS (SELECT p.aoi_id, hy_year, p.month, extent_pct AS v, peak_month, an.trough_month, row_number() OVER o AS i, lag(extent_pct) OVER o AS l, lead(extent_pct) OVER o AS r, count(*) OVER (PARTITION BY p.aoi_id, hy_year) AS n, count(*) FILTER (p.month < peak_month) OVER (PARTITION BY p.aoi_id, hy_year) + 1 AS pp, count(*) FILTER (p.month < an.trough_month) OVER (PARTITION BY p.aoi_id, hy_year) + 1 AS tp
+FROM prep p JOIN an ON an.aoi_id = p.aoi_id AND p.month BETWEEN hy_start AND hy_end WHERE usable AND peak_month IS NOT NULL WINDOW o AS (PARTITION BY p.aoi_id, hy_year ORDER BY p.month))
+SELECT aoi_id, hy_year, arg_min(month, (-v, month)) FILTER (v > l AND v >= r AND abs(i - least(pp, n)) >= 2) AS secondary_peak_month, round(max(v) FILTER (v > l AND v >= r AND abs(i - least(pp, n)) >= 2), 6) AS secondary_peak_extent_pct, arg_min(month, (v, month)) FILTER (v < l AND v <= r AND abs(i - least(tp, n)) >= 2) AS secondary_trough_month, round(min(v) FILTER (v < l AND v <= r AND abs(i - least(tp, n)) >= 2), 6) AS secondary_trough_extent_pct FROM sr WHERE aoi_id IN (SELECT aoi_id FROM pat WHERE pattern = 'bimodal_or_complex') GROUP BY ALL""")
 
 add("c7_monthly_condition", f"""WITH {prep('nation', False, 40)} SELECT a.aoi_id, a.month, round(a.extent_pct, 6) AS extent_pct, round(quantile_cont(b.extent_pct, 0.5), 6) AS reference_median_pct, CASE WHEN a.usable THEN round(a.extent_pct - quantile_cont(b.extent_pct, 0.5), 6) END AS anomaly_pct,
 CASE WHEN a.usable THEN round(100.0::DOUBLE * (count(*) FILTER (b.extent_pct < a.extent_pct) + 0.5::DOUBLE * count(*) FILTER (b.extent_pct = a.extent_pct)) / nullif(count(b.extent_pct), 0), 6) END AS condition_percentile, count(b.extent_pct) AS reference_n, a.quality_state

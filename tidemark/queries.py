@@ -287,6 +287,17 @@ for _tag in ("", "_irregular"):
         QUERIES[f"{_n}{_tag}"] = lambda s, d, t=_tag, f=_part(_c, _r): f(s, d, t)
 
 
+@query("y1_suggested_months")
+def _(s, d):
+    return dy.suggest(se.pattern(prepared(s, d, "nation", False)))
+
+
+@query("y10_bimodal_extrema")
+def _(s, d):
+    p, a = _annual(s, d, "_irregular")
+    return dy.secondary_extrema(p, a, se.pattern(p))
+
+
 @query("y4_boundary_sequence")
 def _(s, d):
     p = prepared(s, d, "nation", False, max_invalid_pct=40)

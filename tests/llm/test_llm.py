@@ -163,6 +163,39 @@ def test_bpe_is_tiktoken(spark):
         assert r.ids == own.encode_ordinary(t) and bytes(r.decoded) == t.encode()
 
 
+def test_bpe_of_odd_tables(spark):
+    """No rows, repeated rows, null ids, clashing columns, and texts far over the length of any word."""
+    public_tokenizers = pytest.importorskip("public_tokenizers")
+    tiktoken = pytest.importorskip("tiktoken")
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    own = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=bpe.load_ranks(path), special_tokens={})
+    rng = random.Random(21)
+    long = [prose(rng, 9000), "".join(rng.choice("xyzqkvj") for _ in range(40000)), "\n" * 20000, "".join(chr(rng.randrange(0x4E00, 0x9FFF)) for _ in range(12000))]
+    made = [(i, t, None, "s", 0, "other") for i, t in enumerate(long)] + [(0, long[0], None, "s", 0, None), (None, "no id", None, None, None, None)]
+    for rows in (made, []):
+        got = bpe.encode_decode(spark.createDataFrame(rows, SCHEMA).repartition(3), ranks_path=path, pattern=public_tokenizers.PATTERN).collect()
+        want = [(d, tuple(own.encode_ordinary(t)), t.encode()) for d, t, *_ in rows]
+        assert sorted(((r.doc_id, tuple(r.ids), bytes(r.decoded)) for r in got), key=str) == sorted(want, key=str)
+
+
+def test_language_of_odd_tables(spark):
+    """Long texts, ties, repeated rows and columns named like the new ones."""
+    rng = random.Random(22)
+    words = {a: ["".join(rng.choice(a) for _ in range(rng.randint(2, 7))) for _ in range(200)] for a in ("etaoin", "zkwyxq")}
+    say = lambda letters, n: " ".join(rng.choice(words[letters]) for _ in range(n))
+    schema = "doc_id long, text string, lang string, lang_pred string, score int, Text string"
+    taught = [(100 * k + i, say(a, 200), x, "old", 5, "other") for k, (x, a) in enumerate((("aa", "etaoin"), ("bb", "zkwyxq"))) for i in range(40)]
+    known = langid.train(spark.createDataFrame(taught, schema))
+    asked = [(1, say("etaoin", 30000), None, "old", 5, None), (2, say("zkwyxq", 30000), None, None, None, None), (3, None, None, None, None, None), (3, None, None, None, None, None), (4, "12 34 !", None, None, None, None), (None, say("etaoin", 300), None, None, None, None), (1, say("etaoin", 300), None, None, None, None)]
+    got = langid.identify(spark.createDataFrame(asked, schema).repartition(2), known, keep=["doc_id"]).collect()
+    assert sorted(((r.doc_id, r.lang_pred) for r in got), key=str) == sorted([(1, "aa"), (2, "bb"), (3, "und"), (3, "und"), (4, "und"), (None, "aa"), (1, "aa")], key=str)
+    assert all(0 <= r.score <= 1 for r in got)
+    # languages taught by the same texts tie, and nothing decides between them
+    same = [(i, t[1], x, None, None, None) for i, (t, x) in enumerate((t, x) for t in taught[:40] for x in ("aa", "bb"))]
+    tied = langid.identify(spark.createDataFrame(asked[:1], schema), langid.train(spark.createDataFrame(same, schema)), keep=["doc_id"]).first()
+    assert tied.rejected and tied.margin == 0
+
+
 def test_pfair_lag():
     shares = mixing.whole_shares({"a": 7, "b": 2.5, "c": 0.5, None: 1}, 100)
     assert sum(shares.values()) == 100

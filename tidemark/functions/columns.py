@@ -36,6 +36,11 @@ def median(c: Column | str) -> Column:
     return quantile(c, 0.5)
 
 
+def correlation(a: str, b: str) -> Column:
+    """Pearson's correlation, null where either is constant (``corr`` raises there under ANSI rules)."""
+    return F.try_divide(F.covar_pop(a, b), F.stddev_pop(a) * F.stddev_pop(b))
+
+
 def first_min(value: Column, at: Column) -> Column:
     """``at`` of the least value, the earliest on ties; null values don't count."""
     return F.min(F.when(value.isNotNull(), F.struct(value.alias("v"), at.alias("a"))))["a"]

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import first_max, first_min, month_number, quantile
+from ..functions.columns import correlation, first_max, first_min, month_number, quantile
 
 #: Months that an event without a match counts as.
 PENALTY = 12.0
@@ -40,7 +40,7 @@ def compare_series(native: DataFrame, coarse: DataFrame) -> DataFrame:
     n, c = (x.where("extent_pct IS NOT NULL").select("aoi_id", "month", F.col("extent_pct").alias(k)) for x, k in ((native, "n"), (coarse, "c")))
     j = n.join(c, ["aoi_id", "month"])
     out = j.groupBy("aoi_id").agg(
-        F.count("*").alias("n_months_compared"), F.corr("n", "c").alias("correlation"), F.max(F.abs(F.col("n") - F.col("c"))).alias("max_abs_diff_extent_pct"), F.avg(F.abs(F.col("n") - F.col("c"))).alias("mean_abs_diff_extent_pct"),
+        F.count("*").alias("n_months_compared"), correlation("n", "c").alias("correlation"), F.max(F.abs(F.col("n") - F.col("c"))).alias("max_abs_diff_extent_pct"), F.avg(F.abs(F.col("n") - F.col("c"))).alias("mean_abs_diff_extent_pct"),
         *[f(F.col(k), F.col("month")).alias(f"{name}_{what}_month") for k, name in (("n", "native"), ("c", "coarse")) for f, what in ((first_max, "wet"), (first_min, "dry"))],
     )
     return out.withColumn("same_wet_month", F.col("native_wet_month") == F.col("coarse_wet_month")).withColumn("same_dry_month", F.col("native_dry_month") == F.col("coarse_dry_month"))

@@ -17,6 +17,25 @@ SEASONAL_SNR, ASEASONAL_SNR = 2.0, 0.7
 STRONG_R, WEAK_R, ALPHA = 0.7, 0.3, 0.1
 MIN_UNIFORMITY_YEARS, MIN_YEARS, MIN_MONTHS = 10, 5, 9
 MIN_SUPPORT = 0.80
+#: Fewer annual timings than this are noted.
+CAUTION_YEARS = 30
+
+#: What to do with a record of each regime.
+ACTIONS = {
+    "seasonal": "Detect a hydrological year's own boundaries each year; peaks and lows recur.",
+    "marginal": "Report no yearly peak or low; at most one fixed window, named as imposed, beside events.",
+    "aseasonal": "Define no hydrological year; describe the area by wet events and low spells.",
+    "insufficient_record": "Lengthen the record or loosen the quality screen; too few years say nothing on seasonality.",
+}
+#: What a reader of an assessment is told: the first two always, the others where they apply.
+CAVEATS = {
+    "scope": "extent is surface water as observed, neither rainfall nor a climate variable",
+    "drivers": "regulation, extraction, diversion and land use move extent apart from rainfall",
+    "few_timings": "under 30 annual timings: the regime stands, intervals may be wide",
+    "weak_test": "under 10 annual timings the test of uniformity has little power, so the record stays marginal",
+    "marginal": "peaks are too scattered for yearly boundaries; the usual peak is an average only",
+    "aseasonal": "no annual cycle recurs, so no peak or low is given",
+}
 
 
 def years_with(prepared: DataFrame, months: int) -> DataFrame:
@@ -149,13 +168,38 @@ def assess(prepared: DataFrame, *, n_resamples: int = 200, seed: int = 0) -> Dat
     years = x.groupBy("aoi_id").agg(F.count("*").alias("n_years"))
     enough = x.join(years.where(F.col("n_years") >= MIN_YEARS), "aoi_id", "left_semi")
     side = lambda v: circular_summary(enough, v, n_resamples=n_resamples, seed=seed).select("aoi_id", *[F.col(c).alias(f"{v}_{c}") for c in ("concentration", "ci_low", "ci_high", "iqr_months", "uniformity_p")])
-    out = prepared.select("aoi_id").distinct().join(years, "aoi_id", "left").join(amplitude_snr(prepared), "aoi_id", "left").join(side("peak"), "aoi_id", "left").join(side("trough"), "aoi_id", "left")
-    out = out.withColumn("n_years", F.coalesce("n_years", F.lit(0)))
-    out = out.withColumn("snr", F.when(F.col("n_years") < MIN_YEARS, 0.0).otherwise(F.col("snr")))
-    label = F.when(F.col("n_years") < MIN_YEARS, "insufficient_record").otherwise(regime_label(F.col("snr"), F.col("peak_ci_low"), F.col("peak_uniformity_p"), F.col("n_years")))
+    months = prepared.groupBy("aoi_id").agg(F.count_if("candidate_usable").alias("n_usable_months"))
+    return conclude(months.join(years, "aoi_id", "left").join(amplitude_snr(prepared), "aoi_id", "left").join(side("peak"), "aoi_id", "left").join(side("trough"), "aoi_id", "left"))
+
+
+def conclude(evidence: DataFrame) -> DataFrame:
+    """Regime and gates from evidence (aoi_id, n_usable_months, n_years, snr, and the circular summaries of peaks and troughs)."""
+    out = evidence.withColumn("n_years", F.coalesce("n_years", F.lit(0)))
+    few = F.col("n_years") < MIN_YEARS
+    out = out.withColumn("snr", F.when(few, 0.0).otherwise(F.col("snr"))).withColumn("n_timing_years", F.when(few, 0).otherwise(F.col("n_years")))
+    label = F.when(few, "insufficient_record").otherwise(regime_label(F.col("snr"), F.col("peak_ci_low"), F.col("peak_uniformity_p"), F.col("n_years")))
     return gates(out.withColumn("regime", label))
 
 
+def explain(regimes: DataFrame, summary: DataFrame) -> DataFrame:
+    """Regimes with the counts of events (aoi_id, n_events, longest_low_spell_months, n_years_without_event; all 0 where the record is insufficient), what to do, and caveats in the order of CAVEATS."""
+    s = summary.select("aoi_id", F.col("n_events").alias("n_wet_events"), "longest_low_spell_months", F.col("n_years_without_event").alias("years_without_wet_event"))
+    enough = F.col("regime") != "insufficient_record"
+    out = regimes.join(s, "aoi_id", "left")
+    for c in ("n_wet_events", "longest_low_spell_months", "years_without_wet_event"):
+        out = out.withColumn(c, F.when(enough, F.coalesce(c, F.lit(0))).otherwise(0))
+    n = F.col("n_timing_years")
+    unsure = (n < MIN_UNIFORMITY_YEARS) & (F.col("snr") >= SEASONAL_SNR) & (F.col("peak_ci_low") < STRONG_R) & (F.col("peak_uniformity_p") >= ALPHA)
+    dry = F.col("years_without_wet_event")
+    said = lambda k: F.lit(CAVEATS[k])
+    notes = [
+        said("scope"), said("drivers"), F.when(enough & (n < CAUTION_YEARS), said("few_timings")), F.when(enough & unsure, said("weak_test")),
+        *[F.when(F.col("regime") == k, said(k)) for k in ("marginal", "aseasonal")], F.when(dry > 0, F.format_string("years without a wet event: %d of %d", dry, F.col("n_years"))),
+    ]
+    action = F.element_at(F.create_map(*[F.lit(x) for kv in ACTIONS.items() for x in kv]), F.col("regime"))
+    return out.withColumn("recommended_action", action).withColumn("caveats", F.array_compact(F.array(*notes)))
+
+
 def gates(regimes: DataFrame) -> DataFrame:
     """Whether per-year boundaries, and whether one fixed window, are supported; and the analysis route."""
     per_year = (F.col("regime") == "seasonal") & F.coalesce(F.col("trough_ci_low") >= STRONG_R, F.lit(False))

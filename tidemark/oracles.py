@@ -455,3 +455,68 @@ axis AS (""", 1)}, {event_ctes()}
 SELECT aoi_id, error_type IS NULL AS succeeded, error_type, CASE error_type WHEN 'NoRecord' THEN 'no record' WHEN 'NoMonths' THEN 'no months inside the requested dates' WHEN 'ShortRecord' THEN 'months with a value: ' || seen || ', needed: 12'
   WHEN 'BadRecord' THEN CASE WHEN twice IS NOT NULL THEN 'duplicate months: ' || twice WHEN negative THEN 'negative counts' ELSE 'valid and invalid pixels don''t add up' END END AS error, n_months, first_month, last_month, n_wet_events, n_low_spells
 FROM outcome LEFT JOIN (SELECT aoi_id, count(*) AS n_wet_events FROM ev GROUP BY ALL) USING (aoi_id) LEFT JOIN (SELECT aoi_id, count(*) AS n_low_spells FROM ls GROUP BY ALL) USING (aoi_id)""")
+
+
+def resolution(f: int) -> str:
+    """CTEs of a coarsened record's months, labels, events and fixed years, each under a name of its own resolution; a WITH inside keeps the names apart."""
+    months = f"obs AS (SELECT aoi_id, month, count(*) FILTER (code <> -2) AS n_aoi, count(*) FILTER (code IN (0, 1)) AS n_valid, count(*) FILTER (code = 1) AS n_water FROM ({coarse(f)}) GROUP BY ALL)"
+    base = f"{PIX}, {prep().replace(obs(), months)}"
+    parts = {
+        "m": f"WITH {base} SELECT aoi_id, month, extent_pct FROM prep WHERE extent_pct IS NOT NULL",
+        "r": f"WITH {base}, {EXT}, m AS (SELECT aoi_id, month(month) AS k, avg(extent_pct) AS m, stddev_samp(extent_pct) AS s FROM q9 GROUP BY ALL) SELECT aoi_id, (max(m) - min(m)) / avg(s) AS snr FROM m GROUP BY ALL",
+        "e": f"WITH {base}, {event_ctes('quantile')} SELECT * FROM ev",
+        "s": f"WITH {base}, {event_ctes('quantile')} SELECT * FROM ls",
+        "y": f"WITH {base}, {FIXED} SELECT aoi_id, hy_year, peak_month, end_dry_month FROM fy",
+    }
+    return ", ".join(f"{k}{f} AS MATERIALIZED ({sql})" for k, sql in parts.items())
+
+
+def fidelity(f: int) -> str:
+    near = lambda c: f"avg(coalesce(least(abs(month(a.{c}) - month(b.{c})), 12 - abs(month(a.{c}) - month(b.{c}))) <= 1, false)::INT)"
+    grade = lambda x: f"CASE WHEN {x} >= 2 THEN 2 WHEN {x} < 0.7 THEN 0 ELSE 1 END"
+    many = lambda t, a, out: f"(SELECT aoi_id, {a} AS {out} FROM {t} GROUP BY ALL)"
+    count = lambda t, a: f"coalesce((SELECT {a} FROM {t} q WHERE q.aoi_id = k.aoi_id), 0)"
+    return f"""SELECT k.aoi_id, k.n_months, CASE WHEN k.flat THEN NULL ELSE k.r END AS correlation, CASE WHEN k.flat THEN 'constant_input' ELSE 'ok' END AS correlation_status, mad AS mean_absolute_difference, xad AS max_absolute_difference, mad / greatest(top, 1e-6) AS normalized_mae,
+  rb.snr - ra.snr AS amplitude_bias, ({grade('rb.snr')}) = ({grade('ra.snr')}) AS regime_match, ({grade('rb.snr')}) = ({grade('ra.snr')}) AS route_match,
+  ({count(f'e{f}', 'count(*)')} - {count('e1', 'count(*)')})::BIGINT AS event_count_delta, ({count(f's{f}', 'max(duration_months)')} - {count('s1', 'max(duration_months)')})::BIGINT AS longest_low_spell_delta,
+  coalesce(w.p, 1) AS peak_within_one_month_fraction, coalesce(w.t, 1) AS trough_within_one_month_fraction, {30 * f} AS candidate_resolution_m
+  FROM (SELECT a.aoi_id, count(*) AS n_months, corr(a.extent_pct, b.extent_pct) AS r, min(a.extent_pct) = max(a.extent_pct) OR min(b.extent_pct) = max(b.extent_pct) AS flat, avg(abs(a.extent_pct - b.extent_pct)) AS mad, max(abs(a.extent_pct - b.extent_pct)) AS xad, max(a.extent_pct) AS top FROM m1 a JOIN m{f} b USING (aoi_id, month) GROUP BY ALL) k
+  JOIN r1 ra ON ra.aoi_id = k.aoi_id JOIN r{f} rb ON rb.aoi_id = k.aoi_id LEFT JOIN (SELECT a.aoi_id, {near('peak_month')} AS p, {near('end_dry_month')} AS t FROM y1 a JOIN y{f} b USING (aoi_id, hy_year) GROUP BY ALL) w ON w.aoi_id = k.aoi_id"""
+
+
+FIDELITY = f"WITH {resolution(1)}, {resolution(2)}, {resolution(4)}, fid AS (SELECT * FROM ({fidelity(2)}) UNION ALL SELECT * FROM ({fidelity(4)}))"
+_WHOLE = ("aoi_id", "candidate_resolution_m", "n_months", "correlation_status", "regime_match", "route_match", "event_count_delta", "longest_low_spell_delta")
+_REAL = ("correlation", "mean_absolute_difference", "max_absolute_difference", "normalized_mae", "amplitude_bias", "peak_within_one_month_fraction", "trough_within_one_month_fraction")
+add("o17_resolution_fidelity", f"{FIDELITY} SELECT {', '.join(_WHOLE)}, {', '.join(f'round({c}, 6) + 0.0 AS {c}' for c in _REAL)} FROM fid")
+add("o17_resolution_decisions", f"""{FIDELITY}, g AS (SELECT candidate_resolution_m, count(*) AS n, count(*) FILTER (route_match) AS same, quantile_cont(correlation, 0.5) AS r, quantile_cont(normalized_mae, 0.5) AS e, quantile_cont(peak_within_one_month_fraction, 0.5) AS p, quantile_cont(trough_within_one_month_fraction, 0.5) AS t, max(abs(event_count_delta)) AS ev, max(abs(longest_low_spell_delta)) AS sp FROM fid GROUP BY ALL),
+h AS (SELECT *, list_filter([CASE WHEN same < n THEN 'route agreement ' || same || '/' || n END, CASE WHEN r IS NULL OR r < 0.995 THEN 'median correlation ' || coalesce(printf('%.4f', r), 'nan') || ' < 0.995' END, CASE WHEN e > 0.05 THEN printf('median nMAE %.4f > 0.05', e) END, CASE WHEN p < 0.9 THEN printf('peak within 1 month fraction %.3f < 0.90', p) END,
+  CASE WHEN t < 0.9 THEN printf('trough within 1 month fraction %.3f < 0.90', t) END, CASE WHEN ev > 1 THEN 'max event delta ' || ev || ' > 1' END, CASE WHEN sp > 2 THEN 'max low spell delta ' || sp || ' > 2' END], lambda x: x IS NOT NULL) AS bad FROM g)
+SELECT candidate_resolution_m, same || '/' || n AS route_agreement_count, round(r, 4) AS median_correlation, round(e, 4) AS median_normalized_mae, round(p, 3) AS median_peak_within_one_month, round(t, 3) AS median_trough_within_one_month, ev AS max_abs_event_count_delta, sp AS max_abs_longest_low_spell_delta, len(bad) = 0 AS recommended, CASE WHEN len(bad) = 0 THEN 'passes all gates' ELSE 'fails: ' || array_to_string(bad, '; ') END AS decision_reason FROM h""")
+add("o17_matched_events", f"""WITH {resolution(1)}, {resolution(2)}, j AS (SELECT aoi_id, a.event_id AS n, b.event_id AS c, year(a.peak_month) * 12 + month(a.peak_month) AS nm, year(b.peak_month) * 12 + month(b.peak_month) AS cm FROM e1 a JOIN e2 b USING (aoi_id)),
+k AS (SELECT *, row_number() OVER (PARTITION BY aoi_id, n ORDER BY abs(cm - nm), cm, c) AS i, row_number() OVER (PARTITION BY aoi_id, c ORDER BY abs(cm - nm), nm, n) AS o FROM j WHERE abs(cm - nm) <= 1)
+SELECT aoi_id, n AS event_id, c AS candidate_event_id, (cm - nm)::INT AS delta_months FROM k WHERE i = 1 AND o = 1""")
+
+
+def _side(v: str) -> str:
+    return f"{v}_c AS (SELECT aoi_id, round(concentration, 6) AS r, round(kuiper - 0.4, 6) AS p FROM (WITH {circ(v)} SELECT * FROM cs))"
+
+
+_COUNTS = """ym AS (SELECT DISTINCT aoi_id, year(m) AS yr FROM (SELECT aoi_id, unnest(generate_series(start_month, end_month, INTERVAL 1 MONTH)) AS m FROM ev)),
+nd AS (SELECT aoi_id, count(*) AS dry FROM (SELECT DISTINCT aoi_id, year(month) AS yr FROM es) e WHERE NOT EXISTS (SELECT 1 FROM ym WHERE ym.aoi_id = e.aoi_id AND ym.yr = e.yr) GROUP BY ALL)"""
+_BOTH = "obs AS (SELECT * FROM (" + " UNION ALL ".join(f"SELECT * FROM (WITH {obs(*a)} SELECT aoi_id + {n} AS aoi_id, month, n_aoi, n_valid, n_water FROM obs)" for a, n in ((("region", True), 0), (("nation", False), 100))) + ") WHERE aoi_id % 7 <> 3 OR month < DATE '1996-01-01')"
+add("r12_explained", f"""WITH {prep('nation', False, 40).replace(obs('nation', False), _BOTH)}, {EXT}, {_side('peak')}, {_side('trough')}, {event_ctes('quantile')}, {_COUNTS},
+mm AS (SELECT aoi_id, month(month) AS k, avg(extent_pct) AS m, stddev_samp(extent_pct) AS s FROM q9 GROUP BY ALL), sn AS (SELECT aoi_id, (max(m) - min(m)) / avg(s) * (aoi_id % 4) / 2 AS snr FROM mm GROUP BY aoi_id),
+n0 AS (SELECT aoi_id, count(*) FILTER (usable) AS months FROM prep GROUP BY ALL), ny AS (SELECT aoi_id, count(*) AS years FROM ext GROUP BY ALL),
+b AS (SELECT n0.aoi_id, months, coalesce(years, 0) AS years, sn.snr, a.r AS pr, a.p AS pp, c.r AS tr, c.p AS tp, n0.aoi_id % 5 = 0 AS lost, coalesce((SELECT count(*) FROM ev WHERE ev.aoi_id = n0.aoi_id), 0) AS nev, coalesce((SELECT max(duration_months) FROM ls WHERE ls.aoi_id = n0.aoi_id), 0) AS nlow, coalesce(dry, 0) AS dry
+  FROM n0 LEFT JOIN ny USING (aoi_id) LEFT JOIN sn USING (aoi_id) LEFT JOIN peak_c a USING (aoi_id) LEFT JOIN trough_c c USING (aoi_id) LEFT JOIN nd USING (aoi_id)),
+g AS (SELECT *, CASE WHEN years < 5 THEN 'insufficient_record' WHEN snr >= 2 AND pr >= 0.7 THEN 'seasonal' WHEN snr < 0.7 THEN 'aseasonal' WHEN pp >= 0.1 AND years >= 10 THEN 'aseasonal' ELSE 'marginal' END AS regime FROM b),
+t AS (SELECT *, CASE WHEN regime = 'insufficient_record' THEN regime WHEN regime = 'seasonal' AND tr >= 0.7 THEN 'per_year_detection' WHEN regime = 'seasonal' OR (regime = 'marginal' AND pp < 0.1 AND tp < 0.1 AND pr >= 0.3 AND tr >= 0.3) THEN 'fixed_climatological_window' ELSE 'event_characterisation' END AS r0 FROM g),
+l AS (SELECT *, CASE WHEN lost AND r0 = 'per_year_detection' THEN 'no usual low' WHEN lost AND r0 = 'fixed_climatological_window' THEN 'no usual peak' END AS f, array_to_string(list_filter(['extent is surface water as observed, neither rainfall nor a climate variable', 'regulation, extraction, diversion and land use move extent apart from rainfall',
+  CASE WHEN years BETWEEN 5 AND 29 THEN 'under 30 annual timings: the regime stands, intervals may be wide' END, CASE WHEN years BETWEEN 5 AND 9 AND snr >= 2 AND pr < 0.7 AND pp >= 0.1 THEN 'under 10 annual timings the test of uniformity has little power, so the record stays marginal' END,
+  CASE regime WHEN 'marginal' THEN 'peaks are too scattered for yearly boundaries; the usual peak is an average only' WHEN 'aseasonal' THEN 'no annual cycle recurs, so no peak or low is given' END, CASE WHEN years >= 5 AND dry > 0 THEN 'years without a wet event: ' || dry || ' of ' || years END], lambda x: x IS NOT NULL), '; ') AS notes FROM t)
+SELECT aoi_id, regime, CASE WHEN f IS NULL THEN r0 ELSE 'event_characterisation' END AS route,
+  CASE WHEN r0 = 'insufficient_record' THEN 'usable years: ' || years || '; regime unknown, no hydrological year' WHEN f IS NOT NULL THEN 'boundaries can''t be placed (' || f || '); described by events' WHEN r0 = 'per_year_detection' THEN printf('seasonal (SNR %.2f, lows'' concentration at least %.2f): own boundaries each year', snr, tr)
+    WHEN r0 = 'fixed_climatological_window' THEN regime || printf(' (SNR %.2f): timing supports one window, imposed on each year', snr) ELSE regime || printf(' (SNR %.2f): timing supports no window, no hydrological year', snr) END AS route_reason,
+  CASE WHEN years < 5 THEN 0 ELSE years END AS n_timing_years, months AS n_usable_months, CASE WHEN years < 5 THEN 0 ELSE nev END AS n_wet_events, CASE WHEN years < 5 THEN 0 ELSE nlow END::INT AS longest_low_spell_months, CASE WHEN years < 5 THEN 0 ELSE dry END AS years_without_wet_event,
+  CASE regime WHEN 'seasonal' THEN 'Detect a hydrological year''s own boundaries each year; peaks and lows recur.' WHEN 'marginal' THEN 'Report no yearly peak or low; at most one fixed window, named as imposed, beside events.' WHEN 'aseasonal' THEN 'Define no hydrological year; describe the area by wet events and low spells.' ELSE 'Lengthen the record or loosen the quality screen; too few years say nothing on seasonality.' END AS recommended_action,
+  notes AS caveats, notes || coalesce('; fell back to events: ' || f, '') AS warnings FROM l""")

@@ -41,24 +41,45 @@ def by_route(prepared: DataFrame, regimes: DataFrame, *, max_invalid_pct: float
     return years, phases
 
 
+def reasons(regimes: DataFrame) -> DataFrame:
+    """Regimes (with route, snr, trough_ci_low, n_years, peak_month, trough_month, caveats) with ``route_reason`` and ``warnings``.
+
+    A route whose boundaries can't be placed, because the month that they rest on is unknown, falls back to events, with a warning.
+    """
+    lost = F.when((F.col("route") == "per_year_detection") & F.col("trough_month").isNull(), "no usual low").when((F.col("route") == "fixed_climatological_window") & F.col("peak_month").isNull(), "no usual peak")
+    why = (
+        F.when(F.col("route") == "insufficient_record", F.format_string("usable years: %d; regime unknown, no hydrological year", "n_years"))
+        .when(lost.isNotNull(), F.concat(F.lit("boundaries can't be placed ("), lost, F.lit("); described by events")))
+        .when(F.col("route") == "per_year_detection", F.format_string("seasonal (SNR %.2f, lows' concentration at least %.2f): own boundaries each year", "snr", "trough_ci_low"))
+        .when(F.col("route") == "fixed_climatological_window", F.format_string("%s (SNR %.2f): timing supports one window, imposed on each year", "regime", "snr"))
+        .otherwise(F.format_string("%s (SNR %.2f): timing supports no window, no hydrological year", "regime", "snr"))
+    )
+    out = regimes.withColumn("route_reason", why).withColumn("warnings", F.array_compact(F.array_append("caveats", F.concat(F.lit("fell back to events: "), lost))))
+    return out.withColumn("route", F.when(lost.isNotNull(), "event_characterisation").otherwise(F.col("route")))
+
+
 def analyse(prepared: DataFrame, *, n_resamples: int = 200, seed: int = 0, max_invalid_pct: float = 20.0) -> Analysis:
-    """Regime, route, years, phases, events and spells of every area. Peak and trough month are given only where the regime has a cycle."""
+    """Regime, route with its reason and warnings, years, phases, events and spells of every area. Peak and trough month are given only where the regime has a cycle."""
     found, spells, summary, _ = events.extract(prepared)
+    summary = cut(summary)
     regimes = season.assess(prepared, n_resamples=n_resamples, seed=seed).join(season.peak_of_climatology(prepared), "aoi_id", "left")
     cyclic = F.col("regime").isin("seasonal", "marginal")
-    regimes = cut(regimes.withColumn("peak_month", F.when(cyclic, F.col("peak_month"))).withColumn("trough_month", F.when(cyclic, F.col("trough_month"))))
+    regimes = regimes.withColumn("peak_month", F.when(cyclic, F.col("peak_month"))).withColumn("trough_month", F.when(cyclic, F.col("trough_month")))
+    regimes = cut(reasons(season.explain(regimes, summary)))
     years, phases = by_route(prepared, regimes, max_invalid_pct=max_invalid_pct)
     return Analysis(regimes, years, found, spells, summary, phases)
 
 
 def summary_rows(a: Analysis) -> DataFrame:
-    """One row per area: regime, route, rounded evidence, and how many years, events and spells."""
+    """One row per area: regime, route, rounded evidence, and how many years, events and spells. The usual months are given where the route has years."""
     n = a.hydro_years.groupBy("aoi_id").agg(F.count("*").alias("n_hydro_years"), F.min("boundary_basis").alias("boundary_basis"))
-    s = a.event_summary.select("aoi_id", F.col("n_events").alias("n_wet_events"), "longest_low_spell_months", F.col("median_gap_months").alias("median_recurrence_months"), F.col("n_years_without_event").alias("years_without_wet_event"))
+    s = a.event_summary.select("aoi_id", F.col("n_events").alias("_events"), F.col("longest_low_spell_months").alias("_longest"), F.col("median_gap_months").alias("median_recurrence_months"))
     d = a.events.groupBy("aoi_id").agg(F.percentile("duration_months", F.lit(0.5)).alias("median_event_duration_months"))
-    evidence = [F.round(f"{k}_{c}", p).alias(f"{k}_timing_{c}") for k in ("peak", "trough") for c, p in (("concentration", 3), ("ci_low", 3), ("ci_high", 3), ("uniformity_p", 3), ("iqr_months", 2))]
+    usual = lambda k: F.when(F.col("route").isin("per_year_detection", "fixed_climatological_window"), F.col(f"{k}_month")).alias(f"climatological_{k}_month")
+    names = {"concentration": "concentration", "ci_low": "concentration_ci_low", "ci_high": "concentration_ci_high", "uniformity_p": "uniformity_p"}
+    evidence = [c for k in ("peak", "trough") for c in [*[F.round(f"{k}_{c}", 3).alias(f"{k}_timing_{x}") for c, x in names.items()], F.round(f"{k}_iqr_months", 2).alias(f"{k}_phase_iqr_months")]]
     out = a.regimes.join(n, "aoi_id", "left").join(s, "aoi_id", "left").join(d, "aoi_id", "left")
     return out.select(
-        "aoi_id", "regime", "route", F.round("snr", 3).alias("amplitude_snr"), *evidence, F.col("n_years").alias("n_usable_years"), F.coalesce("n_hydro_years", F.lit(0)).alias("n_hydro_years"), F.coalesce("boundary_basis", F.lit("none")).alias("boundary_basis"),
-        F.col("peak_month").alias("climatological_peak_month"), F.col("trough_month").alias("climatological_trough_month"), "n_wet_events", "median_event_duration_months", "longest_low_spell_months", "median_recurrence_months", "years_without_wet_event",
+        "aoi_id", "regime", "route", F.round("snr", 3).alias("amplitude_snr"), *evidence, "n_timing_years", F.col("n_years").alias("n_usable_years"), "n_usable_months", F.coalesce("n_hydro_years", F.lit(0)).alias("n_hydro_years"), F.coalesce("boundary_basis", F.lit("none")).alias("boundary_basis"),
+        usual("peak"), usual("trough"), F.coalesce("_events", F.lit(0)).alias("n_wet_events"), "median_event_duration_months", F.coalesce("_longest", F.lit(0)).alias("longest_low_spell_months"), "median_recurrence_months", "years_without_wet_event",
     )

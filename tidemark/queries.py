@@ -16,6 +16,7 @@ from .operators import distance as di
 from .operators import dynamic_year as dy
 from .operators import evaluate as va
 from .operators import events as ev
+from .operators import fidelity as fi
 from .operators import fixed_year as fx
 from .operators import history as hi
 from .operators import phase as ph
@@ -402,6 +403,24 @@ def _(s, d):
     return se.gates(o).select("id", "supports_per_year", "supports_fixed_window", "route")
 
 
+@query("r12_explained")
+def _(s, d):
+    """Evidence with the concentration itself as its lower bound and a shifted Kuiper statistic as p, which SQL can follow, unlike resampling; routes with reasons and warnings from it.
+
+    Seasonal regions and irregular nations (ids from 100 on), some with a short record, so that all regimes occur. Every fifth area has lost its usual months.
+    """
+    x = src.monthly_counts(s, d).unionByName(src.monthly_counts(s, d, by="nation", seasonal=False).withColumn("aoi_id", F.col("aoi_id") + 100))
+    p = cut(pr.prepare(x.where("aoi_id % 7 <> 3 OR month < DATE '1996-01-01'"), max_invalid_pct=40))
+    x = cut(se.annual_extremes(p))
+    side = lambda v: se.circular(x, v).select("aoi_id", F.col("concentration").alias(f"{v}_concentration"), r6("concentration").alias(f"{v}_ci_low"), r6(F.col("kuiper") - 0.4).alias(f"{v}_uniformity_p"))
+    months = p.groupBy("aoi_id").agg(F.count_if("candidate_usable").alias("n_usable_months"))
+    e = months.join(x.groupBy("aoi_id").agg(F.count("*").alias("n_years")), "aoi_id", "left").join(se.amplitude_snr(p), "aoi_id", "left").join(side("peak"), "aoi_id", "left").join(side("trough"), "aoi_id", "left")
+    e = e.withColumn("snr", F.col("snr") * (F.col("aoi_id") % 4) / 2).join(se.peak_of_climatology(p), "aoi_id", "left")
+    e = e.withColumn("peak_month", F.when(F.col("aoi_id") % 5 > 0, F.col("peak_month"))).withColumn("trough_month", F.when(F.col("aoi_id") % 5 > 0, F.col("trough_month")))
+    out = ro.reasons(se.explain(se.conclude(e), ev.extract(p, mode="quantile")[2]))
+    return out.select("aoi_id", "regime", "route", "route_reason", "n_timing_years", "n_usable_months", "n_wet_events", "longest_low_spell_months", "years_without_wet_event", "recommended_action", F.array_join("caveats", "; ").alias("caveats"), F.array_join("warnings", "; ").alias("warnings"))
+
+
 def _known(s, d):
     """Fixed years as known events, with the dynamic lows to be judged by them."""
     p, a = _annual(s, d, "_irregular")
@@ -465,6 +484,42 @@ def _(s, d):
     return ro.summary_rows(ro.analyse(prepared(s, d)))
 
 
+def _resolutions(s, d):
+    """Records of the pixel masks as they are (30 m) and coarsened (60, 120 m), as an analysis with labels by signal-to-noise alone, quantile events and fixed years: all that SQL can follow."""
+    mask = cut(_mask(s, d))
+    snr = F.col("snr")
+    out = {}
+    for metres, factor in ((30, 1), (60, 2), (120, 4)):
+        p = cut(pr.prepare(px.monthly_reduction(px.coarsen(mask, factor)).select("aoi_id", "month", "n_aoi", "n_valid", "n_water")))
+        regime = F.when(snr >= se.SEASONAL_SNR, "seasonal").when(snr < se.ASEASONAL_SNR, "aseasonal").otherwise("marginal")
+        route = F.when(snr >= se.SEASONAL_SNR, "per_year_detection").when(snr < se.ASEASONAL_SNR, "event_characterisation").otherwise("fixed_climatological_window")
+        found, _, summary, _ = ev.extract(p, mode="quantile")
+        years = cut(fx.detect(p).withColumn("low_month", F.col("end_dry_month")))
+        out[metres] = (fi.Record(p, cut(se.amplitude_snr(p)).select("aoi_id", "snr", regime.alias("regime"), route.alias("route")), cut(summary), years), found)
+    return out
+
+
+def _fidelity(s, d):
+    r = _resolutions(s, d)
+    return cut(fi.compare(r[30][0], {k: v[0] for k, v in r.items() if k > 30}))
+
+
+@query("o17_resolution_fidelity")
+def _(s, d):
+    return rounded(_fidelity(s, d))
+
+
+@query("o17_resolution_decisions")
+def _(s, d):
+    return fi.recommend(_fidelity(s, d))
+
+
+@query("o17_matched_events")
+def _(s, d):
+    r = _resolutions(s, d)
+    return fi.match_spans(r[30][1], r[60][1], "event_id")
+
+
 @query("o13_batch_outcomes")
 def _(s, d):
     """Records of which some are broken on purpose, by area: a month repeated, counts that don't add up, negative counts, too few months; one requested area has none."""

@@ -520,3 +520,19 @@ SELECT aoi_id, regime, CASE WHEN f IS NULL THEN r0 ELSE 'event_characterisation'
   CASE WHEN years < 5 THEN 0 ELSE years END AS n_timing_years, months AS n_usable_months, CASE WHEN years < 5 THEN 0 ELSE nev END AS n_wet_events, CASE WHEN years < 5 THEN 0 ELSE nlow END::INT AS longest_low_spell_months, CASE WHEN years < 5 THEN 0 ELSE dry END AS years_without_wet_event,
   CASE regime WHEN 'seasonal' THEN 'Detect a hydrological year''s own boundaries each year; peaks and lows recur.' WHEN 'marginal' THEN 'Report no yearly peak or low; at most one fixed window, named as imposed, beside events.' WHEN 'aseasonal' THEN 'Define no hydrological year; describe the area by wet events and low spells.' ELSE 'Lengthen the record or loosen the quality screen; too few years say nothing on seasonality.' END AS recommended_action,
   notes AS caveats, notes || coalesce('; fell back to events: ' || f, '') AS warnings FROM l""")
+
+
+add("o21_hydro_years_wide", f"{DN}, {FROMDYN}, {EXT}, mm AS (SELECT aoi_id, month(month) AS k, avg(extent_pct) AS m, stddev_samp(extent_pct) AS s FROM q9 GROUP BY ALL), sn AS (SELECT aoi_id, (max(m) - min(m)) / avg(s) AS snr FROM mm GROUP BY ALL) SELECT {rounded('aoi_id hy_year hy_start hy_end peak_month mid_dry_month end_dry_month n_months_cycle confidence boundary_source', 'peak_extent_pct end_extent_pct amplitude_pct')}, 'marginal' AS regime, 'fixed_climatological_window' AS route, 'imposed_fixed_window' AS boundary_basis FROM fd SEMI JOIN (SELECT aoi_id FROM sn WHERE snr >= 1) USING (aoi_id)")
+_IN = "CASE WHEN EXISTS (SELECT 1 FROM {0} x WHERE x.aoi_id = p.aoi_id AND p.month BETWEEN x.start_month AND x.end_month) THEN 'Yes' ELSE 'No' END"
+add("o22_annotated_months", f"{EXPORT} SELECT aoi_id, month, year(month)::INT AS year, strftime(month, '%b %Y') AS display_date, round(extent_pct, 6) AS extent_pct, round(invalid_pct, 6) AS invalid_pct, CASE WHEN invalid_pct IS NULL OR quality_state IN ('missing', 'unknown') THEN 'missing' WHEN quality_state = 'usable' AND invalid_pct <= 35 THEN 'good' ELSE 'flagged' END AS quality_filter, {_IN.format('ev')} AS wet_event, {_IN.format('ls')} AS low_extent_spell FROM prep p")
+add("o22_year_cards", f"""WITH ph AS MATERIALIZED ({ORACLES['h4_phases_irregular']}), a AS MATERIALIZED ({DN.replace('WITH', 'WITH RECURSIVE', 1)} SELECT * FROM an), m AS MATERIALIZED (WITH {prep('nation', False, 40)} SELECT * FROM prep), n AS (SELECT *, (row_number() OVER (PARTITION BY aoi_id ORDER BY hy_year DESC))::INT AS card FROM a)
+SELECT n.aoi_id, card, n.hy_year, m.month, CASE WHEN m.month IS NOT NULL THEN CASE WHEN ph.phase IS NULL OR ph.phase = 'unspecified' THEN 'Unassigned' ELSE upper(ph.phase[1]) || ph.phase[2:] END END AS phase, round(m.extent_pct, 6) AS extent_pct, round(m.invalid_pct, 6) AS invalid_pct,
+  CASE m.month WHEN peak_month THEN 'Wet Peak' WHEN temporal_mid_dry_month THEN 'Mid Dry' WHEN trough_month THEN 'Dry End' END AS marker, cycle_months, round(drawdown_pct, 6) AS drawdown_pct, confidence, status_reason
+FROM n LEFT JOIN m ON m.aoi_id = n.aoi_id AND m.month BETWEEN hy_start AND hy_end LEFT JOIN ph ON ph.aoi_id = n.aoi_id AND ph.month = m.month""")
+add("o24_season_labels", f"{DN}, y AS (SELECT p.aoi_id, p.month, arg_max(an.hy_year, an.hy_year) AS hy_year, arg_max(coalesce(p.month <= peak_month, false), an.hy_year) AS wet FROM prep p JOIN an ON an.aoi_id = p.aoi_id AND an.status = 'complete' AND p.month BETWEEN hy_start AND hy_end GROUP BY ALL) SELECT p.aoi_id, p.month, hy_year, CASE WHEN wet IS NULL THEN 'unassigned' WHEN wet THEN 'Wet' ELSE 'Dry' END AS season FROM prep p LEFT JOIN y USING (aoi_id, month)")
+_NEAR = "CASE WHEN {0}_condition IN ('low', 'high') AND coalesce(abs({1}_extent_pct - {1}_m) < noise_pp, false) THEN 'typical_uncertain' ELSE {0}_condition END"
+add("c5_qualified_conditions", f"""WITH c AS MATERIALIZED ({ORACLES['c6_annual_condition']}), z AS (WITH {prep('nation', False)}, {SCALE} SELECT aoi_id, noise_pp FROM scale),
+m AS (SELECT a.aoi_id, a.hy_year, quantile_cont(b.peak_extent_pct, 0.5) AS peak_m, quantile_cont(b.trough_extent_pct, 0.5) AS trough_m FROM c a LEFT JOIN c b ON b.aoi_id = a.aoi_id AND b.eligible AND b.hy_year <> a.hy_year GROUP BY ALL),
+q AS (SELECT *, {_NEAR.format('recharge', 'peak')} AS rq, {_NEAR.format('refuge', 'trough')} AS fq, peak_extent_pct - trough_extent_pct AS size FROM c JOIN m USING (aoi_id, hy_year) LEFT JOIN z USING (aoi_id))
+SELECT aoi_id, hy_year, rq AS recharge_condition_qualified, fq AS refuge_condition_qualified, CASE WHEN annual_condition = 'insufficient_baseline' THEN annual_condition WHEN rq = 'high' AND fq = 'high' THEN 'wet_persistent' WHEN rq = 'high' AND fq = 'low' THEN 'recharged_then_contracting' WHEN rq = 'low' AND fq = 'high' THEN 'buffered_low_recharge' WHEN rq = 'low' AND fq = 'low' THEN 'dry_low_refuge' ELSE 'typical_or_mixed' END AS annual_condition_qualified,
+  CASE WHEN size IS NULL OR noise_pp IS NULL THEN 'unknown' WHEN size < 2 * noise_pp THEN 'low' ELSE 'high' END AS timing_confidence FROM q""")

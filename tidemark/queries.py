@@ -470,6 +470,38 @@ def _(s, d):
     return ex.low_spells(_export(s, d)[2])
 
 
+@query("o21_hydro_years_wide")
+def _(s, d):
+    """Routes by signal-to-noise alone; areas with too weak a signal have no years."""
+    p, a = _annual(s, d, "_irregular")
+    snr = F.col("snr")
+    routes = se.amplitude_snr(p).select("aoi_id", F.when(snr >= 1, "marginal").otherwise("aseasonal").alias("regime"), F.when(snr >= 1, "fixed_climatological_window").otherwise("event_characterisation").alias("route"))
+    return rounded(ex.wide_hydro_years(fx.from_dynamic(a), routes))
+
+
+@query("o22_annotated_months")
+def _(s, d):
+    p, found, spells = _export(s, d)
+    return rounded(ex.annotated_months(p, found, spells, max_invalid_pct=35))
+
+
+@query("o22_year_cards")
+def _(s, d):
+    p, a, noise = _phased(s, d, "_irregular")
+    return rounded(ex.year_cards(p, a, ph.assign(p, a, noise)))
+
+
+@query("o24_season_labels")
+def _(s, d):
+    return ex.season_labels(*_annual(s, d, "_irregular"))
+
+
+@query("c5_qualified_conditions")
+def _(s, d):
+    noise = sc.robust_scale(prepared(s, d, "nation", False)).select("aoi_id", "noise_pp")
+    return co.annual_condition(_fixed_annual(s, d), min_baseline=4, noise=noise).select("aoi_id", "hy_year", "recharge_condition_qualified", "refuge_condition_qualified", "annual_condition_qualified", "timing_confidence")
+
+
 @query("o1_years_by_route")
 def _(s, d):
     """Routes dealt to areas in turn, so that all of them occur."""

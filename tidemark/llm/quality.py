@@ -10,9 +10,11 @@ from pyspark.sql import functions as F
 from .common import WORD_BREAK, pick, stored
 
 SYMBOLS = "[#*$%&|<>]"
-#: Measures that get adaptive cutoffs, and the least quartile distance that each is given.
-MEASURES = {"word_len": 100, "symbols": 100, "dup_lines": 1000, "repeats": 1000}
-#: A document fails beyond this many quartile distances from its group's quartiles.
+#: Measures that get adaptive cutoffs.
+MEASURES = ("word_len", "symbols", "dup_lines", "repeats")
+#: The measures that are shares, as counts of a part and of the whole.
+SHARES = {"symbols": ("n_symbols", "word_chars"), "dup_lines": ("n_dup_lines", "_lines"), "repeats": ("n_repeat_words", "n_words")}
+#: A document fails beyond this many spreads from its group's quartiles, and a count only beyond as many deviations of chance.
 FENCE = 3
 #: Groups of fewer documents take the quartiles of their language.
 LEAST_GROUP = 100
@@ -91,16 +93,35 @@ def quartiles(sketches: DataFrame, keys: list[str]) -> DataFrame:
     return run.groupBy(*keys, "measure").agg(F.max("total").alias("total"), at(1).alias("q1"), at(3).alias("q3"))
 
 
+def excess(sketches: DataFrame, limits: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, measure, excess): how far a row of the sketch lies outside of its quartiles on average, rounded down. Tails count even where both quartiles are one value."""
+    q = limits.select(*[F.col(k).alias(f"_{k}") for k in keys], F.col("measure").alias("_m"), F.col("q1").alias("_q1"), F.col("q3").alias("_q3"))
+    at = F.col("measure") == F.col("_m")
+    for k in keys:
+        at = at & F.col(k).eqNullSafe(F.col(f"_{k}"))
+    out = F.greatest(F.col("bucket") - F.col("_q3"), F.col("_q1") - F.col("bucket"), F.lit(0).cast("long"))
+    sums = sketches.join(q, at).groupBy(*keys, "measure").agg(F.sum(F.col("n") * out).alias("_sum"), F.sum("n").alias("_n"))
+    return sums.select(*keys, "measure", F.expr("_sum div _n").alias("excess"))
+
+
+def _over(part: str, whole: str, high: Column) -> Column:
+    """Whether ``part`` of ``whole`` is over ``high`` ten-thousandths by more than chance: FENCE deviations of a count with that mean, one added to it. In doubles, whose squares don't overflow."""
+    mean = high.cast("double") * F.col(whole)
+    gap = F.col(part) * F.lit(10000.0) - mean
+    return (gap > 0) & (gap * gap > FENCE * FENCE * 10000.0 * (mean + 10000.0))
+
+
 def judge(docs: DataFrame, **columns: str) -> DataFrame:
     """Rows (doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept), one per input row.
 
     The base rules fail documents of under 50 words, or with more than half of their words in
-    repeated three-word windows. Of the others, those are kept that lie within 3 quartile distances of the
+    repeated three-word windows. Of the others, those are kept that lie within 3 spreads of the
     quartiles of their language and source: in mean word length on both sides, in the shares
-    of symbols, repeated lines and repeated words above. A quartile distance counts as MEASURES' least one where it is smaller: 1 character, 1% symbols,
-    10% repeated lines or words. On sf0.1 that decides in all 20 groups of 100 or more documents, for all four measures,
-    so there the cutoffs are a quartile and a fixed width. Groups of under 100
-    documents go by their language's sketch, which is the sum of its groups' sketches.
+    of symbols, repeated lines and repeated words above. The spread is the group's quartile distance, or where that is
+    larger the language's mean distance outside of its quartiles, so that a measure that is 0 in most documents
+    gets its width from the tail that its language has; no width is fixed. A share has to be over its cutoff by more than
+    chance (3 deviations of the count expected there), so that one repeated line of ten isn't judged like a hundred of a thousand. Groups of under 100
+    documents go by their language's quartiles, from the sum of its groups' sketches.
 
     Null texts have no words; null languages and sources are groups of their own; repeated
     rows count each; other columns are left aside; no rows give no rows.
@@ -108,25 +129,29 @@ def judge(docs: DataFrame, **columns: str) -> DataFrame:
     rows = stored(measure(docs, **columns), "quality-counts")
     fine = stored(sketch(rows, ["lang", "source"]), "quality-sketch")
     own = quartiles(fine, ["lang", "source"])
-    whole = quartiles(fine.groupBy("lang", "measure", "bucket").agg(F.sum("n").alias("n")), ["lang"]).toDF("_lang", "_m", "_t", "_q1", "_q3")
+    merged = fine.groupBy("lang", "measure", "bucket").agg(F.sum("n").alias("n"))
+    coarse = quartiles(merged, ["lang"])
+    tail = excess(merged, coarse, ["lang"]).toDF("_l", "_k", "_excess")
+    whole = coarse.join(tail, F.col("lang").eqNullSafe(F.col("_l")) & (F.col("measure") == F.col("_k"))).drop("_l", "_k").toDF("_lang", "_m", "_t", "_q1", "_q3", "_excess")
     limits = own.join(whole, F.col("lang").eqNullSafe(F.col("_lang")) & (F.col("measure") == F.col("_m")))
     small = F.col("total") < LEAST_GROUP
     q1, q3 = F.when(small, F.col("_q1")).otherwise(F.col("q1")), F.when(small, F.col("_q3")).otherwise(F.col("q3"))
-    least = F.element_at(F.create_map(*[F.lit(x) for kv in MEASURES.items() for x in kv]), F.col("measure")).cast("long")
-    far = FENCE * F.greatest(q3 - q1, least)
+    far = FENCE * F.greatest(q3 - q1, F.col("_excess"))
     limits = limits.select(F.col("lang").alias("_lang"), F.col("source").alias("_source"), "measure", (q1 - far).alias("low"), (q3 + far).alias("high"))
     pick_one = lambda m, c: F.max(F.when(F.col("measure") == m, F.col(c))).alias(f"{m}_{c}")
     limits = limits.groupBy("_lang", "_source").agg(pick_one("word_len", "low"), *[pick_one(m, "high") for m in MEASURES])
-    v = _values()
-    good = v["word_len"] >= F.col("word_len_low")
-    for m in MEASURES:
-        good = good & (v[m] <= F.col(f"{m}_high"))
+    good = _values()["word_len"].between(F.col("word_len_low"), F.col("word_len_high"))
+    for m, (part, whole) in SHARES.items():
+        good = good & ~_over(part, whole, F.col(f"{m}_high"))
     out = rows.join(limits, rows["lang"].eqNullSafe(limits["_lang"]) & rows["source"].eqNullSafe(limits["_source"]), "left")
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), (~failed & F.coalesce(good, F.lit(True))).alias("kept"))
 
 
 _SQL_VALUES = {"word_len": "100 * word_chars // n_words", "symbols": "10000 * n_symbols // word_chars", "dup_lines": "10000 * n_dup_lines // n_lines", "repeats": "10000 * n_repeat_words // n_words"}
+_SQL_SHARES = {"symbols": ("n_symbols", "word_chars"), "dup_lines": ("n_dup_lines", "n_lines"), "repeats": ("n_repeat_words", "n_words")}
+_HIGH = f"(lim.q3 + {FENCE} * greatest(lim.q3 - lim.q1, excess))::DOUBLE"
+_SQL_OVER = f"10000.0::DOUBLE * {{0}} > {_HIGH} * {{1}} AND power(10000.0::DOUBLE * {{0}} - {_HIGH} * {{1}}, 2) > {FENCE * FENCE}0000.0::DOUBLE * ({_HIGH} * {{1}} + 10000)"
 
 SQL = f"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, lang, source, coalesce(text, '') AS x FROM documents),
@@ -145,10 +170,11 @@ own AS (SELECT lang, source, measure, max(t) AS total, min(bucket) FILTER (4 * u
   (SELECT *, sum(n) OVER (PARTITION BY lang, source, measure ORDER BY bucket) AS u, sum(n) OVER (PARTITION BY lang, source, measure) AS t FROM s) GROUP BY ALL),
 whole AS (SELECT lang, measure, min(bucket) FILTER (4 * u >= t) AS q1, min(bucket) FILTER (4 * u >= 3 * t) AS q3 FROM
   (SELECT *, sum(n) OVER (PARTITION BY lang, measure ORDER BY bucket) AS u, sum(n) OVER (PARTITION BY lang, measure) AS t FROM (SELECT lang, measure, bucket, sum(n) AS n FROM s GROUP BY ALL)) GROUP BY ALL),
-lim AS (SELECT own.lang, own.source, own.measure, CASE WHEN total < {LEAST_GROUP} THEN whole.q1 ELSE own.q1 END AS q1, CASE WHEN total < {LEAST_GROUP} THEN whole.q3 ELSE own.q3 END AS q3
-  FROM own JOIN whole ON own.lang IS NOT DISTINCT FROM whole.lang AND own.measure = whole.measure),
+tail AS (SELECT m.lang, m.measure, sum(n * greatest(bucket - q3, q1 - bucket, 0))::BIGINT // sum(n)::BIGINT AS excess FROM (SELECT lang, measure, bucket, sum(n) AS n FROM s GROUP BY ALL) m JOIN whole ON m.lang IS NOT DISTINCT FROM whole.lang AND m.measure = whole.measure GROUP BY ALL),
+lim AS (SELECT own.lang, own.source, own.measure, tail.excess, CASE WHEN total < {LEAST_GROUP} THEN whole.q1 ELSE own.q1 END AS q1, CASE WHEN total < {LEAST_GROUP} THEN whole.q3 ELSE own.q3 END AS q3
+  FROM own JOIN whole ON own.lang IS NOT DISTINCT FROM whole.lang AND own.measure = whole.measure JOIN tail ON own.lang IS NOT DISTINCT FROM tail.lang AND own.measure = tail.measure),
 bad AS (SELECT DISTINCT v.r FROM v JOIN lim ON v.lang IS NOT DISTINCT FROM lim.lang AND v.source IS NOT DISTINCT FROM lim.source
-  WHERE {" OR ".join(f"(measure = '{k}' AND ({k} > lim.q3 + {FENCE} * greatest(lim.q3 - lim.q1, {least})" + (f" OR {k} < lim.q1 - {FENCE} * greatest(lim.q3 - lim.q1, {least})" if k == "word_len" else "") + "))" for k, least in MEASURES.items())})
+  WHERE (measure = 'word_len' AND (word_len > lim.q3 + {FENCE} * greatest(lim.q3 - lim.q1, excess) OR word_len < lim.q1 - {FENCE} * greatest(lim.q3 - lim.q1, excess))) OR {" OR ".join(f"(measure = '{k}' AND {_SQL_OVER.format(*c)})" for k, c in _SQL_SHARES.items())})
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AS base_failed,
   (NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND r NOT IN (SELECT r FROM bad)) AS kept FROM v
 """

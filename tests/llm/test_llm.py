@@ -325,6 +325,26 @@ def test_word_change_and_table_rows(spark):
     assert got == {0: 0, 1: 0, 2: 0, 3: 1, 4: 1, 5: 1, 6: 0, 7: 0}
 
 
+def test_template_lines_however_many(spark):
+    rng = random.Random(11)
+    rows = [(i, f"Your order {rng.randrange(10**7, 10**8)} has left our house and will reach you by the end of next week, thank you") for i in range(1500)]
+    prosaic = [(1500 + i, prose(rng, 30)) for i in range(300)]
+    got = {r.doc_id: r.n_removed for r in linedup.dedup_lines(spark.createDataFrame(rows + prosaic, "doc_id long, text string")).collect()}
+    assert got[0] == 0 and all(got[i] == 1 for i in range(1, 1500)) and not any(got[i] for i, _ in prosaic)
+
+
+def test_runs_of_characters_tell_lines_apart():
+    rng = random.Random(12)
+    line = lambda: " ".join("".join(rng.choice("abcdefgh") for _ in range(rng.randrange(2, 9))) for _ in range(80))
+    xs = [line() for _ in range(300)]
+    ys = []
+    for x in xs:  # exactly as many edits as are allowed
+        at = rng.sample(range(len(x)), len(x) // 10)
+        ys.append("".join("Z" if i in set(at) else c for i, c in enumerate(x)))
+    most = np.array([len(x) // 10 for x in xs])
+    assert not linedup._far(xs, ys, most).any() and linedup._far(xs, ys[1:] + ys[:1], most).all()
+
+
 def test_short_lines_repeat(spark):
     rows = [(1, "Read more\n\n完全に同じ行です。空白はありません\nx\nMenu"), (2, "read  MORE\n\n完全に同じ行です。空白はありません\ny\nMenu")]
     got = {r.doc_id: r.text for r in linedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}

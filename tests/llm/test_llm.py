@@ -345,6 +345,18 @@ def test_runs_of_characters_tell_lines_apart():
     assert not linedup._far(xs, ys, most).any() and linedup._far(xs, ys[1:] + ys[:1], most).all()
 
 
+def test_hopeless_distances_end_early():
+    rng = random.Random(13)
+    xs = ["".join(rng.choice("abcd") for _ in range(rng.randrange(150, 160))) for _ in range(60)]
+    ys = []
+    for i, x in enumerate(xs):  # by thirds: as many edits as are allowed, one more, another text
+        at = set(rng.sample(range(len(x)), len(x) // 10 + i % 3))
+        ys.append("".join("Z" if k in at else c for k, c in enumerate(x)) if i % 3 < 2 else xs[i - 1])
+    most = np.array([max(len(x), len(y)) // 10 for x, y in zip(xs, ys, strict=True)])
+    want = [distance(x, y) <= d for x, y, d in zip(xs, ys, most, strict=True)]
+    assert 0 < sum(want) < 60 and linedup.within(xs, ys, most).tolist() == want
+
+
 def test_short_lines_repeat(spark):
     rows = [(1, "Read more\n\n完全に同じ行です。空白はありません\nx\nMenu"), (2, "read  MORE\n\n完全に同じ行です。空白はありません\ny\nMenu")]
     got = {r.doc_id: r.text for r in linedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}

@@ -6,10 +6,13 @@ import itertools
 import math
 import os
 import random
+import subprocess
+import sys
 import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tidemark.llm import bagminhash, bpe, langid, linedup, mixing, nndescent, pii, quality, sharding, suffixtree
@@ -333,6 +336,80 @@ def test_template_lines_however_many(spark):
     assert got[0] == 0 and all(got[i] == 1 for i in range(1, 1500)) and not any(got[i] for i, _ in prosaic)
 
 
+def test_candidate_pairs_come_once_a_key():
+    rng = np.random.default_rng(3)
+    sketch = np.repeat(rng.integers(0, 256, (20, linedup.SKETCH), dtype=np.uint8), 5, axis=0)
+    sketch[rng.random(sketch.shape) < 0.2] = 7
+    key, size = np.sort(rng.integers(0, 4, 100)).astype(np.uint64), np.full(100, 9000, dtype=np.uint16)
+    got = [tuple(sorted(p)) for i, j, _ in linedup._near_pairs(key, size, sketch, 0.9) for p in zip(i.tolist(), j.tolist(), strict=True)]
+    same = sketch[:, None] == sketch[None]
+    want = set()
+    for i in range(100):
+        for j in range(i):
+            at = int(key[i]) % 3 * linedup.SECOND
+            if key[i] == key[j] and same[i, j].sum() >= linedup.AGREE and same[i, j, at : at + linedup.SECOND].any():
+                want.add((j, i))
+    assert len(got) == len(set(got)) and set(got) == want and len(want) > 50
+
+
+def test_last_links_by_brute_force():
+    """Lines of one key are compared where they are: links are no more than lines and join what all pairs join."""
+    rng = random.Random(14)
+    lines = []
+    for _ in range(4):
+        base = prose(rng, 40)
+        for _ in range(30):
+            at = set(rng.sample(range(len(base)), rng.randrange(len(base) // 12)))
+            lines.append("".join(rng.choice("abcdef") if i in at else c for i, c in enumerate(base)).lower())
+    lines = sorted({" ".join(x.split()) for x in lines})
+    chars, keys, sketch, _ = linedup.line_minima([x.encode() for x in lines])
+    size = np.minimum(np.log(chars) * linedup._LOG, 65535).astype(np.int32)
+    tried = [(i + 1) % len(lines) for i in range(len(lines))]
+    rows = sorted((int(k), i) for i in range(len(lines)) for k in set(keys[i].tolist()))
+    cols = {"key": [k for k, _ in rows], "id": [i for _, i in rows], "size": [int(size[i]) for _, i in rows], "root": [i for _, i in rows], "tried": [tried[i] for _, i in rows], "again": [tried[i] for _, i in rows],
+            "sketch": [sketch[i].tobytes() for _, i in rows], "keys": [sorted(set(keys[i].tolist())) for _, i in rows], "norm": [lines[i] for _, i in rows]}
+    table = pa.table({k: pa.array(v, pa.int32() if k == "size" else None) for k, v in cols.items()})
+    links = [(r["a"], r["b"]) for b in linedup._links_apart(iter(table.to_batches(max_chunksize=37)), 0.9) for r in b.to_pylist()]
+    want = []
+    for i in range(len(lines)):
+        for j in range(i):
+            met = {int(k) % 3 for k in set(keys[i].tolist()) & set(keys[j].tolist())}
+            same = sketch[i] == sketch[j]
+            if same.sum() >= linedup.AGREE and any(same[8 * c : 8 * c + 8].any() for c in met) and tried[i] != j and tried[j] != i:
+                if distance(lines[i], lines[j]) <= math.floor(0.1 * max(len(lines[i]), len(lines[j])) + 1e-9):
+                    want.append((j, i))
+
+    def parts(pairs):
+        root = list(range(len(lines)))
+        for a, b in pairs:
+            root = [min(root[a], root[b]) if r in (root[a], root[b]) else r for r in root]
+        return root
+
+    assert set(links) <= set(want) and parts(links) == parts(want) and len(links) < len(lines) < len(want)
+
+
+def test_free_memory_goes_back_after_a_task():
+    script = """
+import re
+from tidemark.llm.common import released
+def taken():
+    return int(re.search(r"Pss_Anon:\\s+(\\d+)", open("/proc/self/smaps_rollup").read()).group(1)) / 1024
+pins = []
+@released
+def task(n):
+    held = []
+    for i in range(n):
+        held.append(b"x" * 2000)
+        if i % 1000 == 999:
+            pins.append(b"y" * 2000)
+    yield len(held)
+before = taken()
+assert list(task(60_000)) == [60_000]
+assert taken() - before < 40, taken() - before
+"""
+    subprocess.run([sys.executable, "-c", script], check=True, timeout=120)
+
+
 def test_runs_of_characters_tell_lines_apart():
     rng = random.Random(12)
     line = lambda: " ".join("".join(rng.choice("abcdefgh") for _ in range(rng.randrange(2, 9))) for _ in range(80))

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bucket_links, forget, partitions, pick, stored, text_id
+from .common import bucket_links, forget, partitions, pick, released, stored, text_id
 from .words import mix, text_blocks, word_hashes
 
 SHINGLE = 5
@@ -137,6 +137,7 @@ def _unpack_bag(b: bytes) -> tuple[np.ndarray, np.ndarray]:
     return x[1 : n + 1], c
 
 
+@released
 def _bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The bag of each text."""
     for tid, raw in text_blocks(batches, ["_tid", "_x"], "_x", 2 << 20):
@@ -146,6 +147,7 @@ def _bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(tid, pa.int64()), pa.array(bags, pa.binary())], names=["_tid", "_bag"])
 
 
+@released
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for row, tid, doc, raw in text_blocks(batches, ["_row", "_tid", "doc_id", "_x"], "_x", 2 << 20):
         times, total = signatures([x or b"" for x in raw])
@@ -159,6 +161,7 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
+@released
 def _alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Pairs whose signatures leave it open that they are similar enough."""
     least = (SIMILARITY - SLACK) * REGISTERS
@@ -169,6 +172,7 @@ def _alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(keep)), b.column(1).take(pa.array(keep))], names=["a", "b"])
 
 
+@released
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of pairs with their bags, those that are similar enough."""
     for batch in batches:
@@ -230,6 +234,7 @@ def _forest(i: np.ndarray, j: np.ndarray, n: int) -> np.ndarray:
     return np.array(keep, dtype=np.int64)
 
 
+@released
 def _apart(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Links within each group of rows (key, c, c2, mine, id, root, _sig, _bag) that join different roots; groups arrive one after the other.
 

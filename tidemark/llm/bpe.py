@@ -14,7 +14,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import pick
+from .common import pick, released
 from .words import text_blocks
 
 _STEP = 0x9E3779B97F4A7C15
@@ -235,6 +235,7 @@ def encode_decode(docs: DataFrame, *, ranks_path: str, pattern: str, keep: list[
     rows = pick(docs, **dict(zip(names, keep, strict=True)), _x=text).withColumn("_x", F.coalesce("_x", F.lit("")))
     kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])
 
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = _coder(shipped, pattern)
         types: list[pa.DataType] = []

@@ -11,7 +11,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import pick
+from .common import pick, released
 
 #: What stands between runs of letters.
 _BETWEEN = re.compile(r"[\W\d_]+")
@@ -149,6 +149,7 @@ def identify(docs: DataFrame, dictionaries: Mapping[str, bytes], *, text: str =
     at = keep.index(text) if text in keep else len(keep)
     shipped = docs.sparkSession.sparkContext.broadcast((dict(dictionaries), dict(getattr(dictionaries, "least", {}))))
 
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         value = shipped.value
         if not _HELD or _HELD[0] is not value:  # the value is held too, so that no later one can take its place in memory

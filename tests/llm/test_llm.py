@@ -399,9 +399,9 @@ pins = []
 def task(n):
     held = []
     for i in range(n):
-        held.append(b"x" * 2000)
+        held.append(b"x" * (2000 + i % 7))
         if i % 1000 == 999:
-            pins.append(b"y" * 2000)
+            pins.append(b"y" * (2000 + i % 7))
     yield len(held)
 before = taken()
 assert list(task(60_000)) == [60_000]

@@ -339,6 +339,7 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     roots = bucket_links(members.select("key", F.col("_tid").alias("id")), linked, pivots, last_links=last).toDF("_tid", "_root")
     named = signed.select("doc_id", "_row", "_tid", F.col("_sig").isNotNull().alias("worded")).join(roots, "_tid", "left")
     named = stored(named.select("doc_id", "_row", "_tid", "worded", F.when(F.col("worded"), F.coalesce("_root", "_tid")).alias("_class")), "bag-classes")
+    forget(signed, kinds, members, some, sigs, bags, roots)
     heads = named.where("worded").groupBy("_class").agg(F.min(F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", "_row")).alias("h")).select("_class", F.col("h.doc_id").alias("class_id"), F.col("h._row").alias("_head"))
     alone = named.where("not worded").select("doc_id", F.col("doc_id").alias("class_id"), F.lit(True).alias("kept"), "worded", "_tid")
     return named.where("worded").join(heads, "_class").select("doc_id", "class_id", (F.col("_row") == F.col("_head")).alias("kept"), "worded", "_tid").unionByName(alone)

@@ -11,7 +11,7 @@ sys.path.insert(0, str(Path(__file__).resolve().parents[2]))
 from pyspark.sql import functions as F
 
 from tidemark.llm import bagminhash, linedup
-from tidemark.llm.common import shared_dir, stored
+from tidemark.llm.common import shared_dir, stored, stored_by
 
 
 def shuffle_files(spark):
@@ -42,3 +42,16 @@ def test_tables_between_steps_go(spark):
     assert {x.rsplit("-", 1)[0] for x in tables(spark) - before if x.startswith(("line-", "cc-"))} == {"line-gone"}
     assert bagminhash.near_duplicates(docs).count() == 20
     assert {x.rsplit("-", 1)[0] for x in tables(spark) - before if x.startswith(("bag-", "bucket-", "cc-"))} == {"bag-classes"}
+
+
+def test_tables_in_buckets_join_where_they_lie(spark):
+    rows = spark.range(100).withColumn("x", F.col("id") * 3)
+    a, b = stored_by(rows, "id", "scratch"), stored_by(rows.where("id % 2 = 0").groupBy("id").agg(F.max("x").alias("y")), "id", "scratch")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        both = a.join(b, "id", "left")
+        assert "Exchange" not in both._jdf.queryExecution().executedPlan().toString()
+        assert {(r.id, r.x, r.y) for r in both.collect()} == {(i, 3 * i, None if i % 2 else 3 * i) for i in range(100)}
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("scratch")]

@@ -5,7 +5,8 @@ some texts as word numbers, and the hashes of the block's distinct words. Every
 then an exchange between blocks and buckets of the hash range: a block asks each bucket
 about its distinct keys, with its own training counts; the bucket adds up the counts of
 all blocks and answers each of them. What moves is one number for each distinct key of a
-block, in sorted, compressed runs, never a row for each word of the corpus.
+block, in sorted, compressed runs, never a row for each word of the corpus. Blocks and the
+answers that they got lie in buckets of the block's number, so that no later step moves them.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import partitions, pick, stored
+from .common import forget, partitions, pick, shuffles_freed, stored, stored_by
 from .words import mix, text_blocks, word_hashes
 
 #: The hash of the token that ends each text.
@@ -160,7 +161,7 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[dict, dict]]:
         for i in range(batch.num_rows):
             row = {n: batch.column(n)[i].as_py() for n in ("block", "lengths", "training", "words", "local")}
             got: dict[tuple[int, str], list] = {}
-            for a in batch.column("answers")[i].as_py() or []:
+            for a in (a for c in batch.schema.names if c.startswith("answers") for a in batch.column(c)[i].as_py() or []):
                 got.setdefault((a["level"], a["name"]), []).append((a["bucket"], a["value"]))
             answers = {}
             for k, runs in got.items():
@@ -266,28 +267,32 @@ def score(docs: DataFrame, held_out: Column, *, doc_id: str = "doc_id", text: st
     held = held_out
     rows = rows.select(F.col("doc_id").cast("long").alias("doc_id"), held.alias("held"), F.spark_partition_id().alias("_part"), F.coalesce("_x", F.lit("")).alias("_x"))
     cut = rows.mapInArrow(_cut(block_bytes), "part int, ids array<long>, lengths binary, training binary, words binary, local binary")
-    blocks = stored(cut.withColumn("block", F.monotonically_increasing_id()).drop("part"), "tree-blocks")
+    cut = stored(cut.withColumn("block", F.monotonically_increasing_id()).drop("part"), "tree-cut")
+    blocks = stored_by(cut, "block", "tree-blocks")
+    forget(cut)
     parts = partitions(spark)
     model = {"depth": depth, "total": 0, "kinds": 0, "least": least, "base": (0.0, 0.0)}
-    answers: DataFrame | None = None
+    answers: list[DataFrame] = []
     steps = [(0, "n")] + [(k, x) for k in range(1, depth + 1) for x in ("n", "s")]
     names = ["lengths", "training", "words", "local"]
 
     def with_answers(asked: list[tuple[int, str]], more: list[str]) -> DataFrame:
-        said = F.array(*[F.lit(f"{k}{x}") for k, x in asked]).cast("array<string>")
-        if answers is None:
-            return blocks.select("block", *more, *names, F.lit(None).cast("array<struct<level:int,name:string,bucket:int,value:binary>>").alias("answers"), said.alias("asked"))
-        own = answers.where("block >= 0").groupBy("block").agg(F.collect_list(F.struct("level", "name", "bucket", "value")).alias("answers"))
-        return blocks.select("block", *more, *names).join(own, "block", "left").withColumn("asked", said)
+        """Blocks with a column for the answers of each step; all lie in the same buckets."""
+        out = blocks.select("block", *more, *names)
+        for i, own in enumerate(answers):
+            out = out.join(own.select("block", F.col("answers").alias(f"answers{i}")), "block", "left")
+        return out.withColumn("asked", F.array(*[F.lit(f"{k}{x}") for k, x in asked]).cast("array<string>"))
 
     for i, (level, name) in enumerate(steps):
         settings = {"parts": parts, "model": dict(model)}
         asks = with_answers(steps[:i], []).mapInArrow(lambda b, s=settings: _asked(b, s), "block long, bucket int, keys binary, value binary")
         got = asks.repartition(parts, "bucket").sortWithinPartitions("bucket", "block")
-        got = stored(got.mapInArrow(_answered(level, name, gain), "block long, level int, name string, bucket int, value binary, tokens long, kinds long"), "tree-answers")
+        got = got.mapInArrow(_answered(level, name, gain), "block long, level int, name string, bucket int, value binary, tokens long, kinds long").repartition(parts, "block")
+        got = stored_by(got.groupBy("block").agg(F.collect_list(F.struct("level", "name", "bucket", "value")).alias("answers"), F.sum("tokens").alias("tokens"), F.sum("kinds").alias("kinds")), "block", "tree-answers")
         if not i:
-            r = got.where("block < 0").agg(F.sum("tokens"), F.sum("kinds")).first()
+            with shuffles_freed(spark):
+                r = got.where("block < 0").agg(F.sum("tokens"), F.sum("kinds")).first()
             model |= {"total": r[0] or 0, "kinds": r[1] or 0}
-        answers = got if answers is None else answers.unionByName(got)
+        answers.append(got)
     settings = {"parts": parts, "model": dict(model)}
     return with_answers(steps, ["ids"]).mapInArrow(lambda b: _scored(b, settings), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")

@@ -6,6 +6,9 @@ import sys
 import time
 from pathlib import Path
 
+import numpy as np
+import pyarrow as pa
+
 sys.path.insert(0, str(Path(__file__).resolve().parents[2]))
 
 from pyspark.sql import functions as F
@@ -55,3 +58,21 @@ def test_tables_in_buckets_join_where_they_lie(spark):
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert not [t for t in spark.catalog.listTables() if t.name.startswith("scratch")]
+
+
+def test_turns_share_out_all_keys():
+    texts = [f"this is line number {i * 7919 % 10007} of some that are not alike {i * 31 % 1009}" for i in range(300)]
+    batch = pa.RecordBatch.from_arrays([pa.array(["\n".join(texts)])], names=["_x"])
+    signed = list(linedup._signed(iter([batch]), 9, np.zeros(linedup._COUNTERS, dtype=bool)))
+    dealt = [[r for b in linedup._deal(iter(signed), 4, t) for r in b.to_pylist()] for t in range(linedup.TURNS)]
+    found = []
+    for rows in dealt:
+        for r in rows:
+            key = np.cumsum(linedup._widen(r["keys"], np.uint32), dtype=np.uint64)
+            assert ((key * np.uint64(4)) >> np.uint64(32) == r["bucket"]).all()
+            found += list(zip(key.tolist(), np.frombuffer(r["ids"], dtype=np.int64).tolist(), strict=True))
+    ids, lines = linedup._distinct_lines([x.encode() for x in texts], 9)
+    keys = linedup.line_minima(lines)[1].astype(np.uint64) + np.arange(1, linedup.KEYS + 1, dtype=np.uint64) * linedup._C
+    assert sorted(found) == sorted(zip((linedup.mix(keys) >> np.uint64(32)).ravel().tolist(), np.repeat(ids.view(np.int64), linedup.KEYS).tolist(), strict=True))
+    sizes = [sum(len(r["ids"]) + len(r["sketches"]) for r in rows) for rows in dealt]
+    assert max(sizes) * linedup.TURNS <= 1.1 * sum(sizes)

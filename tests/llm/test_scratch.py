@@ -1,6 +1,7 @@
 """What operators leave on disk: shuffle files, tables between steps, and what one turn of keys is dealt."""
 
 import glob
+import hashlib
 import os
 import sys
 import time
@@ -76,3 +77,24 @@ def test_turns_share_out_all_keys():
     assert sorted(found) == sorted(zip((linedup.mix(keys) >> np.uint64(32)).ravel().tolist(), np.repeat(ids.view(np.int64), linedup.KEYS).tolist(), strict=True))
     sizes = [sum(len(r["ids"]) + len(r["sketches"]) for r in rows) for rows in dealt]
     assert max(sizes) * linedup.TURNS <= 1.1 * sum(sizes)
+
+
+def test_lines_compared_move_once(spark, monkeypatch):
+    lines = [f"{hashlib.sha256(str(i // 2).encode()).hexdigest()}{'!' * (i % 2)}" for i in range(200)]
+    docs = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")
+    plans, plain = [], linedup.stored
+
+    def watched(df, name="t"):
+        if name == "line-links":
+            plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return plain(df, name)
+
+    monkeypatch.setattr(linedup, "stored", watched)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        removed = linedup.dedup_lines(docs).agg(F.sum("n_removed")).first()[0]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    # pairs go to their first line's text, then with it to the second's; the table of texts stays where it is
+    assert [p.count("Exchange hashpartitioning") for p in plans[:2]] == [2, 2]
+    assert removed == 100

@@ -33,12 +33,15 @@ PRIORS = np.array([2.0, 16.0, 128.0, 1024.0, 8192.0])
 FEW = 3
 
 
+_ZIP, _UNZIP = zstandard.ZstdCompressor(level=1), zstandard.ZstdDecompressor()
+
+
 def _pack(x: np.ndarray) -> bytes:
-    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(x).tobytes())
+    return _ZIP.compress(np.ascontiguousarray(x).data)
 
 
 def _unpack(b: bytes, dtype) -> np.ndarray:
-    return np.frombuffer(zstandard.ZstdDecompressor().decompress(b), dtype=dtype)
+    return np.frombuffer(_UNZIP.decompress(b), dtype=dtype)
 
 
 def _pack_keys(x: np.ndarray) -> bytes:
@@ -59,8 +62,11 @@ def _small(x: np.ndarray) -> bytes:
 
 def _unsmall(b: bytes) -> np.ndarray:
     planes = _unpack(b[1:], np.uint8).reshape(b[0], -1)
+    if b[0] == 1:
+        return planes[0].astype(np.uint64)
     out = np.zeros((planes.shape[1], 8), dtype=np.uint8)
-    out[:, : b[0]] = planes.T
+    for i, x in enumerate(planes):
+        out[:, i] = x
     return out.view("<u8").ravel()
 
 
@@ -131,11 +137,10 @@ class Block:
         self.lengths = _unpack(lengths, np.int64)
         self.kinds, order = _by_count(_unsmall(counts))
         self.local = order[_unsmall(local).astype(np.int64)]
-        self.ends = np.cumsum(self.lengths)
         self.n = len(self.local)
-        self.owner = np.repeat(np.arange(len(self.lengths)), self.lengths)
-        self.trains = _unpack(training, np.bool_)[self.owner]
-        self.place = np.arange(self.n) - (self.ends - self.lengths)[self.owner]
+        self.trains = np.repeat(_unpack(training, np.bool_), self.lengths)
+        self.inner = np.ones(self.n + 1, dtype=bool)  # all but the texts' first tokens, and what follows the last text
+        self.inner[np.cumsum(self.lengths) - self.lengths] = self.inner[self.n] = False
 
 
 def _by_count(counts: np.ndarray) -> tuple[int, np.ndarray]:
@@ -167,43 +172,55 @@ def _replay(row: dict, answers: dict[tuple[int, str], np.ndarray], depth: int, t
     b = Block(row["lengths"], row["training"], row["counts"], row["local"])
     if (0, "n") not in answers:
         return b, None, None, (0, "n", _unpack_keys(row["words"]), 1 << 64, np.bincount(b.local[b.trains], minlength=b.kinds), None)
-    n = answers[0, "n"][b.local].astype(np.float64)
-    p0 = (n + 0.5) / (total + 0.5 * (kinds + 1))
-    p = p0.copy()
-    word = answers[0, "id"][b.local]
-    known, ids = answers[0, "id"], b.local  # numbers of the last level's distinct grams, ascending, and each token's place among them
+    n = answers[0, "n"].astype(np.float64)[b.local]
+    asked = next((x for x in ((k, x) for k in range(1, depth + 1) for x in ("n", "s")) if x not in answers), None)
+    p0 = p = None
+    if asked is None or asked[1] == "s":  # questions about counts need no probabilities
+        p0 = (n + 0.5) / (total + 0.5 * (kinds + 1))
+        p = p0.copy()
+    # of the last level: numbers of its distinct grams, ascending, tokens that end one, its place among them, its count
+    known, met, at, count = answers[0, "id"], np.arange(b.n), b.local, n
     for level in range(1, depth + 1):
         # the context of a token: the gram of ``level`` words before it, met ``least`` times in training
-        before = np.concatenate([[0.0], n[:-1]])
-        context = np.concatenate([[0], ids[:-1]])
-        where = np.flatnonzero((b.place >= level) & (before >= least))
+        own = np.flatnonzero(count >= least)
+        own = own[b.inner[met[own] + 1]]
+        where, ctx, held = met[own] + 1, at[own], count[own]
         # a gram whose end isn't met in training isn't either
-        met = where[n[where] > 0]
+        end = n[where] > 0
+        met = where[end]
         bits = _bits(sizes[level - 1] * sizes[0])
         with np.errstate(over="ignore"):
-            pairs = known[context[met]] * np.uint64(sizes[0]) + word[met]
+            pairs = known[ctx[end]] * np.uint64(sizes[0]) + answers[0, "id"][b.local[met]]
         u, at = _distinct(_spread(pairs, bits), bits)
         if (level, "n") not in answers:
             return b, None, None, (level, "n", u, 1 << bits, np.bincount(at[b.trains[met]], minlength=len(u)), None)
-        n = np.zeros(b.n)
-        n[met] = answers[level, "n"][at]
-        ctx, here, held = context[where], n[where], before[where]
+        count = answers[level, "n"].astype(np.float64)[at]
+        if level < depth:
+            n = np.zeros(b.n)
+            n[met] = count
         states = np.zeros(len(known), dtype=bool)
         states[ctx] = True
-        su, sat = known[states], (np.cumsum(states) - 1)[ctx]
-        known, ids = answers[level, "id"], np.zeros(b.n, dtype=np.int64)
-        ids[met] = at
-        if (level, "s") not in answers:
+        if asked == (level, "s"):
             # what the gains of each context come from
+            here = np.zeros(len(where))
+            here[end] = count
+            sat = (np.cumsum(states) - 1)[ctx]
             t = np.flatnonzero(b.trains[where])
             t = t[np.argsort(sat[t])]
+            su = known[states]
             total_held = np.zeros(len(su))
             total_held[sat] = held
             return b, None, None, (level, "s", su, sizes[level - 1], None, (np.bincount(sat[t], minlength=len(su)), total_held, sat[t], here[t], p[where][t]))
-        prior = answers[level, "s"][sat]
-        kept = np.flatnonzero(prior > 0)
-        w, pr = where[kept], prior[kept]
-        p[w] = (here[kept] + pr * p[w]) / (held[kept] + pr)
+        if p is not None:
+            prior = np.zeros(len(known))
+            prior[states] = answers[level, "s"]
+            prior = prior[ctx]
+            here = np.zeros(len(where))
+            here[end] = count
+            kept = np.flatnonzero(prior > 0)
+            w, pr = where[kept], prior[kept]
+            p[w] = (here[kept] + pr * p[w]) / (held[kept] + pr)
+        known = answers[level, "id"]
     return b, p0, p, None
 
 
@@ -334,7 +351,8 @@ def _scored(batches: Iterator[pa.RecordBatch], settings: dict) -> Iterator[pa.Re
         b, p0, p, _ = _replay(row, answers, **settings["model"])
         n0 = answers[0, "n"][b.local]
         m = len(b.lengths)
-        add = lambda x, b=b, m=m: np.bincount(b.owner, weights=x, minlength=m)
+        owner = np.repeat(np.arange(m), b.lengths)
+        add = lambda x, owner=owner, m=m: np.bincount(owner, weights=x, minlength=m)
         yield pa.RecordBatch.from_arrays(
             [pa.array(row["ids"], pa.int64()), pa.array(~_unpack(row["training"], np.bool_)), pa.array(b.lengths, pa.int64()), pa.array(add(n0 > 0).astype(np.int64), pa.int64()), pa.array([settings["model"]["total"]] * m, pa.int64()), pa.array(add(np.log10(p0))), pa.array(add(np.log10(p)))],
             names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],

@@ -98,3 +98,17 @@ def test_lines_compared_move_once(spark, monkeypatch):
     # pairs go to their first line's text, then with it to the second's; the table of texts stays where it is
     assert [p.count("Exchange hashpartitioning") for p in plans[:2]] == [2, 2]
     assert removed == 100
+
+
+def test_last_join_finds_lines_and_kinds_only(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, f"{hashlib.sha256(str(i // 2).encode()).hexdigest()}{'!' * (i % 2)}") for i in range(20)], "doc_id long, text string")
+    before, there, plain = tables(spark), set(), linedup.stored
+
+    def watched(df, name="t"):
+        if name == "line-repeats":
+            there.update(x.replace("_", "-").rsplit("-", 1)[0] for x in tables(spark) - before if x.startswith("line"))
+        return plain(df, name)
+
+    monkeypatch.setattr(linedup, "stored", watched)
+    assert linedup.dedup_lines(docs).agg(F.sum("n_removed")).first()[0] == 10
+    assert {x for x in there if not x.startswith("line-links")} == {"line-prints", "line-kinds"}

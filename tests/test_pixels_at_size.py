@@ -1,11 +1,13 @@
 """Sets of cells are as large as a month's pixels: they reach no driver, and tiles of any size make few folders."""
 
 import datetime as dt
+import os
 
 import pytest
 from pyspark.sql import functions as F
 
 from tidemark.operators import pixels as px
+from tidemark.operators import tiles
 
 HEIGHT, WIDTH, AREAS = 8, 40, 3
 MONTHS = [dt.date(2001, m, 1) for m in (1, 2)]
@@ -79,3 +81,17 @@ def test_pixels_move_once(spark):
     rows, plan = ran(px.statistics(px.monthly_composite(days)))
     assert [(r.count_wet, r.count_clear) for r in rows] == [(1, 1)]
     assert plan.split("== Initial Plan ==")[0].count("Exchange hashpartitioning") == 1
+
+
+def test_small_tiles_share_folders(spark, tmp_path):
+    """Tiles of 8 x 8 pixels, 260 of them: a folder for each 512 pixels, and only those of the wanted tiles are read."""
+    path = f"{tmp_path}/pixels"
+    grid = spark.range(16 * 1040).select(F.lit(1).alias("aoi_id"), F.expr("cast(id div 1040 as int)").alias("y"), F.expr("cast(id % 1040 as int)").alias("x"))
+    tiles.write_tiles(grid, f"file://{path}", 8)
+    folders = [d for d, _, files in os.walk(path) if any(f.startswith("part-") for f in files)]
+    assert len(folders) == 3
+    cells = spark.createDataFrame([(1, 3, 1), (1, 9, 1030), (1, 3, 700), (2, 3, 600)], "aoi_id int, y int, x int")
+    got = tiles.read_tiles(spark, f"file://{path}", cells, 8, skip=spark.createDataFrame([(1, 0, 87)], "aoi_id int, tile_y int, tile_x int"))
+    assert sorted(got.columns) == ["aoi_id", "tile_x", "tile_y", "x", "y"]
+    assert {(r.y, r.x) for r in got.collect()} == {(y, x) for y in range(16) for x in range(1040) if (y // 8, x // 8) in ((0, 0), (1, 128))}
+    assert sorted(tiles.read_tiles(spark, f"file://{path}", None, 8).columns) == ["aoi_id", "tile_x", "tile_y", "x", "y"]

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 #: Tile sizes to choose from beside no tiling, the cost of a tile in pixels, and the least gain for which to tile; fixed values.
 CANDIDATES, TILE_OVERHEAD, MIN_IMPROVEMENT = (2048, 1024, 512), 262144.0, 0.15
 TILE = ["tile_y", "tile_x"]
+#: Tiles share a folder of at least so many rows and columns of pixels, else folders, which the driver lists, would grow as fast as pixels.
+FOLDER, FOLDER_SIDE = ["folder_y", "folder_x"], min(CANDIDATES)
 
 
 def _clipped(size, at: str, length: str):
@@ -63,21 +65,30 @@ def planned_windows(plan: DataFrame, cells: DataFrame, shapes: DataFrame) -> Dat
     return own.select("aoi_id", *TILE, edge("tile_y", 0, "height").alias("y0"), edge("tile_y", 1, "height").alias("y1"), edge("tile_x", 0, "width").alias("x0"), edge("tile_x", 1, "width").alias("x1")).where("y0 < y1 AND x0 < x1")
 
 
+def _in_folder(tiles: DataFrame, size: int) -> DataFrame:
+    """Tiles with the folder that holds them."""
+    k = math.ceil(FOLDER_SIDE / size)
+    return tiles.withColumns({f: F.expr(f"{t} div {k}").cast("int") for f, t in zip(FOLDER, TILE, strict=True)})
+
+
 def write_tiles(pixels: DataFrame, path: str, size: int) -> None:
-    """Pixels as a table partitioned by tile (tile_y, tile_x) of ``size`` pixels."""
+    """Pixels as a table with their tile (tile_y, tile_x) of ``size`` pixels, ordered by it, partitioned by folders of tiles."""
     tiled = pixels.withColumn("tile_y", F.expr(f"y div {size}").cast("int")).withColumn("tile_x", F.expr(f"x div {size}").cast("int"))
-    tiled.repartition(*TILE).write.mode("overwrite").partitionBy(*TILE).parquet(path)
+    _in_folder(tiled, size).repartition(*FOLDER).sortWithinPartitions(*FOLDER, *TILE).write.mode("overwrite").partitionBy(*FOLDER).parquet(path)
 
 
 def read_tiles(spark: SparkSession, path: str, cells: DataFrame | None, size: int, *, skip: DataFrame | None = None) -> DataFrame:
     """Pixels of the tiles in which an area has cells, and that aren't on the list of those already done.
 
-    ``cells`` (aoi_id, y, x): None reads every tile, as nothing is then known to be empty. ``skip``: (aoi_id, tile_y, tile_x). The tiles left
-    are joined on the table's partition columns, so files of other tiles are pruned when the scan starts.
+    ``cells`` (aoi_id, y, x): None reads every tile, as nothing is then known to be empty. ``skip``: (aoi_id, tile_y, tile_x). The folders of the tiles
+    left, which are few, are joined on the table's partition columns, so files of other folders are pruned when the scan starts; then pixels meet their tiles.
     """
     pixels = spark.read.parquet(path)
     if cells is not None:
         wanted = cells.groupBy("aoi_id", F.expr(f"y div {size}").cast("int").alias("tile_y"), F.expr(f"x div {size}").cast("int").alias("tile_x")).agg(F.count("*").alias("_n"))
         wanted = wanted if skip is None else wanted.join(skip, ["aoi_id", *TILE], "left_anti")
-        return pixels.join(wanted.where("_n > 0").drop("_n"), ["aoi_id", *TILE])
+        wanted = wanted.where("_n > 0").drop("_n")
+        folders = _in_folder(wanted, size).select(*FOLDER).distinct()
+        return pixels.join(F.broadcast(folders), FOLDER, "left_semi").drop(*FOLDER).join(wanted.hint("merge"), ["aoi_id", *TILE])
+    pixels = pixels.drop(*FOLDER)
     return pixels if skip is None else pixels.join(skip, ["aoi_id", *TILE], "left_anti")

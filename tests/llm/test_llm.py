@@ -434,6 +434,18 @@ def test_hopeless_distances_end_early():
     assert 0 < sum(want) < 60 and linedup.within(xs, ys, most).tolist() == want
 
 
+def test_pairs_of_similar_size_are_compared_together(monkeypatch):
+    rng = random.Random(4)
+    xs = ["".join(rng.choice("abcdef") for _ in range(n)) for n in range(120, 168)]
+    ys = ["".join("-" if rng.random() < 0.1 else c for c in x)[: len(x) - i % 12] for i, x in enumerate(xs)]
+    most = np.array([len(x) // 10 for x in xs])
+    groups, run = [], linedup._distances
+    monkeypatch.setattr(linedup, "_distances", lambda *a: groups.append(len(a[0])) or run(*a))
+    want = [distance(x, y) <= d for x, y, d in zip(xs, ys, most, strict=True)]
+    assert 0 < sum(want) < len(want) and linedup.within(xs, ys, most).tolist() == want
+    assert len(groups) == 1
+
+
 def test_short_lines_repeat(spark):
     rows = [(1, "Read more\n\n完全に同じ行です。空白はありません\nx\nMenu"), (2, "read  MORE\n\n完全に同じ行です。空白はありません\ny\nMenu")]
     got = {r.doc_id: r.text for r in linedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
